@@ -5,15 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash
+from . import chat, minhash, mixing, quality_rules
 from .common import table
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = quality_rules.decide(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"select * from values (-7L, 0L, 'user', '{text}'), (-7L, 1L, 'assistant', '{text}') t(conv_id, turn, role, text)")
+    return chat.digests(chat.formatted(given.union(extra)))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op9_mixing": op9_mixing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
@@ -32,3 +51,52 @@ c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
 SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
 FROM c LEFT JOIN n USING (doc_id)
 """
+
+ORACLE["op4_quality_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS u(i)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM rep, unnest(range(i, i + 5)) AS u(p) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines FROM d LEFT JOIN cov USING (doc_id)),
+b AS (
+  SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
+    + CASE WHEN n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars > 30 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END AS bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits & 31 = 0 AS kept, bits::BIGINT AS fail_bits FROM b
+"""
+
+ORACLE["op6_chat_formatting"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+x AS (SELECT *, len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\])')) AS marks FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(text) + marks + 19)::BIGINT AS formatted_chars
+FROM x GROUP BY conv_id
+"""
+
+ORACLE["op9_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':17') AS key FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source),
+l AS (
+  SELECT *, ((sum(source_size) OVER ()) - coalesce(3 * sum(source_size) OVER w, 0))::DOUBLE / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM s WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, source_size, least((max(CASE WHEN 3 * source_size >= level * weight THEN level END) OVER ()) * weight, (3 * source_size)::DOUBLE) AS target FROM l),
+q AS (
+  SELECT d.doc_id, d.key, d.size, t.source_size, t.target, (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING))::BIGINT AS run
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, (copy * source_size + run) / target AS finish FROM q, unnest([0, 1, 2]) AS u(copy) WHERE size > 0),
+g AS (SELECT *, sum(size) OVER (ORDER BY finish, key, doc_id, copy ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+k AS (SELECT doc_id, count(*) AS copies FROM g WHERE upto <= (SELECT sum(size) FROM d) GROUP BY doc_id)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken FROM q LEFT JOIN k USING (doc_id)
+"""
