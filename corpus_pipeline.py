@@ -1,6 +1,56 @@
-STAGES = []
+"""The corpus pipeline: five stages, each over all that its predecessor kept.
+
+STAGES lists them; each takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as
+the next one's docs. All but the last return the columns of documents. run() applies them to documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from terrashard.llm import language_id, minhash, mixing, packing, quality_rules
+from terrashard.llm.common import keep_ids, settle, table
+from terrashard.llm.queries import language_model, tokenizer_path
+
+#: A document goes if no language reaches this probability (four languages; an even guess is 0.25).
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs but for the ids in rejected (doc_id)."""
+    rejected = settle(rejected.select("doc_id").distinct(), "rejected")
+    return keep_ids(docs, rejected, "doc_id", anti=True)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, quality_rules.decide(quality_rules.ledger(docs)).where("not kept"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language_id.identify(docs, language_model(docs))
+    return without(docs, found.where(f"lang_pred = 'und' or score < {LEAST_LANGUAGE_SCORE}"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, minhash.near_duplicates(docs).where("not kept"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.crc32(packing.pack(docs, tokenizer_path()))
+
+
+STAGES = [("quality rules", quality), ("language ID", language), ("MinHash near-dedup", near_dedup), ("mixing sources", mix_sources), ("packing", pack)]
+
+#: Tokenisation and a trained model can't be told in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return docs

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def worker_cache(key, make):
+    """make(), once for each key in a Python worker's life: tasks that follow in the same worker find it again."""
+    kept = sys.modules.setdefault("terrashard_worker", types.ModuleType("terrashard_worker")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def words(text: Column) -> Column:
     """Array of words; empty for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -5,15 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, mixing, quality_rules
+from . import audio, chat, language_id, minhash, mixing, packing, quality_rules
 from .common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def language_model(docs: DataFrame) -> language_id.Model:
+    return language_id.fit(docs)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_model(docs))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality_rules.decide(quality_rules.ledger(table(spark, sf_dir, "documents")))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = audio.features(audio.encode(table(spark, sf_dir, "documents")))
+    return made.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), audio.digest().alias("feature"),
+    )
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
@@ -21,6 +44,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(given.union(extra)))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = packing.crc32(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return made.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,9 +58,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op5_audio_features": op5_audio_features,
     "op6_chat_formatting": op6_chat_formatting,
     "op9_mixing": op9_mixing,
+    "op7_packing": op7_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
