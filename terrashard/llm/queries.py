@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, language_id, minhash, mixing, packing, quality_rules
+from . import audio, chat, html_text, kneser_ney, language_id, minhash, mixing, packing, quality_rules, warc
 from .common import table
 
 
@@ -24,6 +24,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_model(docs))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = warc.resolve(warc.captures_of(table(spark, sf_dir, "pages")))
+    names = F.array_join(F.array_sort(F.map_keys("headers")), ",")
+    return done.select(
+        "record_id", "canonical_url", "base_id", "outcome", names.alias("header_names"), F.col("headers")["date"].alias("date"), F.col("headers")["content-length"].alias("content_length"),
+        F.md5("payload").alias("payload_md5"),
+    )
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), html_text.train(html_text.labelled_pages())).select("page_id", "url", "text", "n_chars")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality_rules.decide(quality_rules.ledger(table(spark, sf_dir, "documents")))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -57,12 +70,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_warc_revisits": op2_warc_revisits,
+    "op3_html_extraction": op3_html_extraction,
     "op4_quality_rules": op4_quality_rules,
     "op5_audio_features": op5_audio_features,
     "op6_chat_formatting": op6_chat_formatting,
     "op9_mixing": op9_mixing,
+    "op10_kneser_ney_quality": op10_kneser_ney_quality,
     "op7_packing": op7_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
@@ -131,3 +151,28 @@ g AS (SELECT *, sum(size) OVER (ORDER BY finish, key, doc_id, copy ROWS UNBOUNDE
 k AS (SELECT doc_id, count(*) AS copies FROM g WHERE upto <= (SELECT sum(size) FROM d) GROUP BY doc_id)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken FROM q LEFT JOIN k USING (doc_id)
 """
+
+ORACLE["op2_warc_revisits"] = r"""
+WITH p AS (
+  SELECT page_id, regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest, coalesce(html, '') AS html, md5(coalesce(html, '')) AS tag FROM pages),
+q AS (
+  SELECT *, lower(regexp_replace(regexp_extract(rest, '^[^/?#]*'), '^.*@', '')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '\?([^#]*)', 1), '&'), lambda x: x <> '')) AS pairs FROM p),
+u AS (
+  SELECT *, regexp_replace(host, '^www\.|:(80|443)?$', '', 'g') || CASE WHEN path = '' THEN '/' ELSE path END
+    || CASE WHEN len(pairs) = 0 THEN '' ELSE '?' || array_to_string(pairs, '&') END AS canonical_url FROM q),
+f AS (SELECT canonical_url, page_id * 60 AS ts, 2 * page_id AS record_id, tag, page_id % 28 AS day, html FROM u),
+r AS (
+  SELECT canonical_url, CASE WHEN page_id % 11 = 0 THEN -1 - page_id ELSE page_id * 60 + 3600 END AS ts, 2 * page_id + 1 AS record_id,
+    CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 'new' ELSE tag END AS tag, page_id % 28 AS day FROM u),
+j AS (
+  SELECT r.*, f.record_id AS base_id, f.tag AS base_tag, f.day AS base_day, f.html FROM r LEFT JOIN f
+    ON f.canonical_url = r.canonical_url AND (f.ts < r.ts OR f.ts = r.ts AND f.record_id < r.record_id)
+  QUALIFY row_number() OVER (PARTITION BY r.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) = 1),
+o AS (
+  SELECT *, CASE WHEN base_id IS NULL THEN 'no earlier response' WHEN CASE WHEN tag IS NULL THEN day = base_day ELSE tag = base_tag END THEN 'resolved' ELSE 'validators differ' END AS outcome FROM j)
+SELECT record_id, canonical_url, base_id, outcome,
+  CASE WHEN outcome = 'resolved' THEN 'content-length,content-type,date,expires,vary' END AS header_names, CASE WHEN outcome = 'resolved' THEN ts::VARCHAR END AS date,
+  CASE WHEN outcome = 'resolved' THEN length(html)::VARCHAR END AS content_length, CASE WHEN outcome = 'resolved' THEN md5(html) END AS payload_md5
+FROM o
+"""
