@@ -106,7 +106,7 @@ def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 def train(trusted: DataFrame, order: int = ORDER) -> np.ndarray:
     """Log probabilities by code: SYMBOLS ** order floats, however large the corpus."""
-    got = probabilities(counted(trusted, order), order).toPandas()
+    got = probabilities(counted(trusted, order), order).toArrow()
     out = np.empty(SYMBOLS**order, np.float32)
     out[got["code"].to_numpy()] = np.log(got["p"].to_numpy())
     return out
