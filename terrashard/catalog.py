@@ -1,4 +1,5 @@
 """Every query of the tile-set engine by name, each with SQL for the same rows where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans.queries import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
