@@ -49,7 +49,7 @@ def decode(payloads: DataFrame, external: DataFrame | None = None) -> DataFrame:
     opened = opened.withColumn("error_code", F.coalesce("error_code", F.when(F.coalesce(complete, F.lit(False)), F.lit(None)).otherwise("json")))
     fetched = F.create_map().cast("map<string,binary>")
     if external is not None:
-        named = opened.where("error_code is null").select("id", F.explode("s.buffers.uri").alias("uri")).where("uri is not null").distinct()
+        named = opened.select("id", F.explode_outer("s.buffers.uri").alias("uri")).where("uri is not null").distinct()  # outer: no filter is pushed into the decoding
         held = named.join(external, "uri").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("uri", "bytes"))).alias("fetched"))
         opened = opened.join(held, "id", "left")
         fetched = F.coalesce("fetched", fetched)
