@@ -4,7 +4,7 @@ Documents are tokenised (byte-level BPE, then an end id), and cut into pieces of
 fills a sequence. The rest are dealt by hash into shards of a bounded number of tokens; each shard has as many
 sequences as its tokens need, and takes its pieces in descending order of cost, which is LINEAR * n + QUADRATIC * n^2
 for n tokens. A piece goes to the sequence of least cost with room for it; where none has room, it is cut to fill the
-roomiest and what is left waits its turn. So every sequence of a shard but one is filled, and costs stay even.
+roomiest and what is left waits its turn. So a shard's padding is less than one sequence, and costs stay even.
 
 The number of shards follows the tokens, estimated from the bytes of text; a document's pieces go to
 different shards, so a long document, or a source with a third of all rows, makes no shard large.
