@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, classify, extensions, tileid
 from ..operators import availability, tracker, validate
-from ..sources import subtrees, tilesets
+from ..sources import metadata, subtrees, tilesets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -504,3 +504,59 @@ def subtree_round_trip(spark, sf_dir):
     hit = availability.is_available(F.col("tile"), F.lit("quadtree"), F.col("level"), F.col("m"))
     content = availability.is_content_available(F.col("content_layers"), F.lit(0), F.lit("quadtree"), F.col("level"), F.col("m"))
     return cells.groupBy("id").agg(F.count_if(hit).alias("tiles"), F.count_if(content).alias("contents"), F.count_if(hit & (F.col("level") == 2)).alias("leaves"), F.max(F.size("content_layers")).cast("bigint").alias("layers"))
+
+
+def part_schemas(spark, sf_dir):
+    """A metadata schema a brand: its types are classes, with a property and an enum each."""
+    p = read(spark, sf_dir, "part").select("p_brand", "p_type").distinct()
+    of = F.concat(F.lit('"'), "p_type", F.lit('":{"name":"'), "p_type", F.lit('","properties":{"size":{"type":"SCALAR","componentType":"UINT8","required":true,"max":50},"kind":{"type":"ENUM","enumType":"'), "p_type", F.lit('"}}}'))
+    enum = F.concat(F.lit('"'), "p_type", F.lit('":{"values":[{"name":"a","value":0},{"name":"b","value":'), F.length("p_type").cast("string"), F.lit("}]}"))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    made = p.groupBy("p_brand").agg(joined(of).alias("c"), joined(enum).alias("e"))
+    return made.select(F.col("p_brand").alias("id"), F.parse_json(F.concat(F.lit('{"id":"'), "p_brand", F.lit('","classes":{'), "c", F.lit('},"enums":{'), "e", F.lit("}}"))).alias("doc"))
+
+
+SQL_SCHEMAS = "SELECT DISTINCT p_brand AS id, p_type AS class_id FROM part"
+
+
+@query(f"""
+SELECT id, class_id, 'size' AS property_id, 'SCALAR' AS type, 'UINT8' AS component_type, NULL AS enum_type, '50' AS max, false AS "array", true AS required FROM ({SQL_SCHEMAS})
+UNION ALL SELECT id, class_id, 'kind', 'ENUM', NULL, class_id, NULL, false, false FROM ({SQL_SCHEMAS})""")
+def schema_properties(spark, sf_dir):
+    rows = metadata.class_properties(part_schemas(spark, sf_dir))
+    return rows.select("id", "class_id", "property_id", "type", "component_type", "enum_type", F.to_json("max").alias("max"), "array", "required")
+
+
+@query(f"SELECT id, class_id AS enum_id, 'UINT16' AS value_type, o AS ord, ['a', 'b'][o + 1] AS name, CASE o WHEN 0 THEN 0 ELSE length(class_id) END::BIGINT AS value FROM ({SQL_SCHEMAS}), (SELECT unnest([0, 1]) AS o)")
+def schema_enums(spark, sf_dir):
+    return metadata.enums(part_schemas(spark, sf_dir))
+
+
+@query(f"""
+SELECT id, count(*)::BIGINT AS classes, (2 * count(*))::BIGINT AS properties, (2 * count(*))::BIGINT AS enum_values, id AS schema_id, count(*)::BIGINT AS required FROM ({SQL_SCHEMAS}) GROUP BY id""")
+def schema_write(spark, sf_dir):
+    """Writes the schemas and counts what is in them after reading them back."""
+    again = metadata.write_schema(part_schemas(spark, sf_dir)).select("id", F.parse_json("json").alias("doc"))
+    c = again.select("id", F.size(metadata.entries(F.col("doc"), "classes")).cast("bigint").alias("classes"), tilesets.field(F.col("doc"), "id", "string").alias("schema_id"))
+    p = metadata.class_properties(again).groupBy("id").agg(F.count("*").alias("properties"), F.count_if("required").alias("required"))
+    e = metadata.enums(again).groupBy("id").agg(F.count("*").alias("enum_values"))
+    return c.join(p, "id").join(e, "id")
+
+
+@query("""
+SELECT s_suppkey AS id, s_suppkey AS length, k AS property, CASE k WHEN 'RTC_CENTER' THEN 'array' WHEN 'POSITION' THEN 'reference' WHEN 'SCALE' THEN 'number' ELSE 'boolean' END AS kind
+FROM supplier, (SELECT unnest(['RTC_CENTER', 'POSITION', 'SCALE', 'EAST_NORTH_UP']) AS k)""")
+def feature_tables(spark, sf_dir):
+    text = F.concat(F.lit('{"POINTS_LENGTH":'), F.col("s_suppkey").cast("string"), F.lit(',"RTC_CENTER":[1,2,3],"POSITION":{"byteOffset":0},"SCALE":1.5,"EAST_NORTH_UP":true}'))
+    return metadata.feature_table(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.parse_json(text).alias("doc"))).drop("value")
+
+
+@query("""
+SELECT s_suppkey AS id, CASE s_suppkey % 2 WHEN 0 THEN '"color(''#FFFFFF'')"' END AS color, CASE s_suppkey % 2 WHEN 0 THEN 'expression' ELSE 'conditions' END AS color_kind, '"true"' AS show, 'expression' AS show_kind,
+  (CASE s_suppkey % 2 WHEN 0 THEN 0 ELSE 2 END)::BIGINT AS n_conditions FROM supplier""")
+def style_parts(spark, sf_dir):
+    text = F.when(F.col("s_suppkey") % 2 == 0, "{}").otherwise('{"color":{"conditions":[["${a} > 1","color(\'red\')"],["true","color(\'blue\')"]]}}')
+    docs = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.parse_json(text).alias("doc"))
+    n = metadata.conditions(docs).groupBy("id").agg(F.count("*").alias("n"))
+    made = metadata.styles(docs).join(n, "id", "left")
+    return made.select("id", F.when(F.col("color_kind") == "expression", F.col("color")).alias("color"), "color_kind", "show", "show_kind", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_conditions"))
