@@ -17,13 +17,14 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs but for the ids in rejected (doc_id)."""
+    """docs but for the ids in rejected (doc_id). Rows that share an id, a null one too, share a verdict: all go if one is rejected."""
     rejected = settle(rejected.select("doc_id").distinct(), "rejected")
     return keep_ids(docs, rejected, "doc_id", anti=True)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, quality_rules.decide(quality_rules.ledger(docs)).where("not kept"))
+    ledger = settle(quality_rules.ledger(docs), "ledger")  # stored, so that the policy's filter isn't pushed into the measuring
+    return without(docs, quality_rules.decide(ledger).where("not kept"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
