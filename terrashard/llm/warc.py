@@ -82,8 +82,10 @@ def resolve(captures: DataFrame) -> DataFrame:
     outcome = F.when(F.col("ts").isNull() | F.col("canonical_url").isNull(), "no time or URL").when(F.col("base").isNull(), "no earlier response").when(agree, "resolved").otherwise("validators differ")
     revisits = asof(captures).select("record_id", "canonical_url", F.col("base.record_id").alias("base_id"), outcome.alias("outcome"), F.col("headers").alias("sent"))
     stored = captures.where("status = 200 and payload is not null").select(F.col("record_id").alias("stored_id"), F.col("headers").alias("stored"), "payload").dropDuplicates(["stored_id"])
-    hit = (F.col("base_id") == F.col("stored_id")) & (F.col("outcome") == "resolved")
-    return revisits.join(stored, hit, "left").select(
+    # Revisits without a payload to fetch are spread by their own ids; they'd all meet under a null key.
+    fetched = F.when(F.col("outcome") == "resolved", F.col("base_id")).otherwise(F.xxhash64("record_id"))
+    hit = (F.col("fetch") == F.col("stored_id")) & (F.col("outcome") == "resolved")
+    return revisits.withColumn("fetch", fetched).join(stored, hit, "left").select(
         "record_id", "canonical_url", "base_id", "outcome", F.when(F.col("outcome") == "resolved", merged(F.col("stored"), F.col("sent"))).alias("headers"), "payload"
     )
 
