@@ -122,3 +122,33 @@ def test_files_and_streams(spark, tmp_path):
     query.awaitTermination(120)
     got = {r.id.rsplit("/", 1)[1]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["0-0-0.subtree"].error_code is None and got["1-1-0.subtree"].error_code == "json" and (got["1-1-0.subtree"].level, got["1-1-0.subtree"].x) == (1, 1)
+
+
+def test_strict_raises_what_is_wrong(spark):
+    import pytest
+
+    from terrashard.operators.errors import strict
+
+    good = subtrees.decode(payloads(spark, CONSTANT))
+    assert strict(good).columns == ["id", "tile", "child", "content_layers"] and strict(good).count() == 1
+    with pytest.raises(Exception, match="unsupported_version: 2"):
+        strict(subtrees.decode(payloads(spark, packed(CONSTANT, version=2)))).collect()
+    with pytest.raises(Exception, match="must not be empty"):
+        strict(parsed(spark, doc(asset={"version": ""}))).collect()
+
+
+def test_pretty(spark):
+    text = spark.range(1).select(tilesets.pretty(F.lit('{"b":[1,{"c":null}],"a":"x"}')).alias("t")).first().t
+    assert "\n" in text and json.loads(text) == {"a": "x", "b": [1, {"c": None}]}
+
+
+def test_schema_write_reads_back_the_same(spark):
+    from terrashard.sources import metadata
+
+    given = {"id": "s", "classes": {"B": {"name": 'B "q"', "properties": {"h": {"type": "SCALAR", "componentType": "FLOAT32", "min": [1, 2.5], "noData": "x", "required": True}}}, "A": {}}, "enums": {"E": {"values": [{"name": "n", "value": -3}]}}}
+    df = spark.createDataFrame([(1, json.dumps(given))], "id long, j string").select("id", F.parse_json("j").alias("doc"))
+    written = json.loads(metadata.write_schema(df).first().json)
+    p = written["classes"]["B"]["properties"]["h"]
+    assert (p["array"], p["normalized"], p["required"], p["min"], p["noData"]) == (False, False, True, [1, 2.5], "x")
+    assert written["classes"]["B"]["name"] == 'B "q"' and "properties" not in written["classes"]["A"]
+    assert written["enums"]["E"] == {"valueType": "UINT16", "values": [{"name": "n", "value": -3}]} and written["id"] == "s"
