@@ -17,7 +17,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs but for the ids in rejected (doc_id). Rows that share an id, a null one too, share a verdict: all go if one is rejected."""
+    """docs but for the ids in rejected (doc_id). Rows that share an id share a verdict: all go if one is rejected. A row without an id stays."""
     rejected = settle(rejected.select("doc_id").distinct(), "rejected")
     return keep_ids(docs, rejected, "doc_id", anti=True)
 

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAD = 64
+#: Files that are handed on together.
+ROWS = 256
 RATE, UP, DOWN = 8000, 3, 4
 TAPS = 8
 WIN, HOP, MELS, CHUNK = 256, 128, 32, 32
@@ -125,7 +127,7 @@ def encode(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media; one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             got = [payload(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in got], pa.int64()), pa.array([wav(p) for _, p in got], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -139,8 +141,8 @@ def features(stored: DataFrame) -> DataFrame:
         taps, bank, window = low_pass(), mel_bank(), np.hanning(WIN).astype(np.float32)
         hop = HOP * DOWN / UP / RATE
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 size, sha, crc, count, mean, chunks, spans, tensor = [], [], [], [], [], [], [], []
                 for media in batch.column("media"):
                     raw = samples_of(media.as_py())

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import settle, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "SPACES", "SPACES_RE", "keep_ids", "n_words", "settle", "shared_dir", "table", "words", "worker_cache"]
+
 #: A word is a run of characters other than space, tab, \n, \v, \f and \r.
 SPACES = " \t\n\x0b\x0c\r"
 SPACES_RE = r"[ \t-\r]+"
@@ -21,22 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrashard-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def worker_cache(key, make):
     """make(), once for each key in a Python worker's life: tasks that follow in the same worker find it again."""
     kept = sys.modules.setdefault("terrashard_worker", types.ModuleType("terrashard_worker")).__dict__.setdefault("kept", {})
@@ -56,7 +42,7 @@ def n_words(text: Column) -> Column:
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, *, anti: bool = False, n_ids: int | None = None) -> DataFrame:
-    """Rows of df whose key is (or, with anti, isn't) in ids, a one-column table.
+    """Rows of df whose key is (or, with anti, isn't) in ids, a table of one column of that name. A null key is in no table.
 
     Broadcast only if a count shows that ids has at most BROADCAST_ROWS rows; otherwise a shuffled join.
     """

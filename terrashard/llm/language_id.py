@@ -201,27 +201,30 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, width: int = 4096) -> list:
-    """At most per_lang documents of each language that aren't held out, as (lang, text): those of the smallest hashes.
+def sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> list:
+    """(lang, window) of at most per_lang documents of each language that aren't held out, those of the smallest hashes.
 
-    The texts are cut to width bytes for training only; the sample is bounded by SAMPLE_LANGS * per_lang * width bytes.
-    The smallest hashes come from map-side combined aggregation of (hash, id); texts of those ids alone reach the driver.
+    SAMPLE_WINDOWS windows at most, spread evenly over the whole text, reach the driver from each, so the sample is
+    bounded by SAMPLE_LANGS * per_lang * SAMPLE_WINDOWS windows, however large the corpus.
     """
     ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     ok = ok.where(F.rlike("text", F.lit(r"\p{L}")))
-    slim = ok.select("lang")
-    counts = {r.lang: r.n for r in slim.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).collect()}
+    counts = {r.lang: r.n for r in ok.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).collect()}
     # Hashes are even, so a threshold with twice the share that is wanted holds enough of each language.
     limit = F.lit(None).cast("double")
     for lang, n in counts.items():
         limit = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * per_lang / n + 40.0 / n))).otherwise(limit)
     share = F.xxhash64(F.col("doc_id"), F.lit(SEED)) / F.lit(2.0**64) + 0.5
-    near = ok.withColumn("share", share).where(F.col("share") <= limit).select("lang", "share", "doc_id", F.substring("text", 1, width).alias("text"))
+    length = F.length("text")
+    n = F.greatest(F.lit(1), F.least(F.lit(SAMPLE_WINDOWS), F.floor(length / WINDOW))).cast("int")
+    step = F.when(n > 1, (length - WINDOW) / (n - 1)).otherwise(F.lit(0.0))
+    spread = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("text", (F.floor(i * step) + 1).cast("int"), F.lit(WINDOW)))
+    near = ok.withColumn("share", share).where(F.col("share") <= limit).select("lang", "share", "doc_id", spread.alias("windows"))
     found = {}
-    for r in sorted(near.collect(), key=lambda r: (r.lang, r.share, r.doc_id)):
+    for r in sorted(near.collect(), key=lambda r: (r.lang, r.share, r.doc_id, r.windows)):
         if len(found.setdefault(r.lang, [])) < per_lang:
-            found[r.lang].append(r.text.encode("utf-8", "surrogatepass"))
-    return [(lang, t) for lang in sorted(found) for t in found[lang]]
+            found[r.lang].append([w.encode("utf-8", "surrogatepass") for w in r.windows])
+    return [(lang, w) for lang in sorted(found) for windows_ in found[lang] for w in windows_]
 
 
 def fit(docs: DataFrame, **how) -> Model:

@@ -1,6 +1,6 @@
 """Rule bitmask ledger: every rule is evaluated once for each document; policies are masks over the stored bits.
 
-ledger() measures each text and sets one bit of fail_bits for each rule that fails. decide() applies a versioned
+ledger() measures each text, sets one bit of fail_bits for each rule that fails, and stores the result. decide() applies a versioned
 policy, a set of rule names, by one bitwise test; ablation() counts from the ledger alone, in one map-side combined
 aggregation, what every rule rejects, what it alone rejects, and what would be kept without it. All is built-in column
 expressions within the row: nothing is exploded, and only ablation() shuffles, one row for each task.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES_RE, words
+from .common import SPACES_RE, settle, words
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -86,7 +86,8 @@ def ledger(docs: DataFrame) -> DataFrame:
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return measured.withColumn("fail_bits", total.cast("long"))
+    # Stored, and so measured once for all policies; a filter above it would else be pushed down with copies of the rules.
+    return settle(measured.withColumn("fail_bits", total.cast("long")), "ledger")
 
 
 def decide(kept_ledger: DataFrame, policy: str = CURRENT) -> DataFrame:
