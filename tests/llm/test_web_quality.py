@@ -1,5 +1,6 @@
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from helpers import awkward, clashing, frame, rows
 from pyspark.sql import functions as F
 
 from terrashard.llm import html_text, kneser_ney, warc
+from terrashard.llm.common import settle
 
 
 @pytest.fixture(scope="module")
@@ -99,46 +101,73 @@ def test_slices_of_time_change_nothing(spark, monkeypatch):
     assert whole == sorted(brute)
 
 
-def model_by_hand(texts, order):
-    """Interpolated modified Kneser-Ney straight from its definition: last-symbol probability of a code."""
-    symbols, s = kneser_ney.alphabet(), kneser_ney.SYMBOLS
-    counts = [{} for _ in range(order + 1)]
-    for t in texts:
-        for g in kneser_ney.grams(t, symbols, order).tolist():
-            counts[order][g] = counts[order].get(g, 0) + 1
-    for n in range(order - 1, 0, -1):
-        for g in counts[n + 1]:
-            counts[n][g % s**n] = counts[n].get(g % s**n, 0) + 1
-    cuts = []
-    for n in range(1, order + 1):
-        c = [sum(v == k for v in counts[n].values()) for k in (1, 2, 3, 4)]
-        y = c[0] / (c[0] + 2 * c[1]) if c[0] else 0
-        cuts.append([min(max(k - (k + 1) * y * c[k] / c[k - 1] if c[k - 1] else 0.5, 0.05), k) for k in (1, 2, 3)])
-
-    def p(code, n):
-        if n == 0:
-            return 1 / s
-        code %= s**n
-        row = {g: v for g, v in counts[n].items() if g // s == code // s}
-        total = sum(row.values())
-        if not total:
-            return p(code, n - 1)
-        off = lambda v: cuts[n - 1][min(v, 3) - 1]
-        own = max(row[code] - off(row[code]), 0) if code in row else 0
-        return (own + sum(map(off, row.values())) * p(code, n - 1)) / total
-
-    return p
-
-
-def test_kneser_ney_equals_its_definition(spark):
-    texts = ["the cat sat on the mat.", "a cat and a dog sat.", "Élan vital 42\nend", "the the the"]
-    got = kneser_ney.train(frame(spark, rows(*texts)), order=3)
-    p = model_by_hand(texts, 3)
-    rng = np.random.default_rng(0)
-    symbols = kneser_ney.alphabet()
-    for code in [*rng.integers(0, kneser_ney.SYMBOLS**3, 60).tolist(), *kneser_ney.grams("the cat dog 7!", symbols, 3).tolist()]:
-        assert math.exp(got[code]) == pytest.approx(p(code, 3), rel=1e-4)
-    assert np.allclose(np.exp(got).reshape(-1, kneser_ney.SYMBOLS).sum(1), 1, atol=1e-4)
+def loss_by_hand(trusted, text):
+    """Negative log probability of a text by the definition of an interpolated modified Kneser-Ney bigram model."""
+    split = lambda t: (t or "").encode().lower().split()
+    often = Counter(w for t in trusted for w in split(t))
+    vocabulary = sorted((w for w, c in often.items() if c > 1), key=lambda w: (-often[w], w))
+    fold = lambda t: ["^", *(w if w in vocabulary else "?" for w in split(t)), "^"]
+    pairs = Counter(g for t in trusted if split(t) for g in itertools.pairwise(fold(t)))
+    to = Counter(w for _, w in pairs)
+
+    def cuts(values):
+        n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
+        d = [min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5, 0.05), k) for k in (1, 2, 3)]
+        return lambda v: d[min(v, 3) - 1]
+
+    off, off1 = cuts(pairs.values()), cuts(to.values())
+    bytes_ = np.ones((256, 256))
+    for w in vocabulary:
+        for a, b in itertools.pairwise(b"\0" + w + b"\0"):
+            bytes_[a, b] += 1
+
+    def p1(w):
+        n = sum(to.values())
+        return (max(to[w] - off1(to[w]), 0) if to[w] else 0) / n + sum(map(off1, to.values())) / n / (len(vocabulary) + 2)
+
+    def p(h, w):
+        row = {b: v for (a, b), v in pairs.items() if a == h}
+        if not row:
+            return p1(w)
+        return ((row[w] - off(row[w]) if w in row else 0) + sum(map(off, row.values())) * p1(w)) / sum(row.values())
+
+    assert sum(p("the", w) for w in ["^", "?", *vocabulary]) == pytest.approx(1)
+    spelled = -sum(math.log(bytes_[a, b] / bytes_[a].sum()) for w in split(text) if w not in vocabulary for a, b in itertools.pairwise(b"\0" + w + b"\0"))
+    return spelled - sum(math.log(p(*g)) for g in itertools.pairwise(fold(text)))
+
+
+@pytest.mark.parametrize(("shards", "heavy", "hot"), [(1, 0, 0), (5, 0, 0), (5, 4, 0), (3, 1 << 18, 1 << 16)])
+def test_kneser_ney_equals_its_definition(spark, monkeypatch, shards, heavy, hot):
+    trusted = ["the cat sat on the mat .", "a cat and a dog sat .", "the the the", "The dog sat on a cat .", "", None, "élan 42\nend élan"]
+    asked = ["the cat sat", "the zebra sat on the dog .", "a", "unseen words only", "élan the élan", "the cat sat"]
+    given = spark.createDataFrame([(t, True) for t in trusted], "text string, counts boolean")
+    words = kneser_ney.vocabulary(given)
+    counts = settle(kneser_ney.counted(given, words, shards), "counts")
+    model = kneser_ney.built(counts, words, heavy, hot)
+    rows_ = spark.createDataFrame([(i << 60, t) for i, t in enumerate([*asked, "", None])], "key long, text string")
+    got = {r.key >> 60: r for r in kneser_ney.scored(rows_, model, counts, shards).collect()}
+    assert len(got) == len(asked) + 2 and all(r.rows == 1 for r in got.values())
+    for i, t in enumerate(asked):
+        assert got[i].words == len(t.split()) and got[i].loss == pytest.approx(loss_by_hand(trusted, t), rel=1e-9)
+    assert got[6].words == got[7].words == 0
+    assert (len(model.known) == 0) == (heavy == hot == 0) or heavy == 4
+
+
+def test_bigrams_common_to_documents_are_hot(spark):
+    given = spark.createDataFrame([("x y never trusted", False)] * 80 + [("a b a b", True)], "text string, counts boolean")
+    words = [b"a", b"b", b"x", b"y"]
+    counts = settle(kneser_ney.counted(given.coalesce(1), words, 2), "counts")
+    model = kneser_ney.built(counts, words, heavy=0)
+    code = 4 << 16 | 5
+    assert code in model.known and model.values[model.known == code] == 0
+
+
+def test_packed_numbers_come_back():
+    for n in ([], [0], [5, 2**32 - 1, 7], list(range(1000))):
+        x = np.array(n, np.int64)
+        assert kneser_ney.unpacked(kneser_ney.packed(x)).tolist() == n and kneser_ney.unpacked(kneser_ney.packed(x, "<u8"), "<u8").tolist() == n
+        assert kneser_ney.risen(kneser_ney.rising(np.sort(x))).tolist() == sorted(n)
 
 
 def test_judge_rejects_noise_and_keeps_the_rest(spark):
