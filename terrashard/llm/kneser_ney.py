@@ -53,7 +53,8 @@ FOLDS = 10
 QUANTILE = 0.995
 
 SHARDS = "shard long, codes binary, counts binary"
-QUERIES = "shard long, keys binary, words binary, loss binary, sizes binary, codes binary"
+QUERIES = "shard long, block long, keys binary, words binary, loss binary, sizes binary, codes binary"
+ANSWERS = "block long, keys binary, rows binary, words binary, loss binary"
 PARTS = "key long, rows long, words long, loss double"
 
 
@@ -326,11 +327,11 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, shards: int) -> Dat
                 if len(here):
                     is_home = home[here] == s
                     sizes = np.bincount(np.searchsorted(here, of), minlength=len(here))
-                    out.append((s, keys[here].tobytes(), packed(np.where(is_home, np.maximum(length[here], 1), 0)), loss[here][is_home].tobytes(), packed(sizes), packed(codes[mine])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 5), strict=True)], ["shard", "keys", "words", "loss", "sizes", "codes"])
+                    out.append((s, int(keys[0]), keys[here].tobytes(), packed(np.where(is_home, np.maximum(length[here], 1), 0)), loss[here][is_home].tobytes(), packed(sizes), packed(codes[mine])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["shard", "block", "keys", "words", "loss", "sizes", "codes"])
 
     def answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
-        m, out = sent.value, ([], [], [], [])
+        m, out = sent.value, []
         code, value = np.empty(0, np.int64), np.empty(0)
         for x, y in zip(shard["codes"], shard["counts"], strict=True):  # one row at most
             code = risen(x.as_py())
@@ -343,13 +344,20 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, shards: int) -> Dat
                 at = np.minimum(np.searchsorted(code, codes), len(code) - 1)
                 loss -= np.bincount(np.repeat(np.arange(len(keys)), sizes), np.where(code[at] == codes, value[at], 0.0), len(keys))
             some = (words > 0) | (loss != 0)
-            for to, x in zip(out, (keys, (words > 0).astype(np.int64), np.maximum(words.astype(np.int64) - 1, 0), loss), strict=True):
-                to.append(x[some])
-        none = (np.int64, np.int64, np.int64, np.float64)
-        return pa.table({n: np.concatenate(x) if x else np.empty(0, t) for n, x, t in zip(("key", "rows", "words", "loss"), out, none, strict=True)})
+            out.append((row["block"], keys[some].tobytes(), packed((words > 0)[some]), packed(np.maximum(words[some].astype(np.int64) - 1, 0)), loss[some].tobytes()))
+        kinds = (pa.int64(), *[pa.binary()] * 4)
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ((),) * 5, kinds, strict=True)], ["block", "keys", "rows", "words", "loss"])
+
+    def add(answers: pa.Table) -> pa.Table:
+        """The answers to a block of documents, from all shards, added up."""
+        whole = lambda name, kind=None: np.concatenate([np.frombuffer(x.as_py(), kind) if kind else unpacked(x.as_py()) for x in answers[name]])
+        keys, at = np.unique(whole("keys", np.int64), return_inverse=True)
+        added = lambda x: np.bincount(at, x, len(keys))
+        return pa.table({"key": keys, "rows": added(whole("rows")).astype(np.int64), "words": added(whole("words")).astype(np.int64), "loss": added(whole("loss", np.float64))})
 
     asked = docs.select("key", "text").mapInArrow(ask, QUERIES)
-    parts = asked.groupBy("shard").cogroup(counts.where("shard >= 0").groupBy("shard")).applyInArrow(answer, PARTS)
+    parts = asked.groupBy("shard").cogroup(counts.where("shard >= 0").groupBy("shard")).applyInArrow(answer, ANSWERS)
+    parts = parts.groupBy("block").applyInArrow(add, PARTS)
     return parts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("rows", "words", "loss")))
 
 
