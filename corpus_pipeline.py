@@ -1,12 +1,14 @@
 """The corpus pipeline: five stages, each over all that its predecessor kept.
 
 STAGES lists them; each takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as
-the next one's docs. All but the last return the columns of documents. run() applies them to documents.
+the next one's docs. All but the last return the columns of documents. run() applies them to documents. Those that filter judge rows,
+not ids: rows are numbered and stored, and verdicts join on the number.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrashard.llm import language_id, minhash, mixing, packing, quality_rules
 from terrashard.llm.common import keep_ids, settle, table
@@ -16,24 +18,42 @@ from terrashard.llm.queries import language_model, tokenizer_path
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs but for the ids in rejected (doc_id). Rows that share an id share a verdict: all go if one is rejected. A row without an id stays."""
-    rejected = settle(rejected.select("doc_id").distinct(), "rejected")
-    return keep_ids(docs, rejected, "doc_id", anti=True)
+ROW = "_pipeline_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, stored, with a number of its own for each row in ROW. Verdicts are of rows: ids may be null or repeated."""
+    return settle(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """What an operator gets in place of rows: doc_id is the row's number."""
+    return rows.drop("doc_id").withColumnRenamed(ROW, "doc_id")
+
+
+def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """rows but for the numbers in rejected (doc_id)."""
+    rejected = settle(rejected.select(F.col("doc_id").alias(ROW)), "rejected")
+    return keep_ids(rows, rejected, ROW, anti=True).drop(ROW).select(*(c for c in rows.columns if c != ROW))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ledger = settle(quality_rules.ledger(docs), "ledger")  # stored, so that the policy's filter isn't pushed into the measuring
-    return without(docs, quality_rules.decide(ledger).where("not kept"))
+    rows = numbered(docs)
+    ledger = settle(quality_rules.ledger(by_row(rows)), "ledger")  # stored, so that the policy's filter isn't pushed into the measuring
+    return without(rows, quality_rules.decide(ledger).where("not kept"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs, language_model(docs))
-    return without(docs, found.where(f"lang_pred = 'und' or score < {LEAST_LANGUAGE_SCORE}"))
+    rows = numbered(docs)
+    return without(rows, language_id.identify(by_row(rows), language_model(docs)).where(f"lang_pred = 'und' or score < {LEAST_LANGUAGE_SCORE}"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, minhash.near_duplicates(docs).where("not kept"))
+    """One row of each class: that of the smallest id (null last), and of the smallest number among those."""
+    rows = numbered(docs)
+    found = settle(minhash.near_rows(by_row(rows)).select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW), "near")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(ROW).alias("r"))).alias("m"))
+    return without(rows, found.select(F.col(ROW).alias("doc_id")).join(first.select(F.col("m.r").alias("doc_id")), "doc_id", "left_anti"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ No group is expanded into all pairs:
 
 Defined results: null or wordless text has no shingles and links with nothing; a text of one to four words is one
 shingle; rows that repeat a doc_id with the same text share its class, and each is kept if the id is the class's
-smallest; rows with a null doc_id get a null component of their own class unless another row names it, and aren't
-kept; an empty table gives an empty one. Only doc_id and text are read, so further columns can't clash.
+smallest; texts that share a doc_id are compared each by itself, and each has its own component; rows with a null doc_id
+get a null component of their own class unless another row names it, and aren't kept; an empty table gives an empty one.
+Only doc_id and text are read, so further columns can't clash.
 """
 
 from __future__ import annotations
@@ -185,7 +186,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int = K, m: int = M, percent:
     hubs = post.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     listed = settle(post.join(hubs.hint("merge"), "token"), "listed")
     ids = settle(listed.select("doc_id").distinct(), "ids")
-    texts = settle(keep_ids(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    texts = settle(keep_ids(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id"), "texts")
 
     star = listed.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("collisions"))
     star = settle(confirmed(star, texts), "star")
@@ -248,13 +249,20 @@ def crossing(m: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, k: int = K, m: int = M, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row for each row of docs."""
+def near_rows(docs: DataFrame, *, k: int = K, m: int = M, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id; one row for each row of docs, a stored table whose doc_id is unique and not null."""
     signed = settle(signatures(docs, k), "signed")
     key = ["fp1", "fp2", "n_shingles"]
-    classes = settle(signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig")).where("doc_id is not null"), "classes")
+    classes = settle(signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig")), "classes")
     found = components(links(docs, classes, k, m, percent))
     named = classes.drop("sig").join(found, F.col("doc_id") == F.col("node"), "left").select(*key, F.coalesce("component", "doc_id").alias("component"))
-    return signed.drop("sig").join(named.hint("merge"), key, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(False)).alias("kept")
-    )
+    return signed.drop("sig").join(named.hint("merge"), key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, *, k: int = K, m: int = M, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; one row for each row of docs. Rows are numbered and stored, as ids may be null or repeated."""
+    rows = settle(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "rows")
+    near = near_rows(rows.select(F.col("row").alias("doc_id"), "text"), k=k, m=m, percent=percent).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("of"))
+    near = settle(near.join(rows.select("row", "doc_id"), "row"), "near")
+    least = near.groupBy("of").agg(F.min("doc_id").alias("component_id"))
+    return near.join(least, "of").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
