@@ -44,8 +44,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that a language claims. Where no language could be learned, none can be refused: all rows with a letter stay."""
+    model = language_model(docs)
+    if not model.langs:
+        return docs.where(F.rlike(F.col("text"), F.lit(r"\p{L}")))
     rows = numbered(docs)
-    return without(rows, language_id.identify(by_row(rows), language_model(docs)).where(f"lang_pred = 'und' or score < {LEAST_LANGUAGE_SCORE}"))
+    return without(rows, language_id.identify(by_row(rows), model).where(f"lang_pred = 'und' or score < {LEAST_LANGUAGE_SCORE}"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ A text is read in windows of WINDOW bytes, each from a zero state, so long and s
 memory is bounded. No position is left out; the last window of a text is padded, and the padding isn't pooled.
 
 Defined results: null text and text without a letter is `und` with score 0; repeated rows are predicted alike; an empty
-table gives an empty one; training without labelled rows raises ValueError. identify() reads only doc_id and text,
-and predicts from text alone; sample() reads doc_id, text and lang.
+table gives an empty one; training without labelled rows gives a model without languages, by which every text is `und`
+with score 0. identify() reads only doc_id and text, and predicts from text alone; sample() reads doc_id, text and lang.
 """
 
 from __future__ import annotations
@@ -228,9 +228,11 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> list:
 
 
 def fit(docs: DataFrame, **how) -> Model:
+    """A model of the labelled languages; without any if no row is labelled and not held out."""
     rows = sample(docs)
     if not rows:
-        raise ValueError("no labelled document to learn languages from")
+        none = np.zeros((0, 0), np.float32)
+        return Model([], (none, none), (none, none), none, np.zeros(0, np.float32))
     langs = sorted({r[0] for r in rows})
     return train([t for _, t in rows], [langs.index(lang) for lang, _ in rows], langs, **how)
 
@@ -244,7 +246,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             todo, size = [], 0
             for i, t in enumerate([*texts, None]):
-                if t is not None and LETTER.search(t):
+                if model.langs and t is not None and LETTER.search(t):
                     todo.append(i)
                     size += len(t)
                 if todo and (size > 2_000_000 or i == len(texts)):

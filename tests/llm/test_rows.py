@@ -3,7 +3,7 @@
 from helpers import awkward, clashing, frame
 
 import corpus_pipeline
-from terrashard.llm import minhash
+from terrashard.llm import language_id, minhash
 
 STAGES = dict(corpus_pipeline.STAGES)
 CLEAN = "Every clean sentence of this text has enough words that none of the rules could reject it today."
@@ -35,3 +35,15 @@ def test_texts_of_one_id_are_compared_each(spark):
     docs = frame(spark, [(4, " ".join(words), "en", "s", 0), (4, near[0], "en", "s", 0), (5, near[1], "en", "s", 0), (6, " ".join(words), "en", "s", 0)])
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
     assert got == [(4, len(words) - 4, 4, True), (4, 57, 4, True), (5, 57, 4, False), (6, len(words) - 4, 4, False)]
+
+
+def test_every_stage_takes_empty_and_unlabelled_rows(spark):
+    unlabelled = [(i, CLEAN, None, "s", 0) for i in range(3)] + [(None, OTHER, None, "s", 0), (5, "12 34", None, "s", 0), (6, None, None, "s", 0)]
+    for data in ([], awkward(), unlabelled):
+        docs = clashing(frame(spark, data))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "")
+            assert out.count() <= 400 and (name == "packing" or out.columns == docs.columns)
+    assert texts(STAGES["language ID"](spark, docs, "")) == sorted([*((i, CLEAN) for i in range(3)), (None, OTHER)], key=str)
+    got = language_id.identify(docs, language_id.fit(docs)).collect()
+    assert len(got) == 6 and all((r.lang_pred, r.score) == ("und", 0) for r in got)
