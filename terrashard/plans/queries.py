@@ -251,8 +251,11 @@ def world(spark, sf_dir):
         F.col("n_nationkey").cast("double").alias("geometricError"),
     )
     kids = n.groupBy("r_regionkey", "r_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", nation.alias("t")))), lambda c: c["t"]).alias("kids"))
-    root = F.struct(sphere(F.lit(1000.0)).alias("boundingVolume"), F.col("kids").alias("children"), F.struct(F.concat("r_name", F.lit(".json")).alias("uri")).alias("content"), F.lit(64.0).alias("geometricError"), F.lit("ADD").alias("refine"))
-    doc = F.struct(F.struct(F.lit("1.1").alias("version")).alias("asset"), F.lit(500.0).alias("geometricError"), root.alias("root"))
+    root = F.struct(sphere(F.lit(1000.0)).alias("boundingVolume"), F.col("kids").alias("children"), F.struct(F.concat("r_name", F.lit(".json")).alias("uri")).alias("content"), F.lit(64.0).alias("geometricError"), F.lit("ADD").alias("refine"), sphere(F.lit(2000.0)).alias("viewerRequestVolume"), F.struct(F.col("r_name").alias("name")).alias("extras"))
+    classes = F.struct(F.lit("world").alias("id"), F.struct(F.struct(F.struct(F.struct(F.lit("STRING").alias("type")).alias("name")).alias("properties")).alias("region")).alias("classes"))
+    doc = F.struct(
+        F.struct(F.lit("1.1").alias("version")).alias("asset"), F.lit(500.0).alias("geometricError"), F.array(F.struct(F.lit("region").alias("class"))).alias("groups"), root.alias("root"), classes.alias("schema"), F.struct(F.lit(1).alias("kept")).alias("extras"),
+    )
     return kids.select(F.col("r_regionkey").alias("tileset_id"), F.to_json(doc).alias("json"))
 
 

@@ -19,6 +19,8 @@ from ..storage import settle
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 VOLUME = "struct<box:array<double>,region:array<double>,sphere:array<double>>"
 MOST_LEVELS = 1000
+#: Members of tiles that no other column holds.
+REST = "struct<viewerRequestVolume:variant,metadata:variant,extras:variant,boundingVolume:struct<extensions:variant,extras:variant>,implicitTiling:struct<extensions:variant,extras:variant,subtrees:struct<extensions:variant,extras:variant>>>"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +32,16 @@ def field(v: Column, path: str, ddl: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", ddl)
 
 
+def member_of(v: Column, path: str) -> Column:
+    """A member as VARIANT; JSON's null is an absent one."""
+    found = field(v, path, "variant")
+    return F.when(~F.is_variant_null(found), found)
+
+
+def more_of(v: Column, path: str) -> Column:
+    return F.struct(*(member_of(v, f"{path}.{k}").alias(k) for k in ("extensions", "extras")))
+
+
 def parse(documents: DataFrame) -> DataFrame:
     """tileset_id, doc (VARIANT), version, geometric_error, extensions_used, extensions_required, error_code, error_detail.
 
@@ -59,6 +71,10 @@ def tile_columns(v: Column) -> list[Column]:
         F.concat(F.array_compact(F.array(one)), more).alias("contents"),
         field(v, "implicitTiling", "struct<availableLevels:bigint,subdivisionScheme:string,subtreeLevels:bigint,subtrees:struct<uri:string>>").alias("implicit_tiling"),
         field(v, "extensions", "map<string,variant>").alias("extensions"),
+        F.struct(
+            *(member_of(v, k).alias(k) for k in ("viewerRequestVolume", "metadata", "extras")), more_of(v, "boundingVolume").alias("boundingVolume"),
+            F.struct(member_of(v, "implicitTiling.extensions").alias("extensions"), member_of(v, "implicitTiling.extras").alias("extras"), more_of(v, "implicitTiling.subtrees").alias("subtrees")).alias("implicitTiling"),
+        ).alias("rest"),
     ]
 
 
@@ -89,7 +105,11 @@ def contents(tiles: DataFrame) -> DataFrame:
 
 def tile_json(children: Column) -> Column:
     """A tile's JSON text from its columns and its children's texts, in the order of the format; what is empty is left out."""
-    volume = F.struct(*(F.col(f"bounding_volume.{k}").alias(k) for k in ("box", "region", "sphere")))
+    volume = F.struct(*(F.col(f"bounding_volume.{k}").alias(k) for k in ("box", "region", "sphere")), *(F.col(f"rest.boundingVolume.{k}").alias(k) for k in ("extensions", "extras")))
+    given = lambda path: [F.col(f"rest.implicitTiling.{path}{k}").alias(k) for k in ("extensions", "extras")]
+    # A struct without fields that aren't null is written as {}.
+    subtrees = F.struct(F.col("implicit_tiling.subtrees.uri").alias("uri"), *given("subtrees."))
+    implicit = F.struct(*(F.col(f"implicit_tiling.{k}").alias(k) for k in ("availableLevels", "subdivisionScheme", "subtreeLevels")), subtrees.alias("subtrees"), *given(""))
     member = lambda name, text: F.when(text.isNotNull(), F.concat(F.lit(f'"{name}":'), text))
     listed = lambda texts: F.when(F.size(texts) > 0, F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
     texts = F.transform("contents", lambda c: F.to_json(c))
@@ -99,8 +119,10 @@ def tile_json(children: Column) -> Column:
         F.array_join(F.array_compact(F.array(
             member("boundingVolume", F.to_json(volume)), member("children", listed(children)), member("content", F.when(one, texts[0])), member("contents", F.when(~one, listed(texts))),
             member("geometricError", F.col("geometric_error").cast("string")),
+            member("implicitTiling", F.when(F.col("implicit_tiling").isNotNull(), F.to_json(implicit))), member("metadata", F.to_json("rest.metadata")),
             member("refine", F.when(F.col("refine").isNotNull(), F.concat(F.lit('"'), "refine", F.lit('"')))),
-            member("transform", F.to_json("transform")), member("extensions", F.when(F.size("extensions") > 0, F.to_json("extensions"))),
+            member("transform", F.to_json("transform")), member("viewerRequestVolume", F.to_json("rest.viewerRequestVolume")),
+            member("extensions", F.when(F.size("extensions") > 0, F.to_json("extensions"))), member("extras", F.to_json("rest.extras")),
         )), ","),
         F.lit("}"),
     )
@@ -108,7 +130,7 @@ def tile_json(children: Column) -> Column:
 
 def nest(tiles: DataFrame) -> DataFrame:
     """tileset_id, root: the JSON text of each tree, built from the deepest level up. Children keep their order."""
-    tiles = settle(tiles, "tiles")
+    tiles = settle(tiles if "rest" in tiles.columns else tiles.withColumn("rest", F.lit(None).cast(REST)), "tiles")
     deepest = tiles.agg(F.max("depth")).first()[0]
     empty = F.array().cast("array<string>")
     below = None
@@ -128,12 +150,19 @@ def write(parsed: DataFrame, tiles: DataFrame) -> DataFrame:
     """tileset_id, json: documents with the trees that tiles hold now."""
     names = lambda key, c: F.when(F.size(c) > 0, F.concat(F.lit(f'"{key}":'), F.to_json(c), F.lit(",")))
     blank = lambda c: F.coalesce(c, F.lit(""))
+
+    def others(*keys: str) -> list[Column]:
+        """Members that are written as they were read, each with a comma before it; empty ones are left out."""
+        texts = [(k, F.to_json(member_of(F.col("doc"), k))) for k in keys]
+        return [blank(F.when(~t.isin("[]", "{}") | F.lit(k == "extras"), F.concat(F.lit(f',"{k}":'), t))) for k, t in texts]
+
     asset = F.to_json(field(F.col("doc"), "asset", "variant"))
     return parsed.where("error_code is null").join(nest(tiles), "tileset_id").select(
         "tileset_id",
         F.concat(
             F.lit('{"asset":'), asset, F.lit(","), blank(names("extensionsRequired", "extensions_required")), blank(names("extensionsUsed", "extensions_used")),
-            F.lit('"geometricError":'), F.col("geometric_error").cast("string"), F.lit(',"root":'), "root", F.lit("}"),
+            F.lit('"geometricError":'), F.col("geometric_error").cast("string"), *others("groups", "metadata", "properties"), F.lit(',"root":'), "root",
+            *others("schema", "schemaUri", "statistics", "extensions", "extras"), F.lit("}"),
         ).alias("json"),
     )
 
