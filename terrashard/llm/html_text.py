@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,10 +33,17 @@ from pyspark.sql import functions as F
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>"']*(?:"[^"<]*"[^<>"']*|'[^'<]*'[^<>"']*)*|[^<>]*)>""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
-#: Elements whose content is no text of the page.
-SILENT = {"script", "style", "noscript", "template", "title", "svg", "iframe", "object", "canvas", "math", "textarea", "select"}
+#: Elements whose content has no tags and is no text of the page; unclosed, they go on to its end, as in browsers.
+RAW = {"script", "style", "title", "textarea", "iframe"}
+#: Elements that `/>` closes, with all inside them. Tags in them break no text, and a tag of FLOW ends them.
+FOREIGN = {"svg", "math"}
+FLOW = {"article", "aside", "blockquote", "body", "center", "dd", "div", "dl", "dt", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+#: Elements that close no paragraph, though they break its text.
+PHRASE = {"svg", "select", "option", "optgroup", "noscript", "object", "canvas", "template"}
+#: Where HTML stands inside svg and math.
+ISLANDS = {"foreignobject", "annotation-xml", "desc", "mtext"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "kbd", "label", "mark", "math", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: An opening tag that closes an open one of these first, up to the nearest of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Block-level tags close an open paragraph.
@@ -53,15 +61,15 @@ HINTS = {
     "main": "content article post entry story main body text page single maincontent prose",
 }
 HINT = {w: k for k, words in HINTS.items() for w in words.split()}
-#: Elements nested deeper than this are read as if their tags weren't there.
+#: Elements nested deeper than this are no ancestors of their text; they are counted, so that their end tags close only them.
 DEPTH = 512
-SECTIONS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "figure", "blockquote", "dl", "button", "fieldset", "address", "dialog", "menu", "details")
+SECTIONS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "figure", "blockquote", "dl", "button", "fieldset", "address", "dialog", "menu", "details", "select", "noscript", "object", "canvas", "template", "svg", "math")
 ROUNDS, RATE, RIDGE, PAGES, SEED = 150, 0.1, 1e-3, 700, 23
 
 
 def blocks(page: str) -> list[tuple[str, tuple, int]]:
     """(text, ancestors from the outermost as (tag, hints), characters within links) of each leaf block, in order."""
-    out, stack, parts = [], [], []
+    out, stack, parts, over = [], [], [], Counter()  # over: open elements deeper than DEPTH, by name
     path, links, at = None, 0, 0  # path: the ancestors where the block's text begins
 
     def flush():
@@ -77,7 +85,7 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
             if path is None and not text.isspace():
                 path = tuple(stack)
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if over["a"] or any(t == "a" for t, _ in stack):
                 links += len(text.strip())
         if not m:
             break
@@ -88,30 +96,50 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
         if name == "br":
             parts.append(" ")
             continue
-        if name not in INLINE:
+        foreign = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in FOREIGN or stack[k][0] in ISLANDS), None)
+        if foreign is not None and stack[foreign][0] in ISLANDS:
+            foreign = None
+        if name in FLOW and not m[1]:
+            ends = [k for k, (t, _) in enumerate(stack) if t == "select"] if foreign is None else [foreign]
+            if ends:
+                del stack[ends[0] :]
+                over.clear()
+                foreign = None
+        if name not in INLINE and (foreign is None or stack[foreign][0] == "svg"):
             flush()
         if m[1]:
+            if over[name]:
+                over[name] -= 1
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
+                    over.clear()
                     break
             continue
-        if name in SILENT:
+        closed = m[3].endswith("/") and (foreign is not None or name not in RAW)
+        if name in RAW and not closed:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
-        if name in VOID or m[3].endswith("/") or len(stack) >= DEPTH:
+        if name in VOID or closed:
+            continue
+        if over.total():
+            over[name] += 1
             continue
         if name in CLOSES:
             same, limit = CLOSES[name]
         else:
-            same, limit = ({"p"}, P_LIMIT) if name not in INLINE else ((), ())
+            same, limit = ({"p"}, P_LIMIT) if name not in INLINE and name not in PHRASE and foreign is None else ((), ())
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in same:
                 del stack[k:]
                 break
             if stack[k][0] in limit:
                 break
+        if len(stack) >= DEPTH:
+            over[name] += 1
+            continue
         named = " ".join(x or y or z for x, y, z in NAMED.findall(m[3])).lower() if "=" in m[3] else ""
         stack.append((name, frozenset(HINT[w] for w in WORD.findall(named) if w in HINT) if named else frozenset()))
     flush()
@@ -129,7 +157,7 @@ def traits(block: tuple, place: float) -> list[str]:
     size = "1" if n < 15 else "2" if n < 40 else "3" if n < 90 else "4" if n < 250 else "5"
     share = links / n
     dense = "0" if share == 0 else "1" if share < 0.3 else "2" if share < 0.8 else "3"
-    bad = hints - {"main"} or within & {"nav", "footer", "aside", "form", "header", "button", "dialog", "menu"}
+    bad = hints - {"main"} or within & {"nav", "footer", "aside", "form", "header", "button", "dialog", "menu", "select", "template", "svg"}
     good = "main" in hints or within & {"article", "main"}
     kind = ("good" if good else "open") + ("bad" if bad else "")
     found = [f"in {t}" for t in SECTIONS if t in within] + [f"hint {h}" for h in hints]
@@ -189,7 +217,7 @@ MAIN, OTHER = "\ue000", "\ue001"
 
 
 def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
-    """Pages of many layouts. Each block's text begins with MAIN if it is main text and with OTHER if not."""
+    """n pages of many layouts, and an eighth of them again with more elements. Each block's text begins with MAIN if it is main text and with OTHER if not."""
     rng = random.Random(seed)
     syllables = ["".join(rng.choice(x) for x in ("bcdfghklmnprstvw", "aeiouéü", "nrst l")).strip() for _ in range(90)]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
@@ -257,6 +285,26 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
         inside = maybe(0.85, lambda: heading) + "".join(parts) + maybe(0.12, comments)
         return rng.choice([f"<article>{inside}</article>", f"<article>{inside}</article>", f"<main>{inside}</main>", f"<main><article>{inside}</article></main>", named("div", "content article post entry story main-content text body", inside, 1), f"<div>{inside}</div>", named("section", "content article post", inside, 1), f"<div>{inside}</div>"])
 
+    own = random.Random(seed + 1)
+    few = lambda a, b: " ".join("".join(own.choice(syllables) for _ in range(own.randint(1, 4))) for _ in range(own.randint(a, b)))
+
+    def fitted(page: str) -> str:
+        """The page with elements in it that hold other text than they show, or the main text itself."""
+        choice = f"<select>{''.join(f'<option>{OTHER}{few(1, 3)}</option>' for _ in range(own.randint(1, 5)))}</select>"
+        label = f"<svg><title>{few(1, 2)}</title><text>{OTHER}{few(1, 2)}</text></svg>"
+        hidden = f"<template><p>{OTHER}{few(3, 30)}.</p></template>"
+        shown = own.choice(("noscript", "object", "canvas"))
+        at = [m.end() for m in re.finditer(r"</p>|</ul>|</div>", page) if m.start() > page.find("</head>")]
+        for piece, p in ((choice, 0.5), (label, 0.5), (hidden, 0.3), (f"<noscript><p>{OTHER}{few(3, 12)}.</p></noscript>", 0.1)):
+            if at and own.random() < p:
+                k = own.choice(at)
+                page, at = page[:k] + piece + page[k:], [x if x <= k else x + len(piece) for x in at]
+        if own.random() < 0.6:  # main text in an element that is often empty or a stand-in, closed or not
+            page = re.sub(rf"<p>({MAIN}[^<]*)</p>", lambda m: f"<{shown}><p>{m[1]}</p></{shown}>" if own.random() < 0.5 else m[0], page)
+        if own.random() < 0.4:
+            page = re.sub(rf"<p>({MAIN}[^<]*)</p>", lambda m: f"<p>{m[1]} <math><mi>x</mi><mo>=</mo><mn>{own.randint(1, 99)}</mn></math> {few(1, 5)}.</p>", page, count=2)
+        return page
+
     out = []
     for _ in range(n):
         head = f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head><body>" if rng.random() < 0.85 else ""
@@ -264,7 +312,7 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
         after = [f() for f, p in ((share, 0.2), (comments, 0.35), (side, 0.35), (ad, 0.25), (form, 0.2), (notice, 0.15)) if rng.random() < p]
         rng.shuffle(after)
         out.append(head + "".join(before) + "<!-- x -->" + story() + "".join(after) + maybe(0.85, bottom) + rng.choice(["</body></html>", ""]))
-    return out
+    return out + [fitted(page) for page in out[::8]]
 
 
 def train(pages: list[str], rounds: int = ROUNDS) -> Field:
