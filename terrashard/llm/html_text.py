@@ -8,7 +8,7 @@ backward sums), and decoded by Viterbi. The labelled pages come from labelled_pa
 with known main text; train() takes any pages in that form.
 
 Character references are decoded, white space in a block becomes one space, and main blocks are joined by one space in
-page order. Nothing is capped: a page of any length is cut and decoded in time and memory in proportion to it.
+page order. Nothing is capped: a page of any length and depth is cut and decoded in time and memory in proportion to it.
 
 Defined results: null and empty html has empty text; html without tags is one block, kept as main text; broken markup
 (unclosed tags, stray ends, a lone `<`) is read as browsers roughly do; repeated rows give equal rows; an empty table
@@ -21,9 +21,10 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 WORD = re.compile(r"[a-z]+")
 #: Elements whose content has no tags and is no text of the page; unclosed, they go on to its end, as in browsers.
 RAW = {"script", "style", "title", "textarea", "iframe"}
+#: But of these, what is never closed, or closed by `/>`, ends at once: what follows is more likely the page's than theirs.
+FRAMES = {"iframe"}
 #: Elements that `/>` closes, with all inside them. Tags in them break no text, and a tag of FLOW ends them.
 FOREIGN = {"svg", "math"}
 FLOW = {"article", "aside", "blockquote", "body", "center", "dd", "div", "dl", "dt", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -61,15 +64,57 @@ HINTS = {
     "main": "content article post entry story main body text page single maincontent prose",
 }
 HINT = {w: k for k, words in HINTS.items() for w in words.split()}
-#: Elements nested deeper than this are no ancestors of their text; they are counted, so that their end tags close only them.
-DEPTH = 512
 SECTIONS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "figure", "blockquote", "dl", "button", "fieldset", "address", "dialog", "menu", "details", "select", "noscript", "object", "canvas", "template", "svg", "math")
 ROUNDS, RATE, RIDGE, PAGES, SEED = 150, 0.1, 1e-3, 700, 23
+#: Ancestors that a feature asks for.
+ASKED = frozenset(SECTIONS) | {"a"}
 
 
-def blocks(page: str) -> list[tuple[str, tuple, int]]:
-    """(text, ancestors from the outermost as (tag, hints), characters within links) of each leaf block, in order."""
-    out, stack, parts, over = [], [], [], Counter()  # over: open elements deeper than DEPTH, by name
+class Path(NamedTuple):
+    """What a text's ancestors are: the nearest that is no INLINE element, those of ASKED among all, and their hints. Bounded at any depth."""
+
+    inner: str = "none"
+    within: frozenset = frozenset()
+    hints: frozenset = frozenset()
+
+    def below(self, name: str, hints: frozenset) -> Path:
+        within = self.within if name in self.within or name not in ASKED else self.within | {name}
+        return Path(self.inner if name in INLINE else name, within, self.hints if hints <= self.hints else self.hints | hints)
+
+
+class Open:
+    """Open elements, and where those of a name are, so that no step walks over all of them."""
+
+    def __init__(self):
+        self.names, self.paths, self.at, self.foreign = [], [Path()], defaultdict(list), []
+
+    def push(self, name: str, hints: frozenset) -> None:
+        self.at[name].append(len(self.names))
+        if name in FOREIGN or name in ISLANDS:
+            self.foreign.append(len(self.names))
+        self.names.append(name)
+        self.paths.append(self.paths[-1].below(name, hints))
+
+    def cut(self, k: int) -> None:
+        """Close the element at k and all inside it."""
+        while len(self.names) > k:
+            self.at[self.names.pop()].pop()
+            self.paths.pop()
+        while self.foreign and self.foreign[-1] >= k:
+            self.foreign.pop()
+
+    def last(self, *names: str) -> int:
+        """Where the innermost of some names is; -1 if none is open."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def outside(self) -> int | None:
+        """Where the svg or math is that a text stands in, if no HTML stands between."""
+        return self.foreign[-1] if self.foreign and self.names[self.foreign[-1]] in FOREIGN else None
+
+
+def blocks(page: str) -> list[tuple[str, Path, int]]:
+    """(text, ancestors, characters within links) of each leaf block, in order. Time is in proportion to the page, however deep or broken."""
+    out, parts, unclosed, tree = [], [], set(), Open()
     path, links, at = None, 0, 0  # path: the ancestors where the block's text begins
 
     def flush():
@@ -83,9 +128,9 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
         text = page[at : m.start()] if m else page[at:]
         if text:
             if path is None and not text.isspace():
-                path = tuple(stack)
+                path = tree.paths[-1]
             parts.append(text)
-            if over["a"] or any(t == "a" for t, _ in stack):
+            if tree.at["a"]:
                 links += len(text.strip())
         if not m:
             break
@@ -96,63 +141,41 @@ def blocks(page: str) -> list[tuple[str, tuple, int]]:
         if name == "br":
             parts.append(" ")
             continue
-        foreign = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in FOREIGN or stack[k][0] in ISLANDS), None)
-        if foreign is not None and stack[foreign][0] in ISLANDS:
+        foreign = tree.outside()
+        if name in FLOW and not m[1] and (foreign is not None or tree.at["select"]):
+            tree.cut(tree.at["select"][0] if foreign is None else foreign)
             foreign = None
-        if name in FLOW and not m[1]:
-            ends = [k for k, (t, _) in enumerate(stack) if t == "select"] if foreign is None else [foreign]
-            if ends:
-                del stack[ends[0] :]
-                over.clear()
-                foreign = None
-        if name not in INLINE and (foreign is None or stack[foreign][0] == "svg"):
+        if name not in INLINE and (foreign is None or tree.names[foreign] == "svg"):
             flush()
         if m[1]:
-            if over[name]:
-                over[name] -= 1
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    over.clear()
-                    break
+            if (k := tree.last(name)) >= 0:
+                tree.cut(k)
             continue
-        closed = m[3].endswith("/") and (foreign is not None or name not in RAW)
+        closed = m[3].endswith("/") and (foreign is not None or name not in RAW or name in FRAMES)
         if name in RAW and not closed:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            close = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            if not close and name in FRAMES:
+                unclosed.add(name)
+            else:
+                at = close.end() if close else len(page)
             continue
         if name in VOID or closed:
             continue
-        if over.total():
-            over[name] += 1
-            continue
         if name in CLOSES:
             same, limit = CLOSES[name]
         else:
             same, limit = ({"p"}, P_LIMIT) if name not in INLINE and name not in PHRASE and foreign is None else ((), ())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in same:
-                del stack[k:]
-                break
-            if stack[k][0] in limit:
-                break
-        if len(stack) >= DEPTH:
-            over[name] += 1
-            continue
+        if same and (k := tree.last(*same)) > tree.last(*limit):
+            tree.cut(k)
         named = " ".join(x or y or z for x, y, z in NAMED.findall(m[3])).lower() if "=" in m[3] else ""
-        stack.append((name, frozenset(HINT[w] for w in WORD.findall(named) if w in HINT) if named else frozenset()))
+        tree.push(name, frozenset(HINT[w] for w in WORD.findall(named) if w in HINT) if named else frozenset())
     flush()
     return out
 
 
 def traits(block: tuple, place: float) -> list[str]:
     """Names of a block's features."""
-    text, path, links = block
-    tags = [t for t, _ in path]
-    hints = set().union(*(h for _, h in path)) if path else set()
-    inner = next((t for t in reversed(tags) if t not in INLINE), "none")
-    within = set(tags)
+    text, (inner, within, hints), links = block
     n = len(text)
     size = "1" if n < 15 else "2" if n < 40 else "3" if n < 90 else "4" if n < 250 else "5"
     share = links / n
@@ -208,7 +231,7 @@ def viterbi(emit: np.ndarray, turn: np.ndarray) -> list[int]:
 
 def main_text(field: Field, page: str | None) -> str:
     cut = blocks(page or "")
-    if len(cut) == 1 and not cut[0][1]:
+    if len(cut) == 1 and cut[0][1] == Path():
         return cut[0][0]
     return " ".join(b[0] for b, main in zip(cut, viterbi(scores(field, cut), field.turn), strict=True) if main)
 
@@ -315,6 +338,21 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
     return out + [fitted(page) for page in out[::8]]
 
 
+def expected(emit: np.ndarray, turn: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of chains in columns (real: which positions each has): how likely each label, and each pair of neighbours' labels, is; log partition sums. By forward and backward sums."""
+    longest = len(emit)
+    a, b = np.zeros_like(emit), np.zeros_like(emit)
+    a[0] = emit[0]
+    for t in range(1, longest):
+        a[t] = np.where(real[t][:, None], emit[t] + np.logaddexp.reduce(a[t - 1][:, :, None] + turn, 1), a[t - 1])
+    for t in range(longest - 2, -1, -1):
+        b[t] = np.where(real[t + 1][:, None], np.logaddexp.reduce(turn + (emit[t + 1] + b[t + 1])[:, None, :], 2), 0)
+    z = np.logaddexp.reduce(a[-1], 1)
+    node = np.exp(a + b - z[None, :, None]) * real[..., None]
+    edge = np.exp(a[:-1][..., :, None] + turn + (emit + b)[1:][..., None, :] - z[None, :, None, None]) * real[1:][..., None, None]
+    return node, edge, z
+
+
 def train(pages: list[str], rounds: int = ROUNDS) -> Field:
     """Gradient ascent (Adam) on the mean log-likelihood per block, over all pages at once."""
     chains = []
@@ -340,15 +378,7 @@ def train(pages: list[str], rounds: int = ROUNDS) -> Field:
     for step in range(1, rounds + 1):
         emit = np.zeros((longest, n, 2))
         emit[real] = flat @ w
-        a, b = np.zeros_like(emit), np.zeros_like(emit)
-        a[0] = emit[0]
-        for t in range(1, longest):
-            a[t] = np.where(real[t][:, None], emit[t] + np.logaddexp.reduce(a[t - 1][:, :, None] + turn, 1), a[t - 1])
-        for t in range(longest - 2, -1, -1):
-            b[t] = np.where(real[t + 1][:, None], np.logaddexp.reduce(turn + (emit[t + 1] + b[t + 1])[:, None, :], 2), 0)
-        z = np.logaddexp.reduce(a[-1], 1)
-        node = np.exp(a + b - z[None, :, None]) * real[..., None]
-        edge = np.exp(a[:-1][..., :, None] + turn + (emit + b)[1:][..., None, :] - z[None, :, None, None]) * real[1:][..., None, None]
+        node, edge, _ = expected(emit, turn, real)
         grads = (flat.T @ (gold - node)[real] / total - RIDGE * w, (pairs - edge.sum((0, 1))) / total - RIDGE * turn)
         for value, (m, v), g in zip((w, turn), moments, grads, strict=True):
             m += 0.1 * (g - m)

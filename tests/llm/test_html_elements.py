@@ -1,5 +1,8 @@
-"""Elements that hold no plain text, and pages nested deeper than DEPTH."""
+"""Elements that hold no plain text, and pages of any depth."""
 
+import itertools
+
+import numpy as np
 import pytest
 
 from terrashard.llm import html_text
@@ -13,7 +16,7 @@ def field():
     return html_text.train(html_text.labelled_pages(250), rounds=80)
 
 
-@pytest.mark.parametrize("icon", ["<svg class=i />", "<math/>", "<svg><path d='M0'/>", "<svg><title>icon</title><style/></svg>", "<select><option>Pick", "<object data=x>", "<canvas>"])
+@pytest.mark.parametrize("icon", ["<svg class=i />", "<math/>", "<svg><path d='M0'/>", "<svg><title>icon</title><style/></svg>", "<select><option>Pick", "<object data=x>", "<canvas>", "<iframe src=x />", "<iframe src=x>", "<svg viewBox='0 0 1 1'/>", "<svg viewBox='0 0 1 1'>"])
 def test_what_follows_an_icon_stays(field, icon):
     page = f"<nav><a href=/a>Menu</a></nav>{icon}<article><h1>Title</h1><p>{STORY}</p><p>{NEXT}</p></article><footer>&copy; Site</footer>"
     got = html_text.main_text(field, page)
@@ -40,10 +43,43 @@ def test_raw_text_goes_on_to_the_end():
     assert html_text.blocks("<p>a</p><script>x <p>b</p>") == html_text.blocks("<p>a</p>")
 
 
+@pytest.mark.parametrize("wrap", ["div", "span", "font", "b", "x-y"])
+def test_depth_changes_nothing(field, wrap):
+    inside = f"<article><h1>Title</h1><p>{STORY}</p><p>{NEXT}</p></article><nav><a href=/a>Menu</a></nav>"
+    assert html_text.main_text(field, f"<{wrap}>" * 600 + inside + f"</{wrap}>" * 600) == f"Title {STORY} {NEXT}"
+    assert html_text.main_text(field, f"<{wrap}>" * 600 + inside) == f"Title {STORY} {NEXT}"
+
+
 def test_end_tags_close_what_is_deepest():
-    deep = "<article>" + "<font>" * 600 + "<div>one</div><div>two</div></article><nav>menu</nav>"
-    got = html_text.blocks(deep)
+    got = html_text.blocks("<article>" + "<font>" * 600 + "<div>one</div><div>two</div></article><nav>menu</nav>")
     assert [b[0] for b in got] == ["one", "two", "menu"]
-    assert [t for t, _ in got[1][1]][0] == "article" and [t for t, _ in got[2][1]] == ["nav"]
-    got = html_text.blocks("<div id=page><div id=main>" + "<span>" * 600 + "<div>a</div>b</span>c")
-    assert [len(b[1]) for b in got] == [512, 512]
+    assert "article" in got[1][1].within and got[2][1].within == {"nav"}
+    got = html_text.blocks("<div id=page><aside>" + "<span>" * 600 + "<div>a</div>b</span>c</aside>d")
+    assert [(b[0], "aside" in b[1].within) for b in got] == [("a", True), ("bc", True), ("d", False)]
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+
+    for piece in ("<x>", "<div></p>", "<p><span>", "<li><b>", "<iframe>", "</x>", "<svg><g>", "<a href='x", "<select><option>"):
+        began = time.perf_counter()
+        html_text.blocks(piece * 60_000 + "end")
+        assert time.perf_counter() - began < 10, piece
+
+
+def test_expectations_equal_all_labellings():
+    rng = np.random.default_rng(3)
+    sizes, turn = (1, 4, 3), rng.standard_normal((2, 2))
+    emit, real = rng.standard_normal((4, 3, 2)), np.array([[t < n for n in sizes] for t in range(4)])
+    emit *= real[..., None]
+    node, edge, z = html_text.expected(emit, turn, real)
+    for j, n in enumerate(sizes):
+        every = list(itertools.product((0, 1), repeat=n))
+        score = np.array([sum(emit[t, j, y[t]] for t in range(n)) + sum(turn[a, b] for a, b in itertools.pairwise(y)) for y in every])
+        p = np.exp(score - np.logaddexp.reduce(score))
+        assert z[j] == pytest.approx(np.logaddexp.reduce(score))
+        for t in range(n):
+            assert node[t, j, 1] == pytest.approx(sum(q for q, y in zip(p, every, strict=True) if y[t]))
+        for t in range(n - 1):
+            assert edge[t, j, 0, 1] == pytest.approx(sum(q for q, y in zip(p, every, strict=True) if (y[t], y[t + 1]) == (0, 1)))
+    assert not node[~real].any() and not edge[~real[1:]].any()
