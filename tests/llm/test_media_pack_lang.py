@@ -62,8 +62,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
-    data = [(i or 0, *rest) for i, *rest in awkward() if i != 5] + [(30 + i, f"Document {i} says it's {i} times.  Twice\n\n new " * (i * 9), "en", "a", 0) for i in range(40)] + [(5, awkward()[4][1], "en", "b", 1)]
+    data = [(i or 0, *rest) for i, *rest in awkward() if i != 5] + [(30 + i, f"Document {i} says it's {i} times.  Twice\n\n new " * (i * 9), "en", "a", 0) for i in range(40)] + [(80, "a <|endoftext|> b<|endoftext|>", "en", "a", 0), (5, awkward()[4][1], "en", "b", 1)]
     got = packing.pack(clashing(frame(spark, data)).repartition(4), tokenizer_path()).collect()
     by, seq = {}, {}
     for r in got:
@@ -91,14 +90,61 @@ def test_packing_takes_repeated_rows(spark):
     assert len(got) == 3 and len({(r.sequence_id, r.offset) for r in got}) == 3
 
 
-def test_assignment_balances_cost():
-    lengths = np.random.default_rng(1).integers(1, 2048, 500).tolist()
-    parts = packing.assign(lengths, 2048)
-    used = {}
-    for _, _, n, to, at in parts:
-        used.setdefault(to, []).append((at, n))
-    assert sum(n for _, _, n, _, _ in parts) == sum(lengths) and all(sum(n for _, n in p) <= 2048 for p in used.values())
-    assert len(used) == -(-sum(lengths) // 2048)  # so padding is less than one sequence
+def cheapest_with_room(lengths, sequence):
+    """The same by looking at every sequence."""
+    n = -(-sum(lengths) // sequence)
+    used, costs, out = [0] * n, [0.0] * n, []
+    wait = sorted(((x, -i, 0) for i, x in enumerate(lengths)), reverse=True)
+    while wait:
+        size, i, start = wait.pop(0)
+        fits = [k for k in range(n) if used[k] + size <= sequence]
+        to = min(fits, key=lambda k: (costs[k], k)) if fits else min(range(n), key=lambda k: (used[k], costs[k], k))
+        put = min(size, sequence - used[to])
+        out.append((-i, start, put, to, used[to]))
+        used[to], costs[to] = used[to] + put, costs[to] + packing.cost(put)
+        if put < size:
+            wait = sorted([*wait, (size - put, i, start + put)], reverse=True)
+    return out, costs
+
+
+@pytest.mark.parametrize("sequence", [16, 2048])
+def test_assignment_goes_to_the_cheapest_with_room(sequence):
+    for seed in range(4):
+        lengths = np.random.default_rng(seed).integers(1, sequence, 60 + 40 * seed).tolist()
+        parts = packing.assign(lengths, sequence)
+        want, costs = cheapest_with_room(lengths, sequence)
+        assert parts == want
+        assert max(costs) - min(costs) <= packing.cost(sequence)
+        used = {}
+        for _, _, n, to, at in parts:
+            assert used.get(to, 0) == at
+            used[to] = at + n
+        assert sum(used.values()) == sum(lengths) and max(used.values()) <= sequence
+        assert len(used) == -(-sum(lengths) // sequence)  # so padding is less than one sequence
+    assert packing.assign([], sequence) == []
+
+
+def test_ids_equal_the_librarys():
+    import random
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(), "rb") as f:
+        content = f.read()
+    words, tok, rng = packing.Words(content), Tokenizer.from_buffer(content), random.Random(1)
+    signs = [*"ab'sltd  \n\t\r\x0b\x1c\x85\xa0\u3000éß日😀1٣.,<|", "'ll", "<|endoftext|>", " the", "  ", "\n\n", "word", " Æsir"]
+    for _ in range(4000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 25)))
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_rows_of_one_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(packing, "COPIES", 4)
+    for text in (lambda i: "a b c", lambda i: f"a b {i}", lambda i: None):
+        docs = frame(spark, [(None, text(i), "en", "s", 0) for i in range(3000)])
+        got = packing.pack(docs, tokenizer_path(), 64).where("length < 64").groupBy(F.shiftright("sequence_id", 32).alias("shard")).count().collect()
+        assert len(got) > 5 and max(r["count"] for r in got) < 1200
 
 
 def gradient_by_differences(w, x, y, n, name, at, eps=1e-2):
@@ -152,8 +198,3 @@ def test_every_position_counts():
     assert p[0].argmax() == 0 and p[1].argmax() == 1
     whole = language_id.pooled(model, [b"ab" * 480])[0]
     assert np.allclose(whole, language_id.pooled(model, [b"ab" * 480, b"c"])[0], atol=1e-5)
-
-
-def test_no_labels_is_an_error(spark):
-    with pytest.raises(ValueError):
-        language_id.fit(frame(spark, rows("some text", lang=None)))
