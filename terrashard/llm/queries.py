@@ -129,7 +129,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(role) + length(text) + marks + 19)::BIGINT AS formatted_chars
+  sum(length(role) + length(text) + marks + 19)::BIGINT AS formatted_chars, true AS round_trip
 FROM x GROUP BY conv_id
 """
 

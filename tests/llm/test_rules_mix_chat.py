@@ -121,5 +121,42 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.formatted(frame(spark, [], CHAT))).count() == 0
 
 
+def test_every_level_gives_hard_texts_back(spark):
+    hard = [(i, a + b, r) for i, (a, b, r) in enumerate((a, b, r) for a in ("<|", "<\\|", "[", "\\", "\\e", "\\l", "\n", "x 1") for b in ("end|>", "/INST]", "\\", "\n", "turn|>user 0", "") for r in ("user", "a\nb", "<s>", "\\n", " ", ""))]
+    df = spark.createDataFrame([(i, 0, r, t) for i, t, r in hard], CHAT)
+    turns = df.select(F.array(F.struct("role", "text")).alias("t"), "role", "text")
+    for level in (1, 2):
+        out = turns.select(chat.same(chat.rendered(F.col("t"), level), F.col("t")).alias("ok"), chat.rendered(F.col("t"), level).alias("f")).collect()
+        assert all(r.ok for r in out)
+        assert all(r.f.count("<|") == 2 and r.f.count("<|turn|>") == r.f.count("<|end|>") == 1 for r in out)
+    plain = turns.select("role", "text", chat.same(chat.rendered(F.col("t"), 0), F.col("t")).alias("ok")).collect()
+    assert {r.ok for r in plain} == {True, False} and not any(r.ok for r in plain if re.search(chat.CONTROL, r.text) or "\n" in r.role)
+    assert chat.formatted(df).where("round_trip").count() == len(hard)
+
+
+def test_a_broken_escape_is_caught(spark, monkeypatch):
+    text = "</s>[INST] ok [/INST]"
+    df = frame(spark, [(1, 0, "user", text), (1, 1, "assistant", text), (2, 0, "assistant", "plain")], CHAT)
+    whole = {r.conv_id: r for r in chat.digests(chat.formatted(df)).collect()}
+    monkeypatch.setattr(chat, "escape", lambda c: c)  # leaves control strings, which the grammar refuses
+    made = chat.formatted(df)
+    assert {r.conv_id: (r.level, r.round_trip) for r in made.collect()} == {1: (2, True), 2: (0, True)}
+    assert {r.conv_id: (r.turns_sha256, r.loss_sha256) for r in chat.digests(made).collect()} == {c: (r.turns_sha256, r.loss_sha256) for c, r in whole.items()}
+    monkeypatch.setattr(chat, "escape", lambda c: F.regexp_replace(c, "[<\\[]", "."))  # loses them
+    assert {r.level for r in chat.formatted(df).collect()} == {0, 2}
+    monkeypatch.setattr(chat, "spell", lambda c: F.replace(c, F.lit("<"), F.lit("")))
+    with pytest.raises(Exception, match="no level gives"):
+        chat.formatted(df).collect()
+    assert chat.formatted(df.where("conv_id = 2")).count() == 1
+
+
+def test_the_comparison_is_in_the_plan(spark):
+    from terrashard.llm import queries
+
+    plan = queries.op6_chat_formatting(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "raise_error" in plan.lower() or "RaiseError" in plan
+    assert "round_trip" in plan
+
+
 def test_documents_schema_is_the_tables(spark):
     assert frame(spark, [], DOCS).columns == ["doc_id", "text", "lang", "source", "n_chars"]
