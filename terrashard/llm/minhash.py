@@ -5,15 +5,18 @@ posted under coordinate-value pairs. Two sets of Jaccard similarity 0.75 agree o
 pair that agrees on fewer than M is no candidate (with K = 64, M = 32 a pair exactly at the threshold is missed with
 probability under 1e-5; more similar pairs far more rarely). Two signatures with M common pairs share one among the
 K - M + 1 rarest pairs of each, so only that prefix is posted, rarest first; pairs that occur once are skipped
-altogether. Collisions are then counted and each surviving pair is confirmed on the full shingle sets.
+altogether. Of each pair that the postings bring together, the collisions of the whole signatures are counted; those with
+M at least are confirmed on the full shingle sets. Texts are fetched for these alone.
 
 No group is expanded into all pairs:
 
 * equal shingle sets collapse into one class first, by a 128-bit set fingerprint (map-side combined);
-* each posting list is first compared with its smallest member only, which is linear. What is confirmed merges;
-* lists that still hold several components go on, joined by their smallest member. There the members outside its
-  component are queries against all members, in blocks of bounded size dealt over tasks. A task counts the collisions
-  of its two blocks' signatures, confirms on full sets in descending order, and emits one link for two components.
+* each posting list is first compared with its smallest member, its hub, only, which is linear. What is confirmed merges.
+  A hub with many members is copied to slots of SLOT members on average, so no task gets all of them;
+* lists that still hold several components go on, joined by their hub. There the members outside its
+  component are queries against all members, in blocks of bounded size dealt over tasks. A task first counts the
+  collisions of its two blocks' signatures, and names the members (not the pairs) that have a candidate; the texts of
+  these are fetched, and a task confirms on full sets in descending order, with one link for two components.
 
 Defined results: null or wordless text has no shingles and links with nothing; a text of one to four words is one
 shingle; rows that repeat a doc_id with the same text share its class, and each is kept if the id is the class's
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_ids, settle
+from .common import discard, keep_ids, settle
 
 SHINGLE = 5
 K = 64
@@ -40,6 +43,10 @@ M = 32
 PERCENT = 75
 #: Most documents and shingles (but for a single document) that a block holds on average.
 BLOCK_DOCS, BLOCK_SHINGLES = 128, 100_000
+#: Members of a posting list that share one copy of their hub.
+SLOT = 64
+#: Rounds in which any graph that fits a cluster has converged; each shortens paths by a factor.
+ROUNDS = 200
 #: Words whose hash a Python worker remembers.
 CACHE = 400_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -126,48 +133,52 @@ def shingle_set(text: str | None) -> set:
     return {tuple(w)} if len(w) < SHINGLE else set(zip(*(w[j:] for j in range(SHINGLE)), strict=False))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b with the sizes of the intersection and union of their full shingle sets."""
+SETS = "a long, b long, common long, total long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, set()
-        for batch in batches:
-            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
-            common, union = [], []
-            for i in range(len(a)):
-                if last != (a[i], ta[i]):
-                    last, kept = (a[i], ta[i]), shingle_set(ta[i])
-                other = shingle_set(tb[i])
-                common.append(len(kept & other))
-                union.append(len(kept) + len(other) - common[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "common", "total"])
-
-    return (
-        pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        .mapInArrow(run, "a long, b long, common long, total long")
-    )
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, ta, tb: sizes of the intersection and union of two texts' full shingle sets."""
+    last, kept = None, set()
+    for batch in batches:
+        a, b, ta, tb = (batch.column(c) for c in ("a", "b", "ta", "tb"))
+        common, union = [], []
+        for i in range(len(a)):
+            one = (a[i].as_py(), ta[i].as_py())
+            if last != one:
+                last, kept = one, shingle_set(one[1])
+            other = shingle_set(tb[i].as_py())
+            common.append(len(kept & other))
+            union.append(len(kept) + len(other) - common[-1])
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "common", "total"])
+
+
+def with_hub(members: DataFrame, of: DataFrame) -> DataFrame:
+    """members (hub, slots, slot, ...) with the columns of `of` (hub, ..., one row each). A hub is copied once for each slot, so a hot one meets its members in many tasks."""
+    copies = members.select("hub", "slots").distinct().join(of, "hub").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    return members.join(copies, ["hub", "slots", "slot"])
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """node, component (the smallest node reachable) of an edge table a, b, by alternating large and small stars.
 
-    Each round is joins and map-side combined minima over the edges; a hub's edges are never collected.
+    Each round is joins and map-side combined minima over the edges; a hub's edges are never collected. Rounds go on
+    until nothing changes; RuntimeError if that takes more than `rounds`.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edges, before = settle(edges, "edges"), None
     for _ in range(rounds):
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark[0] == 0 or mark == before:
-            break
+            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         before = mark
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settle(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        old, edges = edges, settle(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old)
+    raise RuntimeError(f"components haven't converged in {rounds} rounds")
 
 
 def prefixes(classes: DataFrame, k: int, m: int) -> DataFrame:
@@ -181,62 +192,88 @@ def prefixes(classes: DataFrame, k: int, m: int) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, k: int = K, m: int = M, percent: int = PERCENT) -> DataFrame:
     """a, b: links between class representatives, enough to connect all that are connected."""
-    near = lambda df: df.where(100 * F.col("common") >= percent * F.col("total"))
     post = settle(prefixes(classes, k, m), "postings")
-    hubs = post.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    listed = settle(post.join(hubs.hint("merge"), "token"), "listed")
-    ids = settle(listed.select("doc_id").distinct(), "ids")
-    texts = settle(keep_ids(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id"), "texts")
-
-    star = listed.where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("collisions"))
-    star = settle(confirmed(star, texts), "star")
-    found = near(star).select("a", "b")
-
-    joined = components(found)
-    member = settle(
-        listed.select("hub", "doc_id").union(listed.select("hub", F.col("hub").alias("doc_id"))).distinct()
-        .join(joined.withColumnsRenamed({"node": "doc_id", "component": "own"}), "doc_id", "left")
-        .join(joined.withColumnsRenamed({"node": "hub", "component": "of_hub"}), "hub", "left")
-        .select("hub", "doc_id", F.coalesce("own", "doc_id").alias("own"), F.coalesce("of_hub", "hub").alias("of_hub"))
-        .join(classes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"),
-        "members",
-    )
+    hubs = post.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    slots = F.ceil(F.col("n") / SLOT).cast("int")
+    slot = F.struct(slots.alias("slots"), F.pmod(F.xxhash64("doc_id"), slots).cast("int").alias("slot"))
+    # Each member of a hub's lists once, in the slots of the shortest list that holds it; so a slot has SLOT members of a list on average, of at most k - m + 1 lists.
+    listed = post.join(hubs.hint("merge"), "token").groupBy("hub", "doc_id").agg(F.min(slot).alias("s")).select("hub", "doc_id", "s.slots", "s.slot")
+    listed = settle(listed, "listed")
+    signed = classes.select("doc_id", "sig")
+    agree = F.size(F.array_intersect("sig_a", "sig_b")) >= m  # a value belongs to its coordinate
+    star = with_hub(listed.where("doc_id <> hub").join(signed.withColumnRenamed("sig", "sig_b"), "doc_id"), signed.withColumnsRenamed({"doc_id": "hub", "sig": "sig_a"}))
+    star = settle(star.where(agree).select("hub", "slots", "slot", "doc_id"), "star")
+    wanted = settle(star.select("doc_id").union(star.select("hub")).distinct(), "wanted")
+    texts = settle(keep_ids(docs.select(F.col("doc_id").cast("long"), "text"), wanted, "doc_id"), "texts")
+    pairs = with_hub(star.join(texts.withColumnRenamed("text", "tb"), "doc_id"), texts.withColumnsRenamed({"doc_id": "hub", "text": "ta"}))
+    sizes = pairs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "ta", "tb").mapInArrow(compare, SETS)
+    found = settle(sizes.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b"), "found")
+    discard(post, star, wanted, texts)
+
+    joined = settle(components(found), "joined")
+    own = listed.join(joined.withColumnsRenamed({"node": "doc_id", "component": "own"}), "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
+    of_hub = listed.select("hub").distinct().join(joined.withColumnsRenamed({"node": "hub", "component": "of_hub"}), "hub", "left").select("hub", F.coalesce("of_hub", "hub").alias("of_hub"))
+    member = settle(with_hub(own.join(classes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"), of_hub), "members")
     blocks = lambda n, total: F.ceil(F.greatest(n / BLOCK_DOCS, total / BLOCK_SHINGLES)).cast("int")
     stray = F.col("own") != F.col("of_hub")
     spread = (
         member.groupBy("hub").agg(F.count_if(stray).alias("s"), F.sum(F.when(stray, F.col("n"))).alias("sn"), F.count("*").alias("m"), F.sum("n").alias("mn"))
         .where("s > 0").select("hub", blocks(F.col("s"), F.col("sn")).alias("down"), blocks(F.col("m"), F.col("mn")).alias("across"))
     )
-    rows = member.join(spread, "hub").join(texts, "doc_id").join(classes.select("doc_id", "sig"), "doc_id")
+    rows = with_hub(member, spread).join(signed, "doc_id")
     cell = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = rows.withColumns({"i": every("down"), "j": cell("across"), "asks": F.lit(False)}).union(rows.where(stray).withColumn("i", cell("down")).withColumn("j", every("across")).withColumn("asks", F.lit(True)))
-    crossed = dealt.select("hub", "i", "j", "asks", "doc_id", "own", "of_hub", "sig", "text").groupBy("hub", "i", "j").applyInArrow(crossing(m, percent), "a long, b long")
-    return settle(found.union(crossed).distinct(), "links")
+    given = "hub long, i long, j long, asks boolean, doc_id long, own long, of_hub long, sig array<long>"
+    dealt = dealt.select("hub", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "asks", "doc_id", "own", "of_hub", "sig")
+    likely = settle(dealt.groupBy("hub", "i", "j").applyInArrow(candidates(m), given), "likely")
+    asked = settle(likely.select("doc_id").distinct(), "asked")
+    texts = settle(keep_ids(docs.select(F.col("doc_id").cast("long"), "text"), asked, "doc_id"), "texts")
+    crossed = likely.join(texts, "doc_id").select("hub", "i", "j", "asks", "doc_id", "own", "of_hub", "sig", "text").groupBy("hub", "i", "j").applyInArrow(crossing(m, percent), "a long, b long")
+    out = settle(found.union(crossed).distinct(), "links")
+    discard(listed, found, joined, member, likely, asked, texts)
+    return out
+
+
+def collisions(rows: pa.Table, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of strays and members of one pair of blocks that may be linked and aren't yet in one component, and their collisions, m at least."""
+    asks = rows["asks"].to_numpy()
+    ids, own, of_hub = (rows[c].to_numpy() for c in ("doc_id", "own", "of_hub"))
+    sig = rows["sig"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    hits = np.zeros((len(x), len(y)), np.uint8 if sig.shape[1] < 256 else np.uint16)
+    for k in range(sig.shape[1]):
+        hits += sig[x, k][:, None] == sig[y, k][None, :]
+    open_ = (own[x][:, None] != own[y][None, :]) & ((own == of_hub)[y][None, :] | (ids[x][:, None] < ids[y][None, :]))
+    p, q = np.nonzero((hits >= m) & open_)
+    return x[p], y[q], hits[p, q].astype(int)
+
+
+def candidates(m: int):
+    """Of one block of strays against one block of members: the rows that have a candidate."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        x, y, _ = collisions(rows, m)
+        return rows.take(pa.array(np.union1d(x, y)))
+
+    return run
 
 
 def crossing(m: int, percent: int):
     """For one block of strays against one block of members: confirmed links between components, one for each pair of components."""
 
     def run(rows: pa.Table) -> pa.Table:
-        asks = rows["asks"].to_numpy()
-        ids, own, of_hub = (rows[c].to_numpy() for c in ("doc_id", "own", "of_hub"))
-        sig = rows["sig"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-        hits = np.zeros((len(x), len(y)), np.uint8 if sig.shape[1] < 256 else np.uint16)
-        for k in range(sig.shape[1]):
-            hits += sig[x, k][:, None] == sig[y, k][None, :]
-        open_ = (own[x][:, None] != own[y][None, :]) & ((own == of_hub)[y][None, :] | (ids[x][:, None] < ids[y][None, :]))
-        p, q = np.nonzero((hits >= m) & open_)
-        texts, hashes, sets, out, done = rows["text"], Hashes(), {}, ([], []), set()
+        x, y, hits = collisions(rows, m)
+        ids, own = rows["doc_id"].to_pylist(), rows["own"].to_pylist()
+        texts, sets, out, done = rows["text"], {}, ([], []), set()
 
         def full(i: int) -> frozenset:
             if i not in sets:
-                sets[i] = frozenset(shingle_hashes(folded(texts[i].as_py()), hashes).tolist())
+                sets[i] = shingle_set(texts[i].as_py())
             return sets[i]
 
-        for t in np.argsort(-hits[p, q].astype(int), kind="stable"):
-            i, j = int(x[p[t]]), int(y[q[t]])
+        for t in np.argsort(-hits, kind="stable"):
+            i, j = int(x[t]), int(y[t])
             pair = (min(own[i], own[j]), max(own[i], own[j]))
             if pair in done:
                 continue
