@@ -199,7 +199,8 @@ def links(docs: DataFrame, classes: DataFrame, k: int = K, m: int = M, percent:
     # Each member of a hub's lists once, in the slots of the shortest list that holds it; so a slot has SLOT members of a list on average, of at most k - m + 1 lists.
     listed = post.join(hubs.hint("merge"), "token").groupBy("hub", "doc_id").agg(F.min(slot).alias("s")).select("hub", "doc_id", "s.slots", "s.slot")
     listed = settle(listed, "listed")
-    signed = classes.select("doc_id", "sig")
+    ids = settle(listed.select("doc_id").distinct(), "ids")
+    signed = settle(keep_ids(classes.select("doc_id", "sig"), ids, "doc_id"), "listed_signatures")
     agree = F.size(F.array_intersect("sig_a", "sig_b")) >= m  # a value belongs to its coordinate
     star = with_hub(listed.where("doc_id <> hub").join(signed.withColumnRenamed("sig", "sig_b"), "doc_id"), signed.withColumnsRenamed({"doc_id": "hub", "sig": "sig_a"}))
     star = settle(star.where(agree).select("hub", "slots", "slot", "doc_id"), "star")
@@ -208,7 +209,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int = K, m: int = M, percent:
     pairs = with_hub(star.join(texts.withColumnRenamed("text", "tb"), "doc_id"), texts.withColumnsRenamed({"doc_id": "hub", "text": "ta"}))
     sizes = pairs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "ta", "tb").mapInArrow(compare, SETS)
     found = settle(sizes.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b"), "found")
-    discard(post, star, wanted, texts)
+    discard(post, ids, star, wanted, texts)
 
     joined = settle(components(found), "joined")
     own = listed.join(joined.withColumnsRenamed({"node": "doc_id", "component": "own"}), "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
@@ -231,7 +232,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int = K, m: int = M, percent:
     texts = settle(keep_ids(docs.select(F.col("doc_id").cast("long"), "text"), asked, "doc_id"), "texts")
     crossed = likely.join(texts, "doc_id").select("hub", "i", "j", "asks", "doc_id", "own", "of_hub", "sig", "text").groupBy("hub", "i", "j").applyInArrow(crossing(m, percent), "a long, b long")
     out = settle(found.union(crossed).distinct(), "links")
-    discard(listed, found, joined, member, likely, asked, texts)
+    discard(listed, signed, found, joined, member, likely, asked, texts)
     return out
 
 
@@ -265,11 +266,11 @@ def crossing(m: int, percent: int):
     def run(rows: pa.Table) -> pa.Table:
         x, y, hits = collisions(rows, m)
         ids, own = rows["doc_id"].to_pylist(), rows["own"].to_pylist()
-        texts, sets, out, done = rows["text"], {}, ([], []), set()
+        texts, hashes, sets, out, done = rows["text"], Hashes(), {}, ([], []), set()
 
-        def full(i: int) -> frozenset:
+        def full(i: int) -> np.ndarray:
             if i not in sets:
-                sets[i] = shingle_set(texts[i].as_py())
+                sets[i] = shingle_hashes(folded(texts[i].as_py()), hashes)
             return sets[i]
 
         for t in np.argsort(-hits, kind="stable"):
@@ -277,7 +278,7 @@ def crossing(m: int, percent: int):
             pair = (min(own[i], own[j]), max(own[i], own[j]))
             if pair in done:
                 continue
-            common = len(full(i) & full(j))
+            common = len(np.intersect1d(full(i), full(j), assume_unique=True))
             if 100 * common >= percent * (len(full(i)) + len(full(j)) - common):
                 done.add(pair)
                 out[0].append(min(ids[i], ids[j])), out[1].append(max(ids[i], ids[j]))
@@ -301,5 +302,6 @@ def near_duplicates(docs: DataFrame, *, k: int = K, m: int = M, percent: int = P
     rows = settle(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "rows")
     near = near_rows(rows.select(F.col("row").alias("doc_id"), "text"), k=k, m=m, percent=percent).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("of"))
     near = settle(near.join(rows.select("row", "doc_id"), "row"), "near")
-    least = near.groupBy("of").agg(F.min("doc_id").alias("component_id"))
+    # Stored, so that the join is of two shuffles and a large component's rows can be dealt over tasks.
+    least = settle(near.groupBy("of").agg(F.min("doc_id").alias("component_id")), "least")
     return near.join(least, "of").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
