@@ -44,7 +44,7 @@ HEAVY, HOT = 1 << 18, 1 << 16
 #: A bigram is a candidate for HOT if it stands in this many documents of a block, and in a fiftieth of them.
 HOT_DOCS = 50
 #: Bytes of text for each shard of counts, and bigrams that a task gathers before it hands them on.
-SHARD_BYTES, BLOCK = 32_000_000, 4_000_000
+SHARD_BYTES, BLOCK = 32_000_000, 1_500_000
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 1_000_000
 #: Bins of counts to the octave, for finding the frequent ones.
@@ -146,14 +146,16 @@ def blocks(batches: Iterator[pa.RecordBatch], take) -> Iterator[list]:
         yield held
 
 
-def parted(codes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Shards and, in order, the places of their codes."""
-    shard = shard_of(codes, shards)
+def grouped(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value that occurs, and its places in order."""
     order = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        if ends[s] < ends[s + 1]:
-            yield s, order[ends[s] : ends[s + 1]]
+    some, first = np.unique(shard[order], return_index=True)
+    return zip(some.tolist(), np.split(order, first[1:]) if len(some) else (), strict=True)
+
+
+def parted(codes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Shards that have codes and, in order, the places of these: no more than there are codes, however many the shards."""
+    return grouped(shard_of(codes, shards))
 
 
 def counted(docs: DataFrame, words: list[bytes], shards: int) -> DataFrame:
@@ -319,15 +321,15 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, shards: int) -> Dat
             loss = np.array([x[2] for x in held]) - np.bincount(owner, gain, len(held))
             home = (keys.view(np.uint64) >> np.uint64(32)).astype(np.int64) * shards >> 32
             codes, owner, out = codes[left], owner[left], []
-            asks = dict(parted(codes, shards))
-            for s in range(shards):
-                mine = asks.get(s, np.empty(0, np.int64))
+            asks, none = dict(parted(codes, shards)), np.empty(0, np.int64)
+            homes = dict(grouped(home))
+            for s in sorted(asks.keys() | homes.keys()):
+                mine = asks.get(s, none)
                 of = owner[mine]
-                here = np.union1d(of, np.flatnonzero(home == s))
-                if len(here):
-                    is_home = home[here] == s
-                    sizes = np.bincount(np.searchsorted(here, of), minlength=len(here))
-                    out.append((s, int(keys[0]), keys[here].tobytes(), packed(np.where(is_home, np.maximum(length[here], 1), 0)), loss[here][is_home].tobytes(), packed(sizes), packed(codes[mine])))
+                here = np.union1d(of, homes.get(s, none))
+                is_home = home[here] == s
+                sizes = np.bincount(np.searchsorted(here, of), minlength=len(here))
+                out.append((s, int(keys[0]), keys[here].tobytes(), packed(np.where(is_home, np.maximum(length[here], 1), 0)), loss[here][is_home].tobytes(), packed(sizes), packed(codes[mine])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["shard", "block", "keys", "words", "loss", "sizes", "codes"])
 
     def answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
