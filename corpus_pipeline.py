@@ -14,8 +14,10 @@ from terrashard.llm import language_id, minhash, mixing, packing, quality_rules
 from terrashard.llm.common import keep_ids, settle, table
 from terrashard.llm.queries import language_model, tokenizer_path
 
-#: A document goes if no language reaches this probability (four languages; an even guess is 0.25).
-LEAST_LANGUAGE_SCORE = 0.5
+
+def least_score(n_langs: int) -> float:
+    """A document goes if no language reaches this probability: twice an even guess, but no more than half."""
+    return min(0.5, 2 / n_langs)
 
 
 ROW = "_pipeline_row"
@@ -49,7 +51,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.langs:
         return docs.where(F.rlike(F.col("text"), F.lit(r"\p{L}")))
     rows = numbered(docs)
-    return without(rows, language_id.identify(by_row(rows), model).where(f"lang_pred = 'und' or score < {LEAST_LANGUAGE_SCORE}"))
+    return without(rows, language_id.identify(by_row(rows), model).where(f"lang_pred = 'und' or score < {least_score(len(model.langs))}"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,13 @@ a softmax over the languages. A document's probabilities are the mean of its pos
 largest is the prediction. The network is trained in numpy by backpropagation through time, with the loss at every
 position, on windows of a bounded sample of labelled documents.
 
-A text is read in windows of WINDOW bytes, each from a zero state, so long and short texts form batches of one shape and
-memory is bounded. No position is left out; the last window of a text is padded, and the padding isn't pooled.
+A text is read in windows of WINDOW bytes that overlap, so long and short texts form batches of one shape and memory is
+bounded. Both units start each window from a zero state, CONTEXT bytes before the first and after the last position that
+is pooled there (none at the text's ends), so that each pooled position has read what stands around it. Every
+position is pooled once; the last window of a text is padded, and the padding isn't pooled.
+
+The sample is bounded whatever the ids are: SAMPLE_DOCS distinct (doc_id, text) of each language at most, or
+SAMPLE_TOTAL over all languages if that is less, but LEAST_DOCS. Every non-null lang is learned, however rare.
 
 Defined results: null text and text without a letter is `und` with score 0; repeated rows are predicted alike; an empty
 table gives an empty one; training without labelled rows gives a model without languages, by which every text is `und`
@@ -21,19 +26,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW = 96
-HIDDEN = 8
-#: The bounded sample that training sees: this many documents of each language at most, in the order of a hash.
-SAMPLE_DOCS = 400
-SAMPLE_LANGS = 64
+from .common import BROADCAST_ROWS, settle
+
+WINDOW, CONTEXT = 192, 16
+#: Hidden units of each direction: two for each language, within these bounds.
+HIDDEN, MOST_HIDDEN = 8, 64
+#: The bounded sample that training sees, in the order of a hash.
+SAMPLE_DOCS, SAMPLE_TOTAL, LEAST_DOCS = 400, 40_000, 20
 #: Windows of a training document at most; spread evenly over its text.
 SAMPLE_WINDOWS = 8
+#: Bytes of a training window.
+TRAINED = 96
 STEPS, BATCH, RATE, SEED = 300, 192, 0.02, 5
 #: Windows that are read at once.
-ROWS = 2048
+ROWS = 1024
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -91,38 +100,45 @@ def probabilities(model: Model, x: np.ndarray) -> np.ndarray:
     return logits
 
 
-def windows(text: bytes, width: int = WINDOW) -> np.ndarray:
-    """Rows of width bytes; the last is padded with 0."""
+def windows(text: bytes) -> np.ndarray:
+    """Rows of WINDOW bytes, each CONTEXT * 2 bytes into the one before; the last is padded with 0."""
+    step = WINDOW - 2 * CONTEXT
     raw = np.frombuffer(text, np.uint8)
-    return np.pad(raw, (0, -len(raw) % width)).reshape(-1, width)
+    n = max(1, -(-(len(raw) - 2 * CONTEXT) // step))
+    raw = np.pad(raw, (0, (n - 1) * step + WINDOW - len(raw)))
+    return np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[::step]
 
 
 def pooled(model: Model, texts: list[bytes]) -> np.ndarray:
-    """Mean probability of each language for each text (none may be empty). Texts are read in blocks of ROWS windows."""
+    """Mean probability of each language for each text (none may be empty). Texts are read in blocks of ROWS windows, or fewer if there are many languages."""
     cut = [windows(t) for t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
-    rows, length = np.concatenate(cut), np.array([len(t) for t in texts])
-    first = np.concatenate([np.arange(len(c)) for c in cut])
-    valid = np.minimum(length[owner] - first * WINDOW, WINDOW)
-    total = np.zeros((len(texts), len(model.langs)))
-    for at in range(0, len(rows), ROWS):
-        part = slice(at, at + ROWS)
+    counts, length = np.array([len(c) for c in cut]), np.array([len(t) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), counts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    rows = np.concatenate(cut)
+    low = np.where(nth == 0, 0, CONTEXT)  # positions low to high of a window are pooled
+    high = np.where(nth == counts[owner] - 1, length[owner] - nth * (WINDOW - 2 * CONTEXT), WINDOW - CONTEXT)
+    place, total = np.arange(WINDOW)[:, None], np.zeros((len(texts), len(model.langs)))
+    block = max(16, ROWS * HIDDEN // max(HIDDEN, len(model.langs)))
+    for at in range(0, len(rows), block):
+        part = slice(at, at + block)
         p = probabilities(model, np.ascontiguousarray(rows[part].T))
-        p *= np.arange(WINDOW)[:, None, None] < valid[part]
+        p *= ((place >= low[part]) & (place < high[part]))[:, None]
         sums = p.sum(0)
         for k in range(len(model.langs)):
             total[:, k] += np.bincount(owner[part], sums[k], len(texts))
     return total / length[:, None]
 
 
-def train(texts: list[bytes], labels: list[int], langs: list[str], hidden: int = HIDDEN, steps: int = STEPS, seed: int = SEED) -> Model:
+def train(texts: list[bytes], labels: list[int], langs: list[str], hidden: int | None = None, steps: int = STEPS, seed: int = SEED) -> Model:
     """Backpropagation through time with Adam, over windows of the texts, each language drawn equally often."""
     rng = np.random.default_rng(seed)
+    hidden = hidden or min(MOST_HIDDEN, max(HIDDEN, 2 * len(langs)))
     rows, target = [], []
     for text, label in zip(texts, labels, strict=True):
-        n = max(1, min(SAMPLE_WINDOWS, len(text) // WINDOW))
-        starts = np.linspace(0, max(0, len(text) - WINDOW), n).astype(int)
-        rows += [np.frombuffer(text[s : s + WINDOW].ljust(WINDOW, b"\0"), np.uint8) for s in starts]
+        n = max(1, min(SAMPLE_WINDOWS, len(text) // TRAINED))
+        starts = np.linspace(0, max(0, len(text) - TRAINED), n).astype(int)
+        rows += [np.frombuffer(text[s : s + TRAINED].ljust(TRAINED, b"\0"), np.uint8) for s in starts]
         target += [label] * n
     rows, target = np.array(rows), np.array(target)
     of = [np.flatnonzero(target == k) for k in range(len(langs))]
@@ -202,29 +218,28 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> list:
-    """(lang, window) of at most per_lang documents of each language that aren't held out, those of the smallest hashes.
+    """(lang, window) of documents of each language that aren't held out, those of the smallest hashes of (doc_id, text).
 
-    SAMPLE_WINDOWS windows at most, spread evenly over the whole text, reach the driver from each, so the sample is
-    bounded by SAMPLE_LANGS * per_lang * SAMPLE_WINDOWS windows, however large the corpus.
+    SAMPLE_WINDOWS windows at most, spread evenly over the whole text, reach the driver from each of at most per_lang
+    documents of a language, so the sample is bounded for each language, however large the corpus and whatever its ids.
     """
-    ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    ok = ok.where(F.rlike("text", F.lit(r"\p{L}")))
-    counts = {r.lang: r.n for r in ok.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).collect()}
-    # Hashes are even, so a threshold with twice the share that is wanted holds enough of each language.
-    limit = F.lit(None).cast("double")
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * per_lang / n + 40.0 / n))).otherwise(limit)
-    share = F.xxhash64(F.col("doc_id"), F.lit(SEED)) / F.lit(2.0**64) + 0.5
+    ok = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    ok = ok.where(F.rlike("text", F.lit(r"\p{L}"))).withColumn("share", F.xxhash64("doc_id", "text", F.lit(SEED)) / F.lit(2.0**64) + 0.5)
+    # Hashes of distinct rows are even, so those below twice the share that is wanted hold enough of each language.
+    counts = settle(ok.groupBy("lang").agg(F.approx_count_distinct("share").alias("n")), "languages")
+    n_langs = counts.count()
+    per_lang = min(per_lang, max(LEAST_DOCS, SAMPLE_TOTAL // max(1, n_langs)))
+    limits = counts.select(F.col("lang").alias("of"), (2.0 * per_lang / F.col("n") + 40.0 / F.col("n")).alias("limit"))
+    limits = F.broadcast(limits) if n_langs <= BROADCAST_ROWS else limits.hint("merge")
     length = F.length("text")
-    n = F.greatest(F.lit(1), F.least(F.lit(SAMPLE_WINDOWS), F.floor(length / WINDOW))).cast("int")
-    step = F.when(n > 1, (length - WINDOW) / (n - 1)).otherwise(F.lit(0.0))
-    spread = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("text", (F.floor(i * step) + 1).cast("int"), F.lit(WINDOW)))
-    near = ok.withColumn("share", share).where(F.col("share") <= limit).select("lang", "share", "doc_id", spread.alias("windows"))
-    found = {}
-    for r in sorted(near.collect(), key=lambda r: (r.lang, r.share, r.doc_id, r.windows)):
-        if len(found.setdefault(r.lang, [])) < per_lang:
-            found[r.lang].append([w.encode("utf-8", "surrogatepass") for w in r.windows])
-    return [(lang, w) for lang in sorted(found) for windows_ in found[lang] for w in windows_]
+    n = F.greatest(F.lit(1), F.least(F.lit(SAMPLE_WINDOWS), F.floor(length / TRAINED))).cast("int")
+    step = F.when(n > 1, (length - TRAINED) / (n - 1)).otherwise(F.lit(0.0))
+    spread = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("text", (F.floor(i * step) + 1).cast("int"), F.lit(TRAINED)))
+    near = ok.join(limits, F.col("lang") == F.col("of")).where(F.col("share") <= F.col("limit")).select("lang", "share", spread.alias("windows"))
+    near = near.groupBy("lang", "share").agg(F.max("windows").alias("windows"))  # copies of a row count once
+    first = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("share"))).where(F.col("nth") <= per_lang)
+    rows = sorted(first.collect(), key=lambda r: (r.lang, r.share))
+    return [(r.lang, w.encode("utf-8", "surrogatepass")) for r in rows for w in r.windows]
 
 
 def fit(docs: DataFrame, **how) -> Model:
