@@ -5,15 +5,17 @@ same canonical URL. Its validators are checked against that response's: equal en
 both have one, else equal Last-Modified values. If they agree, the record gets the response's payload, and headers that
 are the response's, updated by those that a 304 may carry.
 
-The as-of join has two levels, so no URL needs all its captures in one task: windows within a URL and a slice of time,
-whose number follows the row count, then a table with the last response of each URL and slice carried to later slices.
-Payloads take no part in that; the chosen response is fetched by its record id at the end. All is built-in operators.
+The as-of join has two levels, so no URL needs all its captures in one task: captures are range-partitioned by
+(ts, record_id) into slices of SLICE_ROWS rows on average, even however times are spread; windows run within a URL and a slice;
+then a table with the last response of each URL and slice is carried to later slices. Payloads take no part in that; the
+chosen response is fetched at the end, by its record id and a hash of its content. All is built-in operators.
 
 Defined results: "earlier" is by (ts, record_id); a response at the same ts counts as earlier if its record_id is smaller.
 outcome is `resolved`, `validators differ` (none comparable counts as differing), `no earlier response`, or
-`no time or URL` for revisits with a null ts or url. Null headers are empty; a repeated header name can't occur in a map. Rows that
-repeat a record_id are revisits of their own; of responses that share a record_id one is taken. An empty table gives
-an empty one. Other columns of captures are ignored.
+`no time or URL` for revisits with a null ts or url. Null headers are empty; of header names that differ in case alone, the
+last in code-point order gives the value. Rows that repeat a record_id are revisits of their own; responses that share a
+record_id are responses of their own, and of those that share its ts too, the one with the largest hash of its content is
+the latest. An empty table gives an empty one. Other columns of captures are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Header fields that a 304 may send to update a stored response (fixed values of RFC 9110, section 15.4.5, and Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-#: Captures in a slice of time, on average, if they spread evenly.
+#: Captures in a slice of time, on average.
 SLICE_ROWS = 20_000
 MOST_SLICES = 100_000
+HEADERS = "map<string,string>"
 
 
 def canonical(url: Column) -> Column:
@@ -44,25 +49,37 @@ def weak(tag: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(tag), "^W/", ""), F.lit(""))
 
 
+def lower_names(headers: Column) -> Column:
+    """Headers with names in lower case."""
+    sorted_ = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("low"), e["key"].alias("key"), e["value"].alias("value"))))
+    last = lambda es: F.filter(es, lambda e, i: ~F.coalesce(F.get(es, i + 1)["low"] == e["low"], F.lit(False)))
+    low = F.get(F.transform(F.array(sorted_), last), F.lit(0))
+    return F.coalesce(F.map_from_entries(F.transform(low, lambda e: F.struct(e["low"].alias("key"), e["value"].alias("value")))), F.create_map().cast(HEADERS))
+
+
 def merged(stored: Column, sent: Column) -> Column:
     """The stored headers, updated by the permitted ones among those sent. Names are in lower case."""
-    low = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
-    new = F.map_filter(low(sent), lambda k, v: k.isin(*PERMITTED))
-    return F.map_concat(F.map_filter(low(stored), lambda k, v: ~F.map_contains_key(new, k)), new)
+    new = F.map_filter(lower_names(sent), lambda k, v: k.isin(*PERMITTED))
+    return F.map_concat(F.map_filter(lower_names(stored), lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
+def content_hash() -> Column:
+    return F.xxhash64("etag", "last_modified", F.array_sort(F.map_entries("headers")), "payload")
 
 
 def asof(captures: DataFrame) -> DataFrame:
-    """record_id, canonical_url, etag, last_modified, headers of each revisit, and base: the latest earlier response (record_id, etag, last_modified) or null."""
+    """record_id, canonical_url, etag, last_modified, headers of each revisit, and base: the latest earlier response (ts, record_id, content, etag, last_modified) or null."""
+    full = (F.col("status") == 200) & F.col("payload").isNotNull()
     slim = captures.select(
-        "record_id", canonical(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), (F.col("status") == 304).alias("revisit"),
-        ((F.col("status") == 200) & F.col("payload").isNotNull()).alias("full"), "etag", "last_modified", "headers",
+        "record_id", canonical(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), (F.col("status") == 304).alias("revisit"), full.alias("full"),
+        "etag", "last_modified", F.when(F.col("status") == 304, F.col("headers")).alias("headers"), F.when(full, content_hash()).alias("content"),
     ).where("revisit or full")
-    n, low, high = slim.agg(F.count("*"), F.min("ts"), F.max("ts")).first()
-    slices = max(1, min(MOST_SLICES, n // SLICE_ROWS + 1))
-    width = 1 if low is None else (high - low) // slices + 1
-    timed = slim.where("ts is not null and canonical_url is not null").withColumn("slice", F.expr(f"(ts - {low or 0}) div {width}"))
-    base = F.when(F.col("full"), F.struct("ts", "record_id", "etag", "last_modified"))
-    before = Window.partitionBy("canonical_url", "slice").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    slices = max(1, min(MOST_SLICES, slim.count() // SLICE_ROWS + 1))
+    timed = slim.where("ts is not null and canonical_url is not null").repartitionByRange(slices, "ts", "record_id")
+    timed = settle(timed.withColumn("slice", F.spark_partition_id()), "slices")  # stored, as where a range ends is only sampled
+    base = F.when(F.col("full"), F.struct("ts", "record_id", "content", "etag", "last_modified"))
+    # Of captures that share ts and record_id, revisits stand first: none of the others is earlier.
+    before = Window.partitionBy("canonical_url", "slice").orderBy("ts", "record_id", "full", "content").rowsBetween(Window.unboundedPreceding, -1)
     near = timed.withColumn("near", F.last(base, ignorenulls=True).over(before)).where("revisit")
     past = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = timed.groupBy("canonical_url", "slice").agg(F.max(base).alias("end")).withColumn("carried", F.last("end", ignorenulls=True).over(past)).where("carried is not null").drop("end")
@@ -80,14 +97,13 @@ def resolve(captures: DataFrame) -> DataFrame:
     tag, stored_tag = weak(F.col("etag")), weak(F.col("base.etag"))
     agree = F.when(tag.isNotNull() & stored_tag.isNotNull(), tag == stored_tag).otherwise(F.coalesce(F.col("last_modified") == F.col("base.last_modified"), F.lit(False)))
     outcome = F.when(F.col("ts").isNull() | F.col("canonical_url").isNull(), "no time or URL").when(F.col("base").isNull(), "no earlier response").when(agree, "resolved").otherwise("validators differ")
-    revisits = asof(captures).select("record_id", "canonical_url", F.col("base.record_id").alias("base_id"), outcome.alias("outcome"), F.col("headers").alias("sent"))
-    stored = captures.where("status = 200 and payload is not null").select(F.col("record_id").alias("stored_id"), F.col("headers").alias("stored"), "payload").dropDuplicates(["stored_id"])
+    revisits = asof(captures).select("record_id", "canonical_url", F.col("base.record_id").alias("base_id"), F.col("base.content").alias("content"), outcome.alias("outcome"), F.col("headers").alias("sent"))
+    stored = captures.where("status = 200 and payload is not null").select(F.col("record_id").alias("stored_id"), content_hash().alias("stored_content"), F.col("headers").alias("stored"), "payload").dropDuplicates(["stored_id", "stored_content"])
     # Revisits without a payload to fetch are spread by their own ids; they'd all meet under a null key.
-    fetched = F.when(F.col("outcome") == "resolved", F.col("base_id")).otherwise(F.xxhash64("record_id"))
-    hit = (F.col("fetch") == F.col("stored_id")) & (F.col("outcome") == "resolved")
-    return revisits.withColumn("fetch", fetched).join(stored, hit, "left").select(
-        "record_id", "canonical_url", "base_id", "outcome", F.when(F.col("outcome") == "resolved", merged(F.col("stored"), F.col("sent"))).alias("headers"), "payload"
-    )
+    resolved = F.col("outcome") == "resolved"
+    fetched = revisits.withColumns({"fetch": F.when(resolved, F.col("base_id")).otherwise(F.xxhash64("record_id")), "version": F.when(resolved, F.col("content")).otherwise(F.lit(0).cast("long"))})
+    hit = (F.col("fetch") == F.col("stored_id")) & (F.col("version") == F.col("stored_content")) & resolved
+    return fetched.join(stored, hit, "left").select("record_id", "canonical_url", "base_id", "outcome", F.when(resolved, merged(F.col("stored"), F.col("sent"))).alias("headers"), "payload")
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
