@@ -9,8 +9,9 @@ encode() stores bytes as 8-bit samples of a mono WAV file. features() reads stor
 * segments by hysteresis on frame energy: one opens at half a deviation above the mean and lasts until energy falls
   below half a deviation under it; stored as time spans.
 
-The tensors travel through Spark as lists of a fixed size; tensors() gives a collected or written column its Arrow
-fixed-shape tensor type. Each file is processed alone, so equal files have equal features on any executor.
+A file's chunks are stored as an Arrow IPC stream in a binary column: rows of t_start, t_end, frames and tensor, of Arrow's
+fixed-shape tensor type (Spark's own columns have no such type). tensors() reads it, and the summary columns are computed from
+what it reads. Each file is processed alone, so equal files have equal features on any executor.
 
 Defined results: null and empty text is 64 bytes of silence; every file has at least one frame; repeated rows give
 equal rows; an empty table gives an empty one. Only doc_id and text (encode) and media (features) are read; features()
@@ -37,9 +38,10 @@ TAPS = 8
 WIN, HOP, MELS, CHUNK = 256, 128, 32, 32
 FLOOR = -10.0
 ENCODED = "doc_id long, n_bytes long, media binary"
-CHUNKS = "array<struct<t_start:double,t_end:double,frames:int,tensor:array<float>>>"
 SPANS = "array<struct<t_start:double,t_end:double>>"
-FEATURES = f"payload_bytes long, payload_sha256 string, tail_crc32 long, frames long, mel_mean array<float>, chunks {CHUNKS}, spans {SPANS}"
+FEATURES = f"payload_bytes long, payload_sha256 string, tail_crc32 long, frames long, mel_mean array<float>, tensors binary, spans {SPANS}"
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (CHUNK, MELS))
+STORED = pa.schema([("t_start", pa.float64()), ("t_end", pa.float64()), ("frames", pa.int32()), ("tensor", TENSOR)])
 
 
 def wav(samples: bytes) -> bytes:
@@ -123,6 +125,30 @@ def active(energy: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+def stored(mel: np.ndarray, seconds: float) -> bytes:
+    """The chunks of a file's frames as an Arrow IPC stream of STORED."""
+    n, hop, width = len(mel), HOP * DOWN / UP / RATE, WIN * DOWN / UP / RATE
+    starts = np.arange(0, n, CHUNK)
+    frames = np.minimum(CHUNK, n - starts)
+    whole = np.concatenate([mel, np.full((-n % CHUNK, MELS), FLOOR, np.float32)]).reshape(-1, CHUNK, MELS)
+    columns = [pa.array(starts * hop), pa.array(np.minimum(seconds, (starts + frames - 1) * hop + width)), pa.array(frames, pa.int32()), pa.FixedShapeTensorArray.from_numpy_ndarray(whole)]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, STORED) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns, schema=STORED))
+    return sink.getvalue().to_pybytes()
+
+
+def tensors(ipc: bytes) -> pa.Table:
+    """What stored() wrote: t_start, t_end, frames, tensor."""
+    return pa.ipc.open_stream(ipc).read_all()
+
+
+def mel_of(table: pa.Table) -> np.ndarray:
+    """Frames x MELS of a file's chunks, without padding."""
+    whole = table["tensor"].combine_chunks().to_numpy_ndarray().reshape(-1, MELS)
+    return whole[: sum(table["frames"].to_pylist())]
+
+
 def encode(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media; one row for each row of docs."""
 
@@ -134,52 +160,32 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ENCODED)
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """The columns of stored, and those of FEATURES, of its column media."""
+def features(files: DataFrame) -> DataFrame:
+    """The columns of files, and those of FEATURES, of its column media."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taps, bank, window = low_pass(), mel_bank(), np.hanning(WIN).astype(np.float32)
-        hop = HOP * DOWN / UP / RATE
+        hop, width = HOP * DOWN / UP / RATE, WIN * DOWN / UP / RATE
+        kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "frames": pa.int64(), "mel_mean": pa.list_(pa.float32()), "tensors": pa.binary()}
+        span = pa.list_(pa.struct([("t_start", pa.float64()), ("t_end", pa.float64())]))
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                size, sha, crc, count, mean, chunks, spans, tensor = [], [], [], [], [], [], [], []
+                made, spans = [], []
                 for media in batch.column("media"):
                     raw = samples_of(media.as_py())
                     x = (np.frombuffer(raw, np.uint8).astype(np.float32) - np.float32(128)) / np.float32(128)
-                    m = log_mel(resample(x, taps), bank, window)
-                    n, end = len(m), len(raw) / RATE
-                    size.append(len(raw)), sha.append(hashlib.sha256(raw).hexdigest()), crc.append(zlib.crc32(raw[-PAD:]))
-                    count.append(n), mean.append(m.mean(0))
-                    starts = range(0, n, CHUNK)
-                    chunks.append([(i * hop, min(end, (min(n, i + CHUNK) - 1) * hop + WIN * DOWN / UP / RATE), min(CHUNK, n - i)) for i in starts])
-                    tensor.append(np.concatenate([m, np.full((-n % CHUNK, MELS), FLOOR, np.float32)]).reshape(-1, CHUNK, MELS))
-                    spans.append([(a * hop, min(end, (b - 1) * hop + WIN * DOWN / UP / RATE)) for a, b in active(m.mean(1))])
-                if not size:
-                    continue
-                flat, spread = [c for doc in chunks for c in doc], [s for doc in spans for s in doc]
-                offsets = lambda lists: pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
-                tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(np.concatenate(tensor))
-                parts = pa.StructArray.from_arrays([
-                    pa.array([c[0] for c in flat], pa.float64()), pa.array([c[1] for c in flat], pa.float64()), pa.array([c[2] for c in flat], pa.int32()),
-                    tensors.storage.cast(pa.list_(pa.float32())),
-                ], ["t_start", "t_end", "frames", "tensor"])
-                times = pa.StructArray.from_arrays([pa.array([s[0] for s in spread], pa.float64()), pa.array([s[1] for s in spread], pa.float64())], ["t_start", "t_end"])
-                new = [
-                    pa.array(size, pa.int64()), pa.array(sha), pa.array(crc, pa.int64()), pa.array(count, pa.int64()), pa.array(mean, pa.list_(pa.float32())),
-                    pa.ListArray.from_arrays(offsets(chunks), parts), pa.ListArray.from_arrays(offsets(spans), times),
-                ]
-                names = ["payload_bytes", "payload_sha256", "tail_crc32", "frames", "mel_mean", "chunks", "spans"]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
-
-    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
-    return stored.mapInArrow(run, f"{given}, {FEATURES}")
-
-
-def tensors(column: pa.Array) -> pa.FixedShapeTensorArray:
-    """A column of tensors (lists of CHUNK * MELS floats) as Arrow's fixed-shape tensor type."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (CHUNK, MELS))
-    return pa.ExtensionArray.from_storage(kind, column.cast(pa.list_(pa.float32(), CHUNK * MELS)))
+                    seconds = len(raw) / RATE
+                    ipc = stored(log_mel(resample(x, taps), bank, window), seconds)
+                    m = mel_of(tensors(ipc))
+                    made.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-PAD:]), len(m), m.mean(0), ipc))
+                    spans.append([{"t_start": a * hop, "t_end": min(seconds, (b - 1) * hop + width)} for a, b in active(m.mean(1))])
+                if made:
+                    new = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *new, pa.array(spans, span)], [*batch.schema.names, *kinds, "spans"])
+
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.mapInArrow(run, f"{given}, {FEATURES}")
 
 
 def digest() -> Column:
