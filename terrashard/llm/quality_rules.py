@@ -91,9 +91,11 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 
 def decide(kept_ledger: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The ledger with base_failed and kept under a policy."""
-    fails = lambda m: F.col("fail_bits").bitwiseAND(F.lit(m)) != 0
-    return kept_ledger.withColumn("base_failed", fails(mask("base"))).withColumn("kept", ~fails(mask("base") | mask(policy)))
+    """The ledger with base_failed and kept under a policy, and alone_bit: the bit of the one rule without which a rejected row would be kept, 0 if there is none."""
+    failed = lambda m: F.col("fail_bits").bitwiseAND(F.lit(m))
+    whole = failed(mask("base") | mask(policy))
+    alone = F.when(whole.bitwiseAND(whole - 1) == 0, whole).otherwise(F.lit(0).cast("long"))
+    return kept_ledger.withColumns({"base_failed": failed(mask("base")) != 0, "kept": whole == 0, "alone_bit": alone})
 
 
 def ablation(kept_ledger: DataFrame, policy: str = CURRENT) -> DataFrame:

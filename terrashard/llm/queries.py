@@ -39,7 +39,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality_rules.decide(quality_rules.ledger(table(spark, sf_dir, "documents")))
-    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "alone_bit")
 
 
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,7 @@ def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"), audio.digest().alias("feature"),
+        "tensors", "spans",
     )
 
 
@@ -117,7 +118,7 @@ b AS (
   SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
     + CASE WHEN n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars > 30 * n_words THEN 16 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END AS bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits & 31 = 0 AS kept, bits::BIGINT AS fail_bits FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits & 31 = 0 AS kept, bits::BIGINT AS fail_bits, (CASE WHEN bit_count(bits & 31) = 1 THEN bits & 31 ELSE 0 END)::BIGINT AS alone_bit FROM b
 """
 
 ORACLE["op6_chat_formatting"] = r"""
@@ -134,8 +135,11 @@ FROM x GROUP BY conv_id
 """
 
 ORACLE["op9_mixing"] = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':17') AS key FROM documents),
+WITH h AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(coalesce(doc_id::VARCHAR, '') || ':17:' || md5(coalesce(text, '')) || ':' || coalesce('s' || source, '-')) AS hash FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY hash) - 1 AS copy FROM h),
+d AS (SELECT row_number() OVER () AS row, doc_id, source, size, CASE WHEN copy = 0 THEN hash ELSE md5(hash || ':' || copy) END AS key FROM n),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source),
 l AS (
@@ -144,12 +148,12 @@ l AS (
 t AS (
   SELECT source, source_size, least((max(CASE WHEN 3 * source_size >= level * weight THEN level END) OVER ()) * weight, (3 * source_size)::DOUBLE) AS target FROM l),
 q AS (
-  SELECT d.doc_id, d.key, d.size, t.source_size, t.target, (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING))::BIGINT AS run
+  SELECT d.row, d.doc_id, d.key, d.size, t.source_size, t.target, (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS UNBOUNDED PRECEDING))::BIGINT AS run
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, (copy * source_size + run) / target AS finish FROM q, unnest([0, 1, 2]) AS u(copy) WHERE size > 0),
-g AS (SELECT *, sum(size) OVER (ORDER BY finish, key, doc_id, copy ROWS UNBOUNDED PRECEDING) AS upto FROM c),
-k AS (SELECT doc_id, count(*) AS copies FROM g WHERE upto <= (SELECT sum(size) FROM d) GROUP BY doc_id)
-SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken FROM q LEFT JOIN k USING (doc_id)
+g AS (SELECT *, sum(size) OVER (ORDER BY finish, key, copy ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+k AS (SELECT row, count(*) AS copies FROM g WHERE upto <= (SELECT sum(size) FROM d) GROUP BY row)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken FROM q LEFT JOIN k USING (row)
 """
 
 ORACLE["op2_warc_revisits"] = r"""

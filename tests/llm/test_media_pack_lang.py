@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -22,18 +23,78 @@ def test_audio_is_lossless_and_alike_for_equal_texts(spark):
         pad = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
         assert audio.samples_of(bytes(r.media)) == pad
-        assert sum(c.frames for c in r.chunks) == r.frames and all(len(c.tensor) == audio.CHUNK * audio.MELS for c in r.chunks)
-        assert all(0 <= s.t_start < s.t_end <= r.payload_bytes / audio.RATE + 1e-9 for s in [*r.spans, *r.chunks])
+        chunks = audio.tensors(bytes(r.tensors))
+        assert sum(chunks["frames"].to_pylist()) == r.frames and chunks.schema == audio.STORED and chunks.num_rows == -(-r.frames // audio.CHUNK)
+        times = [(s.t_start, s.t_end) for s in r.spans] + list(zip(chunks["t_start"].to_pylist(), chunks["t_end"].to_pylist(), strict=True))
+        assert all(0 <= a < b <= r.payload_bytes / audio.RATE + 1e-9 for a, b in times)
         feature.setdefault(bytes(r.media), set()).add(r.feature)
     assert all(len(f) == 1 for f in feature.values())
     assert audio.features(audio.encode(frame(spark, []))).count() == 0
 
 
-def test_audio_tensors_have_a_fixed_shape(spark):
-    df = audio.features(audio.encode(frame(spark, rows("hello world " * 900)))).select(F.explode("chunks").alias("c")).select("c.tensor")
-    column = df.toArrow()["tensor"].combine_chunks()
-    t = audio.tensors(column)
-    assert t.type == pa.fixed_shape_tensor(pa.float32(), (audio.CHUNK, audio.MELS)) and t.to_numpy_ndarray().shape[1:] == (audio.CHUNK, audio.MELS)
+def features_by_hand(raw):
+    """Log-mel frames of samples, from the definitions: each resampled value, frame, bin and band by itself."""
+    x = [(b - 128) / 128 for b in raw]
+    n = audio.UP * audio.TAPS
+    t = np.arange(n) - (n - 1) / 2
+    cut = 1 / max(audio.UP, audio.DOWN)
+    h = audio.UP * cut * np.sinc(cut * t) * np.hamming(n)
+    y = [sum(h[m * audio.DOWN - k * audio.UP] * x[k] for k in range(max(0, (m * audio.DOWN - n) // audio.UP), len(x)) if 0 <= m * audio.DOWN - k * audio.UP < n) for m in range(-(-len(x) * audio.UP // audio.DOWN))]
+    frames = max(1, 1 + -(-(len(y) - audio.WIN) // audio.HOP))
+    y = np.array(y + [0.0] * (audio.WIN + (frames - 1) * audio.HOP - len(y)))
+    rate = audio.RATE * audio.UP / audio.DOWN
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    hann = [0.5 - 0.5 * math.cos(2 * math.pi * i / (audio.WIN - 1)) for i in range(audio.WIN)]
+    turns = np.exp(-2j * np.pi * np.outer(np.arange(audio.WIN // 2 + 1), np.arange(audio.WIN)) / audio.WIN)
+    out = np.zeros((frames, audio.MELS))
+    for f in range(frames):
+        power = np.abs(turns @ (y[f * audio.HOP : f * audio.HOP + audio.WIN] * hann)) ** 2
+        for k in range(audio.MELS):
+            lo, mid, hi = edges[k : k + 3]
+            weight = lambda v: max(0.0, min((v - lo) / (mid - lo), (hi - v) / (hi - mid)))  # noqa: B023, E731
+            out[f, k] = math.log10(sum(p * weight(i * rate / audio.WIN) for i, p in enumerate(power)) + 10**audio.FLOOR)
+    return out
+
+
+@pytest.mark.parametrize("n", [64, 384, 1984])
+def test_tensors_and_spans_equal_their_definition(n):
+    raw = bytes((np.random.default_rng(n).integers(-90, 90, n) * (np.arange(n) % 700 < 250) + 128).astype(np.uint8))
+    x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+    mel = audio.log_mel(audio.resample(x, audio.low_pass()), audio.mel_bank(), np.hanning(audio.WIN).astype(np.float32))
+    want = features_by_hand(raw)
+    loud = want > audio.FLOOR + 4  # near silence, single precision is what differs
+    assert mel.shape == want.shape and np.allclose(mel[loud], want[loud], atol=2e-3) and (mel[~loud] < audio.FLOOR + 5).all()
+    chunks = audio.tensors(audio.stored(mel, n / audio.RATE))
+    hop, width = audio.HOP / (audio.RATE * audio.UP / audio.DOWN), audio.WIN / (audio.RATE * audio.UP / audio.DOWN)
+    for k, c in enumerate(chunks.to_pylist()):
+        part = mel[k * audio.CHUNK : (k + 1) * audio.CHUNK]
+        assert c["frames"] == len(part) and c["t_start"] == pytest.approx(k * audio.CHUNK * hop)
+        assert c["t_end"] == pytest.approx(min(n / audio.RATE, (k * audio.CHUNK + len(part) - 1) * hop + width))
+        whole = np.array(c["tensor"]).reshape(audio.CHUNK, audio.MELS)
+        assert (whole[: len(part)] == part).all() and (whole[len(part) :] == audio.FLOOR).all()
+    assert chunks.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), (audio.CHUNK, audio.MELS))
+    assert (audio.mel_of(chunks) == mel).all()
+
+
+def hysteresis_by_hand(energy):
+    mid, half, on, out = np.mean(energy), np.std(energy) / 2, False, []
+    for i, e in enumerate([*energy, -np.inf]):
+        if not on and e >= mid + half:
+            on, start = True, i
+        elif on and e < mid - half:
+            on = False
+            out.append((start, i))
+    return out
+
+
+def test_segments_equal_their_definition():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 40, 300):
+        for _ in range(20):
+            energy = np.cumsum(rng.standard_normal(n))
+            if energy.std():
+                assert audio.active(energy) == hysteresis_by_hand(energy)
 
 
 def test_resampling_equals_its_definition():
@@ -198,3 +259,57 @@ def test_every_position_counts():
     assert p[0].argmax() == 0 and p[1].argmax() == 1
     whole = language_id.pooled(model, [b"ab" * 480])[0]
     assert np.allclose(whole, language_id.pooled(model, [b"ab" * 480, b"c"])[0], atol=1e-5)
+
+
+def read_by_hand(model, text):
+    """Mean probabilities of a text, from the definition of the units, one window and one position at a time."""
+    step, sums = language_id.WINDOW - 2 * language_id.CONTEXT, np.zeros(len(model.langs))
+    n = max(1, -(-(len(text) - 2 * language_id.CONTEXT) // step))
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def run(bytes_, table, u):
+        h, out, k = np.zeros(len(u)), [], len(u)
+        for b in bytes_:
+            x = table[b]
+            z, r = sig(x[:k] + h @ u[:, :k]), sig(x[k : 2 * k] + h @ u[:, k : 2 * k])
+            c = np.tanh(x[2 * k :] + (r * h) @ u[:, 2 * k :])
+            h = (1 - z) * h + z * c
+            out.append(h)
+        return out
+
+    pooled = 0
+    for k in range(n):
+        window = text[k * step : k * step + language_id.WINDOW].ljust(language_id.WINDOW, b"\0")
+        forth, back = run(window, *model.forth), run(window[::-1], *model.back)[::-1]
+        first, last = (0 if k == 0 else language_id.CONTEXT), (len(text) - k * step if k == n - 1 else language_id.WINDOW - language_id.CONTEXT)
+        for t in range(first, last):
+            e = np.exp(np.concatenate([forth[t], back[t]]) @ model.out + model.bias)
+            sums += e / e.sum()
+            pooled += 1
+    assert pooled == len(text)
+    return sums / len(text)
+
+
+def test_pooling_equals_a_plain_forward_pass(monkeypatch):
+    monkeypatch.setattr(language_id, "ROWS", 3)
+    model = language_id.train([b"abab" * 100, b"cdcd" * 100, b"aabb" * 90], [0, 1, 2], ["ab", "cd", "abb"], steps=20)
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in (1, 31, 33, 191, 192, 193, 352, 353, 900)]
+    got = language_id.pooled(model, texts)
+    for text, p in zip(texts, got, strict=True):
+        assert np.allclose(p, read_by_hand(model, text), atol=1e-4), len(text)
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    one_id = frame(spark, [(6, f"some text number {i} " * 30, "en", "s", 0) for i in range(3000)])
+    copies = frame(spark, [(6, "one text that is there again and again " * 9, "de", "s", 0)] * 3000)
+    got = language_id.sample(one_id.union(copies), 50)
+    counts = {lang: sum(x == lang for x, _ in got) for lang in ("en", "de")}
+    assert 8 <= counts["en"] <= 50 * 8 and counts["de"] <= 8
+    assert sorted(got) == sorted(language_id.sample(copies.union(one_id).repartition(5), 50))
+
+
+def test_every_language_is_learned(spark):
+    docs = frame(spark, [(i, f"word{i % 90} " * 20, f"l{i % 90}", "s", 0) for i in range(900)])
+    model = language_id.fit(docs, steps=1)
+    assert len(model.langs) == 90 and model.out.shape == (2 * 64, 90)

@@ -44,6 +44,9 @@ def test_policies_and_ablation(spark):
     assert out["too_few_words"].kept == kept and set(out) == set(quality_rules.BASE)
     assert out["too_few_words"].rejects == sum(b & 1 for b in bits) and out["repeated_words"].rejects_alone == bits.count(2)
     assert out["repeated_words"].kept_without == kept + bits.count(2)
+    every = {r.rule: r.rejects_alone for r in quality_rules.ablation(ledger, "all").collect()}
+    alone = [r.alone_bit for r in quality_rules.decide(ledger, "all").collect()]
+    assert every == {rule: alone.count(1 << k) for k, rule in enumerate(quality_rules.RULES)}
     assert quality_rules.ablation(quality_rules.ledger(frame(spark, []))).count() == len(quality_rules.POLICIES[quality_rules.CURRENT])
 
 
@@ -94,6 +97,35 @@ def test_mix_awkward_rows(spark):
     assert all(r.taken == 0 for r in mixing.mix(frame(spark, rows("", None, " "))).collect())
 
 
+def test_mix_of_many_copies_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    data = [(5, "w w w", "en", "a", 0)] * 1500 + [(i, "w " * (1 + i % 9), "en", "abc"[i % 3], 0) for i in range(900)] + [(5, "w w", "en", "a", 0), (None, "w", "en", None, 0)]
+    sizes, seen = {}, {}
+    for *_, text, _, source, _ in ((d[0], *d[1:]) for d in data):
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    real = mixing.settle
+    monkeypatch.setattr(mixing, "settle", lambda d, name: seen.setdefault(name, real(d, name)) if name == "queued" else real(d, name))
+    docs = frame(spark, data).repartition(7)
+    got = mixing.mix(docs).collect()
+    again = mixing.mix(docs.repartition(2)).collect()
+    assert sorted(got, key=str) == sorted(again, key=str)
+    keys = [r.key for r in seen["queued"].collect()]
+    assert len(set(keys)) == len(keys) == len(data)
+    for s, t in targets(sizes).items():
+        assert abs(sum(r.taken for r in got if r.source == s) - t) <= 10
+    mixed = mixing.mixed(docs)
+    assert mixed.count() == sum(r.copies for r in got)
+    assert sum(len(r.text.split()) for r in mixed.collect()) == sum(r.taken for r in got) <= sum(sizes.values())
+
+
+def test_ranges_of_sources_change_nothing(spark, monkeypatch):
+    data = [(i, "w " * (1 + (i * 7) % 40), "en", f"host{i % 83:02d}", 0) for i in range(700)]
+    docs = frame(spark, data)
+    whole = sorted(mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "SOURCES", 10)
+    assert sorted(mixing.mix(docs).collect()) == whole
+
+
 CHAT = "conv_id long, turn long, role string, text string"
 
 

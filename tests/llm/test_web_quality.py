@@ -101,6 +101,40 @@ def test_slices_of_time_change_nothing(spark, monkeypatch):
     assert whole == sorted(brute)
 
 
+def test_headers_that_differ_in_case(spark):
+    data = [(1, "http://e.org/", 1, 200, '"x"', None, {"Vary": "a", "vary": "b", "VARY": "c", "X": "1", "x": None}, "one"), (2, "http://e.org/", 2, 304, '"x"', None, {"Date": "d1", "date": "d2"}, None)]
+    (r,) = warc.resolve(spark.createDataFrame(data, CAPTURES)).collect()
+    assert r.headers == {"vary": "b", "x": None, "date": "d2"}
+
+
+def test_responses_that_share_an_id(spark):
+    """Each is a response of its own, however rows come; of those with the same time, one is the latest."""
+    data = [(1, "http://e.org/", 1, 200, '"x"', None, None, "early"), (1, "http://e.org/", 5, 200, '"y"', None, None, "late"), (1, "http://e.org/", 5, 200, '"y"', None, None, "other"), (2, "http://e.org/", 3, 304, '"x"', None, None, None), (3, "http://e.org/", 6, 304, '"y"', None, None, None), (1, "http://e.org/", 5, 304, '"y"', None, None, None)]
+    df = spark.createDataFrame(data, CAPTURES)
+    seen = []
+    for n in (1, 3, 6):
+        got = {r.record_id: r for r in warc.resolve(df.repartition(n)).collect()}
+        assert got[2].payload == "early" and got[3].payload in ("late", "other")
+        assert (got[1].base_id, got[1].outcome) == (1, "validators differ")  # the responses of its own time and id aren't earlier
+        seen.append(got[3].payload)
+    assert len(set(seen)) == 1
+
+
+def test_an_outlier_in_time_leaves_slices_even(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SLICE_ROWS", 100)
+    data = [(i, "http://h/", i % 700, 200 if i % 3 else 304, '"x"', None, None, "p") for i in range(2000)] + [(9999, "http://h/", 1 << 50, 304, '"x"', None, None, None)]
+    df = spark.createDataFrame(data, CAPTURES)
+    sizes = {}
+    real = warc.settle
+    monkeypatch.setattr(warc, "settle", lambda d, name: sizes.setdefault(name, real(d, name)))
+    got = {r.record_id: r.base_id for r in warc.resolve(df).collect()}
+    per = [r["count"] for r in sizes["slices"].groupBy("slice").count().collect()]
+    assert len(per) >= 15 and max(per) <= 400
+    for i, _, ts, status, *_ in data:
+        if status == 304:
+            assert got[i] == max(((t, j) for j, _, t, s, *_ in data if s == 200 and (t, j) < (ts, i)), default=(0, None))[1]
+
+
 def loss_by_hand(trusted, text):
     """Negative log probability of a text by the definition of an interpolated modified Kneser-Ney bigram model."""
     split = lambda t: (t or "").encode().lower().split()
