@@ -64,7 +64,7 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, epochs: int = EPOCHS)
 
 
 def keyed(sized: DataFrame) -> DataFrame:
-    """row, source, size, key, in which copies of one key have keys of their own: the key and their number, hashed. sized is stored."""
+    """sized, a stored table, in which copies of one key have keys of their own: the key and their number, hashed."""
     often = settle(sized.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
     n_often = often.count()
     part = F.shiftright("row", 33)  # of the partition that numbered the row
@@ -75,8 +75,8 @@ def keyed(sized: DataFrame) -> DataFrame:
     number = F.col("start") + F.col("nth") - 1
     copies = some.withColumn("nth", F.row_number().over(inside)).join(starts, ["key", "part"])
     key = F.when(number == 0, F.col("key")).otherwise(F.md5(F.concat("key", F.lit(":"), number.cast("string"))))
-    rest = keep_ids(sized, often, "key", anti=True, n_ids=n_often).select("row", "source", "size", "key")
-    return rest.union(copies.select("row", "source", "size", key.alias("key")))
+    rest = keep_ids(sized, often, "key", anti=True, n_ids=n_often).select("row", "doc_id", "source", "size", "key")
+    return rest.union(copies.select("row", "doc_id", "source", "size", key.alias("key")))
 
 
 def finish(copy: int) -> Column:
@@ -98,11 +98,11 @@ def cut(sums: DataFrame, left: int) -> tuple[int, int]:
 
 
 def shares(rows: DataFrame, weights: tuple = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """row, source, size, source_size, target, copies; one row for each of rows: row (as monotonically_increasing_id() numbers them), doc_id, text, source."""
+    """row, doc_id, source, size, source_size, target, copies; one row for each of rows: row (as monotonically_increasing_id() numbers them), doc_id, text, source. rows is read once."""
     blank = lambda c: F.coalesce(c, F.lit(""))
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-"))
     key = F.md5(F.concat_ws(":", blank(F.col("doc_id").cast("string")), F.lit(str(seed)), F.md5(blank(F.col("text").cast("string"))), source))
-    sized = settle(rows.select("row", F.col("source").cast("string"), n_words(F.col("text").cast("string")).alias("size"), key.alias("key")), "sized")
+    sized = settle(rows.select("row", "doc_id", F.col("source").cast("string"), n_words(F.col("text").cast("string")).alias("size"), key.alias("key")), "sized")
     sources = settle(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, epochs), "sources")
     n_sources, budget = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
     side = F.broadcast(sources) if n_sources <= SOURCES else sources.hint("merge")
@@ -114,7 +114,7 @@ def shares(rows: DataFrame, weights: tuple = WEIGHTS, epochs: int = EPOCHS, seed
     inside = Window.partitionBy("sid", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     queued = settle(
         bucketed.withColumn("own", F.sum("size").over(inside)).join(base, ["sid", "bucket"])
-        .select("row", "source", "key", "size", "source_size", "target", (F.col("base") + F.col("own")).alias("run")), "queued",
+        .select("row", "doc_id", "source", "key", "size", "source_size", "target", (F.col("base") + F.col("own")).alias("run")), "queued",
     )
     discard(sized, bucketed)
 
@@ -136,13 +136,12 @@ def shares(rows: DataFrame, weights: tuple = WEIGHTS, epochs: int = EPOCHS, seed
             within = F.struct(at.alias("finish"), F.col("key"), F.lit(c).alias("copy")) <= F.struct(*(F.lit(x).alias(n) for n, x in edge.asDict().items()))
         return F.when((F.col("size") > 0) & ((k < first) | (k == first) & ((g < second) | (g == second) & within)), F.lit(1)).otherwise(F.lit(0))
 
-    return queued.select("row", "source", "size", "source_size", "target", sum((taken(c) for c in range(1, epochs)), taken(0)).alias("copies"))
+    return queued.select("row", "doc_id", "source", "size", "source_size", "target", sum((taken(c) for c in range(1, epochs)), taken(0)).alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken; one row for each row of docs."""
-    rows = settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "source"), "rows")
-    found = shares(rows, **how).join(rows.select("row", "doc_id"), "row")
+    found = shares(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "source"), **how)
     return found.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 

@@ -104,7 +104,13 @@ def test_mix_of_many_copies_of_one_row(spark, monkeypatch):
     for *_, text, _, source, _ in ((d[0], *d[1:]) for d in data):
         sizes[source] = sizes.get(source, 0) + len(text.split())
     real = mixing.settle
-    monkeypatch.setattr(mixing, "settle", lambda d, name: seen.setdefault(name, real(d, name)) if name == "queued" else real(d, name))
+
+    def kept(df, name):
+        out = real(df, name)
+        seen.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(mixing, "settle", kept)
     docs = frame(spark, data).repartition(7)
     got = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(2)).collect()
