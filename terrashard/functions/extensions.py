@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bits import let
+
 
 def has(extensions: Column, name: str) -> Column:
     return F.coalesce(F.map_contains_key(extensions, F.lit(name)), F.lit(False))
@@ -48,9 +50,12 @@ def unmark_used(used: Column, required: Column, name: str) -> tuple[Column, Colu
 
 
 def sorted_map(entries: Column) -> Column:
-    """A map in key order of an array of struct<key, value>; of equal keys the first entry stays."""
-    first = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, F.lit(1), i), lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(F.array_sort(first, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    """A map in key order of an array of struct<key, value>; of equal keys the first entry stays. One sort; then neighbours are compared."""
+    places = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
+    before = lambda a, b: F.when((a["key"] < b["key"]) | ((a["key"] == b["key"]) & (a["i"] < b["i"])), -1).when((a["key"] == b["key"]) & (a["i"] == b["i"]), 0).otherwise(1)
+    ordered = F.array_sort(places, before)
+    first = let(ordered, lambda es: F.filter(es, lambda e, i: F.coalesce(F.get(es, i - 1)["key"] != e["key"], F.lit(True))))
+    return F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
 
 def union_kind(value: Column, alternatives: dict[str, str]) -> Column:

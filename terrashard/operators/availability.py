@@ -42,6 +42,11 @@ def uniform(available: bool) -> list[Column]:
     return [bits.constant(available).alias("tile"), none.alias("child"), F.array(none).alias("content_layers")]
 
 
+def new(tile: Column, child: Column, content_layers: Column) -> Column:
+    """struct<tile, child, content_layers> of a subtree from its views; null if it has no content layer."""
+    return F.when(F.size(content_layers) > 0, F.struct(tile.alias("tile"), child.alias("child"), content_layers.alias("content_layers")))
+
+
 def tiles(subtrees: DataFrame, levels: int, n: int = 2) -> DataFrame:
     """A row for each available tile of each subtree: the columns of subtrees, rel_level, rel_morton."""
     scheme = F.lit("octree" if n == 3 else "quadtree")
@@ -54,10 +59,17 @@ def tiles(subtrees: DataFrame, levels: int, n: int = 2) -> DataFrame:
 def any_in_range(subtrees: DataFrame, ranges: DataFrame) -> DataFrame:
     """range_id, any_available. ranges: range_id, id (of a subtree), level, min_x, min_y, max_x, max_y (inclusive).
 
-    A rectangle's cells are told apart by Morton code in its row; nothing is joined but the subtree, by id.
+    A rectangle's cells are told apart by Morton code in its row, but only those of its level and of a level that the bitstream
+    reaches, so a rectangle is never wider than the subtree; nothing is joined but the subtree, by id.
     """
     scheme = F.lit("quadtree")
-    xs, ys = F.sequence(F.col("min_x"), F.col("max_x")), F.sequence(F.col("min_y"), F.col("max_y"))
-    empty = (F.col("min_x") > F.col("max_x")) | (F.col("min_y") > F.col("max_y"))
+    ends = F.lit(1).cast("bigint")
+    last = F.when(F.col("level").between(0, 31), tileid.shift_left(ends, F.col("level")) - 1).otherwise(F.lit(2**32 - 1))
+    low_x, low_y = (F.greatest(F.col(c), F.lit(0)).cast("bigint") for c in ("min_x", "min_y"))
+    high_x, high_y = (F.least(F.col(c), last).cast("bigint") for c in ("max_x", "max_y"))
+    empty = (low_x > high_x) | (low_y > high_y)
+    reached = tileid.prefix_for_level(scheme, F.col("level")) < 8 * F.octet_length(F.col("tile.bits"))
+    xs, ys = F.sequence(low_x, high_x), F.sequence(low_y, high_y)
     hit = F.exists(ys, lambda y: F.exists(xs, lambda x: is_available(F.col("tile"), scheme, F.col("level"), tileid.morton(x, y))))
-    return ranges.join(subtrees, "id").select("range_id", F.when(empty, F.lit(False)).otherwise(hit).alias("any_available"))
+    any_ = F.when(empty, F.lit(False)).when(F.col("tile.constant").isNotNull(), is_available(F.col("tile"), scheme, F.col("level"), F.lit(0))).when(F.coalesce(reached, F.lit(False)), hit).otherwise(F.lit(False))
+    return ranges.join(subtrees, "id").select("range_id", any_.alias("any_available"))

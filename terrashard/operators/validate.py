@@ -19,7 +19,7 @@ def diagnostics(parsed: DataFrame) -> DataFrame:
     root = field(F.col("doc"), "root.geometricError", "double")
 
     def negative(value: Column, code: str, path: str) -> Column:
-        made = F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"), F.concat(F.lit("geometricError is negative ("), plain(value), F.lit("); expected >= 0")).alias("message"))
+        made = F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"), F.concat(F.lit(f"{path} is negative ("), plain(value), F.lit("); expected >= 0")).alias("message"))
         return F.when(value < 0, F.array(made)).otherwise(F.array().cast("array<struct<code:string,path:string,message:string>>"))
 
     def unmet(name: Column, i: Column) -> Column:

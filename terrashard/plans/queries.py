@@ -134,6 +134,17 @@ def subdivide_region(spark, sf_dir):
     return made.select("l_orderkey", "l_linenumber", *(F.col("r")[i].alias(a) for i, a in enumerate(("west", "south", "east", "north", "low", "high"))))
 
 
+@query("""
+SELECT event_id, 2.0 * x / 64 AS west, -1.0 + 2.0 * y / 64 AS south, 2.0 * (x + 1) / 64 AS east, -1.0 + 2.0 * (y + 1) / 64 AS north, 5.0::DOUBLE AS low, 6.5::DOUBLE AS high, true AS no_box
+FROM (SELECT event_id, (user_id % 64)::DOUBLE AS x, (event_id % 64)::DOUBLE AS y FROM events)""")
+def subdivide_region_quadtree(spark, sf_dir):
+    """A region wins over a box, and a quadtree leaves its heights alone."""
+    e = read(spark, sf_dir, "events").select("event_id", tileid.tile(F.lit(6), F.col("user_id") % 64, F.col("event_id") % 64).alias("t"))
+    volume = F.struct(F.array(*map(F.lit, BOX)).alias("box"), F.array(*map(F.lit, (0.0, -1.0, 2.0, 1.0, 5.0, 6.5))).alias("region"), F.lit(None).cast("array<double>").alias("sphere"))
+    made = e.select("event_id", tileid.subdivide_bounding_volume(volume, F.col("t")).alias("v"))
+    return made.select("event_id", *(F.col("v.region")[i].alias(a) for i, a in enumerate(("west", "south", "east", "north", "low", "high"))), F.col("v.box").isNull().alias("no_box"))
+
+
 def sql_box(n: int) -> str:
     b = [f"{x!r}::DOUBLE" for x in BOX]
     centre, out = [f"{b[i]} - {b[3 + i]} - {b[6 + i]} - {b[9 + i]}" for i in range(3)], []
@@ -210,10 +221,41 @@ def availability_probe(spark, sf_dir):
 
 
 @query(f"""
-WITH b AS (SELECT unnest(range(32)) AS bit)
-SELECT bit, (SELECT count(*) FROM b c WHERE c.bit < b.bit AND {sql_stream("c.bit")})::BIGINT AS rank FROM b""")
+WITH c AS (SELECT c_custkey, c_custkey % 45 AS bit, substr(md5(c_custkey::VARCHAR), 1, 10) AS h FROM customer)
+SELECT c_custkey, bit, (SELECT coalesce(sum({sql_hex_bit("h", "k")}), 0) FROM unnest(range(40)) AS u(k) WHERE k < bit)::BIGINT AS rank FROM c""")
 def bit_rank(spark, sf_dir):
-    return spark.range(32).select(F.col("id").alias("bit"), bits.rank_before(F.lit(STREAM), F.col("id")).cast("bigint").alias("rank"))
+    c = read(spark, sf_dir, "customer")
+    data = F.unhex(F.substr(F.md5(F.col("c_custkey").cast("string")), F.lit(1), F.lit(10)))
+    bit = F.col("c_custkey") % 45
+    return c.select("c_custkey", bit.alias("bit"), bits.rank_before(data, bit).cast("bigint").alias("rank"))
+
+
+SQL_EDIT = """
+WITH e AS (SELECT event_id, event_id % 3 AS level, user_id % (1 << (2 * (event_id % 3))::INTEGER) AS m, event_id % 2 = 0 AS full_, event_id % 5 < 3 AS put, user_id % 16 AS c, event_id % 7 = 0 AS bare FROM events),
+i AS (SELECT *, ((1 << (2 * level)::INTEGER) - 1) // 3 + m AS bit FROM e)
+"""
+
+
+@query(f"""{SQL_EDIT}
+SELECT event_id, put AS here, CASE WHEN bit = 20 THEN put ELSE full_ END AS last,
+  (CASE WHEN put THEN (CASE WHEN full_ THEN 255 ELSE 0 END) | (1 << (bit % 8)::INTEGER) ELSE (CASE WHEN full_ THEN 255 ELSE 0 END) & (255 - (1 << (bit % 8)::INTEGER)) END)::BIGINT AS byte,
+  3::BIGINT AS n_bytes, true AS child, c = 15 AS last_child, 2::BIGINT AS child_bytes, NOT bare AS made, CASE WHEN bare THEN NULL ELSE full_ END AS made_available FROM i""")
+def availability_edit(spark, sf_dir):
+    """Uniform subtrees of three levels in which one tile and one child subtree are changed, and new subtrees, some without a content layer."""
+    q, e = F.lit("quadtree"), read(spark, sf_dir, "events")
+    level, put = F.col("event_id") % 3, F.col("event_id") % 5 < 3
+    morton = F.col("user_id") % tileid.tiles_at_level(q, level)
+    yes, no = availability.uniform(True), availability.uniform(False)
+    tile = F.when(F.col("event_id") % 2 == 0, yes[0]).otherwise(no[0])
+    base = e.select("event_id", "user_id", tile.alias("tile"), yes[1], F.when(F.col("event_id") % 7 == 0, F.array().cast(f"array<{bits.VIEW}>")).otherwise(yes[2]).alias("layers"))
+    base = base.select("*", availability.set_available(F.col("tile"), q, F.lit(3), level, morton, put).alias("t"), availability.set_child_available(F.col("child"), q, F.lit(2), F.col("user_id") % 16, F.lit(True)).alias("c"), availability.new(F.col("tile"), F.col("child"), F.col("layers")).alias("n"))
+    ask = lambda v, at, m: availability.is_available(v, q, at, m)
+    at = F.call_function("div", tileid.prefix_for_level(q, level) + morton, F.lit(8))
+    return base.select(
+        "event_id", ask(F.col("t"), level, morton).alias("here"), ask(F.col("t"), F.lit(2), F.lit(15)).alias("last"), bits.byte_at(F.col("t.bits"), at).cast("bigint").alias("byte"), F.octet_length("t.bits").cast("bigint").alias("n_bytes"),
+        availability.is_child_available(F.col("c"), F.col("user_id") % 16).alias("child"), availability.is_child_available(F.col("c"), F.lit(15)).alias("last_child"), F.octet_length("c.bits").cast("bigint").alias("child_bytes"),
+        F.col("n").isNotNull().alias("made"), F.when(F.col("n").isNotNull(), ask(F.col("n.tile"), F.lit(0), F.lit(0))).alias("made_available"),
+    )
 
 
 @query(f"""
@@ -296,7 +338,7 @@ def update_and_write(spark, sf_dir):
 @query("""
 WITH c AS (SELECT c_custkey AS id, round(c_acctbal)::DOUBLE AS e, (c_custkey % 5 - 2)::DOUBLE AS r, c_custkey % 3 AS k FROM customer WHERE c_custkey % 11 <> 0)
 SELECT id AS tileset_id, 'tileset.negative_geometric_error' AS code, 'geometricError' AS path, 'geometricError is negative (' || e::BIGINT || '); expected >= 0' AS message FROM c WHERE e < 0
-UNION ALL SELECT id, 'tile.negative_geometric_error', 'root.geometricError', 'geometricError is negative (' || r::BIGINT || '); expected >= 0' FROM c WHERE r < 0
+UNION ALL SELECT id, 'tile.negative_geometric_error', 'root.geometricError', 'root.geometricError is negative (' || r::BIGINT || '); expected >= 0' FROM c WHERE r < 0
 UNION ALL SELECT id, 'tileset.required_extension_not_used', 'extensionsRequired[' || i || ']', 'extensionsRequired contains ''EXT_' || ['a', 'b'][i + 1] || ''' which is not listed in extensionsUsed'
 FROM c, (SELECT unnest([0, 1]) AS i) WHERE k = 0 OR (k = 1 AND i = 0)""")
 def diagnostics(spark, sf_dir):
@@ -310,20 +352,63 @@ def diagnostics(spark, sf_dir):
     return validate.diagnostics(tilesets.parse(c.select(F.col("c_custkey").alias("tileset_id"), text.alias("json")))).drop("ord")
 
 
-@query("""
-SELECT c_custkey AS tileset_id, CASE c_custkey % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'parse' WHEN 2 THEN 'json' END AS error_code, CASE WHEN c_custkey % 4 IN (1, 3) THEN CASE WHEN c_custkey % 4 = 1 THEN '' ELSE '1.0' END END AS version FROM customer""")
+#: Documents, and the member that is wrong in each (an empty text: none; no JSON where it is None).
+WRONG = (
+    ("not json", None), ('{"asset":{"version":""},TAIL', ""), ('{"asset":{},TAIL', "asset.version"), ('{"asset":{"version":"1.0"},"extensionsUsed":null,TAIL', ""), ('{"asset":{"version":"1.0"},"geometricError":"12","root":ROOT}', "geometricError"),
+    ('{"asset":{"version":1.1},TAIL', "asset.version"), ('{"asset":{"version":"1.0"},"extensionsUsed":"abc",TAIL', "extensionsUsed"),
+    ('{"asset":{"version":"1.0"},"geometricError":1,"root":{"boundingVolume":{},"geometricError":2,"children":[ROOT,{"boundingVolume":{},"geometricError":1,"children":[{"geometricError":1}]}]}}', "root.children.1.children.0.boundingVolume"),
+    ('{"asset":{"version":"1.0"},"geometricError":1,"root":{"boundingVolume":{},"geometricError":1,"refine":"BOGUS"}}', "root.refine"), ('{"asset":{"version":"1.0"},"geometricError":1,"root":{"boundingVolume":{"box":[0]},"geometricError":1}}', "root.boundingVolume.box"),
+    ('{"asset":{"version":"1.0"},"geometricError":1,"root":{"boundingVolume":{},"geometricError":1,"contents":[{"uri":"a"},{"uri":"b","group":1.0}]}}', "root.contents.1.group"),
+    ('{"asset":{"version":"1.0"},"schema":{"id":"s","classes":{"c":{"properties":{"p":{"required":"yes"}}}}},TAIL', "schema.classes.c.properties.p.required"), ('{"asset":{"version":"1.0"},"extensions":null,TAIL', "extensions"),
+)
+WRONG = tuple((t.replace("TAIL", '"geometricError":1,"root":ROOT}').replace("ROOT", '{"boundingVolume":{"sphere":[0,0,0,1]},"geometricError":1}'), path) for t, path in WRONG)
+
+
+@query(f"""
+SELECT id AS tileset_id, CASE WHEN path IS NULL OR path <> '' THEN 'json' WHEN k = 1 THEN 'parse' END AS error_code,
+  CASE WHEN path IS NULL THEN 'failed to parse ' || id || ': no JSON' WHEN path <> '' THEN 'failed to parse ' || id || ': missing or of a wrong type: ' || path
+    WHEN k = 1 THEN 'failed to parse <tileset>: asset.version is required and must not be empty' END AS error_detail,
+  CASE k WHEN 1 THEN '' WHEN 3 THEN '1.0' END AS version
+FROM (SELECT c_custkey AS id, c_custkey % {len(WRONG)} AS k, [{", ".join("NULL" if p is None else f"'{p}'" for _, p in WRONG)}][1 + c_custkey % {len(WRONG)}] AS path FROM customer)""")
 def parse_errors(spark, sf_dir):
-    tail = '"geometricError":1,"root":{"boundingVolume":{"box":[0]},"geometricError":1}}'
-    texts = ("not json", '{"asset":{"version":""},' + tail, '{"asset":{},' + tail, '{"asset":{"version":"1.0"},"extensionsUsed":null,' + tail)
-    text = F.get(F.array(*map(F.lit, texts)), (F.col("c_custkey") % 4).cast("int"))
-    return tilesets.parse(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tileset_id"), text.alias("json"))).select("tileset_id", "error_code", "version")
+    text = F.get(F.array(*(F.lit(t) for t, _ in WRONG)), (F.col("c_custkey") % len(WRONG)).cast("int"))
+    return tilesets.parse(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tileset_id"), text.alias("json"))).select("tileset_id", "error_code", "error_detail", "version")
+
+
+#: A document with every member, in the order of their names; K is a number of the row.
+FULL = (
+    '{"asset":{"extras":K,"tilesetVersion":"vK","version":"1.1"},"extensions":{"D":{"k":K}},"extensionsRequired":["T"],"extensionsUsed":["I","T"],"extras":{"x":[K]},"geometricError":K.5,"groups":[{"extras":"gK"}],"metadata":{"class":"c","properties":{"p":K}},'
+    '"properties":{"h":{"maximum":K,"minimum":-1}},"root":{"boundingVolume":{"extensions":{"V":K},"extras":1,"sphere":[0,0,0,K]},"children":[{"boundingVolume":{"region":[0,0,1,1,0,K]},"contents":[{"uri":"only-K.glb"}],"geometricError":K,ONES},'
+    '{"boundingVolume":{"box":[0,0,0,1,0,0,0,1,0,0,0,1]},"content":{"boundingVolume":{"sphere":[1,2,3,K]},"extensions":{"C":K},"extras":"e","group":0,"metadata":{"class":"c"},"uri":"first-K.glb"},"contents":[{"uri":"second-K.glb"}],"extensions":{"T":{}},"geometricError":0,'
+    '"implicitTiling":{"availableLevels":K,"extensions":{"I":1},"extras":[1],"subdivisionScheme":"Quadtree","subtreeLevels":2,"subtrees":{"extensions":{"S":2},"extras":3,"uri":"{level}-K.subtree"}},ONES}],'
+    '"content":{"uri":"K.json"},"extras":{"name":"K"},"geometricError":K,"metadata":{"class":"c"},"refine":"REPLACE","transform":[1,0,0,0,0,1,0,0,0,0,1,0,K,0,0,1],"viewerRequestVolume":{"box":[0,0,0,K,0,0,0,1,0,0,0,1],"extras":null}},'
+    '"schema":{"classes":{"c":{"properties":{"p":{"type":"SCALAR"}}}},"id":"sK"},"statistics":{"classes":{"c":{"count":K}}}}'
+)
+
+
+@query(f"""
+SELECT s_suppkey AS tileset_id, replace(replace('{FULL}', 'ONES', '"transform":[1,0,0,0,0,1,0,0,0,0,1,0,0,0,0,1]'), 'K', s_suppkey::VARCHAR) AS written, 3::BIGINT AS tiles FROM supplier""")
+def tileset_round_trip(spark, sf_dir):
+    """Writes documents with every member, and compares the whole of each (keys in the order of their names)."""
+    text = F.replace(F.replace(F.lit(FULL), F.lit(",ONES"), F.lit("")), F.lit("K"), F.col("s_suppkey").cast("string"))
+    parsed = tilesets.parse(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tileset_id"), text.alias("json")))
+    tiles = tilesets.flatten(parsed)
+    n = tiles.groupBy("tileset_id").agg(F.count("*").alias("tiles"))
+    return tilesets.write(parsed, tiles).join(n, "tileset_id").select("tileset_id", F.to_json(F.parse_json("json")).alias("written"), "tiles")
+
+
+@query("""
+SELECT p_partkey, '{' || chr(10) || '  "name": "' || p_name || '",' || chr(10) || '  "sizes": [' || chr(10) || '    ' || p_size || ',' || chr(10) || '    null' || chr(10) || '  ],' || chr(10) || '  "a": {}' || chr(10) || '}' AS pretty FROM part""")
+def pretty_json(spark, sf_dir):
+    text = F.concat(F.lit('{"name":"'), "p_name", F.lit('","sizes":['), F.col("p_size").cast("string"), F.lit(',null],"a":{}}'))
+    return read(spark, sf_dir, "part").select("p_partkey", tilesets.pretty(text).alias("pretty"))
 
 
 @query("""
 SELECT event_id, true AS had, false AS has_after, (props::JSON->>'k')::BIGINT AS k, CASE WHEN event_id % 2 = 0 THEN (props::JSON->>'k')::BIGINT END AS needed, 1::BIGINT AS n_after FROM events""")
 def extension_payload(spark, sf_dir):
     v = F.parse_json("props")
-    other = F.parse_json(F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.lit('{"wrong": true}')))
+    other = F.parse_json(F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.lit('{"other": [1]}')))
     e = read(spark, sf_dir, "events").select("event_id", extensions.put(F.create_map(F.lit("B"), other), "A", v).alias("m"))
     read_k = lambda name: extensions.payload(F.col("m"), name, "struct<k:bigint>", ("k",))["k"]
     gone = extensions.remove(F.col("m"), "A")
@@ -532,7 +617,7 @@ def schema_properties(spark, sf_dir):
 
 @query(f"SELECT id, class_id AS enum_id, 'UINT16' AS value_type, o AS ord, ['a', 'b'][o + 1] AS name, CASE o WHEN 0 THEN 0 ELSE length(class_id) END::BIGINT AS value FROM ({SQL_SCHEMAS}), (SELECT unnest([0, 1]) AS o)")
 def schema_enums(spark, sf_dir):
-    return metadata.enums(part_schemas(spark, sf_dir))
+    return metadata.enums(part_schemas(spark, sf_dir)).select("id", "enum_id", "value_type", "ord", "name", "value")
 
 
 @query(f"""
@@ -563,3 +648,55 @@ def style_parts(spark, sf_dir):
     n = metadata.conditions(docs).groupBy("id").agg(F.count("*").alias("n"))
     made = metadata.styles(docs).join(n, "id", "left")
     return made.select("id", F.when(F.col("color_kind") == "expression", F.col("color")).alias("color"), "color_kind", "show", "show_kind", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_conditions"))
+
+
+@query("""
+SELECT s_suppkey AS id, k AS property, CASE k WHEN 'height' THEN 'array' WHEN 'colour' THEN 'reference' END AS kind, CASE k WHEN 'height' THEN '[' || s_suppkey || ',2]' WHEN 'colour' THEN '{"byteOffset":' || s_suppkey || ',"componentType":"BYTE","type":"VEC3"}' ELSE '7' END AS value
+FROM supplier, (SELECT unnest(['height', 'colour', 'odd']) AS k)""")
+def batch_tables(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit('{"height":['), k, F.lit(',2],"colour":{"byteOffset":'), k, F.lit(',"componentType":"BYTE","type":"VEC3"},"odd":7,"extras":{"x":1},"extensions":{"E":{}}}'))
+    rows = metadata.batch_table(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.parse_json(text).alias("doc")))
+    return rows.select("id", "property", "kind", F.to_json("value").alias("value"))
+
+
+@query("""
+SELECT s_suppkey AS id, 0 AS table_ord, 'c' || s_suppkey % 3 AS class, s_suppkey AS count, p AS property_id, CASE p WHEN 'a' THEN 1 ELSE 2 END::BIGINT AS values, CASE p WHEN 'a' THEN s_suppkey END AS array_offsets,
+  CASE p WHEN 'a' THEN 'UINT8' ELSE 'UINT32' END AS array_offset_type, CASE p WHEN 'b' THEN 4 END::BIGINT AS string_offsets, 'UINT32' AS string_offset_type FROM supplier, (SELECT unnest(['a', 'b']) AS p)
+UNION ALL SELECT s_suppkey, 1, 'none', 0, NULL, NULL, NULL, 'UINT32', NULL, 'UINT32' FROM supplier""")
+def property_tables(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit('{"propertyTables":[{"class":"c'), (F.col("s_suppkey") % 3).cast("string"), F.lit('","count":'), k, F.lit(',"properties":{"a":{"values":1,"arrayOffsetType":"UINT8","arrayOffsets":'), k, F.lit('},"b":{"values":2,"stringOffsets":4}}},{"class":"none","count":0}]}'))
+    return metadata.property_tables(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.parse_json(text).alias("doc")))
+
+
+@query("""
+SELECT s_suppkey AS id, 'c' AS class_id, s_suppkey AS count, 'h' AS property_id, s_suppkey::VARCHAR AS min, '[1,2.5]' AS max, '0.5' AS mean, NULL AS median, '2' AS standard_deviation, '4' AS variance, NULL AS sum, 'x=' || s_suppkey || ',y=0' AS occurrences FROM supplier""")
+def property_statistics(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit('{"classes":{"c":{"count":'), k, F.lit(',"properties":{"h":{"min":'), k, F.lit(',"max":[1,2.5],"mean":0.5,"standardDeviation":2,"variance":4,"occurrences":{"y":0,"x":'), k, F.lit("}}}}}}"))
+    rows = metadata.statistics(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.parse_json(text).alias("doc")))
+    found = F.array_join(F.transform(F.array_sort(F.map_entries("occurrences")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return rows.select("id", "class_id", "count", "property_id", *(F.to_json(c).alias(c) for c in ("min", "max", "mean", "median", "standard_deviation", "variance", "sum")), found.alias("occurrences"))
+
+
+@query("""
+SELECT s_suppkey AS id, k AS key, CASE k WHEN 'a' THEN s_suppkey::VARCHAR ELSE '"' || s_name || '"' END AS value, '"x"' AS meta FROM supplier, (SELECT unnest(['a', 'b']) AS k)""")
+def open_members(spark, sf_dir):
+    """The free members of an open object, and of one inside it."""
+    text = F.concat(F.lit('{"a":'), F.col("s_suppkey").cast("string"), F.lit(',"b":"'), "s_name", F.lit('","extras":1,"extensions":{"E":{}}}'))
+    docs = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.parse_json(text).alias("doc"))
+    style = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.parse_json(F.lit('{"meta":{"description":"x","extras":2}}')).alias("doc"))
+    inner = metadata.open_map(style, "meta").select("id", F.to_json("value").alias("meta"))
+    return metadata.open_map(docs).select("id", "key", F.to_json("value").alias("value")).join(inner, "id")
+
+
+@query(f"""
+SELECT c_custkey AS id, sum({sql_hex_bit("h", "8 + k")})::BIGINT AS tiles FROM (SELECT c_custkey, md5((c_custkey % 50)::VARCHAR) AS h FROM customer), unnest(range(21)) AS u(k) GROUP BY c_custkey""")
+def external_buffers(spark, sf_dir):
+    """Subtrees whose bits lie in buffers of their own, given as a table by address; fifty of them are shared by all."""
+    c, name = read(spark, sf_dir, "customer"), F.concat(F.lit("buffers/"), (F.col("c_custkey") % 50).cast("string"), F.lit(".bin"))
+    text = F.concat(F.lit('{"bufferViews":[{"buffer":0,"byteOffset":1,"byteLength":3}],"buffers":[{"byteLength":16,"uri":"'), name, F.lit('"}],"tileAvailability":{"bitstream":0},"childSubtreeAvailability":{"constant":0}}'))
+    external = c.select((F.col("c_custkey") % 50).cast("string").alias("k")).distinct().select(F.concat(F.lit("buffers/"), "k", F.lit(".bin")).alias("uri"), F.unhex(F.md5("k")).alias("bytes"))
+    loaded = subtrees.decode(c.select(F.col("c_custkey").alias("id"), F.encode(text, "UTF-8").alias("content")), external)
+    return loaded.select("id", bits.rank_before(F.col("tile.bits"), F.lit(21)).cast("bigint").alias("tiles"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extensions
-from .tilesets import field
+from .tilesets import field, member_of
 
 # Defaults of the format.
 ENUM_VALUE_TYPE, OFFSET_TYPE, POINT_SIZE, COLOR, SHOW = "UINT16", "UINT32", "1.0", "color('#FFFFFF')", "true"
@@ -35,25 +35,39 @@ def listed(v: Column, path: str) -> Column:
     return F.coalesce(field(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
+def open_members(v: Column) -> list[Column]:
+    """extensions and extras (VARIANT) of an object; null where absent or empty."""
+    found = field(v, "extensions", "variant")
+    return [F.when(F.size(field(v, "extensions", "map<string,variant>")) > 0, found).alias("extensions"), member_of(v, "extras").alias("extras")]
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """id, class_id, name, description, n_properties."""
+    """id, class_id, name, description, n_properties, extensions, extras."""
     rows = docs.select("id", F.explode(entries(F.col("doc"), "classes")).alias("c"))
-    return rows.select("id", F.col("c.key").alias("class_id"), field(F.col("c.value"), "name", "string").alias("name"), field(F.col("c.value"), "description", "string").alias("description"), F.size(entries(F.col("c.value"), "properties")).alias("n_properties"))
+    return rows.select("id", F.col("c.key").alias("class_id"), field(F.col("c.value"), "name", "string").alias("name"), field(F.col("c.value"), "description", "string").alias("description"), F.size(entries(F.col("c.value"), "properties")).alias("n_properties"), *open_members(F.col("c.value")))
 
 
 def class_properties(docs: DataFrame) -> DataFrame:
-    """id, class_id, property_id, the columns of PROPERTY, and FLAGS (false unless given)."""
+    """id, class_id, property_id, the columns of PROPERTY, FLAGS (false unless given), extensions, extras."""
     rows = docs.select("id", F.explode(entries(F.col("doc"), "classes")).alias("c")).select("id", F.col("c.key").alias("class_id"), F.explode(entries(F.col("c.value"), "properties")).alias("p"))
     v = F.col("p.value")
-    return rows.select("id", "class_id", F.col("p.key").alias("property_id"), *(field(v, k, ddl).alias(c) for c, k, ddl in PROPERTY), *(F.coalesce(field(v, k, "boolean"), F.lit(False)).alias(k) for k in FLAGS))
+    return rows.select("id", "class_id", F.col("p.key").alias("property_id"), *(field(v, k, ddl).alias(c) for c, k, ddl in PROPERTY), *(F.coalesce(field(v, k, "boolean"), F.lit(False)).alias(k) for k in FLAGS), *open_members(v))
+
+
+def enum_heads(docs: DataFrame) -> DataFrame:
+    """id, enum_id, name, description, value_type, extensions, extras."""
+    rows = docs.select("id", F.explode(entries(F.col("doc"), "enums")).alias("e"))
+    v = F.col("e.value")
+    kind = F.coalesce(field(v, "valueType", "string"), F.lit(ENUM_VALUE_TYPE))
+    return rows.select("id", F.col("e.key").alias("enum_id"), *(field(v, k, "string").alias(k) for k in ("name", "description")), kind.alias("value_type"), *open_members(v))
 
 
 def enums(docs: DataFrame) -> DataFrame:
-    """id, enum_id, value_type, ord, name, value."""
+    """id, enum_id, value_type, ord, name, value, description, extensions, extras: a row for each value of an enum."""
     rows = docs.select("id", F.explode(entries(F.col("doc"), "enums")).alias("e"))
     kind = F.coalesce(field(F.col("e.value"), "valueType", "string"), F.lit(ENUM_VALUE_TYPE))
     rows = rows.select("id", F.col("e.key").alias("enum_id"), kind.alias("value_type"), F.posexplode(listed(F.col("e.value"), "values")).alias("ord", "v"))
-    return rows.select("id", "enum_id", "value_type", "ord", field(F.col("v"), "name", "string").alias("name"), field(F.col("v"), "value", "bigint").alias("value"))
+    return rows.select("id", "enum_id", "value_type", "ord", field(F.col("v"), "name", "string").alias("name"), field(F.col("v"), "value", "bigint").alias("value"), field(F.col("v"), "description", "string").alias("description"), *open_members(F.col("v")))
 
 
 def entity(v: Column) -> Column:
@@ -106,6 +120,12 @@ def styles(docs: DataFrame) -> DataFrame:
     )
 
 
+def open_map(docs: DataFrame, path: str = "") -> DataFrame:
+    """id, key, value (VARIANT): the free members of an open object, as an extension or a style's meta is one, but for its extensions and extras."""
+    rows = docs.select("id", F.explode(F.filter(entries(F.col("doc"), path), lambda e: ~e["key"].isin("extensions", "extras"))).alias("e"))
+    return rows.select("id", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
+
+
 def conditions(docs: DataFrame, key: str = "color") -> DataFrame:
     """id, ord, condition, result of a style's conditional colour or visibility."""
     rows = docs.select("id", F.posexplode(F.coalesce(field(F.col("doc"), f"{key}.conditions", "array<array<string>>"), F.array().cast("array<array<string>>"))).alias("ord", "c"))
@@ -128,18 +148,21 @@ def dictionary(rows: DataFrame, keys: list[str], name: str, text: Column, to: st
 
 
 def write_schema(docs: DataFrame) -> DataFrame:
-    """id, json: schemas written anew, with defaults written out and what is empty left out."""
+    """id, json: schemas written anew, with defaults (and a property's type, even if null) written out and what is empty left out."""
     object_ = lambda *members: F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*members)), ","), F.lit("}"))
+    said = lambda *names: [member(k, F.when(F.col(k).isNotNull(), quoted(F.col(k)))) for k in names]
+    more = [member(k, F.to_json(k)) for k in ("extensions", "extras")]
     p = class_properties(docs)
     value = lambda c, ddl: F.to_json(c) if ddl == "variant" else quoted(F.col(c)) if ddl == "string" else F.col(c).cast("string")
-    text = object_(*(member(k, F.when(F.col(c).isNotNull(), value(c, ddl))) for c, k, ddl in PROPERTY), *(member(k, F.col(k).cast("string")) for k in FLAGS))
-    properties = dictionary(p, ["id", "class_id"], "property_id", text, "properties")
+    given = [member(k, F.coalesce(F.when(F.col(c).isNotNull(), value(c, ddl)), F.lit("null") if k == "type" else F.lit(None).cast("string"))) for c, k, ddl in PROPERTY]
+    properties = dictionary(p, ["id", "class_id"], "property_id", object_(*given, *(member(k, F.col(k).cast("string")) for k in FLAGS), *more), "properties")
     c = classes(docs).join(properties, ["id", "class_id"], "left")
-    described = lambda: (member("description", F.when(F.col("description").isNotNull(), quoted(F.col("description")))), member("name", F.when(F.col("name").isNotNull(), quoted(F.col("name")))))
-    c = dictionary(c, ["id"], "class_id", object_(*described(), member("properties", F.col("properties"))), "classes")
-    one = F.concat(F.lit('{"name":'), quoted(F.col("name")), F.lit(',"value":'), F.col("value").cast("string"), F.lit("}"))
-    values = enums(docs).groupBy("id", "enum_id", "value_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("t")))), lambda v: v["t"]), ",").alias("values"))
-    e = dictionary(values, ["id"], "enum_id", F.concat(F.lit('{"valueType":'), quoted(F.col("value_type")), F.lit(',"values":['), "values", F.lit("]}")), "enums")
-    head = docs.select("id", *(field(F.col("doc"), k, "string").alias(k) for k in ("name", "description", "version")), field(F.col("doc"), "id", "string").alias("schema_id"))
-    version = member("version", F.when(F.col("version").isNotNull(), quoted(F.col("version"))))
-    return head.join(c, "id", "left").join(e, "id", "left").select("id", object_(member("classes", F.col("classes")), described()[0], member("enums", F.col("enums")), member("id", quoted(F.col("schema_id"))), described()[1], version).alias("json"))
+    c = dictionary(c, ["id"], "class_id", object_(*said("description", "name"), member("properties", F.col("properties")), *more), "classes")
+    one = object_(*said("description", "name"), member("value", F.col("value").cast("string")), *more)
+    values = enums(docs).groupBy("id", "enum_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("t")))), lambda v: v["t"]), ",").alias("values"))
+    e = enum_heads(docs).join(values, ["id", "enum_id"], "left")
+    text = object_(*said("description", "name"), member("valueType", quoted(F.col("value_type"))), member("values", F.concat(F.lit("["), F.coalesce("values", F.lit("")), F.lit("]"))), *more)
+    e = dictionary(e, ["id"], "enum_id", text, "enums")
+    head = docs.select("id", *(field(F.col("doc"), k, "string").alias(k) for k in ("name", "description", "version")), field(F.col("doc"), "id", "string").alias("schema_id"), *open_members(F.col("doc")))
+    whole = object_(member("classes", F.col("classes")), *said("description"), member("enums", F.col("enums")), member("id", quoted(F.col("schema_id"))), *said("name", "version"), *more)
+    return head.join(c, "id", "left").join(e, "id", "left").select("id", whole.alias("json"))

@@ -1,26 +1,34 @@
 """Tile-tree documents: parse, flatten to one row a tile or content, and nest again.
 
-A document is a row (tileset_id, json). parse() keeps the raw tree as VARIANT beside the header columns. flatten() walks
-it level by level: each round opens the children of one depth of all documents at once, so work is spread over the
-tiles of a level, and lineage is cut at each level in the shared folder. Paths, arrays of child positions, sort in
+A document is a row (tileset_id, json). parse() keeps the raw tree as VARIANT beside the header columns, checks every member
+of the document and of all its tiles against the format's types, and so walks the tree; flatten() gives the tiles that it met.
+The walk opens STRIDE levels of all documents in one job, so work is spread over the tiles; tiles are stored once, and
+what lies below them once in STRIDE levels. Paths, arrays of child positions, sort in
 pre-order. Documents that can't be read stay as rows with error_code.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import settle
+from ..storage import discard, settle
+from . import members
 
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 VOLUME = "struct<box:array<double>,region:array<double>,sphere:array<double>>"
-MOST_LEVELS = 1000
-#: Members of tiles that no other column holds.
-REST = "struct<viewerRequestVolume:variant,metadata:variant,extras:variant,boundingVolume:struct<extensions:variant,extras:variant>,implicitTiling:struct<extensions:variant,extras:variant,subtrees:struct<extensions:variant,extras:variant>>>"
+STRIDE = 4
+# What errors call a document that has no address, and what is said of an empty version.
+SLICE, READER, VALIDATED = "<slice>", "<reader>", "<tileset>"
+NO_VERSION = "asset.version is required and must not be empty"
+#: Tiles deeper than this make their document unreadable: with a volume, they'd lie in more than 127 objects and arrays, the most that the format's reader opens.
+MOST_LEVELS = 62
+#: Members of tiles that no other column holds; single: whether the first content was the `content`, not one of the `contents`.
+REST = "struct<single:boolean,viewerRequestVolume:variant,metadata:variant,extras:variant,boundingVolume:struct<extensions:variant,extras:variant>,implicitTiling:struct<extensions:variant,extras:variant,subtrees:struct<extensions:variant,extras:variant>>>"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -38,63 +46,91 @@ def member_of(v: Column, path: str) -> Column:
     return F.when(~F.is_variant_null(found), found)
 
 
-def more_of(v: Column, path: str) -> Column:
-    return F.struct(*(member_of(v, f"{path}.{k}").alias(k) for k in ("extensions", "extras")))
+def more_of(v: Column, path: str = "") -> list[Column]:
+    return [member_of(v, f"{path}{k}").alias(k) for k in ("extensions", "extras")]
 
 
-def parse(documents: DataFrame) -> DataFrame:
+def parse(documents: DataFrame, label: str | None = None) -> DataFrame:
     """tileset_id, doc (VARIANT), version, geometric_error, extensions_used, extensions_required, error_code, error_detail.
 
-    error_code is `json` for text that is no JSON object with the required fields, `parse` for an empty version.
+    error_code is `json` for text that is no JSON, or in which a member of the document or of any of its tiles is missing or of a
+    wrong type (error_detail names the first), and `parse` for an empty version. Errors call a document by label (SLICE
+    for text in memory, READER for a stream), or else by its tileset_id.
     """
     read_ = documents.select("tileset_id", F.try_parse_json("json").alias("doc"))
-    names = lambda k: F.coalesce(field(F.col("doc"), k, "array<string>"), F.array().cast("array<string>"))
-    columns = read_.select(
-        "tileset_id", "doc", field(F.col("doc"), "asset.version", "string").alias("version"), field(F.col("doc"), "geometricError", "double").alias("geometric_error"),
-        names("extensionsUsed").alias("extensions_used"), names("extensionsRequired").alias("extensions_required"), field(F.col("doc"), "root", "variant").alias("root"),
-    )
-    root = F.col("root")
-    lacking = F.col("version").isNull() | F.col("geometric_error").isNull() | field(root, "geometricError", "double").isNull() | field(root, "boundingVolume", "variant").isNull()
-    code = F.when(F.col("doc").isNull() | lacking, "json").when(F.col("version") == "", "parse")
-    detail = F.when(code == "json", F.concat(F.lit("unreadable document: "), F.col("tileset_id").cast("string"))).when(code == "parse", "asset.version is required and must not be empty")
-    return columns.select("tileset_id", "doc", "version", "geometric_error", "extensions_used", "extensions_required", code.alias("error_code"), detail.alias("error_detail"))
-
-
-def tile_columns(v: Column) -> list[Column]:
-    """Columns of a tile from its VARIANT. An absent transform is the identity."""
-    number = lambda k: field(v, k, "double")
-    volume = F.struct(*(field(v, f"boundingVolume.{k}", "array<double>").alias(k) for k in ("box", "region", "sphere")))
-    one, more = field(v, "content", "variant"), F.coalesce(field(v, "contents", "array<variant>"), F.array().cast("array<variant>"))
+    doc = F.col("doc")
+    names = lambda k: F.coalesce(field(doc, k, "array<string>"), F.array().cast("array<string>"))
+    fault = F.when(doc.isNull(), F.lit("")).otherwise(members.tileset_fault("doc"))
+    first = settle(read_.select(
+        "tileset_id", "doc", field(doc, "asset.version", "string").alias("version"), field(doc, "geometricError", "double").alias("geometric_error"),
+        names("extensionsUsed").alias("extensions_used"), names("extensionsRequired").alias("extensions_required"), fault.alias("fault"),
+    ), "documents")
+    tiles = walk(first.where("fault is null"))
+    wrong = tiles.where("fault is not null").groupBy(F.col("tileset_id").alias("_id")).agg(F.min_by("fault", "path").alias("_fault"))
+    joined = first.join(wrong, F.col("tileset_id") == F.col("_id"), "left").withColumn("fault", F.coalesce("fault", "_fault"))
+    code = F.when(F.col("fault").isNotNull(), "json").when(F.col("version") == "", "parse")
+    name = F.coalesce(F.lit(label), F.col("tileset_id").cast("string"), F.lit(""))
+    said = F.when(F.col("doc").isNull(), "no JSON").otherwise(F.concat(F.lit("missing or of a wrong type: "), F.col("fault")))
+    detail = F.when(code == "json", F.concat(F.lit("failed to parse "), name, F.lit(": "), said)).when(code == "parse", F.concat(F.lit(f"failed to parse {VALIDATED}: {NO_VERSION}")))
+    out = joined.select("tileset_id", "doc", F.when(F.col("fault").isNull(), F.col("version")).alias("version"), F.when(F.col("fault").isNull(), F.col("geometric_error")).alias("geometric_error"), "extensions_used", "extensions_required", code.alias("error_code"), detail.alias("error_detail"))
+    out.tiles = tiles
+    return out
+
+
+def tile_columns() -> list[Column]:
+    """Columns of a tile from its members (VARIANT columns). An absent transform is the identity."""
+    read_ = lambda k, ddl: F.try_variant_get(F.col(k), "$", ddl)
+    plain = lambda k: F.when(~F.is_variant_null(F.col(k)), F.col(k))
+    volume = F.struct(*(field(F.col("boundingVolume"), k, "array<double>").alias(k) for k in ("box", "region", "sphere")))
+    one, more = plain("content"), F.coalesce(read_("contents", "array<variant>"), F.array().cast("array<variant>"))
+    tiling = F.col("implicitTiling")
     return [
-        volume.alias("bounding_volume"), number("geometricError").alias("geometric_error"), field(v, "refine", "string").alias("refine"),
-        F.coalesce(field(v, "transform", "array<double>"), F.array(*map(F.lit, IDENTITY))).alias("transform"),
+        volume.alias("bounding_volume"), read_("geometricError", "double").alias("geometric_error"), read_("refine", "string").alias("refine"),
+        F.coalesce(read_("transform", "array<double>"), F.array(*map(F.lit, IDENTITY))).alias("transform"),
         F.concat(F.array_compact(F.array(one)), more).alias("contents"),
-        field(v, "implicitTiling", "struct<availableLevels:bigint,subdivisionScheme:string,subtreeLevels:bigint,subtrees:struct<uri:string>>").alias("implicit_tiling"),
-        field(v, "extensions", "map<string,variant>").alias("extensions"),
+        read_("implicitTiling", "struct<availableLevels:bigint,subdivisionScheme:string,subtreeLevels:bigint,subtrees:struct<uri:string>>").alias("implicit_tiling"),
+        read_("extensions", "map<string,variant>").alias("extensions"),
         F.struct(
-            *(member_of(v, k).alias(k) for k in ("viewerRequestVolume", "metadata", "extras")), more_of(v, "boundingVolume").alias("boundingVolume"),
-            F.struct(member_of(v, "implicitTiling.extensions").alias("extensions"), member_of(v, "implicitTiling.extras").alias("extras"), more_of(v, "implicitTiling.subtrees").alias("subtrees")).alias("implicitTiling"),
+            one.isNotNull().alias("single"), *(plain(k).alias(k) for k in ("viewerRequestVolume", "metadata", "extras")), F.struct(*more_of(F.col("boundingVolume"))).alias("boundingVolume"),
+            F.struct(*more_of(tiling), F.struct(*more_of(tiling, "subtrees.")).alias("subtrees")).alias("implicitTiling"),
         ).alias("rest"),
     ]
 
 
-def flatten(parsed: DataFrame) -> DataFrame:
-    """One row a tile: tileset_id, path, depth, ord (position among its siblings), and the tile's columns."""
-    level = parsed.where("error_code is null").select("tileset_id", F.array().cast("array<int>").alias("path"), F.lit(0).alias("ord"), field(F.col("doc"), "root", "variant").alias("tile"))
+def walk(documents: DataFrame) -> DataFrame:
+    """tileset_id, path, depth, ord, the tile's columns, and fault: which member isn't as the format has it, if any. documents: tileset_id, doc."""
+    base = settle(documents.select("tileset_id", F.array().cast("array<int>").alias("path"), F.lit(0).alias("ord"), field(F.col("doc"), "root", "variant").alias("tile")), "level")
+
+    def below(level: DataFrame) -> DataFrame:
+        children = level.select("tileset_id", "path", F.posexplode(field(F.col("tile"), "children", "array<variant>")).alias("ord", "child"))
+        return children.select("tileset_id", F.array_append("path", F.col("ord")).alias("path"), "ord", F.col("child").alias("tile"))
+
+    def opened(level: DataFrame) -> DataFrame:
+        """Each tile's own members, as they are written."""
+        return level.select("tileset_id", "path", "ord", *(field(F.col("tile"), k, "variant").alias(k) for k in members.TILE), members.odd_fault("tile").alias("odd"))
+
     found = []
-    for _ in range(MOST_LEVELS):
-        level = settle(level, "level")
-        if level.isEmpty():
+    for _ in range(0, MOST_LEVELS + 2, STRIDE):
+        levels = [base]
+        while len(levels) < STRIDE:
+            levels.append(below(levels[-1]))
+        found.append(settle(reduce(DataFrame.union, map(opened, levels)), "tiles"))
+        last, base = base, settle(below(levels[-1]), "level")
+        discard(last)
+        if base.isEmpty():
             break
-        found.append(level)
-        below = level.select("tileset_id", "path", F.posexplode(field(F.col("tile"), "children", "array<variant>")).alias("ord", "child"))
-        level = below.select("tileset_id", F.array_append("path", F.col("ord")).alias("path"), "ord", F.col("child").alias("tile"))
-    else:
-        raise ValueError(f"a tree is deeper than {MOST_LEVELS} levels")
-    all_ = (found or [level])[0]
-    for other in found[1:]:
-        all_ = all_.union(other)
-    return all_.select("tileset_id", "path", F.size("path").alias("depth"), "ord", *tile_columns(F.col("tile")))
+    discard(base)
+    too_deep = F.when(F.size("path") > MOST_LEVELS, F.lit("nested too deep"))
+    fault = F.coalesce(too_deep, members.tile_fault("array_join(concat(array('root'), transform(path, i -> concat('children.', i))), '.')"))
+    return reduce(DataFrame.union, found).select("tileset_id", "path", F.size("path").alias("depth"), "ord", *tile_columns(), fault.alias("fault"))
+
+
+def flatten(parsed: DataFrame) -> DataFrame:
+    """One row a tile of the documents without an error: tileset_id, path, depth, ord (position among its siblings), and the tile's columns."""
+    fine = parsed.where("error_code is null").select("tileset_id", "doc")
+    tiles = getattr(parsed, "tiles", None)
+    tiles = walk(fine) if tiles is None else tiles.join(fine.select("tileset_id").distinct(), "tileset_id", "left_semi")
+    return tiles.drop("fault")
 
 
 def contents(tiles: DataFrame) -> DataFrame:
@@ -113,11 +149,12 @@ def tile_json(children: Column) -> Column:
     member = lambda name, text: F.when(text.isNotNull(), F.concat(F.lit(f'"{name}":'), text))
     listed = lambda texts: F.when(F.size(texts) > 0, F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
     texts = F.transform("contents", lambda c: F.to_json(c))
-    one = F.size(texts) == 1
+    single = F.coalesce(F.col("rest.single"), F.size(texts) == 1) & (F.size(texts) > 0)
+    more = F.when(single, F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0)))).otherwise(texts)
     return F.concat(
         F.lit("{"),
         F.array_join(F.array_compact(F.array(
-            member("boundingVolume", F.to_json(volume)), member("children", listed(children)), member("content", F.when(one, texts[0])), member("contents", F.when(~one, listed(texts))),
+            member("boundingVolume", F.to_json(volume)), member("children", listed(children)), member("content", F.when(single, F.get(texts, F.lit(0)))), member("contents", listed(more)),
             member("geometricError", F.col("geometric_error").cast("string")),
             member("implicitTiling", F.when(F.col("implicit_tiling").isNotNull(), F.to_json(implicit))), member("metadata", F.to_json("rest.metadata")),
             member("refine", F.when(F.col("refine").isNotNull(), F.concat(F.lit('"'), "refine", F.lit('"')))),

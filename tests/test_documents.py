@@ -32,21 +32,67 @@ def test_diagnostics(spark):
     p = parsed(spark, doc(geometricError=-1.0, root={"geometricError": -2.5}, extensionsRequired=["EXT_a", "EXT_b"], extensionsUsed=["EXT_b"]), doc())
     got = [(r.ord, r.code, r.path) for r in validate.diagnostics(p).orderBy("ord").collect()]
     assert got == [(0, "tileset.negative_geometric_error", "geometricError"), (1, "tile.negative_geometric_error", "root.geometricError"), (2, "tileset.required_extension_not_used", "extensionsRequired[0]")]
-    assert [r.message for r in validate.diagnostics(p).orderBy("ord").collect()][0] == "geometricError is negative (-1); expected >= 0"
+    assert [r.message for r in validate.diagnostics(p).orderBy("ord").collect()][:2] == ["geometricError is negative (-1); expected >= 0", "root.geometricError is negative (-2.5); expected >= 0"]
+
+
+def test_wrongly_typed_members_anywhere(spark):
+    deep = lambda bad: doc(root={"children": [leaf("a"), leaf("b", children=[leaf("c", **bad)])]})
+    cases = [
+        (deep({}), None), (deep({"refine": "add"}), "root.children.1.children.0.refine"), (deep({"transform": None}), "root.children.1.children.0.transform"), (deep({"geometricError": None}), "root.children.1.children.0.geometricError"),
+        (deep({"content": {"uri": 5}}), "root.children.1.children.0.content.uri"), (deep({"content": None}), None), (deep({"children": None, "contents": None, "metadata": None}), None), (deep({"children": {}}), "root.children.1.children.0.children"),
+        (deep({"children": [3]}), "root.children.1.children.0.children.0"), (deep({"implicitTiling": {"availableLevels": -1, "subdivisionScheme": "Octree", "subtreeLevels": 1, "subtrees": {"uri": "u"}}}), "root.children.1.children.0.implicitTiling.availableLevels"),
+        (deep({"boundingVolume": {"sphere": [0, 0, 0, "1"]}}), "root.children.1.children.0.boundingVolume.sphere"), (deep({"boundingVolume": {"region": None}}), None), (deep({"unknown": "is ignored"}), None),
+        (doc(groups=[{"class": 1}, 2]), "groups.1"), (doc(properties={"h": {"maximum": 1}}), "properties.h.minimum"), (doc(schema={"id": "s", "enums": {"E": {"values": [{"name": "n", "value": 1.5}]}}}), "schema.enums.E.values.0.value"),
+        (doc(statistics={"classes": {"c": {"count": -1}}}), "statistics.classes.c.count"), (doc(metadata={"properties": {}}), "metadata.class"), (doc(extensionsRequired=["a", 1]), "extensionsRequired.1"), ([], ""), (doc(extras=None), None),
+    ]
+    got = parsed(spark, *(d for d, _ in cases)).orderBy("tileset_id").collect()
+    for r, (_, path) in zip(got, cases, strict=True):
+        assert r.error_code == (None if path is None else "json"), (r, path)
+        assert path is None or r.error_detail == f"failed to parse {r.tileset_id}: missing or of a wrong type: {path}"
+    tiles = tilesets.flatten(parsed(spark, *(d for d, _ in cases)))
+    assert {r.tileset_id for r in tiles.select("tileset_id").collect()} == {i for i, (_, path) in enumerate(cases) if path is None}
+
+
+def test_errors_name_their_source(spark):
+    rows = spark.createDataFrame([(1, "no"), (2, json.dumps(doc(asset={"version": ""})))], "tileset_id long, json string")
+    for label in (tilesets.SLICE, tilesets.READER):
+        got = tilesets.parse(rows, label).orderBy("tileset_id").collect()
+        assert got[0].error_detail == f"failed to parse {label}: no JSON" and got[1].error_detail.startswith("failed to parse <tileset>: ")
+
+
+def test_deep_documents_are_rows_with_an_error(spark):
+    def nested(n):
+        tile = leaf("x")
+        for _ in range(n):
+            tile = leaf("x", children=[tile])
+        return {**doc(), "root": tile}
+
+    p = parsed(spark, nested(5), nested(tilesets.MOST_LEVELS), nested(tilesets.MOST_LEVELS + 1), nested(300), doc())
+    assert [r.error_code for r in p.orderBy("tileset_id").collect()] == [None, None, "json", "json", None]
+    counts = {r.tileset_id: r["count"] for r in tilesets.flatten(p).groupBy("tileset_id").count().collect()}
+    assert counts == {0: 6, 1: tilesets.MOST_LEVELS + 1, 4: 1}
+
+
+def test_schemes_that_a_loader_lacks(spark):
+    from terrashard.operators.errors import scheme_error
+
+    got = spark.createDataFrame([("Quadtree",), ("S2",), ("kd",), (None,)], "s string").select(scheme_error(F.col("s")).alias("e"), scheme_error(F.col("s"), ("octree",)).alias("o")).collect()
+    assert [r.e and r.e.error_code for r in got] == [None, None, "unsupported_implicit_subdivision", "unsupported_implicit_subdivision"] and all(r.o for r in got)
+    assert got[2].e.error_detail == "unsupported implicit subdivision scheme: kd"
 
 
 def leaf(uri, **more):
     return {"boundingVolume": VOLUME, "geometricError": 0, "content": {"uri": uri}, **more}
 
 
-TREE = doc(root={"content": {"uri": "root.glb"}, "children": [leaf("child_a.glb", children=[leaf("deep.glb")]), leaf("child_b.glb", contents=[{"uri": "more.glb", "group": 3}])]})
+TREE = doc(root={"content": {"uri": "top.glb"}, "children": [leaf("left.b3dm", children=[leaf("deep.glb")]), leaf("right.pnts", contents=[{"uri": "more.glb", "group": 3}])]})
 
 
 def test_traversal_is_in_pre_order(spark):
     tiles = tilesets.flatten(parsed(spark, TREE, "broken"))
     assert tiles.count() == 4 and tiles.where(F.size("transform") == 16).count() == 4
     found = tilesets.contents(tiles).orderBy("tileset_id", "path", "content_ord").collect()
-    assert [r.uri for r in found] == ["root.glb", "child_a.glb", "deep.glb", "child_b.glb", "more.glb"] and found[-1].group == 3
+    assert [r.uri for r in found] == ["top.glb", "left.b3dm", "deep.glb", "right.pnts", "more.glb"] and found[-1].group == 3
     assert tilesets.flatten(parsed(spark, "broken")).count() == 0
 
 
@@ -58,7 +104,7 @@ def test_write_reads_back_the_same(spark):
     plain = lambda df: sorted(map(str, df.withColumns({"contents": F.to_json("contents"), "extensions": F.to_json("extensions")}).collect()))
     assert plain(tilesets.flatten(again)) == plain(tiles)
     written = json.loads(tilesets.write(p, tiles).where("tileset_id = 0").first().json)
-    assert [c["content"]["uri"] if "content" in c else c["contents"][0]["uri"] for c in written["root"]["children"]] == ["child_a.glb", "child_b.glb"]
+    assert [c["content"]["uri"] if "content" in c else c["contents"][0]["uri"] for c in written["root"]["children"]] == ["left.b3dm", "right.pnts"]
     assert "children" not in written["root"]["children"][1] and "refine" not in written["root"]["children"][1]
 
 
@@ -145,10 +191,12 @@ def test_pretty(spark):
 def test_schema_write_reads_back_the_same(spark):
     from terrashard.sources import metadata
 
-    given = {"id": "s", "classes": {"B": {"name": 'B "q"', "properties": {"h": {"type": "SCALAR", "componentType": "FLOAT32", "min": [1, 2.5], "noData": "x", "required": True}}}, "A": {}}, "enums": {"E": {"values": [{"name": "n", "value": -3}]}}}
+    given = {"id": "s", "extras": [1], "classes": {"B": {"name": 'B "q"', "extensions": {"X": {"a": 1}}, "properties": {"h": {"type": "SCALAR", "componentType": "FLOAT32", "min": [1, 2.5], "noData": "x", "required": True, "extras": {"k": None}}, "t": {}}}, "A": {}}, "enums": {"E": {"description": "d", "values": [{"name": "n", "value": -3, "description": "minus three", "extras": 5}]}, "F": {"values": [], "extensions": {"Y": 2}}}}
     df = spark.createDataFrame([(1, json.dumps(given))], "id long, j string").select("id", F.parse_json("j").alias("doc"))
     written = json.loads(metadata.write_schema(df).first().json)
     p = written["classes"]["B"]["properties"]["h"]
     assert (p["array"], p["normalized"], p["required"], p["min"], p["noData"]) == (False, False, True, [1, 2.5], "x")
     assert written["classes"]["B"]["name"] == 'B "q"' and "properties" not in written["classes"]["A"]
-    assert written["enums"]["E"] == {"valueType": "UINT16", "values": [{"name": "n", "value": -3}]} and written["id"] == "s"
+    assert p["extras"] == {"k": None} and written["classes"]["B"]["properties"]["t"] == {"type": None, "array": False, "normalized": False, "required": False}
+    assert written["classes"]["B"]["extensions"] == {"X": {"a": 1}} and written["extras"] == [1] and written["id"] == "s"
+    assert written["enums"] == {"E": {"description": "d", "valueType": "UINT16", "values": [{"name": "n", "value": -3, "description": "minus three", "extras": 5}]}, "F": {"valueType": "UINT16", "values": [], "extensions": {"Y": 2}}}

@@ -103,7 +103,9 @@ def test_available_tiles_as_rows(spark):
     assert sorted((r.rel_level, r.rel_morton) for r in availability.tiles(df, 2).collect()) == [(0, 0), (1, 0), (1, 3)]
 
 
-@pytest.mark.parametrize(("url", "external"), [("tileset.json", 1), ("TILESET.JSON?token=x#root", 1), ("a.tileset.gltf", 1), ("a.tileset.glb", 1), ("tile.glb", 0), ("tile.gltf", 0), ("tile.b3dm", 0), ("tile.bin?name=.json", 0)])
+@pytest.mark.parametrize(("url", "external"), [
+    ("http://h/World.Json", 1), ("x.json#a?b", 1), ("deep/er/.json", 1), ("q.TileSet.GLTF?v=2", 1), ("q.tileset.glb#t", 1), ("json", 0), ("x.json/", 0), ("q.tileset.glb.bin", 0), ("tileset.gltf2", 0), ("q.glb#.json", 0), ("q.pnts?.json", 0), ("", 0),
+])
 def test_external_tilesets(spark, url, external):
     assert one(spark, classify.is_external_tileset(F.lit(url))).c0 == bool(external)
 
@@ -120,24 +122,35 @@ def test_flags(spark):
 
 
 def test_extension_payloads(spark):
-    m = F.create_map(F.lit("TEST"), F.parse_json(F.lit('{"value": 42}')), F.lit("BAD"), F.parse_json(F.lit('{"wrong": true}')))
-    ddl = "struct<value:bigint>"
+    m = F.create_map(F.lit("TEST"), F.parse_json(F.lit('{"n": 11, "more": [1]}')), F.lit("BAD"), F.parse_json(F.lit('{"n": "eleven"}')))
+    ddl = "struct<n:bigint>"
     r = one(
-        spark, extensions.payload(m, "TEST", ddl, ("value",))["value"], extensions.payload(m, "BAD", ddl, ("value",)), extensions.payload(m, "NONE", ddl), extensions.has(m, "BAD"), extensions.has(extensions.remove(m, "BAD"), "BAD"),
-        extensions.payload(extensions.put(m, "TEST", F.parse_json(F.lit('{"value": 7}'))), "TEST", ddl)["value"], F.size(extensions.put(m, "TEST", F.parse_json(F.lit("1")))),
+        spark, extensions.payload(m, "TEST", ddl, ("n",))["n"], extensions.payload(m, "BAD", ddl, ("n",)), extensions.payload(m, "NONE", ddl), extensions.has(m, "BAD"), extensions.has(extensions.remove(m, "BAD"), "BAD"),
+        extensions.payload(extensions.put(m, "TEST", F.parse_json(F.lit('{"n": 7}'))), "TEST", ddl)["n"], F.size(extensions.put(m, "TEST", F.parse_json(F.lit("1")))),
     )
-    assert tuple(r) == (42, None, None, True, False, 7, 2)
+    assert tuple(r) == (11, None, None, True, False, 7, 2)
     with pytest.raises(Exception, match="extension BAD"):
-        one(spark, extensions.payload(m, "BAD", ddl, ("value",), strict=True)["value"])
+        one(spark, extensions.payload(m, "BAD", ddl, ("n",), strict=True)["value"])
 
 
 def test_used_and_required(spark):
     none = F.array().cast("array<string>")
-    used, required = extensions.mark_required(none, none, "3DTILES_metadata")
-    r = one(spark, used, required, F.array_remove(required, "3DTILES_metadata"), extensions.unmark_used(used, required, "3DTILES_metadata")[0], extensions.mark_used(extensions.mark_used(none, "EXT_foo"), "EXT_foo"))
-    assert tuple(r) == (["3DTILES_metadata"], ["3DTILES_metadata"], [], [], ["EXT_foo"])
+    used, required = extensions.mark_required(none, none, "X_clouds")
+    r = one(spark, used, required, F.array_remove(required, "X_clouds"), extensions.unmark_used(used, required, "X_clouds")[0], extensions.mark_used(extensions.mark_used(none, "X_rain"), "X_rain"))
+    assert tuple(r) == (["X_clouds"], ["X_clouds"], [], [], ["X_rain"])
 
 
 def test_first_of_equal_keys_stays(spark):
-    e = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("b", 1), ("a", 2), ("b", 3))))
-    assert list(one(spark, extensions.sorted_map(e)).c0.items()) == [("a", 2), ("b", 1)]
+    e = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("b", 1), ("a", 2), ("b", 3), ("", 4), ("a", 5), ("b", 0))))
+    assert list(one(spark, extensions.sorted_map(e)).c0.items()) == [("", 4), ("a", 2), ("b", 1)]
+    assert one(spark, extensions.sorted_map(F.array().cast("array<struct<key:string,value:int>>"))).c0 == {}
+
+
+def test_ranges_wider_than_their_level(spark):
+    data = [(1, 1, 0, 0, 2**32 - 1, 2**32 - 1), (2, 30, 0, 0, 2**32 - 1, 2**32 - 1), (3, 1, 5, 0, 9, 9), (4, 0, -4, -4, 7, 7), (5, 1, 1, 1, 1, 1), (6, 1, 0, 1, 0, 1)]
+    ranges = spark.createDataFrame([(i, 0, *r) for i, *r in data], "range_id long, id int, level long, min_x long, min_y long, max_x long, max_y long")
+    stream = spark.range(1).select(F.lit(0).alias("id"), bits.bitstream(F.lit(bytes([0b01001]))).alias("tile"))
+    got = {r.range_id: r.any_available for r in availability.any_in_range(stream, ranges).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True}
+    every = spark.range(1).select(F.lit(0).alias("id"), bits.constant(True).alias("tile"))
+    assert {r.range_id: r.any_available for r in availability.any_in_range(every, ranges).collect()} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True}
