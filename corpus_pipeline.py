@@ -41,8 +41,7 @@ def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs)
-    ledger = settle(quality_rules.ledger(by_row(rows)), "ledger")  # stored, so that the policy's filter isn't pushed into the measuring
-    return without(rows, quality_rules.decide(ledger).where("not kept"))
+    return without(rows, quality_rules.decide(quality_rules.ledger(by_row(rows))).where("not kept"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

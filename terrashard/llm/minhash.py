@@ -292,9 +292,12 @@ def near_rows(docs: DataFrame, *, k: int = K, m: int = M, percent: int = PERCENT
     signed = settle(signatures(docs, k), "signed")
     key = ["fp1", "fp2", "n_shingles"]
     classes = settle(signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig")), "classes")
-    found = components(links(docs, classes, k, m, percent))
+    linked = links(docs, classes, k, m, percent)
+    found = components(linked)
     named = classes.drop("sig").join(found, F.col("doc_id") == F.col("node"), "left").select(*key, F.coalesce("component", "doc_id").alias("component"))
-    return signed.drop("sig").join(named.hint("merge"), key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = settle(signed.drop("sig").join(named.hint("merge"), key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "near_rows")
+    discard(signed, classes, linked)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, k: int = K, m: int = M, percent: int = PERCENT) -> DataFrame:

@@ -5,7 +5,6 @@ import os
 import duckdb
 import numpy as np
 import pytest
-from helpers import awkward, clashing, frame
 from test_minhash import brute
 from test_rules_mix_chat import measure, targets
 
@@ -83,16 +82,6 @@ def test_packing(stages):
     assert max(used.values()) <= 2048 and len(used) * 2048 <= 1.02 * sum(used.values()) + 2048
 
 
-def test_stages_take_awkward_rows(spark):
-    """All stages but language ID, whose training needs labels, on the awkward rows and on none."""
-    for data in (awkward(), []):
-        docs = clashing(frame(spark, data))
-        for name, stage in corpus_pipeline.STAGES:
-            if name != "language ID":
-                out = stage(spark, docs, SF)
-                assert out.count() <= 400 and (name == "packing" or out.columns == docs.columns)
-
-
 def test_every_policy_is_a_mask():
     assert all(quality_rules.mask(p) & 3 == 3 for p in quality_rules.POLICIES)
 
