@@ -23,13 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import BROADCAST_ROWS, settle
 
 #: Header fields that a 304 may send to update a stored response (fixed values of RFC 9110, section 15.4.5, and Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Captures in a slice of time, on average.
 SLICE_ROWS = 20_000
 MOST_SLICES = 100_000
+#: Revisits that share a copy of their response, on average.
+SLOT = 256
 HEADERS = "map<string,string>"
 
 
@@ -97,13 +99,20 @@ def resolve(captures: DataFrame) -> DataFrame:
     tag, stored_tag = weak(F.col("etag")), weak(F.col("base.etag"))
     agree = F.when(tag.isNotNull() & stored_tag.isNotNull(), tag == stored_tag).otherwise(F.coalesce(F.col("last_modified") == F.col("base.last_modified"), F.lit(False)))
     outcome = F.when(F.col("ts").isNull() | F.col("canonical_url").isNull(), "no time or URL").when(F.col("base").isNull(), "no earlier response").when(agree, "resolved").otherwise("validators differ")
+    resolved = F.col("outcome") == "resolved"
     revisits = asof(captures).select("record_id", "canonical_url", F.col("base.record_id").alias("base_id"), F.col("base.content").alias("content"), outcome.alias("outcome"), F.col("headers").alias("sent"))
-    stored = captures.where("status = 200 and payload is not null").select(F.col("record_id").alias("stored_id"), content_hash().alias("stored_content"), F.col("headers").alias("stored"), "payload").dropDuplicates(["stored_id", "stored_content"])
     # Revisits without a payload to fetch are spread by their own ids; they'd all meet under a null key.
-    resolved = F.col("outcome") == "resolved"
-    fetched = revisits.withColumns({"fetch": F.when(resolved, F.col("base_id")).otherwise(F.xxhash64("record_id")), "version": F.when(resolved, F.col("content")).otherwise(F.lit(0).cast("long"))})
-    hit = (F.col("fetch") == F.col("stored_id")) & (F.col("version") == F.col("stored_content")) & resolved
-    return fetched.join(stored, hit, "left").select("record_id", "canonical_url", "base_id", "outcome", F.when(resolved, merged(F.col("stored"), F.col("sent"))).alias("headers"), "payload")
+    revisits = settle(revisits.withColumns({"fetch": F.when(resolved, F.col("base_id")).otherwise(F.xxhash64("record_id")), "version": F.when(resolved, F.col("content")).otherwise(F.lit(0).cast("long")), "row": F.monotonically_increasing_id()}), "revisits")
+    # A response that many revisits ask for is copied to slots of SLOT revisits.
+    hot = revisits.where(resolved).groupBy("fetch", "version").agg(F.ceil(F.count("*") / SLOT).cast("int").alias("slots")).where("slots > 1")
+    hot = settle(hot, "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot.hint("merge")
+    slots = F.coalesce("slots", F.lit(1))
+    asked = revisits.join(hot, ["fetch", "version"], "left").withColumn("slot", F.pmod(F.xxhash64("record_id", "row"), slots).cast("int"))
+    stored = captures.where("status = 200 and payload is not null").select(F.col("record_id").alias("fetch"), content_hash().alias("version"), F.col("headers").alias("stored"), "payload").dropDuplicates(["fetch", "version"])
+    stored = stored.join(hot, ["fetch", "version"], "left").withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1))).withColumn("found", F.lit(True)).drop("slots")
+    got = asked.join(stored, ["fetch", "version", "slot"], "left").withColumn("found", F.coalesce("found", F.lit(False)) & resolved)
+    return got.select("record_id", "canonical_url", "base_id", "outcome", F.when(resolved, merged(F.col("stored"), F.col("sent"))).alias("headers"), F.when(F.col("found"), F.col("payload")).alias("payload"))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:

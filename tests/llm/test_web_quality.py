@@ -120,6 +120,14 @@ def test_responses_that_share_an_id(spark):
     assert len(set(seen)) == 1
 
 
+def test_a_response_that_many_revisit(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SLOT", 10)
+    data = [(1, "http://e.org/", 1, 200, '"x"', None, {"A": "b"}, "hot"), (2, "http://e.org/b", 1, 200, '"y"', None, None, "cold")] + [(3 + i % 90, f"http://e.org/{'b' * (i % 97 == 0)}", 5, 304, '"x"' if i % 97 else '"y"', None, None, None) for i in range(900)]
+    got = warc.resolve(spark.createDataFrame(data, CAPTURES)).collect()
+    assert len(got) == 900 and all(r.outcome == "resolved" for r in got)
+    assert sum(r.payload == "cold" for r in got) == len(range(0, 900, 97)) and sum(r.payload == "hot" and r.headers == {"a": "b"} for r in got) == 900 - len(range(0, 900, 97))
+
+
 def test_an_outlier_in_time_leaves_slices_even(spark, monkeypatch):
     monkeypatch.setattr(warc, "SLICE_ROWS", 100)
     data = [(i, "http://h/", i % 700, 200 if i % 3 else 304, '"x"', None, None, "p") for i in range(2000)] + [(9999, "http://h/", 1 << 50, 304, '"x"', None, None, None)]
