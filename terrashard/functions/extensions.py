@@ -49,6 +49,11 @@ def unmark_used(used: Column, required: Column, name: str) -> tuple[Column, Colu
     return F.array_remove(used, name), F.array_remove(required, name)
 
 
+def unmark_required(required: Column, name: str) -> Column:
+    """Required without name; used keeps it."""
+    return F.array_remove(required, name)
+
+
 def sorted_map(entries: Column) -> Column:
     """A map in key order of an array of struct<key, value>; of equal keys the first entry stays. One sort; then neighbours are compared."""
     places = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))

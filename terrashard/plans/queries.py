@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bits, classify, extensions, tileid
 from ..operators import availability, tracker, validate
 from ..sources import metadata, subtrees, tilesets
+from ..storage import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -417,13 +418,13 @@ def extension_payload(spark, sf_dir):
 
 @query("""
 WITH p AS (SELECT p_partkey, 'X' || p_size % 3 AS a FROM part)
-SELECT p_partkey, CASE WHEN a = 'X1' THEN 'X1,Y' ELSE a || ',Y,X1' END AS used, 'X1' AS required, CASE WHEN a = 'X1' THEN 'Y' ELSE a || ',Y' END AS used_after, '' AS required_after, true AS is_used FROM p""")
+SELECT p_partkey, CASE WHEN a = 'X1' THEN 'X1,Y' ELSE a || ',Y,X1' END AS used, 'X1' AS required, CASE WHEN a = 'X1' THEN 'Y' ELSE a || ',Y' END AS used_after, '' AS required_after, true AS is_used, '' AS required_gone FROM p""")
 def extension_bookkeeping(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_partkey", F.array(F.concat(F.lit("X"), (F.col("p_size") % 3).cast("string")), F.lit("Y")).alias("used"), F.array().cast("array<string>").alias("required"))
     p = p.withColumns(dict(zip(("used", "required"), extensions.mark_required(F.col("used"), F.col("required"), "X1"), strict=True)))
     after = extensions.unmark_used(F.col("used"), F.col("required"), "X1")
     text = lambda a: F.array_join(a, ",")
-    return p.select("p_partkey", text("used").alias("used"), text("required").alias("required"), text(after[0]).alias("used_after"), text(after[1]).alias("required_after"), F.array_contains("used", "X1").alias("is_used"))
+    return p.select("p_partkey", text("used").alias("used"), text("required").alias("required"), text(after[0]).alias("used_after"), text(after[1]).alias("required_after"), F.array_contains("used", "X1").alias("is_used"), text(extensions.unmark_required(F.col("required"), "X1")).alias("required_gone"))
 
 
 @query("""
@@ -586,7 +587,7 @@ b AS (SELECT id, k, CASE WHEN id % 6 = 0 THEN 1 ELSE {sql_hex_bit("substr(h, 1,
 SELECT id, sum(t)::BIGINT AS tiles, sum(c)::BIGINT AS contents, sum(CASE WHEN k >= 5 THEN t ELSE 0 END)::BIGINT AS leaves, (CASE WHEN any_value(id) % 4 = 0 THEN 0 ELSE 2 END)::BIGINT AS layers FROM b GROUP BY id""")
 def subtree_round_trip(spark, sf_dir):
     """Writes subtrees, reads them back, and counts what is available in each."""
-    read_ = subtrees.decode(line_payloads(spark, sf_dir, False)).select("id", "tile", "content_layers")
+    read_ = settle(subtrees.decode(line_payloads(spark, sf_dir, False)).select("id", "tile", "content_layers"), "decoded")  # decoded once, not for each cell
     cells = read_.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("level"))
     cells = cells.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), tileid.tiles_at_level(F.lit("quadtree"), F.col("level")) - 1)).alias("m"))
     hit = availability.is_available(F.col("tile"), F.lit("quadtree"), F.col("level"), F.col("m"))

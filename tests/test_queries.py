@@ -47,5 +47,11 @@ def test_without_the_corpus_part(tmp_path):
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "terrashard", tmp_path / "terrashard", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and 'morton_2d' in e.queries() and not any(k.startswith('op') for k in e.oracle_sql())"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    code = """
+import os, __spark_entry__ as e
+from pyspark.sql import SparkSession
+assert "pipeline" not in e.queries() and "morton_2d" in e.queries() and not any(k.startswith("op") for k in [*e.queries(), *e.oracle_sql()])
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert e.entry(spark).count() > 0 and e.queries()["flatten_tiles"](spark, os.environ["SF"]).count() > 0
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path), "SF": SF})

@@ -136,7 +136,7 @@ def test_extension_payloads(spark):
 def test_used_and_required(spark):
     none = F.array().cast("array<string>")
     used, required = extensions.mark_required(none, none, "X_clouds")
-    r = one(spark, used, required, F.array_remove(required, "X_clouds"), extensions.unmark_used(used, required, "X_clouds")[0], extensions.mark_used(extensions.mark_used(none, "X_rain"), "X_rain"))
+    r = one(spark, used, required, extensions.unmark_required(required, "X_clouds"), extensions.unmark_used(used, required, "X_clouds")[0], extensions.mark_used(extensions.mark_used(none, "X_rain"), "X_rain"))
     assert tuple(r) == (["X_clouds"], ["X_clouds"], [], [], ["X_rain"])
 
 
