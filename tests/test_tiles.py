@@ -130,7 +130,7 @@ def test_extension_payloads(spark):
     )
     assert tuple(r) == (11, None, None, True, False, 7, 2)
     with pytest.raises(Exception, match="extension BAD"):
-        one(spark, extensions.payload(m, "BAD", ddl, ("n",), strict=True)["value"])
+        one(spark, extensions.payload(m, "BAD", ddl, ("n",), strict=True)["n"])
 
 
 def test_used_and_required(spark):
