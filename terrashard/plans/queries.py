@@ -683,7 +683,7 @@ def property_statistics(spark, sf_dir):
 
 @query("""
 SELECT s_suppkey AS id, k AS key, CASE k WHEN 'a' THEN s_suppkey::VARCHAR ELSE '"' || s_name || '"' END AS value, '"x"' AS meta FROM supplier, (SELECT unnest(['a', 'b']) AS k)""")
-def open_members(spark, sf_dir):
+def free_members(spark, sf_dir):
     """The free members of an open object, and of one inside it."""
     text = F.concat(F.lit('{"a":'), F.col("s_suppkey").cast("string"), F.lit(',"b":"'), "s_name", F.lit('","extras":1,"extensions":{"E":{}}}'))
     docs = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.parse_json(text).alias("doc"))
