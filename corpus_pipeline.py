@@ -39,9 +39,19 @@ def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
     return keep_ids(rows, rejected, ROW, anti=True).drop(ROW).select(*(c for c in rows.columns if c != ROW))
 
 
+def by_text(docs: DataFrame) -> DataFrame:
+    """What an operator gets that judges texts: doc_id is the text's hash."""
+    return docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), F.col("text"))
+
+
+def without_texts(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs but for the texts whose hashes are in rejected (doc_id)."""
+    rejected = settle(rejected.select(F.col("doc_id").alias(ROW)).distinct(), "rejected")
+    return keep_ids(docs.withColumn(ROW, F.xxhash64(F.col("text").cast("string"))), rejected, ROW, anti=True).select(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
-    return without(rows, quality_rules.decide(quality_rules.ledger(by_row(rows))).where("not kept"))
+    return without_texts(docs, quality_rules.decide(quality_rules.ledger(by_text(docs))).where("not kept"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +59,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_model(docs)
     if not model.langs:
         return docs.where(F.rlike(F.col("text"), F.lit(r"\p{L}")))
-    rows = numbered(docs)
-    return without(rows, language_id.identify(by_row(rows), model).where(f"lang_pred = 'und' or score < {least_score(len(model.langs))}"))
+    return without_texts(docs, language_id.identify(by_text(docs), model).where(f"lang_pred = 'und' or score < {least_score(len(model.langs))}"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
