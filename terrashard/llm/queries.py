@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, html_text, kneser_ney, language_id, minhash, mixing, packing, quality_rules, warc
+from . import audio, chat, html_text, kneser_ney, language_id, line_dedup, merkle, minhash, mixing, packing, quality_rules, warc, whitening
 from .common import table
 
 
@@ -75,6 +75,24 @@ def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    made = merkle.manifest(merkle.claims(table(spark, sf_dir, "documents"), tampered))
+    found = merkle.folded(F.coalesce("other", "leaf"), F.col("proof"))
+    made = made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), found.alias("folded_root"))
+    return made.select("*", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = line_dedup.applied(docs, line_dedup.bitmaps(docs))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_warc_revisits": op2_warc_revisits,
@@ -86,6 +104,9 @@ QUERIES = {
     "op10_kneser_ney_quality": op10_kneser_ney_quality,
     "op7_packing": op7_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE: dict[str, str] = {}
@@ -180,3 +201,49 @@ SELECT record_id, canonical_url, base_id, outcome,
   CASE WHEN outcome = 'resolved' THEN length(html)::VARCHAR END AS content_length, CASE WHEN outcome = 'resolved' THEN md5(html) END AS payload_md5
 FROM o
 """
+
+SQL_SMALL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+SQL_CRC32 = """xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+  lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+def sql_tree(name: str, nodes: str, levels: int = 6) -> str:
+    """name0, name1, ...: levels of trees over nodes (t, i, h); name_p: t, i (of a node), at, left and right of its run, for each level that it has."""
+    out, up = [f"{name}0 AS ({nodes})"], []
+    for k in range(levels):
+        # A tree of one node has no further level.
+        out.append(f"{name}{k + 1} AS (SELECT t, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k} WHERE t IN (SELECT t FROM {name}{k} WHERE i > 0) GROUP BY t, i // 16)")
+        up.append(f"SELECT a.t, a.i, {k} AS k, (SELECT coalesce(string_agg(b.h, '' ORDER BY b.i), '') FROM {name}{k} b WHERE b.t = a.t AND b.i // 16 = a.i // {16 ** (k + 1)} AND b.i < a.i // {16**k}) AS l, "
+                  f"(SELECT coalesce(string_agg(b.h, '' ORDER BY b.i), '') FROM {name}{k} b WHERE b.t = a.t AND b.i // 16 = a.i // {16 ** (k + 1)} AND b.i > a.i // {16**k}) AS r FROM {name}0 a WHERE a.t IN (SELECT t FROM {name}{k} WHERE i > 0)")
+    tops = " UNION ALL ".join(f"SELECT t, h FROM {name}{k} WHERE t NOT IN (SELECT t FROM {name}{k} WHERE i > 0)" for k in range(levels + 1))
+    return ", ".join([*out, f"{name}_p AS ({' UNION ALL '.join(up)})", f"{name}_top AS ({tops})"])
+
+
+ORACLE["op11_merkle_manifest"] = f"""
+WITH v AS (SELECT *, translate(text, {SQL_SMALL}) AS low, {SQL_CRC32} % 5 = 0 AS tampered FROM documents),
+f AS (
+  SELECT doc_id, source, tampered, low IS DISTINCT FROM text AS changed, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(low) || ':' || low, '-') AS low_body FROM v),
+g AS (SELECT *, sha256(head || body) AS leaf, CASE WHEN tampered THEN sha256(head || low_body) ELSE sha256(head || body) END AS claim, coalesce('s' || source, '-') AS t FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM g),
+{sql_tree("d", "SELECT t, i, leaf AS h FROM o")},
+{sql_tree("s", "SELECT '' AS t, row_number() OVER (ORDER BY t) - 1 AS i, h FROM d_top", 3)},
+n AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, h FROM d_top),
+p AS (
+  SELECT o.t, o.i, d_p.k, d_p.l, d_p.r FROM o JOIN d_p ON d_p.t = o.t AND d_p.i = o.i
+  UNION ALL SELECT o.t, o.i, 100 + s_p.k, s_p.l, s_p.r FROM o JOIN n ON n.t = o.t JOIN s_p ON s_p.i = n.i),
+q AS (SELECT t, i, list({{'l': l, 'r': r}} ORDER BY k) AS steps, string_agg(l || r, '' ORDER BY k) AS proof FROM p GROUP BY t, i),
+z AS (
+  SELECT o.doc_id, o.leaf, n.h AS subroot, s_top.h AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce([{{'l': '', 'r': claim}}] || coalesce(steps, []), lambda a, b: {{'l': '', 'r': sha256(b.l || a.r || b.r)}}).r AS folded_root
+  FROM o JOIN n ON n.t = o.t LEFT JOIN q ON q.t = o.t AND q.i = o.i, s_top)
+SELECT *, folded_root = root AS verified FROM z
+"""
+
+ORACLE["op12_line_dedup"] = f"""
+WITH l AS (SELECT row, doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), {SQL_SMALL}) AS key FROM l),
+c AS (SELECT key, max(doc_id) AS keeper, count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS n FROM k WHERE length(key) >= 40 GROUP BY key),
+d AS (SELECT k.*, c.key IS NOT NULL AS gone FROM k LEFT JOIN c ON c.key = k.key AND c.n >= 5 AND k.doc_id IS DISTINCT FROM c.keeper)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY row
+"""

@@ -301,8 +301,8 @@ def test_pooling_equals_a_plain_forward_pass(monkeypatch):
 
 
 def test_the_sample_is_bounded_whatever_the_ids(spark):
-    one_id = frame(spark, [(6, f"some text number {i} " * 30, "en", "s", 0) for i in range(3000)])
-    copies = frame(spark, [(6, "one text that is there again and again " * 9, "de", "s", 0)] * 3000)
+    one_id = frame(spark, [(7, f"some text number {i} " * 30, "en", "s", 0) for i in range(3000)])
+    copies = frame(spark, [(7, "one text that is there again and again " * 9, "de", "s", 0)] * 3000)
     got = language_id.sample(one_id.union(copies), 50)
     counts = {lang: sum(x == lang for x, _ in got) for lang in ("en", "de")}
     assert 8 <= counts["en"] <= 50 * 8 and counts["de"] <= 8
