@@ -19,20 +19,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of tables that settle() has written in this process and nothing has deleted yet.
+live: list[str] = []
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    live.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.settled_at = path
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    if path in live:
+        live.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete settled tables that nothing reads any more. What wasn't settled is left alone."""
     for df in tables:
         path = getattr(df, "settled_at", None)
         if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            remove(df.sparkSession, path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: this one, or with underscores in front."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
