@@ -8,9 +8,9 @@ import types
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, settle, shared_dir
+from ..storage import discard, fresh, settle, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "SPACES", "SPACES_RE", "discard", "keep_ids", "n_words", "settle", "shared_dir", "table", "words", "worker_cache"]
+__all__ = ["BROADCAST_ROWS", "SPACES", "SPACES_RE", "discard", "fresh", "keep_ids", "n_words", "settle", "shared_dir", "table", "words", "worker_cache"]
 
 #: A word is a run of characters other than space, tab, \n, \v, \f and \r.
 SPACES = " \t\n\x0b\x0c\r"

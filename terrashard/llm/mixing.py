@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, discard, keep_ids, n_words, settle
+from .common import BROADCAST_ROWS, discard, fresh, keep_ids, n_words, settle
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -147,8 +147,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents, each row as often as the mix takes it."""
-    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    counted = settle(shares(rows.select(F.col("_row").alias("row"), "doc_id", "text", "source"), **how).where("copies > 0").select(F.col("row").alias("_row"), "copies"), "counted")
-    counted = counted.withColumnRenamed("copies", "_copies")
+    row, copies, copy = (fresh(docs, c) for c in ("_row", "_copies", "_copy"))
+    rows = settle(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    counted = settle(shares(rows.select(F.col(row).alias("row"), "doc_id", "text", "source"), **how).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies)), "counted")
     side = F.broadcast(counted) if counted.count() <= BROADCAST_ROWS else counted.hint("merge")
-    return rows.join(side, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    return rows.join(side, row).withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)

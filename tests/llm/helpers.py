@@ -23,5 +23,5 @@ def clashing(df):
     """Columns with names that operators use themselves."""
     from pyspark.sql import functions as F
 
-    given = [c for c in ("key", "size", "run", "sig", "b", "component", "ids", "shard", "html2", "copies", "level", "t", "w") if c not in df.columns]
+    given = [c for c in ("key", "size", "run", "sig", "b", "component", "ids", "shard", "html2", "copies", "level", "t", "w", "row", "_row", "_copy", "_copies", "text_key", "tag", "keep", "tree", "digest", "index") if c not in df.columns]
     return df.withColumns({c: F.lit("x") for c in given})

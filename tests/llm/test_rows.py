@@ -1,8 +1,10 @@
 """The pipeline judges rows, not ids: null ids, repeated rows, and ids with two texts."""
 
 from helpers import awkward, clashing, frame
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from terrashard import storage
 from terrashard.llm import language_id, minhash
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -47,3 +49,27 @@ def test_every_stage_takes_empty_and_unlabelled_rows(spark):
     assert texts(STAGES["language ID"](spark, docs, "")) == sorted([*((i, CLEAN) for i in range(3)), (None, OTHER)], key=str)
     got = language_id.identify(docs, language_id.fit(docs)).collect()
     assert len(got) == 6 and all((r.lang_pred, r.score) == ("und", 0) for r in got)
+
+
+def test_columns_of_any_name_come_back(spark):
+    """Names that stages use themselves are the documents' own."""
+    docs = clashing(frame(spark, [(i, f"{CLEAN} {i} {OTHER}", "en", "s", 0) for i in range(5)])).withColumn("_row", F.lit("mine")).withColumn("_copy", F.lit("yours"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {(r["_row"], r["_copy"], r["row"]) for r in out.collect()} == {("mine", "yours", "x")}, name
+
+
+def test_a_stage_clears_up_after_the_one_before(spark):
+    docs = frame(spark, [(i, f"{CLEAN} {i}", "en", "s", 0) for i in range(9)])
+    first = STAGES["MinHash near-dedup"](spark, docs, "")
+    of_first = list(corpus_pipeline.left)
+    chained = STAGES["mixing sources"](spark, first, "")  # not written in between: what it reads stays
+    assert chained.count() > 0 and any(p in storage.live for p in of_first) and not all(p in storage.live for p in of_first)
+    of_second = list(corpus_pipeline.left)
+    done = storage.settle(chained, "done")
+    assert STAGES["quality rules"](spark, done, "").count() == done.count() and not any(p in storage.live for p in of_second)
+
+
+def test_verdicts_join_on_whole_hashes(spark):
+    key = frame(spark, [(1, "a", None, None, 0), (2, None, None, None, 0), (3, "", None, None, 0)]).select(corpus_pipeline.text_key().alias("k")).collect()
+    assert all(len(r.k) == 16 for r in key) and key[1] == key[2] != key[0]
