@@ -1,59 +1,80 @@
 """The corpus pipeline: five stages, each over all that its predecessor kept.
 
 STAGES lists them; each takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as
-the next one's docs. All but the last return the columns of documents. run() applies them to documents. Those that filter judge rows,
-not ids: rows are numbered and stored, and verdicts join on the number.
+the next one's docs. All but the last return the columns of documents. run() applies them to documents.
+
+Quality rules and language ID judge texts: their verdicts join on a 128-bit hash of the text, and documents aren't copied. Near-dedup judges
+rows, as it keeps one of several alike: it numbers and stores them once, and verdicts join on the number. What a stage has stored
+on the way is deleted when the next stage begins, for by then its result is written; only tables that the next stage's docs
+still read stay (as when stages are chained without writing).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrashard import storage
 from terrashard.llm import language_id, minhash, mixing, packing, quality_rules
-from terrashard.llm.common import keep_ids, settle, table
+from terrashard.llm.common import discard, fresh, keep_ids, settle, table
 from terrashard.llm.queries import language_model, tokenizer_path
 
+#: Tables that the last stage stored.
+left: list[str] = []
 
-def least_score(n_langs: int) -> float:
-    """A document goes if no language reaches this probability: twice an even guess, but no more than half."""
-    return min(0.5, 2 / n_langs)
 
+def clear(spark: SparkSession, docs: DataFrame | None = None) -> None:
+    """Deletes what the last stage stored, but for what docs reads."""
+    reads = " ".join(docs.inputFiles()) if left and docs is not None else ""
+    for path in left:
+        if path.rsplit("/", 1)[-1] not in reads and path in storage.live:
+            storage.remove(spark, path)
+    left.clear()
 
-ROW = "_pipeline_row"
 
+def stage(work):
+    """A stage that first clears up after the one before it."""
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs, stored, with a number of its own for each row in ROW. Verdicts are of rows: ids may be null or repeated."""
-    return settle(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clear(spark, docs)
+        before = set(storage.live)
+        out = work(spark, docs, sf_dir)
+        left.extend(p for p in storage.live if p not in before)
+        return out
 
+    return run
 
-def by_row(rows: DataFrame) -> DataFrame:
-    """What an operator gets in place of rows: doc_id is the row's number."""
-    return rows.drop("doc_id").withColumnRenamed(ROW, "doc_id")
+
+def least_score(n_langs: int) -> float:
+    """A document goes if no language reaches this probability: twice an even guess, but no more than half."""
+    return min(0.5, 2 / n_langs)
 
 
-def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    """rows but for the numbers in rejected (doc_id)."""
-    rejected = settle(rejected.select(F.col("doc_id").alias(ROW)), "rejected")
-    return keep_ids(rows, rejected, ROW, anti=True).drop(ROW).select(*(c for c in rows.columns if c != ROW))
+def text_key() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def by_text(docs: DataFrame) -> DataFrame:
-    """What an operator gets that judges texts: doc_id is the text's hash."""
-    return docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), F.col("text"))
+    """What an operator gets that judges texts: doc_id is the text's hash, of 128 bits. Null is judged as the empty text is."""
+    return docs.select(text_key().alias("doc_id"), F.col("text"))
 
 
 def without_texts(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs but for the texts whose hashes are in rejected (doc_id)."""
-    rejected = settle(rejected.select(F.col("doc_id").alias(ROW)).distinct(), "rejected")
-    return keep_ids(docs.withColumn(ROW, F.xxhash64(F.col("text").cast("string"))), rejected, ROW, anti=True).select(*docs.columns)
+    key = fresh(docs, "text_key")
+    rejected = settle(rejected.select(F.col("doc_id").alias(key)).distinct(), "rejected")
+    return keep_ids(docs.withColumn(key, text_key()), rejected, key, anti=True).select(*docs.columns)
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_texts(docs, quality_rules.decide(quality_rules.ledger(by_text(docs))).where("not kept"))
 
 
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that a language claims. Where no language could be learned, none can be refused: all rows with a letter stay."""
     model = language_model(docs)
@@ -62,18 +83,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_texts(docs, language_id.identify(by_text(docs), model).where(f"lang_pred = 'und' or score < {least_score(len(model.langs))}"))
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class: that of the smallest id (null last), and of the smallest number among those."""
-    rows = numbered(docs)
-    found = settle(minhash.near_rows(by_row(rows)).select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW), "near")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(ROW).alias("r"))).alias("m"))
-    return without(rows, found.select(F.col(ROW).alias("doc_id")).join(first.select(F.col("m.r").alias("doc_id")), "doc_id", "left_anti"))
+    row = fresh(docs, "row")
+    rows = settle(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    near = minhash.near_rows(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    found = settle(near.join(rows.select(row, "doc_id"), row), "near")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r"))
+    first = found.groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m.r").alias(row))
+    rejected = settle(found.select(row).join(first, row, "left_anti"), "rejected")
+    return keep_ids(rows, rejected, row, anti=True).select(*docs.columns)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.crc32(packing.pack(docs, tokenizer_path()))
 
@@ -86,6 +114,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    for name, work in STAGES:
+        done = settle(work(spark, docs, sf_dir), name.replace(" ", "_"))
+        discard(docs)
+        docs = done
+    clear(spark)
     return docs
