@@ -11,12 +11,14 @@ M at least are confirmed on the full shingle sets. Texts are fetched for these a
 No group is expanded into all pairs:
 
 * equal shingle sets collapse into one class first, by a 128-bit set fingerprint (map-side combined);
-* each posting list is first compared with its smallest member, its hub, only, which is linear. What is confirmed merges.
+* each posting list is first compared with its smallest member, its hub, only, which is linear: a member with the hub that most of its
+  lists have, and then with those of its other hubs that are still in another component. What is confirmed merges.
   A hub with many members is copied to slots of SLOT members on average, so no task gets all of them;
 * lists that still hold several components go on, joined by their hub. There the members outside its
   component are queries against all members, in blocks of bounded size dealt over tasks. A task first counts the
   collisions of its two blocks' signatures, and names the members (not the pairs) that have a candidate; the texts of
-  these are fetched, and a task confirms on full sets in descending order, with one link for two components.
+  these are fetched, and a task confirms in descending order, on hashed sets and, where that makes a link, on the full sets, with one link
+  for two components. A list of n strays among m members that stay apart does cost n * m comparisons of signatures, in blocks.
 
 Defined results: null or wordless text has no shingles and links with nothing; a text of one to four words is one
 shingle; rows that repeat a doc_id with the same text share its class, and each is kept if the id is the class's
@@ -133,6 +135,13 @@ def shingle_set(text: str | None) -> set:
     return {tuple(w)} if len(w) < SHINGLE else set(zip(*(w[j:] for j in range(SHINGLE)), strict=False))
 
 
+def linked(a: str | None, b: str | None, percent: int) -> bool:
+    """Whether the full shingle sets of two texts are alike enough."""
+    x, y = shingle_set(a), shingle_set(b)
+    common = len(x & y)
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+
 SETS = "a long, b long, common long, total long"
 
 
@@ -197,26 +206,44 @@ def links(docs: DataFrame, classes: DataFrame, k: int = K, m: int = M, percent:
     slots = F.ceil(F.col("n") / SLOT).cast("int")
     slot = F.struct(slots.alias("slots"), F.pmod(F.xxhash64("doc_id"), slots).cast("int").alias("slot"))
     # Each member of a hub's lists once, in the slots of the shortest list that holds it; so a slot has SLOT members of a list on average, of at most k - m + 1 lists.
-    listed = post.join(hubs.hint("merge"), "token").groupBy("hub", "doc_id").agg(F.min(slot).alias("s")).select("hub", "doc_id", "s.slots", "s.slot")
+    listed = post.join(hubs.hint("merge"), "token").groupBy("hub", "doc_id").agg(F.min(slot).alias("s"), F.count("*").alias("lists")).select("hub", "doc_id", "s.slots", "s.slot", "lists")
     listed = settle(listed, "listed")
     ids = settle(listed.select("doc_id").distinct(), "ids")
     signed = settle(keep_ids(classes.select("doc_id", "sig"), ids, "doc_id"), "listed_signatures")
-    agree = F.size(F.array_intersect("sig_a", "sig_b")) >= m  # a value belongs to its coordinate
-    star = with_hub(listed.where("doc_id <> hub").join(signed.withColumnRenamed("sig", "sig_b"), "doc_id"), signed.withColumnsRenamed({"doc_id": "hub", "sig": "sig_a"}))
-    star = settle(star.where(agree).select("hub", "slots", "slot", "doc_id"), "star")
-    wanted = settle(star.select("doc_id").union(star.select("hub")).distinct(), "wanted")
-    texts = settle(keep_ids(docs.select(F.col("doc_id").cast("long"), "text"), wanted, "doc_id"), "texts")
-    pairs = with_hub(star.join(texts.withColumnRenamed("text", "tb"), "doc_id"), texts.withColumnsRenamed({"doc_id": "hub", "text": "ta"}))
-    sizes = pairs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "ta", "tb").mapInArrow(compare, SETS)
-    found = settle(sizes.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b"), "found")
-    discard(post, ids, star, wanted, texts)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Of pairs (hub, slots, slot, doc_id), a, b of those that are linked: collisions of whole signatures first, then full sets."""
+        agree = F.size(F.array_intersect("sig_a", "sig_b")) >= m  # a value belongs to its coordinate
+        star = with_hub(pairs.join(signed.withColumnRenamed("sig", "sig_b"), "doc_id"), signed.withColumnsRenamed({"doc_id": "hub", "sig": "sig_a"}))
+        star = settle(star.where(agree).select("hub", "slots", "slot", "doc_id"), "star")
+        wanted = settle(star.select("doc_id").union(star.select("hub")).distinct(), "wanted")
+        texts = settle(keep_ids(docs.select(F.col("doc_id").cast("long"), "text"), wanted, "doc_id"), "texts")
+        both = with_hub(star.join(texts.withColumnRenamed("text", "tb"), "doc_id"), texts.withColumnsRenamed({"doc_id": "hub", "text": "ta"}))
+        sizes = both.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "ta", "tb").mapInArrow(compare, SETS)
+        out = settle(sizes.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b"), "found")
+        discard(star, wanted, texts)
+        return out
+
+    def placed(joined: DataFrame) -> DataFrame:
+        """listed with own and of_hub, the components of the member and of its hub."""
+        own = listed.join(joined.withColumnsRenamed({"node": "doc_id", "component": "own"}), "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
+        of_hub = listed.select("hub").distinct().join(joined.withColumnsRenamed({"node": "hub", "component": "of_hub"}), "hub", "left").select("hub", F.coalesce("of_hub", "hub").alias("of_hub"))
+        return with_hub(own, of_hub)
+
+    stray = F.col("own") != F.col("of_hub")
+    # First each member with the hub that most of its lists have; then with those of its other hubs that are still in another component.
+    best = listed.where("doc_id <> hub").groupBy("doc_id").agg(F.max_by(F.struct("hub", "slots", "slot"), F.struct("lists", -F.col("hub"))).alias("h")).select("doc_id", "h.*")
+    first = confirmed(best)
+    near = settle(components(first), "joined")
+    second = confirmed(settle(placed(near).where(stray).select("hub", "slots", "slot", "doc_id"), "pairs"))
+    found = settle(first.union(second), "found")
+    discard(post, ids, first, second, near)
 
     joined = settle(components(found), "joined")
-    own = listed.join(joined.withColumnsRenamed({"node": "doc_id", "component": "own"}), "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
-    of_hub = listed.select("hub").distinct().join(joined.withColumnsRenamed({"node": "hub", "component": "of_hub"}), "hub", "left").select("hub", F.coalesce("of_hub", "hub").alias("of_hub"))
-    member = settle(with_hub(own.join(classes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"), of_hub), "members")
+    member = settle(placed(joined), "placed")
+    mixed_ = settle(member.where(stray).select("hub").distinct(), "mixed")
+    member = settle(keep_ids(member, mixed_, "hub").join(classes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"), "members")
     blocks = lambda n, total: F.ceil(F.greatest(n / BLOCK_DOCS, total / BLOCK_SHINGLES)).cast("int")
-    stray = F.col("own") != F.col("of_hub")
     spread = (
         member.groupBy("hub").agg(F.count_if(stray).alias("s"), F.sum(F.when(stray, F.col("n"))).alias("sn"), F.count("*").alias("m"), F.sum("n").alias("mn"))
         .where("s > 0").select("hub", blocks(F.col("s"), F.col("sn")).alias("down"), blocks(F.col("m"), F.col("mn")).alias("across"))
@@ -279,7 +306,7 @@ def crossing(m: int, percent: int):
             if pair in done:
                 continue
             common = len(np.intersect1d(full(i), full(j), assume_unique=True))
-            if 100 * common >= percent * (len(full(i)) + len(full(j)) - common):
+            if 100 * common >= percent * (len(full(i)) + len(full(j)) - common) and linked(texts[i].as_py(), texts[j].as_py(), percent):
                 done.add(pair)
                 out[0].append(min(ids[i], ids[j])), out[1].append(max(ids[i], ids[j]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
