@@ -31,7 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>"']*(?:"[^"<]*"[^<>"']*|'[^'<]*'[^<>"']*)*|[^<>]*)>""", re.S)
+#: A comment, CDATA, a declaration, or the beginning of a tag.
+MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)""", re.S)
+#: The rest of a tag as browsers read it: a quote after an equals sign runs to its twin, whatever lies between.
+ATTRIBUTES = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)>""", re.S)
+#: Where that finds no end: the rest up to the next `>`, if no other tag begins before it.
+PLAIN_REST = re.compile(r"[^<>]*>")
+#: Tags of a page that may be read to its very end in vain; so broken pages take time in proportion.
+VAIN = 8
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 #: Elements whose content has no tags and is no text of the page; unclosed, they go on to its end, as in browsers.
@@ -123,8 +130,23 @@ def blocks(page: str) -> list[tuple[str, Path, int]]:
             out.append((text, path, links))
         parts, path, links = [], None, 0
 
+    vain = 0
+
+    def found(start: int) -> tuple[re.Match | None, str, int]:
+        """The next mark, the attributes of a tag, and where it ends. What begins like a tag, but has no end, is text."""
+        nonlocal vain
+        for m in MARK.finditer(page, start):
+            if not m[2]:
+                return m, "", m.end()
+            rest = ATTRIBUTES.match(page, m.end()) if vain < VAIN else None
+            vain += rest is None
+            rest = rest or PLAIN_REST.match(page, m.end())
+            if rest:
+                return m, rest[0][:-1], rest.end()
+        return None, "", len(page)
+
     while at < len(page):
-        m = TAG.search(page, at)
+        m, attributes, end = found(at)
         text = page[at : m.start()] if m else page[at:]
         if text:
             if path is None and not text.isspace():
@@ -134,7 +156,7 @@ def blocks(page: str) -> list[tuple[str, Path, int]]:
                 links += len(text.strip())
         if not m:
             break
-        at = m.end()
+        at = end
         name = (m[2] or "").lower()
         if not name:
             continue
@@ -151,7 +173,7 @@ def blocks(page: str) -> list[tuple[str, Path, int]]:
             if (k := tree.last(name)) >= 0:
                 tree.cut(k)
             continue
-        closed = m[3].endswith("/") and (foreign is not None or name not in RAW or name in FRAMES)
+        closed = attributes.endswith("/") and (foreign is not None or name not in RAW or name in FRAMES)
         if name in RAW and not closed:
             close = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             if not close and name in FRAMES:
@@ -167,7 +189,7 @@ def blocks(page: str) -> list[tuple[str, Path, int]]:
             same, limit = ({"p"}, P_LIMIT) if name not in INLINE and name not in PHRASE and foreign is None else ((), ())
         if same and (k := tree.last(*same)) > tree.last(*limit):
             tree.cut(k)
-        named = " ".join(x or y or z for x, y, z in NAMED.findall(m[3])).lower() if "=" in m[3] else ""
+        named = " ".join(x or y or z for x, y, z in NAMED.findall(attributes)).lower() if "=" in attributes else ""
         tree.push(name, frozenset(HINT[w] for w in WORD.findall(named) if w in HINT) if named else frozenset())
     flush()
     return out

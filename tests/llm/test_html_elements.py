@@ -83,3 +83,19 @@ def test_expectations_equal_all_labellings():
         for t in range(n - 1):
             assert edge[t, j, 0, 1] == pytest.approx(sum(q for q, y in zip(p, every, strict=True) if (y[t], y[t + 1]) == (0, 1)))
     assert not node[~real].any() and not edge[~real[1:]].any()
+
+
+@pytest.mark.parametrize("tag", ['<p data-tip="<b>tip</b> text">', "<p title='a > b'>", '<p onclick="if(a<b){x()}">', '<img alt="a < b" src=x><p>', '<p data-a = "1 > 0" class=text data-b=\'<i x="y">\'>', "<![CDATA[ x > y ]]><p>", '<p a=b"c>', '<p "x" y>'])
+def test_quotes_run_to_their_twin(field, tag):
+    text = "This is a long sentence of the article, with enough words that it surely is its main text."
+    page = f"<html><body><article><h1>A heading of the article</h1>{tag}{text}</p><p>{text}</p></article></body></html>"
+    assert html_text.main_text(field, page) == f"A heading of the article {text} {text}"
+
+
+def test_tags_without_an_end_take_time_in_proportion():
+    import time
+
+    for page in ('<a x="' * 50_000, "<a x='>' " * 50_000, '<a x=">" <b y=' * 40_000, "<a " * 100_000, '<p title="never closed>text ' + "<b>x</b> " * 40_000):
+        began = time.perf_counter()
+        html_text.blocks(page)
+        assert time.perf_counter() - began < 5
