@@ -31,6 +31,8 @@ CONTROL = r"([<\[])(\\*)(\||/?s>|/?INST\])"
 BARE = r"[<\[](\||/?s>|/?INST\])"
 ESCAPED = r"([<\[])\\(\\*)(\||/?s>|/?INST\])"
 LOSS_ROLE = "assistant"
+#: Turns whose places are summed at a time.
+GROUP = 300
 #: Level 2: characters and how they are spelled, the backslash first.
 SPELLED = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"), ("\n", "\\n"))
 
@@ -122,25 +124,42 @@ def formatted(conversations: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = conversations.select("conv_id", F.struct(F.col("turn").alias("turn"), blank("role").alias("role"), blank("text").alias("text")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     chosen = turns.select("conv_id", fitted(F.col("turns")).alias("f")).select("conv_id", "f.formatted", "f.level", "f.round_trip")
-    checked = chosen.select("*", parsed(F.col("formatted")).alias("parts"))
+    checked = chosen.select("*", placed(F.col("formatted")).alias("parts"))
+    spans = F.transform(F.filter("parts", lambda p: p["role"] == LOSS_ROLE), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
+    return checked.select("conv_id", "formatted", "level", "round_trip", spans.alias("loss_spans"))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + len(TURN) + p["head"] + 1
-        size = F.length(p["body"])
-        spans = F.when(p["role"] == LOSS_ROLE, F.array_append(acc["spans"], F.struct(start.cast("long").alias("start"), size.cast("long").alias("length")))).otherwise(acc["spans"])
-        return F.struct((start + size + len(END) + 1).cast("long").alias("at"), spans.alias("spans"))
 
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    return checked.select("conv_id", "formatted", "level", "round_trip", F.aggregate("parts", empty, step)["spans"].alias("loss_spans"))
+def before(sizes: Column) -> Column:
+    """Sums of the numbers before each: within groups of GROUP, and over the groups' sums, so that no long array is copied for each number."""
+    added = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    groups = lambda n: F.when(n > 0, F.sequence(F.lit(0), F.ceil(n / GROUP).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    run = lambda first, a: F.aggregate(a, F.array(first), lambda x, y: F.array_append(x, F.element_at(x, -1) + y))
+    part = lambda a, g: F.slice(a, g * GROUP + 1, F.lit(GROUP))
+    starts = lambda a: run(F.lit(0).cast("long"), F.transform(groups(F.size(a)), lambda g: added(part(a, g))))
+    within = lambda a, s: F.flatten(F.transform(groups(F.size(a)), lambda g: each(part(a, g), lambda p: F.slice(run(F.get(s, g), p), F.lit(1), F.size(p)))))
+    return each(sizes, lambda a: each(starts(a), lambda s: within(a, s)))
+
+
+def placed(formatted: Column) -> Column:
+    """parsed(), and start and length of each body in the formatted string, in code points from 0."""
+
+    def with_starts(parts: Column) -> Column:
+        size = F.transform(parts, lambda p: (F.lit(len(TURN) + len(END) + 2) + p["head"] + F.length(p["body"])).cast("long"))
+        return F.zip_with(parts, before(size), lambda p, at: F.struct(p["role"].alias("role"), p["body"].alias("body"), p["text"].alias("text"), (at + len(TURN) + p["head"] + 1).alias("start"), F.length(p["body"]).cast("long").alias("length")))
+
+    return each(parsed(formatted), with_starts)
 
 
 def digests(made: DataFrame) -> DataFrame:
     """What is read back from formatted strings and their loss spans."""
     level = F.col("level")
     plain = lambda x: F.when(level == 0, x).when(level == 1, unescape(x)).otherwise(read_out(x))
-    loss = F.transform("loss_spans", lambda s: F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))
-    loss = F.array_join(F.transform(loss, plain), "")
-    read = made.select("conv_id", "formatted", "round_trip", parsed(F.col("formatted")).alias("parts"), loss.alias("loss"))
+    read = made.select("conv_id", "formatted", "level", "round_trip", "loss_spans", placed(F.col("formatted")).alias("parts"))
+    # Spans are in order, and so are the parts that they point to: both are gone through once, where cutting each span out would read the string again from its beginning.
+    of_loss = F.filter("parts", lambda p: p["role"] == LOSS_ROLE)
+    wrong = F.raise_error(F.lit("a loss span is no assistant's text")).cast("string")
+    loss = F.zip_with(of_loss, "loss_spans", lambda p, s: F.when((p["start"] == s["start"]) & (p["length"] == s["length"]), plain(p["body"])).otherwise(wrong))
+    read = read.select("conv_id", "formatted", "round_trip", "parts", F.array_join(loss, "").alias("loss"))
     turns = F.array_join(F.transform("parts", lambda p: F.concat(p["role"], F.lit("\n"), p["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("parts").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),

@@ -11,7 +11,8 @@ is pooled there (none at the text's ends), so that each pooled position has read
 position is pooled once; the last window of a text is padded, and the padding isn't pooled.
 
 The sample is bounded whatever the ids are: SAMPLE_DOCS distinct (doc_id, text) of each language at most, or
-SAMPLE_TOTAL over all languages if that is less, but LEAST_DOCS. Every non-null lang is learned, however rare.
+SAMPLE_TOTAL over all languages if that is less. Every non-null lang is learned, however rare; only of more than SAMPLE_TOTAL labels
+the most frequent ones are.
 
 Defined results: null text and text without a letter is `und` with score 0; repeated rows are predicted alike; an empty
 table gives an empty one; training without labelled rows gives a model without languages, by which every text is `und`
@@ -35,7 +36,7 @@ WINDOW, CONTEXT = 192, 16
 #: Hidden units of each direction: two for each language, within these bounds.
 HIDDEN, MOST_HIDDEN = 8, 64
 #: The bounded sample that training sees, in the order of a hash.
-SAMPLE_DOCS, SAMPLE_TOTAL, LEAST_DOCS = 400, 40_000, 20
+SAMPLE_DOCS, SAMPLE_TOTAL = 400, 40_000
 #: Windows of a training document at most; spread evenly over its text.
 SAMPLE_WINDOWS = 8
 #: Bytes of a training window.
@@ -148,7 +149,9 @@ def train(texts: list[bytes], labels: list[int], langs: list[str], hidden: int |
     w |= {"o": draw(2 * n, k, scale=(2 * n) ** -0.5), "c": np.zeros(k, np.float32)}
     m, v = ({x: np.zeros_like(a) for x, a in w.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(i, -(-BATCH // k)) for i in of])
+        # With more languages than a batch holds, each step draws as many of them: its memory is in proportion to their number, not to its square.
+        some = of if k <= BATCH else [of[i] for i in rng.choice(k, BATCH, replace=False)]
+        pick = np.concatenate([rng.choice(i, -(-BATCH // len(some))) for i in some])
         x, y = rows[pick].T, target[pick]
         g = gradient(w, x, y, n)
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -169,9 +172,9 @@ def gradient(w: dict, x: np.ndarray, y: np.ndarray, n: int) -> dict:
     h = np.concatenate([run["f"][0][1:], run["b"][0][1:][::-1]], 2)  # positions x windows x 2H
     logits = h @ w["o"] + w["c"]
     logits -= logits.max(2, keepdims=True)
-    p = np.exp(logits)
+    p = np.exp(logits, out=logits)
     p /= p.sum(2, keepdims=True)
-    p -= np.eye(k, dtype=np.float32)[y][None]
+    p[:, np.arange(b), y] -= 1
     p /= np.float32(t_max * b)
     g = {"o": h.reshape(-1, 2 * n).T @ p.reshape(-1, k), "c": p.sum((0, 1))}
     dh = p @ w["o"].T
@@ -228,7 +231,9 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> list:
     # Hashes of distinct rows are even, so those below twice the share that is wanted hold enough of each language.
     counts = settle(ok.groupBy("lang").agg(F.approx_count_distinct("share").alias("n")), "languages")
     n_langs = counts.count()
-    per_lang = min(per_lang, max(LEAST_DOCS, SAMPLE_TOTAL // max(1, n_langs)))
+    per_lang = min(per_lang, max(1, SAMPLE_TOTAL // max(1, n_langs)))
+    if n_langs > SAMPLE_TOTAL:
+        counts = settle(counts.orderBy(F.desc("n"), "lang").limit(SAMPLE_TOTAL), "languages")
     limits = counts.select(F.col("lang").alias("of"), (2.0 * per_lang / F.col("n") + 40.0 / F.col("n")).alias("limit"))
     limits = F.broadcast(limits) if n_langs <= BROADCAST_ROWS else limits.hint("merge")
     length = F.length("text")

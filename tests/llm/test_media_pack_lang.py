@@ -313,3 +313,15 @@ def test_every_language_is_learned(spark):
     docs = frame(spark, [(i, f"word{i % 90} " * 20, f"l{i % 90}", "s", 0) for i in range(900)])
     model = language_id.fit(docs, steps=1)
     assert len(model.langs) == 90 and model.out.shape == (2 * 64, 90)
+
+
+def test_thousands_of_labels_take_bounded_memory():
+    """A step's memory is in proportion to the labels."""
+    import tracemalloc
+
+    texts = [f"label {i} has words of its own, {i * 7919} and {i * 31}".encode() for i in range(2000)]
+    tracemalloc.start()
+    model = language_id.train(texts, list(range(2000)), [f"l{i:04}" for i in range(2000)], steps=2)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 500e6 and len(model.langs) == 2000

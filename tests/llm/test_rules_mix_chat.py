@@ -198,3 +198,28 @@ def test_the_comparison_is_in_the_plan(spark):
 
 def test_documents_schema_is_the_tables(spark):
     assert frame(spark, [], DOCS).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_spans_cut_the_assistants_texts_out(spark):
+    rows = [(1, i, "assistant" if i % 3 else "user", f"<s>é{i}😀 " * (i % 5)) for i in range(700)]
+    r = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == [chat_escape(t) for _, i, role, t in rows if role == "assistant"]
+
+
+def chat_escape(text):
+    return text.replace("<s>", "<\\s>")
+
+
+def test_conversations_of_very_many_turns(spark):
+    """Time is in proportion to the turns: a conversation of 100,000."""
+    import time
+
+    n = 100_000
+    turns = spark.range(n).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("[INST] turn "), F.col("id").cast("string")).alias("text"))
+    began = time.perf_counter()
+    r = chat.digests(chat.formatted(turns)).first()
+    assert time.perf_counter() - began < 60
+    assert (r.n_turns, r.round_trip, r.loss_chars) == (n, True, sum(len(f"[INST] turn {i}") for i in range(1, n, 2)))
+    import hashlib
+
+    assert r.loss_sha256 == hashlib.sha256("".join(f"[INST] turn {i}" for i in range(1, n, 2)).encode()).hexdigest()
