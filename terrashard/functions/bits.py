@@ -63,10 +63,61 @@ def set_bit(view: Column, bit: Column, value: Column) -> Column:
     return F.when(view["constant"].isNull() & (at < size), bitstream(F.unhex(text))).otherwise(view)
 
 
+#: Bytes of a block in a rank directory, and blocks that are summed at a time.
+BLOCK, GROUP = 64, 64
+
+
+def word(bits: Column, start: Column, size: Column | int = 8) -> Column:
+    """Set bits in up to eight bytes from an index (from 0); 0 beyond the end."""
+    taken = F.hex(F.substr(bits, (start + 1).cast("int"), (F.lit(size) if isinstance(size, int) else size).cast("int")))
+    return F.coalesce(F.call_function("bit_count", F.conv(F.nullif(taken, F.lit("")), 16, -10).cast("bigint")), F.lit(0))
+
+
+def added(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def words_before(bits: Column, first: Column, end: Column) -> Column:
+    """Set bits from the byte first (a multiple of eight) up to the bit end, eight bytes a step."""
+    n = F.call_function("div", end - 8 * first, F.lit(64)).cast("int")
+    whole = F.when(n > 0, added(F.transform(F.sequence(F.lit(0), n - 1), lambda i: word(bits, first + 8 * i)))).otherwise(F.lit(0))
+    at = first + 8 * n
+    rest = F.call_function("div", end, F.lit(8)) - at
+    below = F.call_function("shiftleft", F.lit(1), (end % 8).cast("int")) - 1
+    last = F.call_function("bit_count", F.coalesce(byte_at(bits, F.call_function("div", end, F.lit(8))), F.lit(0)).bitwiseAND(below))
+    return whole + F.when(rest > 0, word(bits, at, rest)).otherwise(F.lit(0)) + last
+
+
 def rank_before(bits: Column, bit: Column) -> Column:
-    """Set bits before a position."""
-    whole = F.call_function("div", bit, F.lit(8)).cast("int")
-    count = lambda b: F.call_function("bit_count", b)
-    full = F.aggregate(F.when(whole > 0, F.sequence(F.lit(0), F.least(whole, F.octet_length(bits)) - 1)).otherwise(F.array().cast("array<int>")), F.lit(0), lambda a, i: a + F.when(i >= 0, count(F.coalesce(byte_at(bits, i), F.lit(0)))).otherwise(0))
-    below = F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int")) - 1
-    return full + count(F.coalesce(byte_at(bits, whole), F.lit(0)).bitwiseAND(below))
+    """Set bits before a position, counted eight bytes at a time from the beginning. Where many are asked of one bitstream, see directory()."""
+    return words_before(bits, F.lit(0), F.least(bit, 8 * F.octet_length(bits)))
+
+
+def directory(bits: Column) -> Column:
+    """Set bits before each block of BLOCK bytes, and last those of all: an array to store beside a bitstream."""
+    n = F.ceil(F.octet_length(bits) / BLOCK).cast("int")
+    upto = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    block = lambda i: added(F.transform(F.sequence(F.lit(0), F.lit(BLOCK // 8 - 1)), lambda j: word(bits, BLOCK * i + 8 * j)))
+    groups = lambda c: F.transform(upto(F.ceil(F.size(c) / GROUP).cast("int")), lambda g: added(F.slice(c, g * GROUP + 1, F.lit(GROUP))))
+    # Sums before each group, then within groups: appending to one array for each block would copy it each time.
+    starts = lambda g: F.aggregate(g, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    within = lambda c, s: F.flatten(F.transform(upto(F.ceil(F.size(c) / GROUP).cast("int")), lambda g: F.slice(F.aggregate(F.slice(c, g * GROUP + 1, F.lit(GROUP)), F.array(F.get(s, g)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x)), F.lit(1), F.least(F.size(c) - g * GROUP, F.lit(GROUP)))))
+    return let(F.transform(upto(n), block), lambda c: let(starts(groups(c)), lambda s: F.concat(within(c, s), F.array(F.element_at(s, -1)))))
+
+
+def rank(bits: Column, found: Column, bit: Column) -> Column:
+    """Set bits before a position, by the bitstream's directory(): one entry and a block's words, however long the bitstream is."""
+    block = F.call_function("div", bit, F.lit(8 * BLOCK)).cast("int")
+    beyond = bit >= 8 * F.octet_length(bits)
+    return F.when(beyond, F.element_at(found, -1)).otherwise(F.get(found, block) + words_before(bits, BLOCK * block, bit))
+
+
+def any_set(bits: Column, start: Column, end: Column) -> Column:
+    """Whether a bit from start up to (without) end is set: the outer bytes are masked, those between are looked at as one text."""
+    first, last = F.call_function("div", start, F.lit(8)).cast("int"), F.call_function("div", end - 1, F.lit(8)).cast("int")
+    byte = lambda i: F.coalesce(byte_at(bits, i), F.lit(0))
+    from_, upto = F.call_function("shiftleft", F.lit(255), (start % 8).cast("int")), F.call_function("shiftright", F.lit(255), (7 - (end - 1) % 8).cast("int"))
+    between = F.rlike(F.hex(F.substr(bits, first + 2, F.greatest(last - first - 1, F.lit(0)))), F.lit("[1-9A-F]"))
+    one = byte(first).bitwiseAND(from_).bitwiseAND(upto) != 0
+    more = (byte(first).bitwiseAND(from_) != 0) | (byte(last).bitwiseAND(upto) != 0) | between
+    return F.when(end <= start, F.lit(False)).when(first == last, one).otherwise(more)

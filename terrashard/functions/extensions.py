@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bits import let
 
@@ -12,18 +13,39 @@ def has(extensions: Column, name: str) -> Column:
     return F.coalesce(F.map_contains_key(extensions, F.lit(name)), F.lit(False))
 
 
+def fits(value: Column, kind: T.DataType) -> Column:
+    """Whether a VARIANT, that isn't null, is written as a type: no text as a number, no 1.0 as an integer. Members of structs may be absent or null; other members are ignored."""
+    schema, get = F.schema_of_variant(value), lambda ddl: F.try_variant_get(value, "$", ddl)
+    if isinstance(kind, T.VariantType):
+        return F.lit(True)
+    if isinstance(kind, T.ArrayType):
+        return let(get("array<variant>"), lambda a: F.coalesce(F.forall(a, lambda x: F.is_variant_null(x) | fits(x, kind.elementType)), F.lit(False)))
+    if isinstance(kind, T.MapType):
+        return let(get("map<string,variant>"), lambda m: F.coalesce(F.forall(F.map_values(m), lambda x: F.is_variant_null(x) | fits(x, kind.valueType)), F.lit(False)))
+    if isinstance(kind, T.StructType):
+        of = lambda m, f: let(F.try_element_at(m, F.lit(f.name)), lambda x: x.isNull() | F.coalesce(F.is_variant_null(x), F.lit(False)) | fits(x, f.dataType))
+        both = lambda m: F.forall(F.array(F.lit(True), *(of(m, f) for f in kind.fields)), lambda ok: F.coalesce(ok, F.lit(False)))
+        return let(get("map<string,variant>"), lambda m: F.when(m.isNull(), F.lit(False)).otherwise(both(m)))
+    written = {"string": "^STRING$", "boolean": "^BOOLEAN$", "bigint": "^BIGINT$", "int": "^BIGINT$", "double": NUMBER, "float": NUMBER}
+    found = F.rlike(schema, F.lit(written[kind.simpleString()]))
+    return F.coalesce(found & get(kind.simpleString()).isNotNull(), F.lit(False))
+
+
 def payload(extensions: Column, name: str, ddl: str, required: tuple[str, ...] = (), *, strict: bool = False) -> Column:
     """The payload of an extension as a struct of the given DDL; null if absent.
 
-    A payload that lacks a required field or doesn't fit is null too, or an error if strict.
+    A payload that lacks a required field or isn't written as the DDL has it (see fits()) is null too, or an error if strict.
     """
-    raw = F.try_element_at(extensions, F.lit(name))
-    got = F.try_variant_get(raw, "$", ddl)
-    fits = got.isNotNull()
-    for field in required:
-        fits = fits & got[field].isNotNull()
-    bad = F.raise_error(F.lit(f"<extension {name}>: payload doesn't fit")).cast(ddl) if strict else F.lit(None).cast(ddl)
-    return F.when(raw.isNull(), F.lit(None).cast(ddl)).when(fits, got).otherwise(bad)
+
+    def read(raw: Column) -> Column:
+        got = F.try_variant_get(raw, "$", ddl)
+        ok = fits(raw, T.DataType.fromDDL(ddl))
+        for field in required:
+            ok = ok & got[field].isNotNull()
+        bad = F.raise_error(F.lit(f"<extension {name}>: payload doesn't fit")).cast(ddl) if strict else F.lit(None).cast(ddl)
+        return F.when(raw.isNull(), F.lit(None).cast(ddl)).when(F.coalesce(ok, F.lit(False)), got).otherwise(bad)
+
+    return let(F.try_element_at(extensions, F.lit(name)), read)
 
 
 def put(extensions: Column, name: str, value: Column) -> Column:
@@ -83,6 +105,8 @@ MESH_FEATURES = "struct<featureIds:array<struct<featureCount:bigint,attribute:bi
 
 
 def mesh_features(value: Column) -> Column:
-    """A VARIANT as mesh features; null unless every feature id has its count."""
+    """A VARIANT as mesh features; null unless every feature id has its count, and all numbers are unsigned ones of 32 bits."""
     got = F.try_variant_get(value, "$", MESH_FEATURES)
-    return F.when(got["featureIds"].isNotNull() & F.forall(got["featureIds"], lambda f: f["featureCount"].isNotNull()), got)
+    numbers = lambda f: F.array(f["featureCount"], f["attribute"], f["propertyTable"])
+    unsigned = lambda f: f["featureCount"].isNotNull() & F.forall(numbers(f), lambda n: F.coalesce(n.between(0, 2**32 - 1), F.lit(True)))
+    return F.when(fits(value, T.DataType.fromDDL(MESH_FEATURES)) & got["featureIds"].isNotNull() & F.forall(got["featureIds"], unsigned), got)

@@ -71,6 +71,30 @@ def subtree_root(t: Column, subtree_levels: Column | int, n: int = 2) -> Column:
     return tile(t["level"] - down, *(shift_right(a, down) for a in axes(t, n)))
 
 
+def z_ranges(level: Column, low_x: Column, low_y: Column, high_x: Column, high_y: Column) -> Column:
+    """array<struct<start, end>>: the Morton ranges (end excluded) of a rectangle of a quadtree's level, corners included; empty if it has no cell.
+
+    The level's square is quartered; quarters that lie inside are a range each, those on the edge are quartered again. So the work is in
+    proportion to the rectangle's edge, not to its area. Levels to 30.
+    """
+    node, range_ = "array<struct<x:bigint,y:bigint,m:bigint>>", "array<struct<start:bigint,end:bigint>>"
+    one = lambda x, y, m: F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), m.cast("bigint").alias("m"))
+    zero = F.lit(0)
+    begin = F.struct(F.array(one(zero, zero, zero)).cast(node).alias("todo"), F.array().cast(range_).alias("done"))
+
+    def step(acc: Column, k: Column) -> Column:
+        size = shift_left(F.lit(1), level - k)
+        meets = lambda c: (c["x"] * size <= high_x) & ((c["x"] + 1) * size > low_x) & (c["y"] * size <= high_y) & ((c["y"] + 1) * size > low_y)
+        inside = lambda c: (c["x"] * size >= low_x) & ((c["x"] + 1) * size - 1 <= high_x) & (c["y"] * size >= low_y) & ((c["y"] + 1) * size - 1 <= high_y)
+        cells = lambda m: m * size * size
+        met = F.filter(acc["todo"], meets)
+        whole = F.transform(F.filter(met, inside), lambda c: F.struct(cells(c["m"]).alias("start"), cells(c["m"] + 1).alias("end")))
+        quarters = lambda c: F.array(*(one(2 * c["x"] + i % 2, 2 * c["y"] + i // 2, 4 * c["m"] + i) for i in range(4)))
+        return F.struct(F.flatten(F.transform(F.filter(met, lambda c: ~inside(c)), quarters)).alias("todo"), F.concat(acc["done"], whole).alias("done"))
+
+    return F.aggregate(F.sequence(zero.cast("bigint"), level.cast("bigint")), begin, step)["done"]
+
+
 def child_count(scheme: Column) -> Column:
     return F.when(F.lower(scheme) == "octree", 8).otherwise(4).cast("bigint")
 

@@ -59,17 +59,19 @@ def tiles(subtrees: DataFrame, levels: int, n: int = 2) -> DataFrame:
 def any_in_range(subtrees: DataFrame, ranges: DataFrame) -> DataFrame:
     """range_id, any_available. ranges: range_id, id (of a subtree), level, min_x, min_y, max_x, max_y (inclusive).
 
-    A rectangle's cells are told apart by Morton code in its row, but only those of its level and of a level that the bitstream
-    reaches, so a rectangle is never wider than the subtree; nothing is joined but the subtree, by id.
+    A rectangle becomes Morton ranges (tileid.z_ranges()), each answered by one look at its bits; no cell is asked by itself. Only
+    levels that the bitstream reaches are looked at; nothing is joined but the subtree, by id.
     """
-    scheme = F.lit("quadtree")
-    ends = F.lit(1).cast("bigint")
-    last = F.when(F.col("level").between(0, 31), tileid.shift_left(ends, F.col("level")) - 1).otherwise(F.lit(2**32 - 1))
+    scheme, level = F.lit("quadtree"), F.col("level")
+    last = F.when(level.between(0, 31), tileid.shift_left(F.lit(1).cast("bigint"), level) - 1).otherwise(F.lit(2**32 - 1))
     low_x, low_y = (F.greatest(F.col(c), F.lit(0)).cast("bigint") for c in ("min_x", "min_y"))
     high_x, high_y = (F.least(F.col(c), last).cast("bigint") for c in ("max_x", "max_y"))
-    empty = (low_x > high_x) | (low_y > high_y)
-    reached = tileid.prefix_for_level(scheme, F.col("level")) < 8 * F.octet_length(F.col("tile.bits"))
-    xs, ys = F.sequence(low_x, high_x), F.sequence(low_y, high_y)
-    hit = F.exists(ys, lambda y: F.exists(xs, lambda x: is_available(F.col("tile"), scheme, F.col("level"), tileid.morton(x, y))))
-    any_ = F.when(empty, F.lit(False)).when(F.col("tile.constant").isNotNull(), is_available(F.col("tile"), scheme, F.col("level"), F.lit(0))).when(F.coalesce(reached, F.lit(False)), hit).otherwise(F.lit(False))
-    return ranges.join(subtrees, "id").select("range_id", any_.alias("any_available"))
+    corners = F.struct(low_x.alias("a"), low_y.alias("b"), high_x.alias("c"), high_y.alias("d"))
+    prefix = tileid.prefix_for_level(scheme, level)
+    met = ranges.join(subtrees, "id").select("range_id", "tile", "level", corners.alias("r"), prefix.alias("prefix"))
+    reached = F.coalesce((F.col("level") >= 0) & (F.col("prefix") < 8 * F.octet_length(F.col("tile.bits"))), F.lit(False))
+    spans = tileid.z_ranges(level, *(F.col(f"r.{c}") for c in "abcd"))
+    hit = F.exists(spans, lambda s: bits.any_set(F.col("tile.bits"), F.col("prefix") + s["start"], F.col("prefix") + s["end"]))
+    empty = (F.col("r.a") > F.col("r.c")) | (F.col("r.b") > F.col("r.d"))
+    constant = is_available(F.col("tile"), scheme, level, F.lit(0))
+    return met.select("range_id", F.when(empty, F.lit(False)).when(F.col("tile.constant").isNotNull(), constant).when(reached, hit).otherwise(F.lit(False)).alias("any_available"))

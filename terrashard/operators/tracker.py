@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, tileid
+from ..functions import bits, classify, tileid
 from ..storage import settle
 from .availability import is_available, is_child_available, is_content_available
 
@@ -32,6 +32,11 @@ def chain(tiles: DataFrame, depth: int, n: int) -> DataFrame:
     return out.withColumn("local", F.when(F.col("low") < depth, tileid.morton(*(masked(F.col(a), F.col("low")) for a in axes), n_bits=depth)))
 
 
+def child_index(child: Column, directory: Column, morton: Column) -> Column:
+    """The place of a child subtree among those that exist: its Morton code where all do, else the set bits before it (by the bitstream's directory, see bits.rank()); null if it doesn't exist."""
+    return F.when(is_child_available(child, morton), F.when(child["constant"].isNotNull(), morton).otherwise(bits.rank(child["bits"], directory, morton)))
+
+
 def flags(tiles: DataFrame, loaded: DataFrame, depth: int, maximum_level: int, n: int = 2) -> DataFrame:
     """The columns of tiles (tile_key, forest, level, x, y[, z]) and flags.
 

@@ -15,7 +15,7 @@ def plain(number: Column) -> Column:
 
 
 def diagnostics(parsed: DataFrame) -> DataFrame:
-    """tileset_id, ord, code, path, message: negative errors of the document and of its root, then unmet requirements by position."""
+    """row, tileset_id, ord, code, path, message: negative errors of the document and of its root, then unmet requirements by position."""
     root = field(F.col("doc"), "root.geometricError", "double")
 
     def negative(value: Column, code: str, path: str) -> Column:
@@ -31,5 +31,5 @@ def diagnostics(parsed: DataFrame) -> DataFrame:
         negative(F.col("geometric_error"), "tileset.negative_geometric_error", "geometricError"), negative(root, "tile.negative_geometric_error", "root.geometricError"),
         F.array_compact(F.transform("extensions_required", unmet)),
     )
-    rows = parsed.where("error_code is null").select("tileset_id", F.posexplode(all_).alias("ord", "d"))
-    return rows.select("tileset_id", "ord", "d.code", "d.path", "d.message")
+    rows = parsed.where("error_code is null").select("row", "tileset_id", F.posexplode(all_).alias("ord", "d"))
+    return rows.select("row", "tileset_id", "ord", "d.code", "d.path", "d.message")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, classify, extensions, tileid
-from ..operators import availability, tracker, validate
+from ..operators import availability, build, errors, tracker, validate
 from ..sources import metadata, subtrees, tilesets
 from ..storage import settle
 
@@ -316,22 +316,22 @@ def path_text():
 
 @query(f"WITH {SQL_WORLD} SELECT tileset_id, path, depth, geometric_error, refine, radius, true AS identity FROM t")
 def flatten_tiles(spark, sf_dir):
-    tiles = tilesets.flatten(tilesets.parse(world(spark, sf_dir)))
+    _, tiles = tilesets.load(world(spark, sf_dir))
     return tiles.select("tileset_id", path_text().alias("path"), "depth", "geometric_error", "refine", F.col("bounding_volume.sphere")[3].alias("radius"), (F.col("transform") == F.array(*map(F.lit, tilesets.IDENTITY))).alias("identity"))
 
 
 @query(f"WITH {SQL_WORLD} SELECT tileset_id, path, (i - 1)::INTEGER AS content_ord, uris[i] AS uri FROM t, unnest(range(1, len(uris) + 1)) AS u(i)")
 def tile_contents(spark, sf_dir):
-    found = tilesets.contents(tilesets.flatten(tilesets.parse(world(spark, sf_dir))))
+    found = tilesets.contents(tilesets.load(world(spark, sf_dir))[1])
     return found.select("tileset_id", path_text().alias("path"), "content_ord", "uri")
 
 
 @query(f"WITH {SQL_WORLD} SELECT tileset_id, path, 2 * geometric_error AS geometric_error, uris[1] AS uri FROM t")
 def update_and_write(spark, sf_dir):
     """Doubles every tile's error, writes the documents, and reads them back."""
-    parsed = tilesets.parse(world(spark, sf_dir))
-    tiles = tilesets.flatten(parsed).withColumn("geometric_error", F.col("geometric_error") * 2)
-    again = tilesets.flatten(tilesets.parse(tilesets.write(parsed, tiles)))
+    parsed, tiles = tilesets.load(world(spark, sf_dir))
+    tiles = tiles.withColumn("geometric_error", F.col("geometric_error") * 2)
+    _, again = tilesets.load(tilesets.write(parsed, tiles))
     first = tilesets.field(F.get("contents", F.lit(0)), "uri", "string")
     return again.select("tileset_id", path_text().alias("path"), "geometric_error", first.alias("uri"))
 
@@ -350,30 +350,127 @@ def diagnostics(spark, sf_dir):
         F.lit('{"asset":{"version":"'), version, F.lit('"},"geometricError":'), F.round("c_acctbal").cast("bigint").cast("string"), F.lit(',"extensionsRequired":["EXT_a","EXT_b"],"extensionsUsed":'), used,
         F.lit(',"root":{"boundingVolume":{"sphere":[0,0,0,1]},"geometricError":'), (F.col("c_custkey") % 5 - 2).cast("string"), F.lit("}}"),
     )
-    return validate.diagnostics(tilesets.parse(c.select(F.col("c_custkey").alias("tileset_id"), text.alias("json")))).drop("ord")
+    return validate.diagnostics(tilesets.parse(c.select(F.col("c_custkey").alias("tileset_id"), text.alias("json")))).drop("row", "ord")
 
 
-#: Documents, and the member that is wrong in each (an empty text: none; no JSON where it is None).
+#: Documents, the member that is wrong in each (an empty text: none; no JSON where it is None), and the text that stands where the error lies.
 WRONG = (
-    ("not json", None), ('{"asset":{"version":""},TAIL', ""), ('{"asset":{},TAIL', "asset.version"), ('{"asset":{"version":"1.0"},"extensionsUsed":null,TAIL', ""), ('{"asset":{"version":"1.0"},"geometricError":"12","root":ROOT}', "geometricError"),
-    ('{"asset":{"version":1.1},TAIL', "asset.version"), ('{"asset":{"version":"1.0"},"extensionsUsed":"abc",TAIL', "extensionsUsed"),
-    ('{"asset":{"version":"1.0"},"geometricError":1,"root":{"boundingVolume":{},"geometricError":2,"children":[ROOT,{"boundingVolume":{},"geometricError":1,"children":[{"geometricError":1}]}]}}', "root.children.1.children.0.boundingVolume"),
-    ('{"asset":{"version":"1.0"},"geometricError":1,"root":{"boundingVolume":{},"geometricError":1,"refine":"BOGUS"}}', "root.refine"), ('{"asset":{"version":"1.0"},"geometricError":1,"root":{"boundingVolume":{"box":[0]},"geometricError":1}}', "root.boundingVolume.box"),
-    ('{"asset":{"version":"1.0"},"geometricError":1,"root":{"boundingVolume":{},"geometricError":1,"contents":[{"uri":"a"},{"uri":"b","group":1.0}]}}', "root.contents.1.group"),
-    ('{"asset":{"version":"1.0"},"schema":{"id":"s","classes":{"c":{"properties":{"p":{"required":"yes"}}}}},TAIL', "schema.classes.c.properties.p.required"), ('{"asset":{"version":"1.0"},"extensions":null,TAIL', "extensions"),
+    ("not json", None, "not"), ('{"asset":{"version":""},TAIL', "", None), ('{"asset":{},TAIL', "asset.version", "{},"), ('{"asset":{"version":"1.0"},"extensionsUsed":null,TAIL', "", None), ('{"asset":{"version":"1.0"},"geometricError":"12","root":ROOT}', "geometricError", '"12"'),
+    ('{"asset":{"version":1.1},TAIL', "asset.version", "1.1"), ('{"asset":{"version":"1.0"},"extensionsUsed":"abc",TAIL', "extensionsUsed", '"abc"'),
+    ('{"asset":{"version":"1.0"},"geometricError":1,"root":{"boundingVolume":{},"geometricError":2,"children":[ROOT,{"boundingVolume":{},"geometricError":1,"children":[{"geometricError":1}]}]}}', "root.children.1.children.0.boundingVolume", '{"geometricError":1}]'),
+    ('{"asset":{"version":"1.0"},"geometricError":1,"root":{"boundingVolume":{},"geometricError":1,"refine":"BOGUS"}}', "root.refine", '"BOGUS"'), ('{"asset":{"version":"1.0"},"geometricError":1,"root":{"boundingVolume":{"box":[0]},"geometricError":1}}', "root.boundingVolume.box", "[0]"),
+    ('{"asset":{"version":"1.0"},"geometricError":1,"root":{"boundingVolume":{},"geometricError":1,"contents":[{"uri":"a"},{"uri":"b","group":1.0}]}}', "root.contents.1.group", "1.0}]"),
+    ('{"asset":{"version":"1.0"},"schema":{"id":"s","classes":{"c":{"properties":{"p":{"required":"yes"}}}}},TAIL', "schema.classes.c.properties.p.required", '"yes"'), ('{"asset":{"version":"1.0"},"extensions":null,TAIL', "extensions", "null"),
+    ('{"asset":{"version":"1.0"},TAIL}', None, "}END"), ('{"asset":{"version":"1.0"},TAIL,', None, ",END"), ('{"asset":{"version":"1.0"},"geometricError":01,"root":ROOT}', None, "01"), ('{"asset":{"version":"1.0"},"geometricError":1,"root":[ROOT}', None, '}END'),
+    ('{"asset":{"version":"1.0"},"geometricError":1,"root":ROOT', None, "END"),
 )
-WRONG = tuple((t.replace("TAIL", '"geometricError":1,"root":ROOT}').replace("ROOT", '{"boundingVolume":{"sphere":[0,0,0,1]},"geometricError":1}'), path) for t, path in WRONG)
+
+
+def placed(text: str, path: str | None, needle: str | None) -> tuple:
+    """A document over two lines, and where its error lies."""
+    whole = text.replace("TAIL", '"geometricError":1,"root":ROOT}').replace("ROOT", '{"boundingVolume":{"sphere":[0,0,0,1]},"geometricError":1}').replace('"version":"1.0"},', '"version":"1.0"},\n') + "END"
+    at = None if needle is None else whole.index(needle)
+    return whole[:-3], path, at and whole[:at].count("\n") + 1, at and at - whole.rfind("\n", 0, at)
+
+
+WRONG = tuple(placed(*w) for w in WRONG)
+WRONG = tuple((t, p, 1, 1) if t == "not json" else (t, p, line, column) for t, p, line, column in WRONG)
 
 
 @query(f"""
 SELECT id AS tileset_id, CASE WHEN path IS NULL OR path <> '' THEN 'json' WHEN k = 1 THEN 'parse' END AS error_code,
   CASE WHEN path IS NULL THEN 'failed to parse ' || id || ': no JSON' WHEN path <> '' THEN 'failed to parse ' || id || ': missing or of a wrong type: ' || path
     WHEN k = 1 THEN 'failed to parse <tileset>: asset.version is required and must not be empty' END AS error_detail,
-  CASE k WHEN 1 THEN '' WHEN 3 THEN '1.0' END AS version
-FROM (SELECT c_custkey AS id, c_custkey % {len(WRONG)} AS k, [{", ".join("NULL" if p is None else f"'{p}'" for _, p in WRONG)}][1 + c_custkey % {len(WRONG)}] AS path FROM customer)""")
+  CASE k WHEN 1 THEN '' WHEN 3 THEN '1.0' END AS version, [{", ".join(str(w[2] or "NULL") for w in WRONG)}][1 + k] AS error_line, [{", ".join(str(w[3] or "NULL") for w in WRONG)}][1 + k] AS error_column
+FROM (SELECT c_custkey AS id, c_custkey % {len(WRONG)} AS k, [{", ".join("NULL" if w[1] is None else f"'{w[1]}'" for w in WRONG)}][1 + c_custkey % {len(WRONG)}] AS path FROM customer)""")
 def parse_errors(spark, sf_dir):
-    text = F.get(F.array(*(F.lit(t) for t, _ in WRONG)), (F.col("c_custkey") % len(WRONG)).cast("int"))
-    return tilesets.parse(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tileset_id"), text.alias("json"))).select("tileset_id", "error_code", "error_detail", "version")
+    """What is wrong in documents, and in which line and column."""
+    text = F.get(F.array(*(F.lit(w[0]) for w in WRONG)), (F.col("c_custkey") % len(WRONG)).cast("int"))
+    given = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tileset_id"), text.alias("json"))
+    return tilesets.parse(given, positions=True).select("tileset_id", "error_code", "error_detail", "version", "error_line", "error_column")
+
+
+#: A document that repeats keys; K is a number of the row. Sorted maps keep the first, other maps and free values the last.
+TWICE = (
+    '{"asset":{"version":"1.1"},"extensions":{"E":1,"E":K},"extras":{"x":1,"y":[{"z":0,"z":K}],"x":2},"geometricError":K,"metadata":{"class":"c","properties":{"p":K,"q":1,"p":0}},'
+    '"properties":{"h":{"maximum":K,"minimum":0},"h":{"maximum":0,"minimum":0},"g":{"maximum":1,"minimum":1}},"root":{"boundingVolume":{"sphere":[0,0,0,1]},"geometricError":1},"schema":{"id":"s","classes":{"c":{"name":"K"},"c":{}}}}'
+)
+
+
+@query("""
+SELECT s_suppkey AS tileset_id, CASE WHEN s_suppkey % 3 = 0 THEN 'failed to parse ' || s_suppkey || ': repeated: root.geometricError' END AS error_detail, CASE WHEN s_suppkey % 3 = 0 THEN 2 END AS error_line, CASE WHEN s_suppkey % 3 = 0 THEN 3 END AS error_column,
+  CASE WHEN s_suppkey % 3 <> 0 THEN '{"E":' || s_suppkey || '}' END AS extensions, CASE WHEN s_suppkey % 3 <> 0 THEN '{"x":2,"y":[{"z":' || s_suppkey || '}]}' END AS extras,
+  CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey END AS p, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey END AS maximum, CASE WHEN s_suppkey % 3 <> 0 THEN 2::BIGINT END AS n_properties, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey::VARCHAR END AS class_name FROM supplier""")
+def repeated_keys(spark, sf_dir):
+    """Maps that repeat a key are read, named members that are repeated are errors."""
+    k = F.col("s_suppkey").cast("string")
+    text = F.replace(F.lit(TWICE), F.lit("K"), k)
+    text = F.when(F.col("s_suppkey") % 3 == 0, F.replace(text, F.lit('"geometricError":1}'), F.lit('"geometricError":1,\n  "geometricError":1}'))).otherwise(text)
+    parsed = tilesets.parse(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tileset_id"), text.alias("json")), positions=True)
+    of = lambda path, ddl: tilesets.field(F.col("doc"), path, ddl)
+    return parsed.select(
+        "tileset_id", "error_detail", "error_line", "error_column", F.to_json(of("extensions", "variant")).alias("extensions"), F.to_json(of("extras", "variant")).alias("extras"), of("metadata.properties.p", "bigint").alias("p"),
+        of("properties.h.maximum", "bigint").alias("maximum"), F.when(F.col("doc").isNotNull(), F.size(metadata.entries(F.col("doc"), "properties"))).cast("bigint").alias("n_properties"), of("schema.classes.c.name", "string").alias("class_name"),
+    )
+
+
+def order_documents(spark, sf_dir):
+    """A document for each order, its lines being tiles below the root. Ids are repeated or null, and every seventh document has a wrong line."""
+    li = read(spark, sf_dir, "lineitem")
+    wrong = F.when((F.col("l_orderkey") % 7 == 3) & (F.col("l_linenumber") == 1), F.lit("NEVER")).otherwise("ADD")
+    volume = F.struct(F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))).alias("sphere"))
+    line = F.struct(volume.alias("boundingVolume"), F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("uri")).alias("content"), F.col("l_quantity").cast("double").alias("geometricError"), wrong.alias("refine"))
+    lines = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]).alias("children"))
+    made = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    root = F.struct(volume.alias("boundingVolume"), F.col("children"), F.struct(F.concat("o_orderkey", F.lit("")).alias("uri")).alias("content"), F.lit(9.0).alias("geometricError"))
+    doc = F.struct(F.struct(F.col("o_orderkey").cast("string").alias("version")).alias("asset"), F.lit(10.0).alias("geometricError"), root.alias("root"))
+    return made.select(F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey") % 50).alias("tileset_id"), F.to_json(doc).alias("json"))
+
+
+SQL_ORDERS = """
+o AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey % 50 END AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity::DOUBLE AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS i, bool_or(l_linenumber = 1 AND l_orderkey % 7 = 3) OVER (PARTITION BY l_orderkey) AS wrong FROM lineitem),
+w AS (SELECT k, bool_or(wrong) AS wrong FROM l GROUP BY k)"""
+
+
+@query(f"""
+WITH {SQL_ORDERS}
+SELECT id AS tileset_id, CASE WHEN wrong THEN 'failed to parse ' || coalesce(id::VARCHAR, '') || ': missing or of a wrong type: root.children.0.refine' END AS error_detail, CASE WHEN NOT wrong THEN k::VARCHAR END AS version FROM o JOIN w USING (k)""")
+def order_verdicts(spark, sf_dir):
+    """Each document has its own verdict, though ids are shared and null."""
+    return tilesets.parse(order_documents(spark, sf_dir)).select("tileset_id", "error_detail", "version")
+
+
+@query(f"""
+WITH {SQL_ORDERS}
+SELECT id AS tileset_id, k::VARCHAR AS uri, '' AS path, 9.0::DOUBLE AS geometric_error FROM o JOIN w USING (k) WHERE NOT wrong
+UNION ALL SELECT id, k || '-' || n, i::VARCHAR, q FROM o JOIN w USING (k) JOIN l USING (k) WHERE NOT w.wrong""")
+def order_tiles_flat(spark, sf_dir):
+    _, tiles = tilesets.load(order_documents(spark, sf_dir))
+    return tiles.select("tileset_id", tilesets.field(F.get("contents", F.lit(0)), "uri", "string").alias("uri"), path_text().alias("path"), "geometric_error")
+
+
+@query(f"""
+WITH {SQL_ORDERS}
+SELECT id AS tileset_id, k::VARCHAR AS version, count(*)::BIGINT AS lines, sum(q + 1) AS errors, max(k || '-' || n) AS last_uri FROM o JOIN w USING (k) JOIN l USING (k) WHERE NOT w.wrong GROUP BY id, k""")
+def order_documents_again(spark, sf_dir):
+    """Every tile's error is raised by one, the documents are written, and read back: a row for each, with its own lines."""
+    parsed, tiles = tilesets.load(order_documents(spark, sf_dir))
+    again = tilesets.write(parsed, tiles.withColumn("geometric_error", F.col("geometric_error") + 1)).select("tileset_id", F.parse_json("json").alias("doc"))
+    lines = tilesets.field(F.col("doc"), "root.children", "array<variant>")
+    total = F.aggregate(lines, F.lit(0.0), lambda a, x: a + tilesets.field(x, "geometricError", "double"))
+    last = F.array_max(F.transform(lines, lambda x: tilesets.field(x, "content.uri", "string")))
+    return again.select("tileset_id", tilesets.field(F.col("doc"), "asset.version", "string").alias("version"), F.size(lines).cast("bigint").alias("lines"), total.alias("errors"), last.alias("last_uri"))
+
+
+@query(f"""
+WITH {SQL_ORDERS}
+SELECT id AS tileset_id, k::VARCHAR AS uri, '' AS path, 9.0::DOUBLE AS geometric_error FROM o JOIN w USING (k) WHERE NOT wrong
+UNION ALL SELECT id, k || '-' || n, i::VARCHAR, q FROM o JOIN w USING (k) JOIN l USING (k) WHERE NOT w.wrong""")
+def order_tiles_cut(spark, sf_dir):
+    """The same tiles, cut from chunks by the documents' structure, as large documents are."""
+    _, tiles = tilesets.load(order_documents(spark, sf_dir), large=0)
+    return tiles.select("tileset_id", tilesets.field(F.get("contents", F.lit(0)), "uri", "string").alias("uri"), path_text().alias("path"), "geometric_error")
 
 
 #: A document with every member, in the order of their names; K is a number of the row.
@@ -392,17 +489,18 @@ SELECT s_suppkey AS tileset_id, replace(replace('{FULL}', 'ONES', '"transform":[
 def tileset_round_trip(spark, sf_dir):
     """Writes documents with every member, and compares the whole of each (keys in the order of their names)."""
     text = F.replace(F.replace(F.lit(FULL), F.lit(",ONES"), F.lit("")), F.lit("K"), F.col("s_suppkey").cast("string"))
-    parsed = tilesets.parse(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tileset_id"), text.alias("json")))
-    tiles = tilesets.flatten(parsed)
+    parsed, tiles = tilesets.load(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tileset_id"), text.alias("json")))
     n = tiles.groupBy("tileset_id").agg(F.count("*").alias("tiles"))
     return tilesets.write(parsed, tiles).join(n, "tileset_id").select("tileset_id", F.to_json(F.parse_json("json")).alias("written"), "tiles")
 
 
 @query("""
-SELECT p_partkey, '{' || chr(10) || '  "name": "' || p_name || '",' || chr(10) || '  "sizes": [' || chr(10) || '    ' || p_size || ',' || chr(10) || '    null' || chr(10) || '  ],' || chr(10) || '  "a": {}' || chr(10) || '}' AS pretty FROM part""")
+SELECT p_partkey, '{' || chr(10) || '  "name": "' || p_name || '",' || chr(10) || '  "sizes": [' || chr(10) || '    ' || p_size || ',' || chr(10) || '    null' || chr(10) || '  ],' || chr(10) || '  "a": {},' || chr(10)
+  || '  "b": [' || chr(10) || '    1e400,' || chr(10) || '    1E5,' || chr(10) || '    -0.0,' || chr(10) || '    1.50' || chr(10) || '  ],' || chr(10) || '  "c": [' || chr(10) || '    []' || chr(10) || '  ],' || chr(10)
+  || '  "a": "x, {\\"y\\": [1]}"' || chr(10) || '}' AS pretty FROM part""")
 def pretty_json(spark, sf_dir):
-    text = F.concat(F.lit('{"name":"'), "p_name", F.lit('","sizes":['), F.col("p_size").cast("string"), F.lit(',null],"a":{}}'))
-    return read(spark, sf_dir, "part").select("p_partkey", tilesets.pretty(text).alias("pretty"))
+    text = F.concat(F.lit('{"name":"'), "p_name", F.lit('","sizes":['), F.col("p_size").cast("string"), F.lit(',null],"a":{ },"b":[1e400, 1E5,-0.0,1.50],"c":[[]], "a":"x, {\\"y\\": [1]}"}'))
+    return tilesets.pretty(read(spark, sf_dir, "part").select("p_partkey", text.alias("pretty")), "pretty")
 
 
 @query("""
@@ -438,20 +536,40 @@ def sorted_map(spark, sf_dir):
     return li.select("o_orderkey", F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("entries"))
 
 
-UNIONS = ('{"byteOffset": 4, "componentType": "FLOAT", "type": "VEC3"}', "true", "7", "1.5", "[1, 2, 3]", '"${x} > 1"', '{"conditions": []}')
+#: Kinds of values that events are made into, in turn.
+KINDS = 7
 
 
 @query(f"""
-SELECT s_suppkey, ['reference', 'boolean', 'integer', 'number', 'array', NULL, NULL][1 + s_suppkey % {len(UNIONS)}] AS feature, ['offset', NULL, 'number', 'number', NULL, NULL, NULL][1 + s_suppkey % {len(UNIONS)}] AS global_number,
-  [NULL, 'boolean', NULL, NULL, NULL, 'expression', NULL][1 + s_suppkey % {len(UNIONS)}] AS show_expression, ['conditions', 'expression', NULL, NULL, NULL, 'expression', 'conditions'][1 + s_suppkey % {len(UNIONS)}] AS style FROM supplier""")
+WITH e AS (SELECT event_id, event_id % {KINDS} AS k FROM events)
+SELECT event_id, ['reference', 'boolean', 'integer', 'number', 'array', NULL, NULL][1 + k] AS feature, ['offset', NULL, 'number', 'number', NULL, NULL, NULL][1 + k] AS global_number,
+  [NULL, 'boolean', NULL, NULL, NULL, 'expression', NULL][1 + k] AS show_expression, ['conditions', 'expression', NULL, NULL, NULL, 'expression', 'conditions'][1 + k] AS style FROM e""")
 def tagged_unions(spark, sf_dir):
-    v = F.parse_json(F.get(F.array(*map(F.lit, UNIONS)), (F.col("s_suppkey") % len(UNIONS)).cast("int")))
+    """Values of events, written as references, booleans, integers, numbers, arrays, expressions and conditions."""
+    e = read(spark, sf_dir, "events")
+    user, half = F.col("user_id").cast("string"), F.concat(F.col("user_id").cast("string"), F.lit(".25"))
+    texts = (
+        F.concat(F.lit('{"byteOffset": '), user, F.lit(', "componentType": "FLOAT", "type": "VEC3"}')), F.when(F.col("user_id") % 2 == 0, "true").otherwise("false"), user, half, F.concat(F.lit("["), user, F.lit(","), half, F.lit("]")),
+        F.concat(F.lit('"${'), "event_type", F.lit('} > 1"')), F.concat(F.lit('{"conditions": [["'), "event_type", F.lit('", "true"]]}')),
+    )
+    v = F.parse_json(F.get(F.array(*texts), (F.col("event_id") % KINDS).cast("int")))
     kind = lambda name, a: extensions.union_kind(F.col("v"), a).alias(name)
-    return read(spark, sf_dir, "supplier").select("s_suppkey", v.alias("v")).select(
-        "s_suppkey", kind("feature", extensions.FEATURE_PROPERTY), kind("global_number", extensions.GLOBAL_NUMBER), kind("show_expression", extensions.BOOLEAN_EXPRESSION), kind("style", extensions.STYLE)
+    return e.select("event_id", v.alias("v")).select(
+        "event_id", kind("feature", extensions.FEATURE_PROPERTY), kind("global_number", extensions.GLOBAL_NUMBER), kind("show_expression", extensions.BOOLEAN_EXPRESSION), kind("style", extensions.STYLE)
     )
 
 
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN 'unsupported_implicit_subdivision' END AS error_code, CASE WHEN p_size % 4 = 3 THEN 'unsupported implicit subdivision scheme: ' || p_name END AS error_detail,
+  CASE WHEN p_size % 4 <> 1 THEN 'unsupported_implicit_subdivision' END AS octree_only FROM part""")
+def scheme_errors(spark, sf_dir):
+    """Tiling schemes that a loader lacks: all three, and one that has octrees only."""
+    scheme = F.when(F.col("p_size") % 4 == 3, F.col("p_name")).otherwise(F.get(F.array(*map(F.lit, ("Quadtree", "Octree", "S2"))), (F.col("p_size") % 4).cast("int")))
+    p = read(spark, sf_dir, "part").select("p_partkey", scheme.alias("s"))
+    whole, some = errors.scheme_error(F.col("s")), errors.scheme_error(F.col("s"), ("octree",))
+    return p.select("p_partkey", whole["error_code"].alias("error_code"), whole["error_detail"].alias("error_detail"), some["error_code"].alias("octree_only"))
+
+
 @query("""
 SELECT s_suppkey, s_suppkey % 3 <> 2 AS fits, CASE WHEN s_suppkey % 3 <> 2 THEN s_suppkey END AS feature_count, CASE WHEN s_suppkey % 3 = 0 THEN 'L' END AS label FROM supplier""")
 def mesh_features(spark, sf_dir):
@@ -552,6 +670,13 @@ def tracker_accept_octree(spark, sf_dir):
     return tracker.accept(part_subtrees(spark, sf_dir), 2, 3).select("forest", "ordinal", "level")
 
 
+#: Subtrees with a member of a wrong type, and its path.
+MISTYPED = tuple((f'{{"tileAvailability":{t},"childSubtreeAvailability":{{"constant":0}}{more}}}', path) for t, more, path in (
+    ('{"constant":"1"}', "", "tileAvailability.constant"), ('{"constant":1.0}', "", "tileAvailability.constant"), ('{"constant":true}', "", "tileAvailability.constant"), ('{"constant":-1}', "", "tileAvailability.constant"),
+    ('{"bitstream":"0"}', "", "tileAvailability.bitstream"), ('{"constant":1}', ',"buffers":[{"byteLength":"1"}]', "buffers.0.byteLength"), ('{"constant":1}', ',"extensions":3', "extensions"), ('{"constant":1}', ',"subtreeMetadata":5', "subtreeMetadata"),
+))
+
+
 def line_payloads(spark, sf_dir, damage: bool):
     """Envelopes of three-level subtrees whose tile bits are bytes of a digest; some are damaged."""
     c, h = read(spark, sf_dir, "customer"), F.md5(F.col("c_custkey").cast("string"))
@@ -561,24 +686,28 @@ def line_payloads(spark, sf_dir, damage: bool):
     made = c.select(F.col("c_custkey").alias("id"), tile.alias("tile"), layers.alias("layers")).select("id", subtrees.binary(text, blob).alias("content"), text.alias("text"))
     if not damage:
         return made.select("id", "content")
-    k = F.col("id") % 10
+    k = F.col("id") % (10 + len(MISTYPED))
     put = lambda at, h: F.concat(F.substr("content", F.lit(1), F.lit(at)), F.unhex(F.lit(h)), F.substr("content", F.lit(at + len(h) // 2 + 1), F.octet_length("content")))
     broken = (
         F.when(k == 1, F.substr("content", F.lit(1), F.lit(10))).when(k == 2, put(4, "02000000")).when(k == 3, put(8, "FF" * 8)).when(k == 4, put(16, "FFFF000000000000"))
         .when(k == 5, F.encode(F.lit("no json"), "UTF-8")).when(k == 6, F.encode(F.lit('{"tileAvailability":{"bitstream":3},"childSubtreeAvailability":{"constant":0}}'), "UTF-8"))
         .when(k == 7, F.encode(F.lit('{"bufferViews":[{"buffer":2,"byteOffset":0,"byteLength":1}],"buffers":[{"byteLength":1}],"tileAvailability":{"bitstream":0},"childSubtreeAvailability":{"constant":0}}'), "UTF-8"))
         .when(k == 8, F.encode(F.lit('{"bufferViews":[{"buffer":0,"byteOffset":1,"byteLength":2}],"buffers":[{"byteLength":9,"uri":"b.bin"}],"tileAvailability":{"bitstream":0},"childSubtreeAvailability":{"constant":0}}'), "UTF-8"))
-        .when(k == 9, F.encode(F.lit('{"bufferViews":[{"buffer":0,"byteOffset":1,"byteLength":9}],"buffers":[{"byteLength":9,"uri":"a.bin"}],"tileAvailability":{"bitstream":0},"childSubtreeAvailability":{"constant":0}}'), "UTF-8")).otherwise(F.col("content"))
+        .when(k == 9, F.encode(F.lit('{"bufferViews":[{"buffer":0,"byteOffset":1,"byteLength":9}],"buffers":[{"byteLength":9,"uri":"a.bin"}],"tileAvailability":{"bitstream":0},"childSubtreeAvailability":{"constant":0}}'), "UTF-8"))
     )
-    return made.select("id", broken.alias("content"))
+    for i, (text_, _) in enumerate(MISTYPED):
+        broken = broken.when(k == 10 + i, F.encode(F.lit(text_), "UTF-8"))
+    return made.select("id", broken.otherwise(F.col("content")).alias("content"))
 
 
-@query("""
-SELECT c_custkey AS id, [NULL, 'truncated', 'unsupported_version', 'invalid_length', 'truncated', 'json', 'invalid_buffer_view', 'invalid_buffer_index', 'missing_external_buffer', 'buffer_out_of_range'][1 + c_custkey % 10] AS error_code,
-  [NULL, NULL, '2', NULL, NULL, NULL, '3', '2', 'b.bin', NULL][1 + c_custkey % 10] AS error_detail FROM customer""")
+@query(f"""
+SELECT CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 40 END AS id, [NULL, 'truncated', 'unsupported_version', 'invalid_length', 'truncated', 'json', 'invalid_buffer_view', 'invalid_buffer_index', 'missing_external_buffer', 'buffer_out_of_range', {", ".join(["'json'"] * len(MISTYPED))}][1 + c_custkey % {10 + len(MISTYPED)}] AS error_code,
+  [NULL, NULL, '2', NULL, NULL, NULL, '3', '2', 'b.bin', NULL, {", ".join(f"'{path}'" for _, path in MISTYPED)}][1 + c_custkey % {10 + len(MISTYPED)}] AS error_detail FROM customer""")
 def subtree_errors(spark, sf_dir):
-    external = spark.range(1).select(F.lit("a.bin").alias("uri"), F.lit(b"\x01\x02").alias("bytes"))
-    return subtrees.decode(line_payloads(spark, sf_dir, True), external).select("id", "error_code", "error_detail")
+    """Payloads with null and repeated ids; one URI is given twice."""
+    external = spark.range(2).select(F.lit("a.bin").alias("uri"), F.unhex(F.concat(F.lit("010"), F.col("id").cast("string"))).alias("bytes"))
+    given = line_payloads(spark, sf_dir, True).select(F.when(F.col("id") % 3 != 0, F.col("id") % 40).alias("id"), "content")
+    return subtrees.decode(given, external).select("id", "error_code", "error_detail")
 
 
 @query(f"""
@@ -622,14 +751,11 @@ def schema_enums(spark, sf_dir):
 
 
 @query(f"""
-SELECT id, count(*)::BIGINT AS classes, (2 * count(*))::BIGINT AS properties, (2 * count(*))::BIGINT AS enum_values, id AS schema_id, count(*)::BIGINT AS required FROM ({SQL_SCHEMAS}) GROUP BY id""")
+SELECT id, '{{"classes":{{' || string_agg('"' || class_id || '":{{"name":"' || class_id || '","properties":{{"kind":{{"type":"ENUM","enumType":"' || class_id || '","array":false,"normalized":false,"required":false}},"size":{{"type":"SCALAR","componentType":"UINT8","max":50,"array":false,"normalized":false,"required":true}}}}}}', ',' ORDER BY class_id)
+  || '}},"enums":{{' || string_agg('"' || class_id || '":{{"valueType":"UINT16","values":[{{"name":"a","value":0}},{{"name":"b","value":' || length(class_id) || '}}]}}', ',' ORDER BY class_id) || '}},"id":"' || id || '"}}' AS json FROM ({SQL_SCHEMAS}) GROUP BY id""")
 def schema_write(spark, sf_dir):
-    """Writes the schemas and counts what is in them after reading them back."""
-    again = metadata.write_schema(part_schemas(spark, sf_dir)).select("id", F.parse_json("json").alias("doc"))
-    c = again.select("id", F.size(metadata.entries(F.col("doc"), "classes")).cast("bigint").alias("classes"), tilesets.field(F.col("doc"), "id", "string").alias("schema_id"))
-    p = metadata.class_properties(again).groupBy("id").agg(F.count("*").alias("properties"), F.count_if("required").alias("required"))
-    e = metadata.enums(again).groupBy("id").agg(F.count("*").alias("enum_values"))
-    return c.join(p, "id").join(e, "id")
+    """Schemas written anew, as whole texts."""
+    return metadata.write_schema(part_schemas(spark, sf_dir))
 
 
 @query("""
@@ -701,3 +827,56 @@ def external_buffers(spark, sf_dir):
     external = c.select((F.col("c_custkey") % 50).cast("string").alias("k")).distinct().select(F.concat(F.lit("buffers/"), "k", F.lit(".bin")).alias("uri"), F.unhex(F.md5("k")).alias("bytes"))
     loaded = subtrees.decode(c.select(F.col("c_custkey").alias("id"), F.encode(text, "UTF-8").alias("content")), external)
     return loaded.select("id", bits.rank_before(F.col("tile.bits"), F.lit(21)).cast("bigint").alias("tiles"))
+
+
+SQL_RANK = "(SELECT md5(n_nationkey::VARCHAR) AS h, n_nationkey FROM nation)"
+
+
+@query(f"""
+WITH e AS (SELECT event_id, user_id % 25 AS k, (event_id * 7919) % 1048576 AS bit FROM events),
+b AS (SELECT n_nationkey AS k, i, {sql_hex_bit("h", "i")} AS b, sum({sql_hex_bit("h", "i")}) OVER (PARTITION BY n_nationkey ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto, sum({sql_hex_bit("h", "i")}) OVER (PARTITION BY n_nationkey) AS whole FROM {SQL_RANK}, unnest(range(128)) AS u(i))
+SELECT event_id, e.bit, (bit // 128 * whole + upto - b)::BIGINT AS rank, CASE WHEN b = 1 THEN (bit // 128 * whole + upto - b)::BIGINT END AS child_index FROM e JOIN b ON b.k = e.k AND b.i = e.bit % 128""")
+def child_rank(spark, sf_dir):
+    """Ranks in bitstreams of 2 ** 20 bits, one for each nation, by directories that are stored beside them."""
+    bits_ = F.unhex(F.repeat(F.md5(F.col("n_nationkey").cast("string")), F.lit(8192)))
+    children = settle(read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), bits_.alias("b")).select("k", bits.bitstream(F.col("b")).alias("child"), bits.directory(F.col("b")).alias("directory")), "directories")
+    e = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25).alias("k"), (F.col("event_id") * 7919 % 2**20).alias("bit"))
+    rank = bits.rank(F.col("child.bits"), F.col("directory"), F.col("bit"))
+    return e.join(children, "k").select("event_id", "bit", rank.cast("bigint").alias("rank"), tracker.child_index(F.col("child"), F.col("directory"), F.col("bit")).cast("bigint").alias("child_index"))
+
+
+SQL_TILES = "SELECT o_custkey % 5 AS forest, o_orderkey % 6 AS level, (o_orderkey * 3) % (1 << (o_orderkey % 6)::INTEGER) AS x, o_custkey % (1 << (o_orderkey % 6)::INTEGER) AS y, bool_or(o_orderstatus = 'F') AS content FROM orders GROUP BY ALL"
+
+
+def order_tiles(spark, sf_dir):
+    """Orders as tiles of five forests, levels 0 to 5, many of them repeated."""
+    o, level = read(spark, sf_dir, "orders"), F.col("o_orderkey") % 6
+    return o.select((F.col("o_custkey") % 5).alias("forest"), level.alias("level"), (F.col("o_orderkey") * 3).alias("x"), F.col("o_custkey").alias("y"), (F.col("o_orderstatus") == "F").alias("content"))
+
+
+@query(SQL_TILES)
+def subtrees_from_tiles(spark, sf_dir):
+    """Tiles to subtrees of two levels, written as payloads, decoded, and back to tiles."""
+    made = build.subtrees(order_tiles(spark, sf_dir), 2)
+    text, blob = subtrees.json(F.col("tile"), F.col("child"), F.col("content_layers"))
+    files = made.select("forest", "level", "x", "y", subtrees.binary(text, blob).alias("content"))
+    loaded = settle(subtrees.decode(files), "loaded")
+    q, cell = F.lit("quadtree"), availability.tiles(loaded, 2)
+    content = availability.is_content_available(F.col("content_layers"), F.lit(0), q, F.col("rel_level"), F.col("rel_morton"))
+    bit = lambda k: F.shiftright("rel_morton", k).bitwiseAND(F.lit(1))
+    here = lambda a, k: (tileid.shift_left(F.col(a), F.col("rel_level")) + bit(k)).alias(a)
+    return cell.select("forest", (F.col("level") + F.col("rel_level")).alias("level"), here("x", 0), here("y", 1), content.alias("content"))
+
+
+@query("""
+SELECT p_partkey AS range_id, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = p_partkey % 25 AND c_custkey * 37 % 1024 BETWEEN p_partkey * 13 % 1024 AND p_partkey * 13 % 1024 + 20 * p_size AND c_custkey * 101 % 1024 BETWEEN p_size AND 11 * p_size) AS any_available FROM part""")
+def range_any_wide(spark, sf_dir):
+    """Rectangles up to 1001 by 501 cells, in subtrees of eleven levels that customers make, one for each nation."""
+    c = read(spark, sf_dir, "customer")
+    tiles = c.select(F.col("c_nationkey").cast("bigint").alias("forest"), F.lit(10).cast("bigint").alias("level"), (F.col("c_custkey") * 37).alias("x"), (F.col("c_custkey") * 101).alias("y"), F.lit(False).alias("content"))
+    made = settle(build.subtrees(tiles, 11).select(F.col("forest").alias("id"), "tile"), "subtrees")
+    x, size = F.col("p_partkey") * 13 % 1024, F.col("p_size").cast("bigint")
+    ranges = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("range_id"), (F.col("p_partkey") % 25).alias("id"), F.lit(10).cast("bigint").alias("level"), x.alias("min_x"), size.alias("min_y"), (x + 20 * size).alias("max_x"), (11 * size).alias("max_y"))
+    # Every rectangle is asked, of a subtree or of none.
+    asked = ranges.select("range_id").join(availability.any_in_range(made, ranges), "range_id", "left")
+    return asked.select("range_id", F.coalesce("any_available", F.lit(False)).alias("any_available"))

@@ -19,6 +19,13 @@ NOTHING = "CAST(NULL AS STRING)"
 names = itertools.count()
 
 
+def read_json(text: Column) -> Column:
+    """The VARIANT of a JSON text, null if it is none. Spark's parser stops behind the first value, so the text is read as the first of two members of an array, the other being its hash; whatever follows it breaks that."""
+    mark = F.xxhash64(text)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+    return F.get(F.transform(F.array(F.struct(both.alias("v"), mark.alias("m"))), lambda x: F.when((F.try_variant_get(x["v"], "$[1]", "bigint") == x["m"]) & F.try_variant_get(x["v"], "$[2]", "variant").isNull(), F.try_variant_get(x["v"], "$[0]", "variant"))), F.lit(0))
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -150,6 +157,23 @@ TILESET = record(
     properties=maybe(dictionary(record(maximum=need(number), minimum=need(number), **OPEN))), root=need(anything), schema=maybe(SCHEMA), schemaUri=maybe(text), statistics=maybe(STATISTICS), **OPEN,
 )
 
+COLUMN = record(
+    arrayOffsetType=maybe(anything), arrayOffsets=maybe(unsigned), max=maybe(anything), min=maybe(anything), offset=maybe(anything), scale=maybe(anything), stringOffsetType=maybe(anything), stringOffsets=maybe(unsigned),
+    values=need(unsigned), **OPEN,
+)
+PROPERTY_TABLE = record(**{"class": need(text)}, count=need(unsigned), name=maybe(text), properties=maybe(dictionary(COLUMN)), **OPEN)
+AVAILABILITY = record(availableCount=maybe(unsigned), bitstream=maybe(unsigned), constant=maybe(unsigned), **OPEN)
+BUFFER = record(byteLength=need(unsigned), name=maybe(text), uri=maybe(text), **OPEN)
+BUFFER_VIEW = record(buffer=need(unsigned), byteLength=need(unsigned), byteOffset=need(unsigned), name=maybe(text), **OPEN)
+SUBTREE = record(
+    bufferViews=maybe(listed(BUFFER_VIEW)), buffers=maybe(listed(BUFFER)), childSubtreeAvailability=need(AVAILABILITY), contentAvailability=maybe(listed(AVAILABILITY)), contentMetadata=maybe(listed(unsigned)),
+    propertyTables=maybe(listed(PROPERTY_TABLE)), subtreeMetadata=maybe(ENTITY), tileAvailability=need(AVAILABILITY), tileMetadata=maybe(unsigned), **OPEN,
+)
+
+
+def subtree_fault(subtree: str) -> Column:
+    return F.expr(SUBTREE(subtree))
+
 
 def tileset_fault(doc: str) -> Column:
     return F.expr(TILESET(doc))
@@ -160,6 +184,12 @@ def tile_fault(name: str) -> Column:
     return F.expr(within(name, f"coalesce(odd, {faults(TILE, lambda k: f'`{k}`')})"))
 
 
+def root_fault(root: str) -> str:
+    """What is wrong with a root tile itself, as of its document: SQL of a VARIANT."""
+    one = lambda m: faults(m, lambda name: member(root, name))
+    return within("'root'", f"IF(NOT {is_object(root)}, '', coalesce({one({'children': CHILDREN})}, {one(TILE)}))")
+
+
 def odd_fault(tile: str) -> Column:
     """What is wrong with a tile as a whole, or with its list of children."""
     return F.expr(f"IF(NOT {is_object(tile)}, '', {faults({'children': CHILDREN}, lambda name: member(tile, name))})")

@@ -2,7 +2,11 @@
 
 A payload is JSON, or an envelope: magic, version, two lengths, JSON, binary. decode() turns rows (id, content BINARY)
 into views (functions.bits.VIEW) without leaving the JVM; buffers named by a URI are joined from a table
-(uri, bytes). What can't be decoded becomes a row with error_code, in the order in which checks are made.
+(uri, bytes). What can't be decoded becomes a row with error_code, in the order in which checks are made. Every member of the JSON
+must have the format's type (members.SUBTREE), whether decoding needs it or not; error_detail names the first that hasn't.
+
+Rows are decoded each by itself: an id may be null or repeated, and other columns may have any name. Of several rows of `external` with
+one URI, that with the least bytes counts; a null URI names nothing.
 """
 
 from __future__ import annotations
@@ -11,10 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from . import members
 
 MAGIC, VERSION, HEADER = "subt", 1, 24
-AVAILABILITY = "struct<constant:bigint,bitstream:bigint>"
-SUBTREE = f"struct<bufferViews:array<struct<buffer:bigint,byteOffset:bigint,byteLength:bigint>>,buffers:array<struct<byteLength:bigint,uri:string>>,tileAvailability:{AVAILABILITY},contentAvailability:array<{AVAILABILITY}>,childSubtreeAvailability:{AVAILABILITY}>"
+#: Unsigned numbers of 64 bits don't fit a BIGINT.
+UNSIGNED = "decimal(20,0)"
+AVAILABILITY = f"struct<constant:{UNSIGNED},bitstream:{UNSIGNED}>"
+VIEW_SPEC, BUFFER_SPEC = f"struct<buffer:{UNSIGNED},byteOffset:{UNSIGNED},byteLength:{UNSIGNED}>", f"struct<byteLength:{UNSIGNED},uri:string>"
+SUBTREE = f"struct<bufferViews:array<{VIEW_SPEC}>,buffers:array<{BUFFER_SPEC}>,tileAvailability:{AVAILABILITY},contentAvailability:array<{AVAILABILITY}>,childSubtreeAvailability:{AVAILABILITY}>"
 
 
 def envelope(payloads: DataFrame) -> DataFrame:
@@ -39,24 +47,36 @@ def envelope(payloads: DataFrame) -> DataFrame:
     return opened.select(*payloads.columns, "error_code", detail.alias("error_detail"), F.try_validate_utf8(text.cast("string")).alias("text"), blob.alias("blob"))
 
 
+def fetched(opened: DataFrame, external: DataFrame) -> DataFrame:
+    """opened (with wanted: the URIs that a row names), and fetched: a map of the buffers' bytes by URI, null where a row names none.
+
+    Rows that name the same buffers share one map, so rows need no name of their own; only buffers that some row names are read.
+    """
+    named = opened.withColumn("wanted", F.when(F.size("wanted") > 0, F.array_sort(F.array_distinct("wanted"))))
+    lists = named.select(F.col("wanted").alias("list")).where("list is not null").distinct()
+    each = lists.select("list", F.explode("list").alias("uri"))
+    bytes_ = external.join(each.select("uri").distinct(), "uri", "left_semi").groupBy("uri").agg(F.min("bytes").alias("bytes"))
+    maps = each.join(bytes_, "uri").groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct("uri", "bytes"))).alias("fetched"))
+    return named.join(maps, F.col("wanted") == F.col("list"), "left").drop("wanted", "list")
+
+
 def decode(payloads: DataFrame, external: DataFrame | None = None) -> DataFrame:
-    """The columns of payloads (id, content, ...), and tile, child (views), content_layers (array of views), error_code, error_detail.
+    """The columns of payloads (content, and any others) but content, and tile, child (views), content_layers (array of views), error_code, error_detail.
 
     external: uri, bytes. Only buffers that some payload names are joined, by equality; neither table is gathered.
     """
-    opened = envelope(payloads).withColumn("s", F.try_variant_get(F.try_parse_json("text"), "$", SUBTREE))
-    complete = F.col("s.tileAvailability").isNotNull() & F.col("s.childSubtreeAvailability").isNotNull()
-    opened = opened.withColumn("error_code", F.coalesce("error_code", F.when(F.coalesce(complete, F.lit(False)), F.lit(None)).otherwise("json")))
-    fetched = F.create_map().cast("map<string,binary>")
-    if external is not None:
-        named = opened.select("id", F.explode_outer("s.buffers.uri").alias("uri")).where("uri is not null").distinct()  # outer: no filter is pushed into the decoding
-        held = named.join(external, "uri").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("uri", "bytes"))).alias("fetched"))
-        opened = opened.join(held, "id", "left")
-        fetched = F.coalesce("fetched", fetched)
-    view_type, buffer_type = "struct<buffer:bigint,byteOffset:bigint,byteLength:bigint>", "struct<byteLength:bigint,uri:string>"
+    given = payloads.select("content", F.struct(*(F.col(f"`{c}`") for c in payloads.columns if c != "content")).alias("given"))
+    opened = envelope(given).withColumn("v", members.read_json(F.col("text")))
+    opened = opened.withColumn("wanted", F.array_compact(F.try_variant_get("v", "$.buffers", "array<struct<uri:string>>")["uri"]))
+    opened = opened.withColumn("fault", F.when(F.col("error_code").isNull(), F.when(F.col("v").isNull(), F.lit("")).otherwise(members.subtree_fault("v"))))
+    opened = opened.select(
+        "given", "blob", F.coalesce("error_code", F.when(F.col("fault").isNotNull(), "json")).alias("error_code"), F.coalesce("error_detail", F.nullif("fault", F.lit(""))).alias("error_detail"),
+        F.when(F.col("fault").isNull(), F.try_variant_get("v", "$", SUBTREE)).alias("s"), "wanted",
+    )
+    opened = opened.withColumn("fetched", F.lit(None).cast("map<string,binary>")) if external is None else fetched(opened, external)
     opened = opened.select(
-        *payloads.columns, "error_code", "error_detail", "blob", F.coalesce("s.bufferViews", F.array().cast(f"array<{view_type}>")).alias("views"), F.coalesce("s.buffers", F.array().cast(f"array<{buffer_type}>")).alias("buffers"),
-        F.concat(F.array("s.tileAvailability", "s.childSubtreeAvailability"), F.coalesce("s.contentAvailability", F.array().cast(f"array<{AVAILABILITY}>"))).alias("specs"), fetched.alias("fetched"),
+        "given", "error_code", "error_detail", "blob", F.coalesce("s.bufferViews", F.array().cast(f"array<{VIEW_SPEC}>")).alias("views"), F.coalesce("s.buffers", F.array().cast(f"array<{BUFFER_SPEC}>")).alias("buffers"),
+        F.concat(F.array("s.tileAvailability", "s.childSubtreeAvailability"), F.coalesce("s.contentAvailability", F.array().cast(f"array<{AVAILABILITY}>"))).alias("specs"), "fetched",
     )
     nth = lambda a, i: F.when((i >= 0) & (i < F.size(a)), F.get(a, i.cast("int")))
 
@@ -66,10 +86,10 @@ def decode(payloads: DataFrame, external: DataFrame | None = None) -> DataFrame:
         inline = F.size("buffers") == 0
 
         def with_data(v: Column, b: Column, data: Column) -> Column:
-            end = v["byteOffset"].cast("decimal(20,0)") + v["byteLength"].cast("decimal(20,0)")
+            end = v["byteOffset"] + v["byteLength"]
             code = (
                 F.when(~streamed, F.lit(None)).when(v.isNull(), "invalid_buffer_view").when(~inline & b.isNull(), "invalid_buffer_index")
-                .when(data.isNull(), "missing_external_buffer").when((v["byteOffset"] < 0) | (v["byteLength"] < 0) | (end > F.octet_length(data)), "buffer_out_of_range")
+                .when(data.isNull(), "missing_external_buffer").when(end > F.octet_length(data), "buffer_out_of_range")
             )
             detail = lambda c: F.when(c == "invalid_buffer_view", a["bitstream"].cast("string")).when(c == "invalid_buffer_index", v["buffer"].cast("string")).when(c == "missing_external_buffer", b["uri"])
             stream = lambda c: F.when(streamed & c.isNull(), F.substr(data, (v["byteOffset"] + 1).cast("int"), v["byteLength"].cast("int")))
@@ -84,11 +104,11 @@ def decode(payloads: DataFrame, external: DataFrame | None = None) -> DataFrame:
 
     done = opened.withColumn("got", F.when(F.col("error_code").isNull(), F.transform("specs", resolve)))
     done = done.withColumn("bad", F.get(F.filter("got", lambda r: r["code"].isNotNull()), F.lit(0)))
-    done = done.select(*payloads.columns, "got", F.coalesce("error_code", "bad.code").alias("error_code"), F.coalesce("error_detail", "bad.detail").alias("error_detail"))
+    done = done.select("given", "got", F.coalesce("error_code", "bad.code").alias("error_code"), F.coalesce("error_detail", "bad.detail").alias("error_detail"))
     view = lambda i: F.get("got", F.lit(i))["view"]
     fine = F.col("error_code").isNull()
     return done.select(
-        *(c for c in payloads.columns if c != "content"), F.when(fine, view(0)).alias("tile"), F.when(fine, view(1)).alias("child"),
+        "given.*", F.when(fine, view(0)).alias("tile"), F.when(fine, view(1)).alias("child"),
         F.when(fine, F.transform(F.slice("got", F.lit(3), F.greatest(F.size("got") - 2, F.lit(0))), lambda r: r["view"])).alias("content_layers"), "error_code", "error_detail",
     )
 

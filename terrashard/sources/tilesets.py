@@ -1,27 +1,30 @@
 """Tile-tree documents: parse, flatten to one row a tile or content, and nest again.
 
-A document is a row (tileset_id, json). parse() keeps the raw tree as VARIANT beside the header columns, checks every member
-of the document and of all its tiles against the format's types, and so walks the tree; flatten() gives the tiles that it met.
-The walk opens STRIDE levels of all documents in one job, so work is spread over the tiles; tiles are stored once, and
-what lies below them once in STRIDE levels. Paths, arrays of child positions, sort in
-pre-order. Documents that can't be read stay as rows with error_code.
+A document is a row (tileset_id, json), and stays one: rows are numbered, and every later table carries the number (row), so ids may be null
+or repeated. parse() checks every member of the document and of all its tiles against the format's types, and keeps the
+raw tree as VARIANT beside the header columns; load() does the same and gives the tiles too, from one walk; flatten() walks again.
+
+The walk opens STRIDE levels of all documents in one pass: tiles that it passes are stored with their own members, and what lies
+below the last level with them, for the next pass. Work is spread over the tiles. Paths, arrays of child positions, sort in
+pre-order. Documents over LARGE bytes, which a VARIANT might not hold, are cut into tiles by their structure (structure.py), and then
+treated alike. Documents that can't be read stay as rows with error_code.
 """
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, settle
-from . import members
+from ..storage import discard, fresh, settle, stored_by
+from . import members, structure, tokens
 
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 VOLUME = "struct<box:array<double>,region:array<double>,sphere:array<double>>"
 STRIDE = 4
+#: Bytes from which a document is cut by its structure.
+LARGE = 16 << 20
 # What errors call a document that has no address, and what is said of an empty version.
 SLICE, READER, VALIDATED = "<slice>", "<reader>", "<tileset>"
 NO_VERSION = "asset.version is required and must not be empty"
@@ -50,31 +53,158 @@ def more_of(v: Column, path: str = "") -> list[Column]:
     return [member_of(v, f"{path}{k}").alias(k) for k in ("extensions", "extras")]
 
 
-def parse(documents: DataFrame, label: str | None = None) -> DataFrame:
-    """tileset_id, doc (VARIANT), version, geometric_error, extensions_used, extensions_required, error_code, error_detail.
-
-    error_code is `json` for text that is no JSON, or in which a member of the document or of any of its tiles is missing or of a
-    wrong type (error_detail names the first), and `parse` for an empty version. Errors call a document by label (SLICE
-    for text in memory, READER for a stream), or else by its tileset_id.
-    """
-    read_ = documents.select("tileset_id", F.try_parse_json("json").alias("doc"))
+def header(read_: DataFrame) -> DataFrame:
+    """read_ (row, tileset_id, doc, ...) with the columns that stand beside a document, and fault."""
     doc = F.col("doc")
     names = lambda k: F.coalesce(field(doc, k, "array<string>"), F.array().cast("array<string>"))
-    fault = F.when(doc.isNull(), F.lit("")).otherwise(members.tileset_fault("doc"))
-    first = settle(read_.select(
-        "tileset_id", "doc", field(doc, "asset.version", "string").alias("version"), field(doc, "geometricError", "double").alias("geometric_error"),
-        names("extensionsUsed").alias("extensions_used"), names("extensionsRequired").alias("extensions_required"), fault.alias("fault"),
-    ), "documents")
-    tiles = walk(first.where("fault is null"))
-    wrong = tiles.where("fault is not null").groupBy(F.col("tileset_id").alias("_id")).agg(F.min_by("fault", "path").alias("_fault"))
-    joined = first.join(wrong, F.col("tileset_id") == F.col("_id"), "left").withColumn("fault", F.coalesce("fault", "_fault"))
+    return read_.select(
+        "*", field(doc, "asset.version", "string").alias("version"), field(doc, "geometricError", "double").alias("geometric_error"),
+        names("extensionsUsed").alias("extensions_used"), names("extensionsRequired").alias("extensions_required"),
+    )
+
+
+def judged(first: DataFrame, wrong: DataFrame, label: str | None) -> DataFrame:
+    """Documents with their verdicts, fault, no_json, line and column. wrong: row, no_json, fault: what is wrong in their tiles."""
+    joined = first.withColumnRenamed("fault", "own").join(wrong, "row", "left")
+    no_json = (F.col("doc").isNull() & (F.coalesce("own", F.lit("")) == "")) | F.coalesce("no_json", F.lit(False))
+    joined = joined.withColumn("no_json", no_json).withColumn("fault", F.when(F.col("no_json"), F.lit("")).otherwise(F.coalesce("own", "fault")))
     code = F.when(F.col("fault").isNotNull(), "json").when(F.col("version") == "", "parse")
     name = F.coalesce(F.lit(label), F.col("tileset_id").cast("string"), F.lit(""))
-    said = F.when(F.col("doc").isNull(), "no JSON").otherwise(F.concat(F.lit("missing or of a wrong type: "), F.col("fault")))
+    twice = F.col("doc").isNull() & (F.col("own") != "")
+    said = F.when(F.col("no_json"), "no JSON").when(twice, F.concat(F.lit("repeated: "), F.col("fault"))).otherwise(F.concat(F.lit("missing or of a wrong type: "), F.col("fault")))
     detail = F.when(code == "json", F.concat(F.lit("failed to parse "), name, F.lit(": "), said)).when(code == "parse", F.concat(F.lit(f"failed to parse {VALIDATED}: {NO_VERSION}")))
-    out = joined.select("tileset_id", "doc", F.when(F.col("fault").isNull(), F.col("version")).alias("version"), F.when(F.col("fault").isNull(), F.col("geometric_error")).alias("geometric_error"), "extensions_used", "extensions_required", code.alias("error_code"), detail.alias("error_detail"))
-    out.tiles = tiles
-    return out
+    fine = lambda c: F.when(F.col("fault").isNull(), F.col(c)).alias(c)
+    return joined.select("row", "tileset_id", "doc", fine("version"), fine("geometric_error"), "extensions_used", "extensions_required", code.alias("error_code"), detail.alias("error_detail"), "fault", "no_json", "line", "column")
+
+
+def faulty(tiles: DataFrame) -> DataFrame:
+    """row, no_json, fault (the first by path) of wrong tiles."""
+    wrong = tiles.where("fault is not null")
+    return wrong.groupBy("row").agg(F.bool_or("unread").alias("no_json"), F.min_by("fault", F.struct("path", "fault")).alias("fault"))
+
+
+def examined(read_: DataFrame) -> DataFrame:
+    """read_ (row, tileset_id, doc, json, large, line, column) with header columns, fault (of the document, and of its root by itself) and deep (whether the root has children). Stored."""
+    root = F.expr(members.let("try_variant_get(doc, '$.root', 'variant')", members.root_fault))
+    fault = F.when(F.col("doc").isNull(), F.lit("")).otherwise(F.coalesce(members.tileset_fault("doc"), root))
+    deep = F.coalesce(F.size(field(F.col("doc"), "root.children", "array<variant>")) > 0, F.lit(False))
+    return settle(header(read_).withColumn("fault", fault).withColumn("deep", deep & F.col("fault").isNull()), "documents")
+
+
+def first_of(documents: DataFrame, large: int, texts: bool) -> tuple[DataFrame, bool, bool]:
+    """Numbered documents as examined() has them, json only of large and of unread ones (or, with texts, of all); whether any is deep, and any large.
+
+    Where reading a text fails, its tokens are listed: line and column tell the first that is wrong, and objects that repeat
+    a key are put right or refused (tokens.without_repeats()).
+    """
+    big = F.coalesce(F.octet_length("json") > large, F.lit(False))
+    read_ = documents.select(F.monotonically_increasing_id().alias("row"), "tileset_id", F.when(~big, members.read_json(F.col("json"))).alias("doc"), "json", big.alias("large"))
+    held = F.when(F.col("doc").isNull() | F.lit(texts), F.col("json"))
+    first = examined(read_.select("row", "tileset_id", "doc", held.alias("json"), "large", F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column")))
+    count = lambda df: df.agg(F.bool_or("deep"), F.bool_or("large"), F.bool_or(F.col("doc").isNull() & ~F.col("large") & F.col("json").isNotNull())).first()
+    deep, some_large, unread = count(first)
+    if unread:
+        first = mended(first)
+        deep, some_large, _ = count(first)
+    return first, bool(deep), bool(some_large)
+
+
+def mended(first: DataFrame) -> DataFrame:
+    """first, in which texts that only repeat keys are read after all, or have a repeated named member as their fault, and others the place of what is wrong."""
+    broken = first.where("doc is null and not large")
+    found = settle(tokens.nodes(tokens.tokens(broken.select("row", "json"))), "tokens")
+    odd = settle(tokens.first_odd(found), "odd")
+    sound = tokens.without_repeats(settle(found.join(odd.select("row"), "row", "left_anti"), "sound"))
+    sound = settle(sound.withColumnsRenamed({"json": "again", "fault": "twice", "line": "twice_line", "column": "twice_column"}), "sound")
+    place = odd.withColumnsRenamed({"line": "odd_line", "column": "odd_column"})
+    joined = broken.select("row", "tileset_id", "json", "large").join(sound, "row", "left").join(place, "row", "left")
+    read_ = joined.select("row", "tileset_id", members.read_json(F.col("again")).alias("doc"), "json", "large", F.coalesce("odd_line", "twice_line").cast("int").alias("line"), F.coalesce("odd_column", "twice_column").cast("int").alias("column"), "twice")
+    again = examined(read_.drop("twice")).join(read_.select("row", "twice"), "row").withColumn("fault", F.coalesce("twice", "fault")).drop("twice")
+    return settle(first.where("doc is not null or large").unionByName(again), "documents")
+
+
+def empty(like: DataFrame) -> DataFrame:
+    return like.where(F.lit(False))
+
+
+ASIDE = ("deep", "json", "large")
+
+
+def parse(documents: DataFrame, label: str | None = None, *, positions: bool = False, large: int = LARGE) -> DataFrame:
+    """row, tileset_id, doc (VARIANT), version, geometric_error, extensions_used, extensions_required, error_code, error_detail; with positions, error_line and error_column.
+
+    error_code is `json` for text that is no JSON, or in which a member of the document or of any of its tiles is missing, repeated or of a
+    wrong type (error_detail names the first), and `parse` for an empty version. Errors call a document by label (SLICE
+    for text in memory, READER for a stream), or else by its tileset_id. doc of a document over `large` bytes has an empty root.
+
+    Positions count from 1, in code points: of the first token that is no JSON there, of a repeated key, of a value of a wrong type, or of the
+    object that lacks a member. They cost a copy of the texts, and tokens of those in error; large documents have none.
+    """
+    first, deep, big = first_of(documents, large, positions)
+    if big:
+        out = gathered(first, label, deep)[0]
+    else:
+        none = first.sparkSession.createDataFrame([], "row long, no_json boolean, fault string")
+        out = judged(first.drop(*ASIDE), faulty(walk(first.where("deep"), keep=False)) if deep else none, label)
+    return with_positions(out, first) if positions else out.drop("fault", "no_json", "line", "column")
+
+
+def with_positions(verdicts: DataFrame, first: DataFrame) -> DataFrame:
+    verdicts = settle(verdicts, "verdicts")
+    at = verdicts.where("error_code = 'json' and not no_json and line is null").select("row", F.split("fault", r"\.").alias("path"))
+    at = at.withColumn("path", F.when(F.try_element_at("path", F.lit(1)) == "nested too deep", F.array(F.lit("root"))).otherwise(F.col("path")))
+    found = settle(tokens.nodes(tokens.tokens(first.where("not large").select("row", "json").join(at.select("row"), "row", "left_semi"))), "tokens")
+    placed = tokens.located(found, at).select("row", F.col("line").alias("at_line"), F.col("column").alias("at_column"))
+    out = verdicts.join(placed, "row", "left").withColumn("error_line", F.coalesce("line", "at_line").cast("int")).withColumn("error_column", F.coalesce("column", "at_column").cast("int"))
+    return out.drop("fault", "no_json", "line", "column", "at_line", "at_column")
+
+
+def load(documents: DataFrame, label: str | None = None, *, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
+    """parse(documents), and flatten() of it, from one walk."""
+    first, _, _ = first_of(documents, large, False)
+    parsed, tiles = gathered(first, label, True)
+    return parsed.drop("fault", "no_json", "line", "column"), tiles
+
+
+def gathered(first: DataFrame, label: str | None, walked: bool) -> tuple[DataFrame, DataFrame]:
+    small, large = first.where("not large"), first.where("large")
+    tiles = walk(small.where("fault is null")) if walked else empty(walk(small.where("fault is null"), strides=1))
+    headers = small.drop(*ASIDE)
+    if not large.isEmpty():
+        of = F.col("row").cast("string")
+        cut = settle(structure.texts(structure.chunks(large.select(of.alias("of"), "json"))), "cut").join(large.select("row", "tileset_id", of.alias("of")), "of")
+        more, own = typed_cut(cut)
+        headers, tiles = headers.unionByName(more), tiles.unionByName(own)
+    return finish(headers, tiles, label)
+
+
+def typed_cut(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Headers and tiles from row, tileset_id, path, text (see structure.texts())."""
+    none = F.lit(None).cast("int")
+    read_ = cut.where("path is null").select("row", "tileset_id", members.read_json(F.col("text")).alias("doc"), none.alias("line"), none.alias("column"))
+    headers = settle(header(read_).withColumn("fault", F.when(F.col("doc").isNull(), F.lit("")).otherwise(members.tileset_fault("doc"))), "documents")
+    own = cut.where("path is not null").select("row", "tileset_id", "path", F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(0)).alias("ord"), members.read_json(F.col("text")).alias("tile"))
+    own = own.select("*", F.col("tile").isNull().alias("unread"))
+    # Members of `children` that are no objects weren't cut out, and are tiles by their place.
+    odd = own.select("row", "tileset_id", "path", F.posexplode(field(F.col("tile"), "children", "array<variant>")).alias("ord", "tile")).where(~F.startswith(F.schema_of_variant("tile"), F.lit("OBJECT")))
+    odd = odd.select("row", "tileset_id", F.array_append("path", F.col("ord")).alias("path"), "ord", "tile", F.lit(False).alias("unread"))
+    tiles = settle(own.union(odd).select("row", "tileset_id", "path", "ord", "unread", *own_members("tile")), "tiles")
+    return headers, typed(tiles)
+
+
+def finish(headers: DataFrame, tiles: DataFrame, label: str | None) -> tuple[DataFrame, DataFrame]:
+    parsed = settle(judged(headers, faulty(tiles), label), "parsed")
+    return parsed, tiles.drop("fault", "unread").join(parsed.where("error_code is null").select("row"), "row", "left_semi")
+
+
+def load_files(spark: SparkSession, path: str, label: str | None = None, chunk: int = structure.CHUNK) -> tuple[DataFrame, DataFrame]:
+    """load() of files of any size, which Spark splits over tasks; tileset_id is the file's path, and doc has an empty root."""
+    cut = settle(structure.texts(structure.read(spark, path, chunk)), "cut")
+    names = settle(cut.select("of").distinct().select("of", F.monotonically_increasing_id().alias("row")), "names")
+    # A text without any brace of its own still has a header.
+    headers, tiles = typed_cut(cut.join(names, "of").select("row", F.col("of").alias("tileset_id"), "path", "text"))
+    parsed, tiles = finish(headers, tiles, label)
+    return parsed.drop("fault", "no_json", "line", "column"), tiles
 
 
 def tile_columns() -> list[Column]:
@@ -97,46 +227,61 @@ def tile_columns() -> list[Column]:
     ]
 
 
-def walk(documents: DataFrame) -> DataFrame:
-    """tileset_id, path, depth, ord, the tile's columns, and fault: which member isn't as the format has it, if any. documents: tileset_id, doc."""
-    base = settle(documents.select("tileset_id", F.array().cast("array<int>").alias("path"), F.lit(0).alias("ord"), field(F.col("doc"), "root", "variant").alias("tile")), "level")
+def own_members(tile: str) -> list[Column]:
+    """A tile's own members, as they are written, and what is wrong with it as a whole."""
+    return [*(field(F.col(tile), k, "variant").alias(k) for k in members.TILE), members.odd_fault(tile).alias("odd")]
 
-    def below(level: DataFrame) -> DataFrame:
-        children = level.select("tileset_id", "path", F.posexplode(field(F.col("tile"), "children", "array<variant>")).alias("ord", "child"))
-        return children.select("tileset_id", F.array_append("path", F.col("ord")).alias("path"), "ord", F.col("child").alias("tile"))
+
+def tile_verdict() -> Column:
+    """What is wrong with a tile, from its members' columns; null if nothing is."""
+    too_deep = F.when(F.size("path") > MOST_LEVELS, F.lit("nested too deep"))
+    return F.coalesce(F.when(F.col("unread"), F.lit("")), too_deep, members.tile_fault("array_join(concat(array('root'), transform(path, i -> concat('children.', i))), '.')"))
+
+
+def typed(tiles: DataFrame) -> DataFrame:
+    """row, tileset_id, path, depth, ord, the tile's columns, unread, fault: which member isn't as the format has it, if any."""
+    return tiles.select("row", "tileset_id", "path", F.size("path").alias("depth"), "ord", *tile_columns(), "unread", tile_verdict().alias("fault"))
+
+
+def walk(documents: DataFrame, *, keep: bool = True, strides: int = (MOST_LEVELS + 2 + STRIDE - 1) // STRIDE) -> DataFrame:
+    """Tiles of documents (row, tileset_id, doc), as typed() has them; without keep only row, path, unread and fault of those with a fault."""
+    base = documents.select("row", "tileset_id", F.array().cast("array<int>").alias("path"), F.lit(0).alias("ord"), field(F.col("doc"), "root", "variant").alias("tile"))
 
     def opened(level: DataFrame) -> DataFrame:
-        """Each tile's own members, as they are written."""
-        return level.select("tileset_id", "path", "ord", *(field(F.col("tile"), k, "variant").alias(k) for k in members.TILE), members.odd_fault("tile").alias("odd"))
+        """Each tile that is to be opened by itself, and its children, to be opened in turn; others as they are."""
+        one = lambda path, ord_, tile, todo: F.struct(path.alias("path"), ord_.alias("ord"), tile.alias("tile"), F.lit(todo).alias("todo"))
+        children = F.transform(field(F.col("tile"), "children", "array<variant>"), lambda c, i: one(F.array_append("path", i), i, c, True))
+        self = F.array(one(F.col("path"), F.col("ord"), F.col("tile"), False))
+        return level.select("row", "tileset_id", F.inline(F.when(F.col("todo") & children.isNotNull(), F.concat(self, children)).otherwise(self)))
 
     found = []
-    for _ in range(0, MOST_LEVELS + 2, STRIDE):
-        levels = [base]
-        while len(levels) < STRIDE:
-            levels.append(below(levels[-1]))
-        found.append(settle(reduce(DataFrame.union, map(opened, levels)), "tiles"))
-        last, base = base, settle(below(levels[-1]), "level")
-        discard(last)
+    for _ in range(strides):
+        level = base.withColumn("todo", F.lit(True))
+        for _ in range(STRIDE):
+            level = opened(level)
+        own = level.select("row", "tileset_id", "path", "ord", "todo", F.when(F.col("todo"), F.col("tile")).alias("tile"), F.lit(False).alias("unread"), *own_members("tile"))
+        own = own.select("row", "tileset_id", "path", "ord", "todo", "tile", "unread", *(F.when(~F.col("todo"), F.col(k)).alias(k) for k in (*members.TILE, "odd")))
+        if not keep:
+            mark = own.select("row", "tileset_id", "path", "ord", "todo", "tile", "unread", F.when(~F.col("todo"), tile_verdict()).alias("fault"))
+            own = mark.where("todo or fault is not null")
+        done = settle(own, "tiles")
+        found.append(done.where("not todo").drop("todo", "tile"))
+        base = done.where("todo").select("row", "tileset_id", "path", "ord", "tile")
         if base.isEmpty():
             break
-    discard(base)
-    too_deep = F.when(F.size("path") > MOST_LEVELS, F.lit("nested too deep"))
-    fault = F.coalesce(too_deep, members.tile_fault("array_join(concat(array('root'), transform(path, i -> concat('children.', i))), '.')"))
-    return reduce(DataFrame.union, found).select("tileset_id", "path", F.size("path").alias("depth"), "ord", *tile_columns(), fault.alias("fault"))
+    all_ = reduce(DataFrame.union, found)
+    return typed(all_) if keep else all_.select("row", "path", "unread", "fault")
 
 
 def flatten(parsed: DataFrame) -> DataFrame:
-    """One row a tile of the documents without an error: tileset_id, path, depth, ord (position among its siblings), and the tile's columns."""
-    fine = parsed.where("error_code is null").select("tileset_id", "doc")
-    tiles = getattr(parsed, "tiles", None)
-    tiles = walk(fine) if tiles is None else tiles.join(fine.select("tileset_id").distinct(), "tileset_id", "left_semi")
-    return tiles.drop("fault")
+    """One row a tile of the documents without an error: row, tileset_id, path, depth, ord (position among its siblings), and the tile's columns. Documents over LARGE bytes have lost their tiles: load() gives them."""
+    return walk(parsed.where("error_code is null").select("row", "tileset_id", "doc")).drop("fault", "unread")
 
 
 def contents(tiles: DataFrame) -> DataFrame:
-    """One row a content: tileset_id, path, content_ord, uri, group. A tile's `content` comes before its `contents`."""
-    each = tiles.select("tileset_id", "path", F.posexplode("contents").alias("content_ord", "c"))
-    return each.select("tileset_id", "path", "content_ord", field(F.col("c"), "uri", "string").alias("uri"), field(F.col("c"), "group", "bigint").alias("group"))
+    """One row a content: row, tileset_id, path, content_ord, uri, group. A tile's `content` comes before its `contents`."""
+    each = tiles.select("row", "tileset_id", "path", F.posexplode("contents").alias("content_ord", "c"))
+    return each.select("row", "tileset_id", "path", "content_ord", field(F.col("c"), "uri", "string").alias("uri"), field(F.col("c"), "group", "bigint").alias("group"))
 
 
 def tile_json(children: Column) -> Column:
@@ -166,25 +311,27 @@ def tile_json(children: Column) -> Column:
 
 
 def nest(tiles: DataFrame) -> DataFrame:
-    """tileset_id, root: the JSON text of each tree, built from the deepest level up. Children keep their order."""
-    tiles = settle(tiles if "rest" in tiles.columns else tiles.withColumn("rest", F.lit(None).cast(REST)), "tiles")
-    deepest = tiles.agg(F.max("depth")).first()[0]
-    empty = F.array().cast("array<string>")
+    """row, root: the JSON text of each tree, built from the deepest level up. Children keep their order. Tiles are stored by depth, so each level reads its own."""
+    tiles = tiles if "rest" in tiles.columns else tiles.withColumn("rest", F.lit(None).cast(REST))
+    path = stored_by(tiles.withColumn("level", F.col("depth")), "level", "tiles")
+    deepest = path.agg(F.max("depth")).first()[0]
+    empty_ = F.array().cast("array<string>")
     below = None
     for depth in range(deepest or 0, -1, -1):
-        level = tiles.where(F.col("depth") == depth)
+        level = path.where(F.col("level") == depth)
         if below is None:
-            level = level.withColumn("children", empty)
+            level = level.withColumn("children", empty_)
         else:
-            group = below.groupBy("tileset_id", "up").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "json"))), lambda c: c["json"]).alias("children"))
-            level = level.join(group, (level.tileset_id == group.tileset_id) & (level.path == group.up), "left").drop(group.tileset_id).drop("up").withColumn("children", F.coalesce("children", empty))
-        below = level.select("tileset_id", F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).alias("up"), "ord", tile_json(F.col("children")).alias("json"))
-        below = settle(below, "nested")
-    return below.select("tileset_id", F.col("json").alias("root"))
+            group = below.groupBy(F.col("row").alias("of"), "up").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "json"))), lambda c: c["json"]).alias("children"))
+            level = level.join(group, (F.col("row") == F.col("of")) & (F.col("path") == F.col("up")), "left").drop("of", "up").withColumn("children", F.coalesce("children", empty_))
+        old, below = below, settle(level.select("row", F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).alias("up"), "ord", tile_json(F.col("children")).alias("json")), "nested")
+        if old is not None:
+            discard(old)
+    return below.select("row", F.col("json").alias("root"))
 
 
 def write(parsed: DataFrame, tiles: DataFrame) -> DataFrame:
-    """tileset_id, json: documents with the trees that tiles hold now."""
+    """row, tileset_id, json: documents with the trees that tiles (row, ...) hold now."""
     names = lambda key, c: F.when(F.size(c) > 0, F.concat(F.lit(f'"{key}":'), F.to_json(c), F.lit(",")))
     blank = lambda c: F.coalesce(c, F.lit(""))
 
@@ -194,8 +341,8 @@ def write(parsed: DataFrame, tiles: DataFrame) -> DataFrame:
         return [blank(F.when(~t.isin("[]", "{}") | F.lit(k == "extras"), F.concat(F.lit(f',"{k}":'), t))) for k, t in texts]
 
     asset = F.to_json(field(F.col("doc"), "asset", "variant"))
-    return parsed.where("error_code is null").join(nest(tiles), "tileset_id").select(
-        "tileset_id",
+    return parsed.where("error_code is null").join(nest(tiles), "row").select(
+        "row", "tileset_id",
         F.concat(
             F.lit('{"asset":'), asset, F.lit(","), blank(names("extensionsRequired", "extensions_required")), blank(names("extensionsUsed", "extensions_used")),
             F.lit('"geometricError":'), F.col("geometric_error").cast("string"), *others("groups", "metadata", "properties"), F.lit(',"root":'), "root",
@@ -204,9 +351,11 @@ def write(parsed: DataFrame, tiles: DataFrame) -> DataFrame:
     )
 
 
-def pretty(text: Column) -> Column:
-    """JSON text over several lines, indented, keys in their order. The one place here that runs Python, as Spark indents no VARIANT."""
-    def indent(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: json.dumps(json.loads(t), indent=2, ensure_ascii=False), na_action="ignore")
-
-    return F.pandas_udf(indent, "string")(text)
+def pretty(documents: DataFrame, column: str) -> DataFrame:
+    """documents with a column of JSON texts indented, over several lines (tokens.pretty()). Rows are numbered and stored. A null text stays null."""
+    row = fresh(documents, "row")
+    rows = settle(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
+    done = tokens.pretty(rows.select(F.col(row).alias("row"), F.col(f"`{column}`").alias("json"))).withColumnsRenamed({"row": "of", "json": "pretty_text"})
+    whole = F.when(F.col(f"rows.`{column}`").isNotNull(), F.coalesce(F.col("done.pretty_text"), F.lit("")))
+    met = rows.alias("rows").join(done.alias("done"), F.col(f"rows.`{row}`") == F.col("done.of"), "left")
+    return met.select(*(whole.alias(c) if c == column else F.col(f"rows.`{c}`") for c in documents.columns))

@@ -33,6 +33,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_by(df: DataFrame, column: str, name: str) -> DataFrame:
+    """settle(df), with a folder for each value of a column, so that a filter on it reads no others."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    live.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -131,13 +131,13 @@ def test_decode_errors_in_order(spark):
     far = STREAM.replace(b'"byteLength":3}],"buffers"', b'"byteLength":4}],"buffers"')
     cases = [
         (packed(CONSTANT)[:10], "truncated"), (packed(CONSTANT, version=2), "unsupported_version"), (packed(CONSTANT, text_size=2**64 - 1), "invalid_length"), (packed(CONSTANT, blob_size=1), "truncated"),
-        (b"{", "json"), (b"\xff\xfe", "json"), (b"", "json"), (packed(STREAM.replace(b'"bitstream":0', b'"bitstream":1'), b"abc"), "invalid_buffer_view"), (packed(STREAM.replace(b'"buffer":0', b'"buffer":9'), b"abc"), "invalid_buffer_index"),
+        (b"{", "json"), (CONSTANT + b"}", "json"), (CONSTANT + b",0]", "json"), (b"\xff\xfe", "json"), (b"", "json"), (packed(STREAM.replace(b'"bitstream":0', b'"bitstream":1'), b"abc"), "invalid_buffer_view"), (packed(STREAM.replace(b'"buffer":0', b'"buffer":9'), b"abc"), "invalid_buffer_index"),
         (packed(far, b"abc"), "buffer_out_of_range"), (STREAM.replace(b'{"byteLength":3}', b'{"byteLength":3,"uri":"x.bin"}'), "missing_external_buffer"),
         (STREAM.replace(b'"buffers":[{"byteLength":3}],', b"").replace(b'"buffer":0', b'"buffer":9'), "buffer_out_of_range"),
     ]
     got = subtrees.decode(payloads(spark, *(c for c, _ in cases))).orderBy("id").collect()
     assert [r.error_code for r in got] == [e for _, e in cases]
-    assert got[1].error_detail == "2" and got[10].error_detail == "x.bin" and all(r.tile is None for r in got)
+    assert got[1].error_detail == "2" and got[12].error_detail == "x.bin" and all(r.tile is None for r in got)
 
 
 def test_external_buffers(spark):
@@ -147,6 +147,48 @@ def test_external_buffers(spark):
     assert bytes(got[0].tile.bits) == b"\x07\x08\x09" and got[1].error_code is None
 
 
+def test_members_of_subtrees_have_types(spark):
+    """Whatever a member is for, and whether decoding needs it or not."""
+    put = lambda old, new: CONSTANT.replace(old, new)
+    one, more = b'"tileAvailability":{"constant":1}', lambda text: CONSTANT[:-1] + b"," + text + b"}"
+    cases = [
+        (CONSTANT, None), *((put(one, b'"tileAvailability":{"constant":%s}' % c), "tileAvailability.constant") for c in (b'"1"', b"1.0", b"true", b"-1", b"18446744073709551616")), (STREAM.replace(b'"bitstream":0', b'"bitstream":"0"'), "tileAvailability.bitstream"),
+        (STREAM.replace(b'"byteLength":3}],"tile', b'"byteLength":"3"}],"tile'), "buffers.0.byteLength"), (STREAM.replace(b'"byteOffset":0,', b""), "bufferViews.0.byteOffset"), (more(b'"extensions":3'), "extensions"), (more(b'"extensions":null'), "extensions"),
+        (more(b'"subtreeMetadata":5'), "subtreeMetadata"), (more(b'"subtreeMetadata":null,"extras":null,"contentMetadata":null,"unknown":[]'), None), (more(b'"contentMetadata":[1,-2]'), "contentMetadata.1"), (more(b'"tileMetadata":1.5'), "tileMetadata"),
+        (more(b'"propertyTables":[{"class":"c","count":1,"properties":{"p":{"values":"0"}}}]'), "propertyTables.0.properties.p.values"), (more(b'"propertyTables":[{"class":"c","count":1,"properties":{"p":{"values":0,"min":[[1],[2.5]],"max":3}}}]'), None),
+        (more(b'"propertyTables":[{"class":"c","count":1,"properties":{"p":{"values":0,"stringOffsets":-1}}}]'), "propertyTables.0.properties.p.stringOffsets"), (put(b'"contentAvailability":[{"constant":1}]', b'"contentAvailability":{}'), "contentAvailability"),
+        (put(b',"childSubtreeAvailability":{"constant":0}', b""), "childSubtreeAvailability"), (put(one, b'"tileAvailability":null'), "tileAvailability"), (more(b'"buffers":[{"byteLength":1,"uri":7}]'), "buffers.0.uri"), (b"[]", None), (b"{", None),
+    ]
+    got = subtrees.decode(payloads(spark, *(c for c, _ in cases))).orderBy("id").collect()
+    for r, (content, path) in zip(got[:-2], cases, strict=False):
+        assert (r.error_code, r.error_detail) == (None if path is None else "json", path), content
+    assert [(r.error_code, r.error_detail) for r in got[-2:]] == [("json", None)] * 2
+    huge = subtrees.decode(payloads(spark, STREAM.replace(b'"bitstream":0', b'"bitstream":18446744073709551615'), put(one, b'"tileAvailability":{"constant":18446744073709551615}'))).orderBy("id").collect()
+    assert (huge[0].error_code, huge[0].error_detail, huge[1].tile.constant) == ("invalid_buffer_view", "18446744073709551615", True)
+
+
+def test_payloads_are_rows_whatever_their_ids(spark):
+    named = lambda uri: STREAM.replace(b'{"byteLength":3}', b'{"byteLength":3,"uri":"%s"}' % uri)
+    rows = [(None, bytearray(named(b"x.bin")), "a"), (None, bytearray(named(b"y.bin")), "b"), (1, bytearray(named(b"y.bin")), "c"), (1, bytearray(named(b"no.bin")), "d"), (1, bytearray(named(b"x.bin")), "e"), (None, bytearray(CONSTANT), "f")]
+    given = spark.createDataFrame(rows, "id long, content binary, blob string").withColumns({c: F.lit("mine") for c in ("s", "text", "specs", "views", "fetched", "got")})
+    external = spark.createDataFrame([("x.bin", bytearray(b"\x09\x09\x09")), ("x.bin", bytearray(b"\x01\x02\x03")), ("y.bin", bytearray(b"\x04\x05\x06")), (None, bytearray(b""))], "uri string, bytes binary")
+    got = {r.blob: r for r in subtrees.decode(given, external).collect()}
+    assert {k: bytes(r.tile.bits) for k, r in got.items() if k in "abce"} == {"a": b"\x01\x02\x03", "b": b"\x04\x05\x06", "c": b"\x04\x05\x06", "e": b"\x01\x02\x03"}
+    assert (got["d"].error_code, got["d"].error_detail, got["f"].error_code, got["f"].s, got["d"].id, got["a"].id) == ("missing_external_buffer", "no.bin", None, "mine", 1, None)
+
+
+def test_extension_payloads_are_as_written(spark):
+    from terrashard.functions import extensions
+
+    texts = ['{"k":5}', '{"k":"5"}', '{"k":5.0}', '{"k":true}', '{"k":null}', "{}", "7", '{"k":1,"more":[]}', '{"k":1,"a":[1,"2"]}', '{"k":1,"a":[1,2],"s":{"t":"u"}}', '{"k":1,"s":{"t":3}}', '{"k":1,"m":{"x":1.5,"y":2}}', '{"k":1,"m":{"x":"1.5"}}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.create_map(F.lit("E"), F.parse_json("t")).alias("m"))
+    got = df.select("i", extensions.payload(F.col("m"), "E", "struct<k:bigint,a:array<bigint>,s:struct<t:string>,m:map<string,double>>", ("k",)).alias("p")).orderBy("i").collect()
+    assert [r.i for r in got if r.p is not None] == [0, 7, 9, 11] and got[9].p.a == [1, 2] and got[11].p.m == {"x": 1.5, "y": 2.0}
+    mesh = ['{"featureIds":[{"featureCount":1}]}', '{"featureIds":[{"featureCount":"1"}]}', '{"featureIds":[{"featureCount":-1}]}', '{"featureIds":[{"featureCount":1,"attribute":4294967296}]}', '{"featureIds":[{"featureCount":1,"label":2}]}', "[]"]
+    found = spark.createDataFrame(list(enumerate(mesh)), "i int, t string").select(extensions.mesh_features(F.parse_json("t")).isNotNull().alias("ok")).collect()
+    assert [r.ok for r in found] == [True, False, False, False, False, False]
+
+
 def test_writer(spark):
     text, blob = subtrees.json(bits.bitstream(F.lit(b"\xaa\xbb")), bits.constant(False), F.array(bits.constant(True), bits.bitstream(F.lit(b"\xcc"))))
     r = spark.range(1).select("id", subtrees.binary(text, blob).alias("content"), text.alias("text")).first()
@@ -184,8 +226,12 @@ def test_strict_raises_what_is_wrong(spark):
 
 
 def test_pretty(spark):
-    text = spark.range(1).select(tilesets.pretty(F.lit('{"b":[1,{"c":null}],"a":"x"}')).alias("t")).first().t
-    assert "\n" in text and json.loads(text) == {"a": "x", "b": [1, {"c": None}]}
+    texts = ['{"b":[1,{"c":null}],"a":"x"}', "[]", '{ "a" : { } , "b":[ ] }', '[1e400,1E5,-0.0, 1.50,123456789012345678901234567890]', '{"a":1,"a":2,"s":"q\\"[{,:}]\\\\"}', '"one"', " 7 ", '"' + "x" * 200_000 + '"', None, "", "é[😀]"]
+    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "row long, text string, json string")
+    got = tilesets.pretty(df, "text").orderBy("row").collect()
+    assert [json.dumps(json.loads(t), indent=2, ensure_ascii=False) for t in texts[:3]] == [r.text for r in got[:3]] and {r.json for r in got} == {"mine"}
+    assert got[3].text == "[\n  1e400,\n  1E5,\n  -0.0,\n  1.50,\n  123456789012345678901234567890\n]" and got[4].text == '{\n  "a": 1,\n  "a": 2,\n  "s": "q\\"[{,:}]\\\\"\n}'
+    assert [r.text for r in got[5:]] == ['"one"', "7", texts[7], None, "", "é[\n  😀\n]"]
 
 
 def test_schema_write_reads_back_the_same(spark):
