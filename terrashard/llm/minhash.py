@@ -11,8 +11,9 @@ M at least are confirmed on the full shingle sets. Texts are fetched for these a
 No group is expanded into all pairs:
 
 * equal shingle sets collapse into one class first, by a 128-bit set fingerprint (map-side combined);
-* each posting list is first compared with its smallest member, its hub, only, which is linear: a member with the hub that most of its
-  lists have, and then with those of its other hubs that are still in another component. What is confirmed merges.
+* large groups of near copies meet first: each document is compared with one other, the smallest of the longest list among a few of its coordinates;
+* a coordinate value whose documents are all of one component by then makes no postings, as no two components share it. Each other
+  posting list is compared with its smallest member, its hub, only, which is linear. What is confirmed merges.
   A hub with many members is copied to slots of SLOT members on average, so no task gets all of them;
 * lists that still hold several components go on, joined by their hub. There the members outside its
   component are queries against all members, in blocks of bounded size dealt over tasks. A task first counts the
@@ -45,6 +46,8 @@ M = 32
 PERCENT = 75
 #: Most documents and shingles (but for a single document) that a block holds on average.
 BLOCK_DOCS, BLOCK_SHINGLES = 128, 100_000
+#: Coordinates by which large groups of near copies meet first.
+FIRST = 8
 #: Members of a posting list that share one copy of their hub.
 SLOT = 64
 #: Rounds in which any graph that fits a cluster has converged; each shortens paths by a factor.
@@ -190,10 +193,20 @@ def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     raise RuntimeError(f"components haven't converged in {rounds} rounds")
 
 
+def nearest(classes: DataFrame) -> DataFrame:
+    """hub, slots, slot, doc_id: each document with the smallest one of the longest list among its first FIRST coordinate values. Large groups of near copies meet here, a row for each copy."""
+    post = classes.select("doc_id", F.explode(F.slice("sig", F.lit(1), F.lit(FIRST))).alias("token"))
+    lists = post.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    met = post.join(lists.hint("merge"), "token").where("doc_id <> hub")
+    best = met.groupBy("doc_id").agg(F.max_by(F.struct("hub", "n"), F.struct("n", -F.col("hub"))).alias("h"))
+    slots = F.ceil(F.col("h.n") / SLOT).cast("int")
+    return best.select("h.hub", slots.alias("slots"), F.pmod(F.xxhash64("doc_id"), slots).cast("int").alias("slot"), "doc_id")
+
+
 def prefixes(classes: DataFrame, k: int, m: int) -> DataFrame:
-    """token, doc_id: the postings of the k - m + 1 rarest coordinate values, without those that occur once."""
-    post = classes.select("doc_id", F.explode("sig").alias("token"))
-    often = post.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    """token, doc_id: the postings of the k - m + 1 rarest coordinate values, without those whose documents are all of one component (own): no two components share them."""
+    post = classes.select("doc_id", "own", F.explode("sig").alias("token"))
+    often = post.groupBy("token").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("token", "n")
     shared = post.join(often.hint("merge"), "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("c"))
     take = F.size("c") - F.lit(m - 1)  # the other k - size(c) come first in the prefix and collide with nothing
     return shared.where(take > 0).select("doc_id", F.explode(F.slice("c", F.lit(1), take)).alias("c")).select("c.token", "doc_id")
@@ -201,29 +214,37 @@ def prefixes(classes: DataFrame, k: int, m: int) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, k: int = K, m: int = M, percent: int = PERCENT) -> DataFrame:
     """a, b: links between class representatives, enough to connect all that are connected."""
-    post = settle(prefixes(classes, k, m), "postings")
-    hubs = post.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    slots = F.ceil(F.col("n") / SLOT).cast("int")
-    slot = F.struct(slots.alias("slots"), F.pmod(F.xxhash64("doc_id"), slots).cast("int").alias("slot"))
-    # Each member of a hub's lists once, in the slots of the shortest list that holds it; so a slot has SLOT members of a list on average, of at most k - m + 1 lists.
-    listed = post.join(hubs.hint("merge"), "token").groupBy("hub", "doc_id").agg(F.min(slot).alias("s"), F.count("*").alias("lists")).select("hub", "doc_id", "s.slots", "s.slot", "lists")
-    listed = settle(listed, "listed")
-    ids = settle(listed.select("doc_id").distinct(), "ids")
-    signed = settle(keep_ids(classes.select("doc_id", "sig"), ids, "doc_id"), "listed_signatures")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs (hub, slots, slot, doc_id), a, b of those that are linked: collisions of whole signatures first, then full sets."""
+        """Of stored pairs (hub, slots, slot, doc_id), a, b of those that are linked: collisions of whole signatures first, then full sets."""
+        both = settle(pairs.select("doc_id").union(pairs.select("hub")).distinct(), "ids")
+        signed = settle(keep_ids(classes.select("doc_id", "sig"), both, "doc_id"), "signatures")
         agree = F.size(F.array_intersect("sig_a", "sig_b")) >= m  # a value belongs to its coordinate
         star = with_hub(pairs.join(signed.withColumnRenamed("sig", "sig_b"), "doc_id"), signed.withColumnsRenamed({"doc_id": "hub", "sig": "sig_a"}))
         star = settle(star.where(agree).select("hub", "slots", "slot", "doc_id"), "star")
         wanted = settle(star.select("doc_id").union(star.select("hub")).distinct(), "wanted")
         texts = settle(keep_ids(docs.select(F.col("doc_id").cast("long"), "text"), wanted, "doc_id"), "texts")
-        both = with_hub(star.join(texts.withColumnRenamed("text", "tb"), "doc_id"), texts.withColumnsRenamed({"doc_id": "hub", "text": "ta"}))
-        sizes = both.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "ta", "tb").mapInArrow(compare, SETS)
+        read = with_hub(star.join(texts.withColumnRenamed("text", "tb"), "doc_id"), texts.withColumnsRenamed({"doc_id": "hub", "text": "ta"}))
+        sizes = read.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "ta", "tb").mapInArrow(compare, SETS)
         out = settle(sizes.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b"), "found")
-        discard(star, wanted, texts)
+        discard(both, signed, star, wanted, texts)
         return out
 
+    # First the large groups, by one comparison for each document; what they have in common with nobody else makes no postings after that.
+    close = settle(nearest(classes), "close")
+    first = confirmed(close)
+    near = settle(components(first), "joined")
+    named = near.withColumnsRenamed({"node": "doc_id", "component": "own"})
+    post = settle(prefixes(classes.select("doc_id", "sig").join(named, "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id")), k, m), "postings")
+    hubs = post.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    slots = F.ceil(F.col("n") / SLOT).cast("int")
+    slot = F.struct(slots.alias("slots"), F.pmod(F.xxhash64("doc_id"), slots).cast("int").alias("slot"))
+    # Each member of a hub's lists once, in the slots of the shortest list that holds it; so a slot has SLOT members of a list on average, of at most k - m + 1 lists.
+    listed = post.join(hubs.hint("merge"), "token").groupBy("hub", "doc_id").agg(F.min(slot).alias("s")).select("hub", "doc_id", "s.slots", "s.slot")
+    listed = settle(listed, "listed")
+    ids = settle(listed.select("doc_id").distinct(), "ids")
+    signed = settle(keep_ids(classes.select("doc_id", "sig"), ids, "doc_id"), "listed_signatures")
+
     def placed(joined: DataFrame) -> DataFrame:
         """listed with own and of_hub, the components of the member and of its hub."""
         own = listed.join(joined.withColumnsRenamed({"node": "doc_id", "component": "own"}), "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
@@ -231,13 +252,10 @@ def links(docs: DataFrame, classes: DataFrame, k: int = K, m: int = M, percent:
         return with_hub(own, of_hub)
 
     stray = F.col("own") != F.col("of_hub")
-    # First each member with the hub that most of its lists have; then with those of its other hubs that are still in another component.
-    best = listed.where("doc_id <> hub").groupBy("doc_id").agg(F.max_by(F.struct("hub", "slots", "slot"), F.struct("lists", -F.col("hub"))).alias("h")).select("doc_id", "h.*")
-    first = confirmed(best)
-    near = settle(components(first), "joined")
-    second = confirmed(settle(placed(near).where(stray).select("hub", "slots", "slot", "doc_id"), "pairs"))
+    pairs = settle(placed(near).where(stray).select("hub", "slots", "slot", "doc_id"), "pairs")
+    second = confirmed(pairs)
     found = settle(first.union(second), "found")
-    discard(post, ids, first, second, near)
+    discard(post, ids, close, pairs, first, second, near)
 
     joined = settle(components(found), "joined")
     member = settle(placed(joined), "placed")
