@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, classify, extensions, tileid
-from ..operators import availability, build, errors, tracker, validate
+from ..operators import availability, build, errors, registry, tracker, validate
 from ..sources import metadata, subtrees, tilesets
 from ..storage import settle
 
@@ -706,7 +706,7 @@ SELECT CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 40 END AS id, [NULL, 'trunc
 def subtree_errors(spark, sf_dir):
     """Payloads with null and repeated ids; one URI is given twice."""
     external = spark.range(2).select(F.lit("a.bin").alias("uri"), F.unhex(F.concat(F.lit("010"), F.col("id").cast("string"))).alias("bytes"))
-    given = line_payloads(spark, sf_dir, True).select(F.when(F.col("id") % 3 != 0, F.col("id") % 40).alias("id"), "content")
+    given = settle(line_payloads(spark, sf_dir, True).select(F.when(F.col("id") % 3 != 0, F.col("id") % 40).alias("id"), "content"), "payloads")
     return subtrees.decode(given, external).select("id", "error_code", "error_detail")
 
 
@@ -880,3 +880,18 @@ def range_any_wide(spark, sf_dir):
     # Every rectangle is asked, of a subtree or of none.
     asked = ranges.select("range_id").join(availability.any_in_range(made, ranges), "range_id", "left")
     return asked.select("range_id", F.coalesce("any_available", F.lit(False)).alias("any_available"))
+
+
+#: Extensions of FULL: S isn't in the catalogue, and C is written otherwise.
+CATALOGUE = {"D": "struct<k:bigint>", "V": "bigint", "C": "string", "T": "struct<k:bigint>", "I": "double"}
+
+
+@query("""
+SELECT s_suppkey AS tileset_id, path, name, verdict, CASE name WHEN 'D' THEN '{"k":' || s_suppkey || '}' WHEN 'T' THEN '{}' WHEN 'I' THEN '1' WHEN 'S' THEN '2' ELSE s_suppkey::VARCHAR END AS payload FROM supplier, (VALUES
+  ('', 'D', 'fits'), ('root.boundingVolume', 'V', 'fits'), ('root.children.1.content', 'C', 'misfit'), ('root.children.1', 'T', 'fits'), ('root.children.1.implicitTiling', 'I', 'fits'), ('root.children.1.implicitTiling.subtrees', 'S', 'unknown')) v(path, name, verdict)""")
+def extension_sites(spark, sf_dir):
+    """Every place where a document is extended, at any depth, held against a catalogue."""
+    text = F.replace(F.replace(F.lit(FULL), F.lit(",ONES"), F.lit("")), F.lit("K"), F.col("s_suppkey").cast("string"))
+    docs = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tileset_id"), F.parse_json(text).alias("doc"))
+    found = registry.sites(docs, CATALOGUE)
+    return found.select("tileset_id", F.array_join("path", ".").alias("path"), "name", "verdict", F.to_json("payload").alias("payload"))

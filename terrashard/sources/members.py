@@ -21,9 +21,14 @@ names = itertools.count()
 
 def read_json(text: Column) -> Column:
     """The VARIANT of a JSON text, null if it is none. Spark's parser stops behind the first value, so the text is read as the first of two members of an array, the other being its hash; whatever follows it breaks that."""
-    mark = F.xxhash64(text)
-    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-    return F.get(F.transform(F.array(F.struct(both.alias("v"), mark.alias("m"))), lambda x: F.when((F.try_variant_get(x["v"], "$[1]", "bigint") == x["m"]) & F.try_variant_get(x["v"], "$[2]", "variant").isNull(), F.try_variant_get(x["v"], "$[0]", "variant"))), F.lit(0))
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def read(t: Column, mark: Column) -> Column:
+        both = F.try_parse_json(F.concat(F.lit("["), t, F.lit(","), mark.cast("string"), F.lit("]")))
+        return once(both, lambda v: F.when((get(v, "$[1]", "bigint") == mark) & get(v, "$[2]", "variant").isNull(), get(v, "$[0]", "variant")))
+
+    return once(text, lambda t: once(F.xxhash64(t), lambda m: read(t, m)))
 
 
 def quoted(text: str) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..storage import settle
 from . import members
 
 MAGIC, VERSION, HEADER = "subt", 1, 24
@@ -73,7 +74,8 @@ def decode(payloads: DataFrame, external: DataFrame | None = None) -> DataFrame:
         "given", "blob", F.coalesce("error_code", F.when(F.col("fault").isNotNull(), "json")).alias("error_code"), F.coalesce("error_detail", F.nullif("fault", F.lit(""))).alias("error_detail"),
         F.when(F.col("fault").isNull(), F.try_variant_get("v", "$", SUBTREE)).alias("s"), "wanted",
     )
-    opened = opened.withColumn("fetched", F.lit(None).cast("map<string,binary>")) if external is None else fetched(opened, external)
+    # Stored before it is joined: what is read twice is decoded once, and the optimiser meets columns in place of all their expressions.
+    opened = opened.withColumn("fetched", F.lit(None).cast("map<string,binary>")) if external is None else fetched(settle(opened, "opened"), external)
     opened = opened.select(
         "given", "error_code", "error_detail", "blob", F.coalesce("s.bufferViews", F.array().cast(f"array<{VIEW_SPEC}>")).alias("views"), F.coalesce("s.buffers", F.array().cast(f"array<{BUFFER_SPEC}>")).alias("buffers"),
         F.concat(F.array("s.tileAvailability", "s.childSubtreeAvailability"), F.coalesce("s.contentAvailability", F.array().cast(f"array<{AVAILABILITY}>"))).alias("specs"), "fetched",
