@@ -13,6 +13,11 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def held(value: Column) -> Column:
+    """value, computed where it stands: the optimiser moves no filter below it, and so writes it out once, however often a plan asks for it."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def constant(value: bool | Column) -> Column:
     value = F.lit(value) if isinstance(value, bool) else value
     return F.struct(value.alias("constant"), F.lit(None).cast("binary").alias("bits"))

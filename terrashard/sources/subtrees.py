@@ -67,9 +67,9 @@ def decode(payloads: DataFrame, external: DataFrame | None = None) -> DataFrame:
     external: uri, bytes. Only buffers that some payload names are joined, by equality; neither table is gathered.
     """
     given = payloads.select("content", F.struct(*(F.col(f"`{c}`") for c in payloads.columns if c != "content")).alias("given"))
-    opened = envelope(given).withColumn("v", members.read_json(F.col("text")))
+    opened = envelope(given).withColumn("v", bits.held(members.read_json(F.col("text"))))
     opened = opened.withColumn("wanted", F.array_compact(F.try_variant_get("v", "$.buffers", "array<struct<uri:string>>")["uri"]))
-    opened = opened.withColumn("fault", F.when(F.col("error_code").isNull(), F.when(F.col("v").isNull(), F.lit("")).otherwise(members.subtree_fault("v"))))
+    opened = opened.withColumn("fault", bits.held(F.when(F.col("error_code").isNull(), F.when(F.col("v").isNull(), F.lit("")).otherwise(members.subtree_fault("v")))))
     opened = opened.select(
         "given", "blob", F.coalesce("error_code", F.when(F.col("fault").isNotNull(), "json")).alias("error_code"), F.coalesce("error_detail", F.nullif("fault", F.lit(""))).alias("error_detail"),
         F.when(F.col("fault").isNull(), F.try_variant_get("v", "$", SUBTREE)).alias("s"), "wanted",
@@ -104,7 +104,7 @@ def decode(payloads: DataFrame, external: DataFrame | None = None) -> DataFrame:
 
         return bits.let(nth(F.col("views"), a["bitstream"]), lambda v: bits.let(nth(F.col("buffers"), v["buffer"]), lambda b: with_buffer(v, b)))
 
-    done = opened.withColumn("got", F.when(F.col("error_code").isNull(), F.transform("specs", resolve)))
+    done = opened.withColumn("got", bits.held(F.when(F.col("error_code").isNull(), F.transform("specs", resolve))))
     done = done.withColumn("bad", F.get(F.filter("got", lambda r: r["code"].isNotNull()), F.lit(0)))
     done = done.select("given", "got", F.coalesce("error_code", "bad.code").alias("error_code"), F.coalesce("error_detail", "bad.detail").alias("error_detail"))
     view = lambda i: F.get("got", F.lit(i))["view"]
