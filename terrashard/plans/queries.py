@@ -468,8 +468,8 @@ WITH {SQL_ORDERS}
 SELECT id AS tileset_id, k::VARCHAR AS uri, '' AS path, 9.0::DOUBLE AS geometric_error FROM o JOIN w USING (k) WHERE NOT wrong
 UNION ALL SELECT id, k || '-' || n, i::VARCHAR, q FROM o JOIN w USING (k) JOIN l USING (k) WHERE NOT w.wrong""")
 def order_tiles_cut(spark, sf_dir):
-    """The same tiles, cut from chunks by the documents' structure, as large documents are."""
-    _, tiles = tilesets.load(order_documents(spark, sf_dir), large=0)
+    """The same tiles; those of the longer documents are cut from chunks by their structure, as large documents are."""
+    _, tiles = tilesets.load(order_documents(spark, sf_dir), large=1000)
     return tiles.select("tileset_id", tilesets.field(F.get("contents", F.lit(0)), "uri", "string").alias("uri"), path_text().alias("path"), "geometric_error")
 
 

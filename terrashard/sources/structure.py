@@ -103,8 +103,17 @@ def indexed(of: str, start: int, seq: int, size: int, data: bytes) -> dict:
     return {"of": of, "start": start, "seq": seq, "size": size, "data": data, "outer": entry(data, False), "inner": entry(data, True)}
 
 
-def as_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema)
+def batches_of(rows: Iterator[dict], schema: pa.Schema, held: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in batches that end once they hold `most` bytes."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[held]) + 100
+        if size >= most:
+            yield pa.RecordBatch.from_pylist(some, schema)
+            some, size = [], 0
+    if some:
+        yield pa.RecordBatch.from_pylist(some, schema)
 
 
 ENTRY_TYPE = pa.struct([("inside", pa.bool_()), ("pops", pa.int32()), ("base", pa.int32()), ("codes", pa.string()), ("counts", pa.list_(pa.int32()))])
@@ -116,19 +125,22 @@ def read(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     meta = lambda c: F.col(f"_metadata.{c}").alias(c)
     records = spark.read.option("lineSep", "}").text(path).select(meta("file_path"), meta("file_block_start"), meta("file_size"), F.col("value").cast("binary").alias("value"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         place, seq, parts, held = None, 0, [], 0
         for batch in batches:
             for path_, start, size, value in zip(*(batch.column(i) for i in range(4)), strict=True):
                 here = (path_.as_py(), start.as_py(), size.as_py())
                 if place is not None and (here != place or held >= chunk):
-                    yield as_batch([indexed(*place[:2], seq, place[2], b"".join(parts))], CHUNK_TYPE)
+                    yield indexed(*place[:2], seq, place[2], b"".join(parts))
                     seq, parts, held = (seq + 1 if here == place else 0), [], 0
                 place = here
                 parts += (value.as_py(), b"}")
                 held += len(parts[-2]) + 1
         if place is not None:
-            yield as_batch([indexed(*place[:2], seq, place[2], b"".join(parts))], CHUNK_TYPE)
+            yield indexed(*place[:2], seq, place[2], b"".join(parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_of(found(batches), CHUNK_TYPE, "data")
 
     return settle(records.mapInArrow(run, CHUNKS), "chunks")
 
@@ -136,16 +148,19 @@ def read(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
 def chunks(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Indexed chunks of texts (of, json). The table is stored."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for of, text in zip(batch.column("of"), batch.column("json"), strict=True):
                 data = text.as_py() or b""
                 at = seq = 0
                 while at < len(data) or not seq:
                     end = data.find(b"}", at + chunk - 1) + 1 or len(data)
-                    yield as_batch([indexed(of.as_py(), 0, seq, len(data), data[at:end])], CHUNK_TYPE)
+                    yield indexed(of.as_py(), 0, seq, len(data), data[at:end])
                     at, seq = max(end, 1), seq + 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_of(found(batches), CHUNK_TYPE, "data")
+
     return settle(documents.select("of", F.col("json").cast("binary").alias("json")).mapInArrow(run, CHUNKS), "chunks")
 
 
@@ -214,12 +229,14 @@ PIECE_TYPE = pa.schema([("of", pa.string()), ("path", pa.list_(pa.int32())), ("s
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            of, start, seq, data, inside, codes, counts, trim = (batch.column(c)[i].as_py() for c in ("of", "start", "seq", "data", "inside", "codes", "counts", "trim"))
-            found = cut(data[:-1] if trim else data, inside, codes, counts)
-            if found:
-                yield as_batch([{"of": of, "path": None if p is None else list(p), "start": start, "seq": seq, "text": b"".join(t)} for p, t in found.items()], PIECE_TYPE)
+    def found() -> Iterator[dict]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                of, start, seq, data, inside, codes, counts, trim = (batch.column(c)[i].as_py() for c in ("of", "start", "seq", "data", "inside", "codes", "counts", "trim"))
+                for path, text in cut(data[:-1] if trim else data, inside, codes, counts).items():
+                    yield {"of": of, "path": None if path is None else list(path), "start": start, "seq": seq, "text": b"".join(text)}
+
+    return batches_of(found(), PIECE_TYPE, "text")
 
 
 def texts(indexed_chunks: DataFrame) -> DataFrame:

@@ -52,13 +52,13 @@ def test_tiles_are_cut_alike_whatever_the_chunks(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("chunk", [64])
 def test_files_are_split_over_tasks(spark, tmp_path, chunk):
     rng = random.Random(3)
-    texts = {f"{i}.json": document(rng) + "\n" * (i % 3) for i in range(12)}
+    texts = {f"{i}.json": document(rng) + "\n" * (i % 3) for i in range(4)}
     for name, text in texts.items():
         (tmp_path / name).write_text(text)
     whole = spark.createDataFrame([(n, t) for n, t in texts.items()], "tileset_id string, json string")
     before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
         parsed, tiles = tilesets.load_files(spark, str(tmp_path), chunk=chunk)
         name = F.substring_index("tileset_id", "/", -1).alias("tileset_id")
