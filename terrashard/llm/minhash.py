@@ -11,7 +11,8 @@ M at least are confirmed on the full shingle sets. Texts are fetched for these a
 No group is expanded into all pairs:
 
 * equal shingle sets collapse into one class first, by a 128-bit set fingerprint (map-side combined);
-* each posting list is first compared with its smallest member, its hub, only, which is linear. What is confirmed merges.
+* each posting list is first compared with one member, its hub, only, which is linear: the one whose coordinate values are the most
+  common in all, as that is nearest to most others. What is confirmed merges.
   A hub with many members is copied to slots of SLOT members on average, so no task gets all of them;
 * lists that still hold several components go on, joined by their hub. There the members outside its
   component are queries against all members, in blocks of bounded size dealt over tasks. A task first counts the
@@ -190,18 +191,19 @@ def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def prefixes(classes: DataFrame, k: int, m: int) -> DataFrame:
-    """token, doc_id: the postings of the k - m + 1 rarest coordinate values, without those that occur once."""
+    """token, doc_id, weight: the postings of the k - m + 1 rarest coordinate values, without those that occur once. weight: how often all values of the document occur."""
     post = classes.select("doc_id", F.explode("sig").alias("token"))
     often = post.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    shared = post.join(often.hint("merge"), "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("c"))
+    shared = post.join(often.hint("merge"), "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("c"), F.sum("n").alias("weight"))
     take = F.size("c") - F.lit(m - 1)  # the other k - size(c) come first in the prefix and collide with nothing
-    return shared.where(take > 0).select("doc_id", F.explode(F.slice("c", F.lit(1), take)).alias("c")).select("c.token", "doc_id")
+    return shared.where(take > 0).select("doc_id", "weight", F.explode(F.slice("c", F.lit(1), take)).alias("c")).select("c.token", "doc_id", "weight")
 
 
 def links(docs: DataFrame, classes: DataFrame, k: int = K, m: int = M, percent: int = PERCENT) -> DataFrame:
     """a, b: links between class representatives, enough to connect all that are connected."""
     post = settle(prefixes(classes, k, m), "postings")
-    hubs = post.groupBy("token").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    # The hub is the member whose values are the most common of all: of copies changed here and there, that which is nearest to what they share.
+    hubs = post.groupBy("token").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("hub"), F.count("*").alias("n")).where("n > 1")
     slots = F.ceil(F.col("n") / SLOT).cast("int")
     slot = F.struct(slots.alias("slots"), F.pmod(F.xxhash64("doc_id"), slots).cast("int").alias("slot"))
     # Each member of a hub's lists once, in the slots of the shortest list that holds it; so a slot has SLOT members of a list on average, of at most k - m + 1 lists.
