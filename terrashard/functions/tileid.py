@@ -6,6 +6,7 @@ Coordinates are unsigned 32-bit numbers; where the tiling wraps, so do these (MA
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, SparkSession
@@ -15,6 +16,8 @@ MASK = 0xFFFFFFFF
 #: Bits of a coordinate that a Morton code holds, by number of coordinates.
 MORTON_BITS = {2: 16, 3: 10}
 AXES = ("x", "y", "z")
+#: Holds any unsigned number of 96 bits.
+WIDE = "decimal(38,0)"
 
 
 def morton(*coordinates: Column, n_bits: int | None = None) -> Column:
@@ -29,6 +32,14 @@ def morton(*coordinates: Column, n_bits: int | None = None) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
+def morton_wide(*coordinates: Column) -> Column:
+    """Morton code of whole 32-bit coordinates, as WIDE: 64 bits of two, 96 of three. Codes of MORTON_BITS bits are the digits that add up to it."""
+    n = len(coordinates)
+    limb = MORTON_BITS[n]
+    digit = lambda low: morton(*(F.shiftright(c, low).bitwiseAND(F.lit((1 << min(limb, 32 - low)) - 1)) for c in coordinates))
+    return reduce(lambda a, b: a + b, (digit(low).cast(WIDE) * F.lit(Decimal(2 ** (n * low))).cast(WIDE) for low in range(0, 32, limb))).cast(WIDE)
+
+
 def shift_left(value: Column, by: Column) -> Column:
     """value << by, for a column of shifts from 0 to 62."""
     return F.call_function("shiftleft", value.cast("bigint"), by.cast("int"))
@@ -114,6 +125,17 @@ def prefix_for_level(scheme: Column, level: Column) -> Column:
     return F.call_function("div", tiles_at_level(scheme, level) - 1, child_count(scheme) - 1)
 
 
+def tiles_at_level_wide(scheme: Column, level: Column) -> Column:
+    """1 << (power * level) as WIDE, 2 ** 63 included; null where that needs more than 64 bits."""
+    shift = power(scheme) * level
+    return F.when(shift < 64, (shift_left(F.lit(1), F.least(shift, F.lit(62))).cast(WIDE) * F.when(shift == 63, 2).otherwise(1)).cast(WIDE))
+
+
+def prefix_for_level_wide(scheme: Column, level: Column) -> Column:
+    """Tiles above a level, known for every level whose tiles are; it fits a BIGINT."""
+    return F.call_function("div", tiles_at_level_wide(scheme, level) - 1, (child_count(scheme) - 1).cast(WIDE))
+
+
 def expand_url(template: Column, t: Column, n: int = 2) -> Column:
     """The template with {level}, {x}, {y} and, in octrees, {z} filled in."""
     out = F.replace(template, F.lit("{level}"), t["level"].cast("string"))

@@ -8,6 +8,8 @@ and the aggregation is combined map-side.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,29 +63,60 @@ def flags(tiles: DataFrame, loaded: DataFrame, depth: int, maximum_level: int, n
     return out.withColumn("flags", F.when(beyond, 0).otherwise(F.coalesce("s.stop", F.lit(0))).cast("int")).drop("s")
 
 
-def accept(loads: DataFrame, depth: int, n: int = 2) -> DataFrame:
-    """The loads that a tracker accepts, in order of ordinal: loads has forest, ordinal, level, x, y[, z], tile, child, content_layers.
+def refresh(known: DataFrame, new: DataFrame, loaded: DataFrame, depth: int, maximum_level: int, n: int = 2) -> DataFrame:
+    """known (tile_key, forest, level, x, y[, z], flags) brought up to date when loads were accepted.
 
-    A root is accepted if it is its forest's first; another subtree if it stands on a multiple of depth, its parent was
-    accepted earlier and has its child bit set, and it is the first such load for its place. Levels are taken from the
-    root down, each one join and one window; a load that came too early doesn't keep a later one out.
+    new: the subtrees that were accepted since; loaded: all, those included (as in flags()). A tile's flags depend on the
+    roots of its chain only, so tiles whose chain meets none of the new roots are passed on as they are, and the others are asked again.
     """
+    asked = touched(known, new, depth, n)
+    again = flags(known.join(asked, "tile_key", "left_semi").drop("flags"), loaded, depth, maximum_level, n)
+    return known.join(asked, "tile_key", "left_anti").union(again.select(*known.columns))
+
+
+def touched(tiles: DataFrame, new: DataFrame, depth: int, n: int = 2) -> DataFrame:
+    """tile_key of the tiles whose chain holds the root of one of the new subtrees."""
+    axes = tileid.AXES[:n]
+    links = chain(tiles.select("tile_key", "forest", "level", *axes), depth, n).withColumn("r_level", F.col("k") * depth)
+    roots = new.select("forest", F.col("level").alias("r_level"), *(masked(F.col(a), F.col("level")).alias(f"r_{a}") for a in axes))
+    return links.join(roots, ["forest", "r_level", *(f"r_{a}" for a in axes)], "left_semi").select("tile_key").distinct()
+
+
+def accepted_levels(loads: DataFrame, depth: int, n: int = 2, held: DataFrame | None = None) -> list[DataFrame]:
+    """What accept() takes, as one stored table for each level; never an empty list."""
     axes = tileid.AXES[:n]
-    keyed = loads.where(F.col("level") % depth == 0).withColumns({f"r_{a}": masked(F.col(a), F.col("level")) for a in axes})
-    place = Window.partitionBy("forest", *(f"r_{a}" for a in axes)).orderBy("ordinal")
+    placed = lambda df: df.where(F.col("level") % depth == 0).withColumns({f"r_{a}": masked(F.col(a), F.col("level")) for a in axes})
+    keyed, old = placed(loads), None if held is None else placed(held)
+    key = ["forest", *(f"r_{a}" for a in axes)]
+    at = lambda level: old.where(F.col("level") == level)
+    free = lambda df, level: df if old is None else df.join(at(level).select(*key), key, "left_anti")
+    place = Window.partitionBy(*key).orderBy("ordinal")
     first = lambda df: df.withColumn("_n", F.row_number().over(place)).where("_n = 1").drop("_n")
+    parent = lambda df: df.select("forest", F.col("ordinal").alias("up_ordinal"), F.col("child").alias("up_child"), *(F.col(f"r_{a}").alias(f"u_{a}") for a in axes))
     level, done = 0, []
     last = loads.agg(F.max("level")).first()[0]
-    taken = settle(first(keyed.where("level = 0")), "accepted")
-    while last is not None and level <= last and not taken.isEmpty():
+    taken = settle(first(free(keyed.where("level = 0"), 0)), "accepted")
+    while True:
         done.append(taken)
+        # Without subtrees held from before, a level that takes none ends it.
+        if last is None or level + depth > last or (old is None and taken.isEmpty()):
+            return done
+        up = parent(taken) if old is None else parent(taken).union(parent(at(level)))
         level += depth
-        up = taken.select("forest", F.col("ordinal").alias("up_ordinal"), F.col("child").alias("up_child"), *(F.col(f"r_{a}").alias(f"u_{a}") for a in axes))
-        below = keyed.where(F.col("level") == level).withColumns({f"u_{a}": tileid.shift_right(F.col(f"r_{a}"), F.lit(depth)) for a in axes})
+        below = free(keyed.where(F.col("level") == level), level).withColumns({f"u_{a}": tileid.shift_right(F.col(f"r_{a}"), F.lit(depth)) for a in axes})
         bit = is_child_available(F.col("up_child"), tileid.morton(*(F.col(f"r_{a}") for a in axes), n_bits=depth))
         fit = below.join(up, ["forest", *(f"u_{a}" for a in axes)]).where(F.col("up_ordinal") < F.col("ordinal")).where(bit)
         taken = settle(first(fit.select(*keyed.columns)), "accepted")
-    out = (done or [taken])[0]
-    for other in done[1:]:
-        out = out.union(other)
-    return out.select(*loads.columns)
+
+
+def accept(loads: DataFrame, depth: int, n: int = 2, held: DataFrame | None = None) -> DataFrame:
+    """The loads that a tracker accepts, in order of ordinal: loads has forest, ordinal, level, x, y[, z], tile, child, content_layers.
+
+    A root is accepted if it is its forest's first; another subtree if it stands on a multiple of depth, its parent was
+    accepted earlier and has its child bit set, and it is the first such load for its place. Levels are taken from the
+    root down, each one join and one window; a load that came too early doesn't keep a later one out.
+
+    held: what was accepted before, with the columns of loads. So loads may come in batches, cut anywhere, if those of a later batch
+    have larger ordinals; all together accept what one table of them would. ordinal may be of any type that has an order; forest isn't null.
+    """
+    return reduce(DataFrame.union, (t.select(*loads.columns) for t in accepted_levels(loads, depth, n, held)))

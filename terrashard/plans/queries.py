@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,21 @@ def morton_3d(spark, sf_dir):
     return line_tiles(spark, sf_dir).select("l_orderkey", "l_linenumber", tileid.morton(*(F.col(f"t.{a}") for a in "xyz")).alias("morton"))
 
 
+SCRAMBLED = "SELECT l_orderkey, l_linenumber, (l_orderkey * 2654435761) & 4294967295 AS x, (l_partkey * 2654435769) & 4294967295 AS y, (l_suppkey * 2246822519 + l_linenumber) & 4294967295 AS z FROM lineitem"
+
+
+def sql_morton_wide(axes: str) -> str:
+    return "(" + " + ".join(f"(({c} >> {i}) & 1)::HUGEINT * {1 << (i * len(axes) + k)}::HUGEINT" for k, c in enumerate(axes) for i in range(32)) + ")::VARCHAR"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {sql_morton_wide('xy')} AS morton_2d, {sql_morton_wide('xyz')} AS morton_3d FROM ({SCRAMBLED})")
+def morton_whole(spark, sf_dir):
+    """Morton codes of all 32 bits of coordinates, as text."""
+    key = lambda c: F.col(c).cast("bigint")
+    x, y, z = (c.bitwiseAND(F.lit(tileid.MASK)) for c in (key("l_orderkey") * 2654435761, key("l_partkey") * 2654435769, key("l_suppkey") * 2246822519 + key("l_linenumber")))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", tileid.morton_wide(x, y).cast("string").alias("morton_2d"), tileid.morton_wide(x, y, z).cast("string").alias("morton_3d"))
+
+
 @query("""
 SELECT event_id, (level // 3) * 3 AS root_level, user_id >> (level % 3)::INTEGER AS root_x, (event_id % 512) >> (level % 3)::INTEGER AS root_y
 FROM (SELECT event_id, user_id, event_id % 12 AS level FROM events)""")
@@ -124,6 +140,16 @@ def level_arithmetic(spark, sf_dir):
     return rows.select("s", "level", tileid.tiles_at_level(F.col("s"), F.col("level")).alias("tiles"), tileid.prefix_for_level(F.col("s"), F.col("level")).alias("prefix"))
 
 
+@query("""
+SELECT s, level, tiles::VARCHAR AS tiles, ((tiles - 1) // (n - 1))::BIGINT AS prefix FROM (
+  SELECT s, n, level, CASE WHEN p * level < 63 THEN (1::BIGINT << (p * level)::INTEGER)::HUGEINT WHEN p * level = 63 THEN 9223372036854775808::HUGEINT END AS tiles
+  FROM (VALUES ('quadtree', 4, 2), ('octree', 8, 3), ('s2', 4, 2)) v(s, n, p), (SELECT DISTINCT p_size::BIGINT - 1 AS level FROM part))""")
+def level_arithmetic_wide(spark, sf_dir):
+    levels = read(spark, sf_dir, "part").select((F.col("p_size").cast("bigint") - 1).alias("level")).distinct()
+    rows = levels.select(F.explode(F.array(*map(F.lit, ("quadtree", "octree", "s2")))).alias("s"), "level")
+    return rows.select("s", "level", tileid.tiles_at_level_wide(F.col("s"), F.col("level")).cast("string").alias("tiles"), tileid.prefix_for_level_wide(F.col("s"), F.col("level")).alias("prefix"))
+
+
 @query(f"""
 SELECT l_orderkey, l_linenumber, -1.5::DOUBLE + ((0.75 - -1.5)::DOUBLE / 256.0) * x::DOUBLE AS west, -0.5::DOUBLE + ((0.25 - -0.5)::DOUBLE / 256.0) * y::DOUBLE AS south,
   -1.5::DOUBLE + ((0.75 - -1.5)::DOUBLE / 256.0) * (x::DOUBLE + 1.0::DOUBLE) AS east, -0.5::DOUBLE + ((0.25 - -0.5)::DOUBLE / 256.0) * (y::DOUBLE + 1.0::DOUBLE) AS north,
@@ -644,10 +670,13 @@ SELECT tile_key, ({go(0)})::INTEGER AS flags FROM t
 LEFT JOIN acc0 n0 ON n0.forest = t.forest LEFT JOIN acc2 n1 ON n1.forest = t.forest AND t.level >= 2 AND {on(1)} LEFT JOIN acc4 n2 ON n2.forest = t.forest AND t.level >= 4 AND {on(2)}"""
 
 
-def tracked(spark, sf_dir, n):
+def order_places(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    tiles = o.select(F.col("o_orderkey").alias("tile_key"), (F.col("o_orderkey") % 5).alias("forest"), (F.col("o_custkey") % 8).alias("level"), (F.col("o_orderkey") * 3 % 128).alias("x"), (F.col("o_custkey") % 128).alias("y"), (F.col("o_orderkey") % 64).alias("z"))
-    return tracker.flags(tiles, tracker.accept(part_subtrees(spark, sf_dir), 2, n), 2, 6, n).select("tile_key", "flags")
+    return o.select(F.col("o_orderkey").alias("tile_key"), (F.col("o_orderkey") % 5).alias("forest"), (F.col("o_custkey") % 8).alias("level"), (F.col("o_orderkey") * 3 % 128).alias("x"), (F.col("o_custkey") % 128).alias("y"), (F.col("o_orderkey") % 64).alias("z"))
+
+
+def tracked(spark, sf_dir, n):
+    return tracker.flags(order_places(spark, sf_dir), tracker.accept(part_subtrees(spark, sf_dir), 2, n), 2, 6, n).select("tile_key", "flags")
 
 
 @query(sql_flags(2))
@@ -670,6 +699,35 @@ def tracker_accept_octree(spark, sf_dir):
     return tracker.accept(part_subtrees(spark, sf_dir), 2, 3).select("forest", "ordinal", "level")
 
 
+def in_batches(spark, sf_dir):
+    """The same loads as three batches in their order, and what is held after each."""
+    loads = settle(part_subtrees(spark, sf_dir), "loads")
+    most = loads.agg(F.max("ordinal")).first()[0] or 0
+    ends = [0, most // 10, most // 2, most + 1]
+    held, out = None, []
+    for low, high in itertools.pairwise(ends):
+        part = loads.where((F.col("ordinal") >= low) & (F.col("ordinal") < high))
+        new = tracker.accept(part, 2, held=held)
+        held = new if held is None else held.union(new)
+        out.append((new, held))
+    return out
+
+
+@query(ORACLE["tracker_accept_quadtree"])
+def tracker_accept_batches(spark, sf_dir):
+    return in_batches(spark, sf_dir)[-1][1].select("forest", "ordinal", "level")
+
+
+@query(sql_flags(2))
+def tracker_flags_refreshed(spark, sf_dir):
+    """Flags after the first batch of loads, brought up to date after each of the others."""
+    (_, held), *later = in_batches(spark, sf_dir)
+    known = settle(tracker.flags(order_places(spark, sf_dir), held, 2, 6), "flags")
+    for new, held in later:
+        known = settle(tracker.refresh(known, new, held, 2, 6), "flags")
+    return known.select("tile_key", "flags")
+
+
 #: Subtrees with a member of a wrong type, and its path.
 MISTYPED = tuple((f'{{"tileAvailability":{t},"childSubtreeAvailability":{{"constant":0}}{more}}}', path) for t, more, path in (
     ('{"constant":"1"}', "", "tileAvailability.constant"), ('{"constant":1.0}', "", "tileAvailability.constant"), ('{"constant":true}', "", "tileAvailability.constant"), ('{"constant":-1}', "", "tileAvailability.constant"),

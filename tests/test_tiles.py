@@ -154,3 +154,14 @@ def test_ranges_wider_than_their_level(spark):
     assert got == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True}
     every = spark.range(1).select(F.lit(0).alias("id"), bits.constant(True).alias("tile"))
     assert {r.range_id: r.any_available for r in availability.any_in_range(every, ranges).collect()} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True}
+
+
+def test_whole_coordinates_and_levels(spark):
+    most = 2**32 - 1
+    rows = [(0, 0, 0), (1, 2, 4), (most, most, most), (2**31, 2**10, 2**16), (2**20 + 5, 2**21 - 1, 12345)]
+    code = lambda c: sum((v >> i & 1) << (i * len(c) + k) for k, v in enumerate(c) for i in range(32))
+    got = spark.createDataFrame(rows, "x long, y long, z long").select("x", "y", "z", tileid.morton_wide(F.col("x"), F.col("y")).alias("two"), tileid.morton_wide(F.col("x"), F.col("y"), F.col("z")).alias("three")).collect()
+    assert {tuple(r)[:3]: (int(r.two), int(r.three)) for r in got} == {r: (code(r[:2]), code(r)) for r in rows}
+    levels = spark.createDataFrame([("octree", 21), ("octree", 22), ("quadtree", 31), ("quadtree", 32), ("quadtree", 0)], "s string, level long")
+    got = levels.select(tileid.tiles_at_level_wide(F.col("s"), F.col("level")), tileid.prefix_for_level_wide(F.col("s"), F.col("level"))).collect()
+    assert [tuple(r) for r in got] == [(2**63, (2**63 - 1) // 7), (None, None), (2**62, (2**62 - 1) // 3), (None, None), (1, 0)]

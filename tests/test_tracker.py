@@ -1,5 +1,6 @@
 """The set-based tracker against a model that walks the tree one subtree at a time."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terrashard.functions import bits, classify
 from terrashard.operators import tracker
+from terrashard.streaming import loads as arriving
 
 VIEW = "struct<constant:boolean,bits:binary>"
 
@@ -102,3 +104,44 @@ def test_by_hand(spark):
     open_ = root.withColumn("child", yes)
     assert flags(open_, 6)[3] == classify.TILE | classify.SUBTREE and flags(open_, 6)[4] == 0
     assert tracker.accept(open_.union(open_.withColumn("ordinal", F.lit(1).cast("long"))), 2).count() == 1
+
+
+def test_a_stream_accepts_what_one_table_does(spark, tmp_path):
+    """Loads arrive in files cut anywhere; a child before its root isn't accepted, and comes again later. Flags are brought up to date after each file."""
+    rng, depth = random.Random(8), 2
+    columns = schema(2, "forest long", "ordinal long") + f", tile {VIEW}, child {VIEW}, content_layers array<{VIEW}>"
+    view = lambda: (None, bytearray(rng.randrange(256) | rng.randrange(256) for _ in range(2)))
+    rows = [(i % 3, i, 0 if i in (17, 18, 40) else rng.choice((2, 2, 4, 3)), rng.randrange(16), rng.randrange(16), view(), view(), [view()]) for i in range(240)]
+    walks = [Walk(depth, 6, 2) for _ in range(3)]
+    wanted = {x[1] for x in rows if walks[x[0]].add(*[x[2], x[3:5]], *x[5:])}
+    assert any(x[1] < 17 and x[2] == 2 for x in rows) and any(x[2] == 4 for x in rows if x[1] in wanted)
+    tiles = spark.createDataFrame([(k, k % 3, rng.randrange(7), rng.randrange(64), rng.randrange(64)) for k in range(400)], schema(2, "tile_key long", "forest long"))
+    source, folder = tmp_path / "in", str(tmp_path / "accepted")
+    source.mkdir()
+    for k, (low, high) in enumerate([(0, 10), (10, 60), (60, 61), (61, 240)]):
+        spark.createDataFrame(rows[low:high], columns).coalesce(1).write.parquet(str(tmp_path / f"cut{k}"))
+        file = next((tmp_path / f"cut{k}").glob("*.parquet")).rename(source / f"{k}.parquet")
+        os.utime(file, (1_000_000 + k, 1_000_000 + k))
+    run = arriving.follow(folder, depth)
+    asked = []
+
+    def step(batch, number):
+        run(batch, number)
+        run(batch, number)  # as after a failure
+        asked.append(number)
+
+    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(str(source))
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert query.exception() is None and asked == [0, 1, 2, 3]
+    got = arriving.accepted(spark, folder, columns)
+    assert {r.ordinal for r in got.collect()} == wanted
+    known = tracker.flags(tiles, got.where("batch = 0"), depth, 6)
+    for number in range(1, 4):
+        new = got.where(F.col("batch") == number)
+        loaded = got.where(F.col("batch") <= number)
+        if number == 2:
+            assert tracker.touched(tiles, new, depth).count() < 200
+        known = tracker.refresh(known, new, loaded, depth, 6)
+        assert sorted(known.collect()) == sorted(tracker.flags(tiles, loaded, depth, 6).collect())
+    assert {r.tile_key: r.flags for r in known.collect()} == {t.tile_key: walks[t.forest].flags(t.level, (t.x, t.y)) for t in tiles.collect()}
