@@ -94,3 +94,22 @@ def test_empty_table(spark):
 def test_components_of_a_long_path(spark):
     edges = spark.range(300).selectExpr("id as a", "id + 1 as b")
     assert {r.component for r in minhash.components(edges).collect()} == {0}
+
+
+def test_copies_that_only_one_member_is_near_to(spark):
+    """Copies of a text, each changed at three other places, are under the threshold of each other; what they were made from has the largest id."""
+    base = [f"word{i}" for i in range(200)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for k in range(3):
+            words[(i * 4 + 60 * k) % 180 + 8] = f"other{i}x{k}"
+        rows.append((i, " ".join(words)))
+    rows.append((1000, " ".join(base)))
+    assert minhash.linked(rows[0][1], rows[40][1], 75) and not minhash.linked(rows[0][1], rows[20][1], 75)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(docs).collect()
+    assert {(r.component_id, r.kept) for r in got} == {(0, True), (0, False)} and sum(r.kept for r in got) == 1
+    signed = minhash.signatures(docs).select("doc_id", "sig")
+    post = minhash.prefixes(signed, minhash.K, minhash.M).select("doc_id", "weight").distinct().orderBy("weight", ascending=False)
+    assert post.first().doc_id == 1000
