@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, tileid
 
+#: The deepest level whose sums are held in a task (4 ** SUMMED numbers of 4 bytes), and rectangles of one subtree and level that are answered by it.
+SUMMED, ASKED = 12, 1 << 16
+
 
 def is_available(view: Column, scheme: Column, level: Column, morton: Column) -> Column:
     """Whether the tile at a relative level and Morton code is set. Levels below the subtree's depth aren't refused: a constant answers for them."""
@@ -56,9 +61,90 @@ def tiles(subtrees: DataFrame, levels: int, n: int = 2) -> DataFrame:
     return grown.where(is_available(F.col("tile"), scheme, F.col("rel_level"), F.col("rel_morton")))
 
 
+def blocks(streams: DataFrame, key: str, stream: str) -> DataFrame:
+    """key, block, before (set bits before it), inside, bytes: bitstreams (one for each key) in blocks of bits.BLOCK bytes."""
+    n = F.greatest(F.ceil(F.octet_length(stream) / bits.BLOCK).cast("int"), F.lit(1))
+    part = lambda i: F.struct(i.alias("block"), F.substr(F.col(stream), i * bits.BLOCK + 1, F.lit(bits.BLOCK)).alias("bytes"))
+    cut = streams.where(F.col(stream).isNotNull()).select(key, F.inline(F.transform(F.sequence(F.lit(0), n - 1), part)))
+    counted = cut.withColumn("inside", bits.rank_before(F.col("bytes"), F.lit(8 * bits.BLOCK)))
+    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("before", F.coalesce(F.sum("inside").over(before), F.lit(0)))
+
+
+def ranks(asked: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The columns of asked (key, bit, ...), rank (set bits before the bit) and is_set. stored: blocks() of bitstreams, one for each key.
+
+    A row meets the one block that it asks about, not the whole bitstream; beyond the end nothing is set, and the rank is of all.
+    """
+    whole = stored.groupBy(F.col(key).alias("_key")).agg(F.sum("inside").alias("_all"))
+    each = stored.select(F.col(key).alias("_of"), F.col("block").alias("_block"), F.col("before").alias("_before"), F.col("bytes").alias("_bytes"))
+    at = F.call_function("div", F.col("bit"), F.lit(8 * bits.BLOCK))
+    met = asked.join(whole, F.col(key) == F.col("_key")).join(each, (F.col(key) == F.col("_of")) & (at == F.col("_block")), "left")
+    inner = F.col("bit") % (8 * bits.BLOCK)
+    rank = F.coalesce(F.col("_before") + bits.rank_before(F.col("_bytes"), inner), F.col("_all"))
+    return met.select(*(F.col(f"`{c}`") for c in asked.columns), rank.alias("rank"), F.coalesce(bits.is_set(bits.bitstream(F.col("_bytes")), inner), F.lit(False)).alias("is_set"))
+
+
+def sums(cells: bytes, skip: int, level: int) -> np.ndarray:
+    """Available cells of a level with smaller x and y, by y and x; cells: the level's bits by Morton code, after skip others."""
+    side = 1 << level
+    flat = np.zeros(side * side, np.uint8)
+    found = np.unpackbits(np.frombuffer(cells or b"", np.uint8), bitorder="little")[skip : skip + side * side]
+    flat[: len(found)] = found
+    # The bits of a Morton code, from the highest: y, x, y, x, ...
+    axes = [*range(0, 2 * level, 2), *range(1, 2 * level, 2)]
+    out = np.zeros((side + 1, side + 1), np.int32)
+    grid = flat.reshape([2] * (2 * level)).transpose(axes).reshape(side, side)
+    np.cumsum(np.cumsum(grid, axis=0, dtype=np.int32), axis=1, out=out[1:, 1:])
+    return out
+
+
+def answered(asked: pa.Table, subtrees: pa.Table, schema: pa.Schema) -> pa.Table:
+    """Rectangles (a, b, c, d: least x and y, greatest x and y) against the subtrees of one id, at one level."""
+    a, b, c, d = (asked.column(k).to_numpy() for k in "abcd")
+    out = []
+    for row in subtrees.to_pylist() if asked.num_rows else ():
+        fine = (a <= c) & (b <= d)
+        if row["constant"] is None:
+            level = row["level"]
+            table, last = sums(row["cells"], row["skip"], level), 1 << level
+            x, y, right, top = (np.clip(v, 0, last) for v in (a, b, c + 1, d + 1))
+            hit = fine & (table[top, right] - table[y, right] - table[top, x] + table[y, x] > 0)
+        else:
+            hit = fine & row["constant"]
+        out.append(pa.Table.from_arrays([asked.column("range_id"), pa.array(hit)], schema=schema))
+    return pa.concat_tables(out) if out else schema.empty_table()
+
+
 def any_in_range(subtrees: DataFrame, ranges: DataFrame) -> DataFrame:
     """range_id, any_available. ranges: range_id, id (of a subtree), level, min_x, min_y, max_x, max_y (inclusive).
 
+    Down to level SUMMED, rectangles meet their subtree in groups of about ASKED, for which the level's cells are summed once; a rectangle
+    is four of these sums. Deeper levels are asked by Morton ranges (any_by_ranges()).
+    """
+    shallow = F.coalesce(F.col("level").between(0, SUMMED), F.lit(False))
+    asked = ranges.where(shallow & F.col("id").isNotNull())
+    last = tileid.shift_left(F.lit(1).cast("bigint"), F.col("level")) - 1
+    low, high = (lambda c: F.greatest(F.col(c), F.lit(0)).cast("bigint")), (lambda c: F.least(F.col(c), last).cast("bigint"))
+    asked = asked.select("range_id", "id", F.col("level").cast("int").alias("level"), low("min_x").alias("a"), low("min_y").alias("b"), high("max_x").alias("c"), high("max_y").alias("d"))
+    groups = asked.groupBy("id", "level").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("n"))
+    spread = asked.join(groups, ["id", "level"]).withColumn("part", F.pmod(F.xxhash64("range_id", "a", "b", "c", "d"), F.col("n")).cast("int")).drop("n")
+    first, size = tileid.prefix_for_level(F.lit("quadtree"), F.col("level")), tileid.tiles_at_level(F.lit("quadtree"), F.col("level"))
+    cells = F.substr("tile.bits", (F.call_function("div", first, F.lit(8)) + 1).cast("int"), (F.call_function("div", size, F.lit(8)) + 2).cast("int"))
+    given = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(subtrees.select("id", "tile"), "id")
+    given = given.select(F.col("id").alias("id"), F.col("level").alias("level"), "part", F.col("tile.constant").alias("constant"), cells.alias("cells"), (first % 8).cast("int").alias("skip"))
+    ddl = f"range_id {ranges.schema['range_id'].dataType.simpleString()}, any_available boolean"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return answered(left, right, pa.schema([("range_id", left.schema.field("range_id").type), ("any_available", pa.bool_())]))
+
+    keys = ("id", "level", "part")
+    return spread.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(run, ddl).unionByName(any_by_ranges(subtrees, ranges.where(~shallow)))
+
+
+def any_by_ranges(subtrees: DataFrame, ranges: DataFrame) -> DataFrame:
+    """any_in_range() at any level, without sums.
+
     A rectangle becomes Morton ranges (tileid.z_ranges()), each answered by one look at its bits; no cell is asked by itself. Only
     levels that the bitstream reaches are looked at; nothing is joined but the subtree, by id.
     """

@@ -165,3 +165,17 @@ def test_whole_coordinates_and_levels(spark):
     levels = spark.createDataFrame([("octree", 21), ("octree", 22), ("quadtree", 31), ("quadtree", 32), ("quadtree", 0)], "s string, level long")
     got = levels.select(tileid.tiles_at_level_wide(F.col("s"), F.col("level")), tileid.prefix_for_level_wide(F.col("s"), F.col("level"))).collect()
     assert [tuple(r) for r in got] == [(2**63, (2**63 - 1) // 7), (None, None), (2**62, (2**62 - 1) // 3), (None, None), (1, 0)]
+
+
+def test_rectangles_by_sums_equal_those_by_ranges(spark, monkeypatch):
+    rng = random.Random(11)
+    views = [(i, None, bytearray(bytes(rng.randrange(256) if rng.random() < share else 0 for _ in range(n)))) for i, (n, share) in enumerate(((1, 0.5), (11, 0.2), (171, 0.05), (700, 0.01), (60, 0.1), (0, 0)))] + [(6, True, None), (7, False, None), (8, None, None), (3, None, bytearray(b"\x01"))]
+    subtrees = spark.createDataFrame(views, "id int, c boolean, b binary").select("id", F.struct(F.col("c").alias("constant"), F.col("b").alias("bits")).alias("tile"))
+    place = lambda: rng.choice((None, -3, 40, rng.randrange(34), rng.randrange(8)))
+    asked = spark.createDataFrame([(i, rng.choice((None, *range(10))), rng.choice((None, -1, 0, 1, 2, 3, 4, 5, 5, 6, 13)), place(), place(), place(), place()) for i in range(1500)], "range_id long, id int, level long, min_x long, min_y long, max_x long, max_y long")
+    monkeypatch.setattr(availability, "ASKED", 40)
+    want = sorted(map(tuple, availability.any_by_ranges(subtrees, asked).collect()))
+    assert len({w[1] for w in want}) == 2 and sorted(map(tuple, availability.any_in_range(subtrees, asked).collect())) == want
+
+    monkeypatch.setattr(availability.tileid, "z_ranges", lambda level, *_: F.when(level <= 12, F.raise_error(F.lit("range by range")).cast("array<struct<start:bigint,end:bigint>>")))
+    assert availability.any_in_range(subtrees, asked.where("level <= 12")).collect()
