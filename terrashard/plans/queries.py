@@ -895,12 +895,13 @@ WITH e AS (SELECT event_id, user_id % 25 AS k, (event_id * 7919) % 1048576 AS bi
 b AS (SELECT n_nationkey AS k, i, {sql_hex_bit("h", "i")} AS b, sum({sql_hex_bit("h", "i")}) OVER (PARTITION BY n_nationkey ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto, sum({sql_hex_bit("h", "i")}) OVER (PARTITION BY n_nationkey) AS whole FROM {SQL_RANK}, unnest(range(128)) AS u(i))
 SELECT event_id, e.bit, (bit // 128 * whole + upto - b)::BIGINT AS rank, CASE WHEN b = 1 THEN (bit // 128 * whole + upto - b)::BIGINT END AS child_index FROM e JOIN b ON b.k = e.k AND b.i = e.bit % 128""")
 def child_rank(spark, sf_dir):
-    """Ranks in bitstreams of 2 ** 20 bits, one for each nation, by directories that are stored beside them."""
+    """Ranks in bitstreams of 2 ** 20 bits, one for each nation, by blocks that are stored with the bits before them."""
     bits_ = F.unhex(F.repeat(F.md5(F.col("n_nationkey").cast("string")), F.lit(8192)))
-    children = settle(read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), bits_.alias("b")).select("k", bits.bitstream(F.col("b")).alias("child"), bits.directory(F.col("b")).alias("directory")), "directories")
+    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), bits_.alias("b"))
+    children = settle(availability.blocks(nations, "k", "b"), "blocks")
     e = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25).alias("k"), (F.col("event_id") * 7919 % 2**20).alias("bit"))
-    rank = bits.rank(F.col("child.bits"), F.col("directory"), F.col("bit"))
-    return e.join(children, "k").select("event_id", "bit", rank.cast("bigint").alias("rank"), tracker.child_index(F.col("child"), F.col("directory"), F.col("bit")).cast("bigint").alias("child_index"))
+    rank = F.col("rank").cast("bigint")
+    return availability.ranks(e, children, "k").select("event_id", "bit", rank.alias("rank"), F.when(F.col("is_set"), rank).alias("child_index"))
 
 
 SQL_TILES = "SELECT o_custkey % 5 AS forest, o_orderkey % 6 AS level, (o_orderkey * 3) % (1 << (o_orderkey % 6)::INTEGER) AS x, o_custkey % (1 << (o_orderkey % 6)::INTEGER) AS y, bool_or(o_orderstatus = 'F') AS content FROM orders GROUP BY ALL"

@@ -1,5 +1,6 @@
 """Bit ranges, rank directories, Z-order ranges, and subtrees from tiles, against plain definitions."""
 
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -100,3 +101,17 @@ def test_tiles_of_built_subtrees_are_reachable(spark):
     got = tracker.flags(asked, loads, 2, 9).collect()
     assert all(r.flags & 16 and r.flags & 1 for r in got) and {bool(r.flags & 2) for r in got if r.content} == {True}
     assert availability.tiles(made, 2).count() == 3
+
+
+def test_ranks_meet_blocks_not_bitstreams(spark):
+    rng = random.Random(5)
+    data = [bytes(rng.randrange(256) for _ in range(n)) for n in (1, 63, 64, 65, 1000)] + [b""]
+    given = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(data)] + [(9, None)], "k int, b binary")
+    stored = availability.blocks(given, "k", "b")
+    assert stored.agg(F.max(F.octet_length("bytes"))).first()[0] == bits.BLOCK and stored.count() == 1 + 1 + 1 + 2 + 16 + 1
+    got = availability.ranks(spark.range(9000).select(F.explode(F.array(*map(F.lit, range(11)))).alias("k"), F.col("id").alias("bit")), stored, "k").collect()
+    assert len(got) == 9000 * len(data)
+    texts = ["".join(str(x >> i & 1) for x in d for i in range(8)) for d in data]
+    upto = [[0, *itertools.accumulate(map(int, t))] for t in texts]
+    for r in got:
+        assert (r["rank"], r.is_set) == (upto[r.k][min(r.bit, len(texts[r.k]))], r.bit < len(texts[r.k]) and texts[r.k][r.bit] == "1"), r
