@@ -32,12 +32,23 @@ def morton(*coordinates: Column, n_bits: int | None = None) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
+#: Each byte with n - 1 zeros between its bits, by number of coordinates.
+SPREAD = {n: [sum((b >> i & 1) << i * n for i in range(8)) for b in range(256)] for n in (2, 3)}
+#: Holds half a code, and what the upper half is multiplied by: at most 2 ** 48.
+HALF = "decimal(15,0)"
+
+
 def morton_wide(*coordinates: Column) -> Column:
-    """Morton code of whole 32-bit coordinates, as WIDE: 64 bits of two, 96 of three. Codes of MORTON_BITS bits are the digits that add up to it."""
+    """Morton code of whole 32-bit coordinates, as WIDE: 64 bits of two, 96 of three.
+
+    Bytes are spread by a table, and the codes of the lower and upper 16 bits fit a BIGINT each: a term for each bit would make methods that
+    are too long for the JVM to compile.
+    """
     n = len(coordinates)
-    limb = MORTON_BITS[n]
-    digit = lambda low: morton(*(F.shiftright(c, low).bitwiseAND(F.lit((1 << min(limb, 32 - low)) - 1)) for c in coordinates))
-    return reduce(lambda a, b: a + b, (digit(low).cast(WIDE) * F.lit(Decimal(2 ** (n * low))).cast(WIDE) for low in range(0, 32, limb))).cast(WIDE)
+    byte = lambda c, low: F.get(F.lit(SPREAD[n]), F.shiftright(c, low).bitwiseAND(F.lit(255)).cast("int")).cast("bigint")
+    placed = lambda v, by: F.shiftleft(v, by) if by else v
+    half = lambda low: reduce(lambda a, b: a.bitwiseOR(b), (placed(byte(c, low + i), i * n + k) for k, c in enumerate(coordinates) for i in (0, 8)))
+    return (half(16).cast(HALF) * F.lit(Decimal(2 ** (16 * n))).cast(HALF) + half(0).cast(HALF)).cast(WIDE)
 
 
 def shift_left(value: Column, by: Column) -> Column:

@@ -179,3 +179,8 @@ def test_rectangles_by_sums_equal_those_by_ranges(spark, monkeypatch):
 
     monkeypatch.setattr(availability.tileid, "z_ranges", lambda level, *_: F.when(level <= 12, F.raise_error(F.lit("range by range")).cast("array<struct<start:bigint,end:bigint>>")))
     assert availability.any_in_range(subtrees, asked.where("level <= 12")).collect()
+
+
+def test_wide_codes_need_no_term_for_each_bit(spark):
+    made = spark.range(1).select(tileid.morton_wide(*(F.col("id") + k for k in range(3))).alias("m"))
+    assert made._jdf.queryExecution().analyzed().toString().count("shiftright") <= 12
