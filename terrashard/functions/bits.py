@@ -98,6 +98,12 @@ def rank_before(bits: Column, bit: Column) -> Column:
     return words_before(bits, F.lit(0), F.least(bit, 8 * F.octet_length(bits)))
 
 
+def count(view: Column, first: int, end: int) -> Column:
+    """Set bits of a view from first up to (without) end; a null view has none."""
+    streamed = rank_before(view["bits"], F.lit(end)) - rank_before(view["bits"], F.lit(first)) if first else rank_before(view["bits"], F.lit(end))
+    return F.when(view["constant"].isNotNull(), F.when(view["constant"], end - first).otherwise(0)).otherwise(F.coalesce(streamed, F.lit(0))).cast("bigint")
+
+
 def directory(bits: Column) -> Column:
     """Set bits before each block of BLOCK bytes, and last those of all: an array to store beside a bitstream."""
     n = F.ceil(F.octet_length(bits) / BLOCK).cast("int")

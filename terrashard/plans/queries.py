@@ -774,12 +774,10 @@ b AS (SELECT id, k, CASE WHEN id % 6 = 0 THEN 1 ELSE {sql_hex_bit("substr(h, 1,
 SELECT id, sum(t)::BIGINT AS tiles, sum(c)::BIGINT AS contents, sum(CASE WHEN k >= 5 THEN t ELSE 0 END)::BIGINT AS leaves, (CASE WHEN any_value(id) % 4 = 0 THEN 0 ELSE 2 END)::BIGINT AS layers FROM b GROUP BY id""")
 def subtree_round_trip(spark, sf_dir):
     """Writes subtrees, reads them back, and counts what is available in each."""
-    read_ = settle(subtrees.decode(line_payloads(spark, sf_dir, False)).select("id", "tile", "content_layers"), "decoded")  # decoded once, not for each cell
-    cells = read_.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("level"))
-    cells = cells.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), tileid.tiles_at_level(F.lit("quadtree"), F.col("level")) - 1)).alias("m"))
-    hit = availability.is_available(F.col("tile"), F.lit("quadtree"), F.col("level"), F.col("m"))
-    content = availability.is_content_available(F.col("content_layers"), F.lit(0), F.lit("quadtree"), F.col("level"), F.col("m"))
-    return cells.groupBy("id").agg(F.count_if(hit).alias("tiles"), F.count_if(content).alias("contents"), F.count_if(hit & (F.col("level") == 2)).alias("leaves"), F.max(F.size("content_layers")).cast("bigint").alias("layers"))
+    read_ = settle(subtrees.decode(line_payloads(spark, sf_dir, False)).select("id", "tile", "content_layers"), "decoded")  # decoded once, not for each count
+    first = F.get("content_layers", F.lit(0))
+    counts = read_.select("id", bits.count(F.col("tile"), 0, 21).alias("tiles"), bits.count(first, 0, 21).alias("contents"), bits.count(F.col("tile"), 5, 21).alias("leaves"), F.size("content_layers").cast("bigint").alias("layers"))
+    return counts.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("tiles", "contents", "leaves")), F.max("layers").alias("layers"))
 
 
 def part_schemas(spark, sf_dir):

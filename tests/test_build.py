@@ -115,3 +115,9 @@ def test_ranks_meet_blocks_not_bitstreams(spark):
     upto = [[0, *itertools.accumulate(map(int, t))] for t in texts]
     for r in got:
         assert (r["rank"], r.is_set) == (upto[r.k][min(r.bit, len(texts[r.k]))], r.bit < len(texts[r.k]) and texts[r.k][r.bit] == "1"), r
+
+
+def test_bits_are_counted_in_views(spark):
+    views = F.array(bits.constant(True), bits.constant(False), bits.bitstream(F.unhex(F.lit("FF00F0"))), bits.bitstream(F.lit(None).cast("binary")), F.lit(None).cast(bits.VIEW))
+    got = spark.range(1).select(F.explode(views).alias("v")).select(bits.count(F.col("v"), 0, 21).alias("a"), bits.count(F.col("v"), 5, 21).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(21, 16), (0, 0), (9, 4), (0, 0), (0, 0)]
