@@ -32,6 +32,21 @@ MAPS = "|".join(("properties", rf"(?:{ENTITIES})\x1Fproperties", rf"schema\x1F(?
 SEPARATOR = "\x1f"
 
 
+#: Bytes of texts whose tokens one task lists and sorts.
+SHARE = 2 << 20
+
+
+def tasks(texts: DataFrame) -> int:
+    """How many tasks texts (row, json) go to, so that each lists about SHARE bytes of them."""
+    size = texts.agg(F.sum(F.octet_length("json").cast("bigint"))).first()[0] or 0
+    return max(-(-size // SHARE), texts.sparkSession.sparkContext.defaultParallelism)
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """texts (row, json) by row over tasks(); their tokens stay there, as all that is done with them is done by row."""
+    return texts.repartition(tasks(texts), "row")
+
+
 def tokens(texts: DataFrame) -> DataFrame:
     """row, pos, t, at (offset, from 0), line, column, depth: the tokens of texts (row, json) but white space."""
     line = Window.partitionBy("row").orderBy("pos")
@@ -53,9 +68,9 @@ def nodes(listed: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("row").orderBy("pos")
     near = listed.select("*", F.lag("t").over(order).alias("prev"), F.lag("t", 2).over(order).alias("key"))
-    opens = near.where(F.col("t").isin("{", "["))
     level = Window.partitionBy("row", "depth").orderBy("pos", "inner").rowsBetween(Window.unboundedPreceding, 0)
-    both = near.withColumn("inner", F.lit(True)).unionByName(opens.withColumn("depth", F.col("depth") + 1).withColumn("inner", F.lit(False)))
+    # Each token, and once more, one level down, what opens a container.
+    both = near.withColumn("inner", F.explode(F.when(F.col("t").isin("{", "["), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))).withColumn("depth", F.col("depth") + F.when(F.col("inner"), 0).otherwise(1))
     held = both.withColumn("c", F.max(F.when(~F.col("inner"), F.struct("pos", "t"))).over(level)).where("inner").drop("inner")
     inside = Window.partitionBy("row", "container").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     top = F.col("depth") == 0
@@ -122,8 +137,9 @@ def repeated(found: DataFrame) -> DataFrame:
             return keys.join(done, ["row", "container"])
 
 
-def without_repeats(found: DataFrame) -> DataFrame:
-    """row, json, fault, line, column: texts in which maps have each key once (the first in sorted maps, the last elsewhere); fault: the path of a named member that is repeated, and where it is, and then json is null. found: stored nodes() of well-formed texts."""
+def without_repeats(found: DataFrame, n: int | None = None) -> DataFrame:
+    """row, json, fault, line, column: texts in which maps have each key once (the first in sorted maps, the last elsewhere); fault: the path of a named member that is repeated, and where it is, and then json is null. found: stored nodes() of well-formed texts; n: over how many tasks they go, see tasks()."""
+    found = found if n is None else found.repartition(n, "row")
     keys = settle(repeated(found), "repeated")
     is_ = lambda pattern: F.rlike("path", F.lit(f"^(?:{pattern})$"))
     whole = F.concat_ws(".", F.nullif(F.replace("path", F.lit(SEPARATOR), F.lit(".")), F.lit("")), F.col("name"))

@@ -63,3 +63,12 @@ def test_repeated_keys(spark):
         _, twice, extras = cases[r.tileset_id]
         assert r.error_detail == (twice and f"failed to parse {r.tileset_id}: repeated: {twice}") and r.extras == extras
         assert r.tileset_id != 6 or r.p == 1
+
+
+def test_tasks_of_tokens_follow_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "SHARE", 200)
+    texts = spark.range(100).select(F.col("id").alias("row"), F.concat(F.lit('{"a":[1,{"b":"'), F.col("id").cast("string"), F.lit('"}]}')).alias("json"))
+    n = tokens.tasks(texts)
+    assert n >= 100 * 18 // 200
+    listed = tokens.nodes(tokens.tokens(tokens.spread(texts)))
+    assert listed.rdd.getNumPartitions() == n and listed.count() == 100 * 13
