@@ -41,8 +41,8 @@ def let(value: str, use: Callable[[str], str]) -> str:
     return f"get(transform(array({value}), {name} -> {use(name)}), 0)"
 
 
-def member(v: str, name: str) -> str:
-    return f"try_variant_get({v}, '$.{name}', 'variant')"
+def member(v: str, name: str, ddl: str = "variant") -> str:
+    return f"try_variant_get({v}, '$.{name}', '{ddl}')"
 
 
 def leaf(fits: Callable[[str], str]) -> Type:
@@ -64,9 +64,25 @@ def whole(v: str) -> str:
     return f"(schema_of_variant({v}) IN ('BIGINT', 'DECIMAL(19,0)', 'DECIMAL(20,0)') AND {value} >= 0 AND {value} < {2**64})"
 
 
+def plainly(pattern: str, of: Type) -> Type:
+    """A type that a value surely fits if its JSON text is of a pattern, which is many times cheaper to tell; if it isn't, all of it is checked."""
+    return lambda v: f"IF(coalesce(rlike(to_json({v}), {quoted(f'^{pattern}$')}), false), {NOTHING}, {of(v)})"
+
+
+def list_of(n: int) -> str:
+    """The text of an array of n numbers."""
+    one = "[-+0-9.eE]++"
+    return rf"\[{one}(?:,{one}){{{n - 1}}}\]"
+
+
+#: The text of a string without escapes.
+PLAIN = r'"[^"\\]*+"'
+
+
 def floats(n: int) -> Type:
     """An array of n numbers."""
-    return leaf(lambda v: let(f"try_variant_get({v}, '$', 'array<variant>')", lambda a: f"size({a}) = {n} AND forall({a}, x -> {number('x')} IS NULL)"))
+    each = lambda v: let(f"try_variant_get({v}, '$', 'array<variant>')", lambda a: f"size({a}) = {n} AND forall({a}, x -> {number('x')} IS NULL)")
+    return plainly(list_of(n), leaf(each))
 
 
 def one_of(*values: str) -> Type:
@@ -112,35 +128,47 @@ def given(of: Type) -> tuple:
     return of, True, False
 
 
-def faults(members: dict[str, tuple], get: Callable[[str], str]) -> str:
-    """The first wrong member of an object, whose members get() gives by name; null for one that is absent."""
+#: Members that may hold a whole tree. As VARIANT they'd be copied, so they are read as what costs no copy first: an object or an array, of which nothing is kept.
+TREES = {"root": "struct<>", "children": "array<struct<>>"}
+
+
+def faults(members: dict[str, tuple], get: Callable[..., str]) -> str:
+    """The first wrong member of an object, whose members get() gives by name, and by the type that they are read as; null for one that is absent."""
 
     def fault(of: Type, absent: bool, null: bool) -> Callable[[str], str]:
         said = lambda ok: NOTHING if ok else "''"
         return lambda m: f"CASE WHEN {m} IS NULL THEN {said(absent)} WHEN is_variant_null({m}) THEN {said(null)} ELSE {of(m)} END"
 
-    return f"coalesce({', '.join(within(quoted(name), let(get(name), fault(*how))) for name, how in members.items())}, {NOTHING})"
+    def judged(name: str, how: tuple) -> str:
+        full = let(get(name), fault(*how))
+        return f"IF({get(name, TREES[name])} IS NOT NULL, {NOTHING}, {full})" if name in TREES else full
+
+    return f"coalesce({', '.join(within(quoted(name), judged(name, how)) for name, how in members.items())}, {NOTHING})"
 
 
 def is_object(v: str) -> str:
-    return f"(try_variant_get({v}, '$', 'map<string,variant>') IS NOT NULL)"
+    return f"(try_variant_get({v}, '$', 'struct<>') IS NOT NULL)"
+
+
+def is_array(v: str) -> str:
+    return f"(try_variant_get({v}, '$', 'array<struct<>>') IS NOT NULL)"
 
 
 def record(**members: tuple) -> Type:
     """An object whose named members have types."""
-    return lambda v: f"IF(NOT {is_object(v)}, '', {faults(members, lambda name: member(v, name))})"
+    return lambda v: f"IF(NOT {is_object(v)}, '', {faults(members, lambda name, ddl='variant': member(v, name, ddl))})"
 
 
 text, number, boolean, integer = written("^STRING$"), written("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), written("^BOOLEAN$"), written("^BIGINT$")
-unsigned, object_, array = leaf(whole), dictionary(anything), listed(anything)
+unsigned, object_, array = leaf(whole), leaf(is_object), leaf(is_array)
 
 # The members of the format's objects.
 OPEN = {"extensions": given(object_), "extras": maybe(anything)}
 NAMED = {"name": maybe(text), "description": maybe(text)}
-ASSET = record(version=need(text), tilesetVersion=maybe(text), **OPEN)
-VOLUME = record(box=maybe(floats(12)), region=maybe(floats(6)), sphere=maybe(floats(4)), **OPEN)
+ASSET = plainly(rf'\{{"version":{PLAIN}\}}', record(version=need(text), tilesetVersion=maybe(text), **OPEN))
+VOLUME = plainly(rf'\{{(?:"box":{list_of(12)}|"region":{list_of(6)}|"sphere":{list_of(4)})?\}}', record(box=maybe(floats(12)), region=maybe(floats(6)), sphere=maybe(floats(4)), **OPEN))
 ENTITY = record(**{"class": need(text)}, properties=maybe(object_), **OPEN)
-CONTENT = record(uri=need(text), boundingVolume=maybe(VOLUME), group=maybe(unsigned), metadata=maybe(ENTITY), **OPEN)
+CONTENT = plainly(rf'\{{"uri":{PLAIN}\}}', record(uri=need(text), boundingVolume=maybe(VOLUME), group=maybe(unsigned), metadata=maybe(ENTITY), **OPEN))
 SUBTREES = record(uri=need(text), **OPEN)
 #: The names that the format's text uses, and those in capitals that its documents have.
 SCHEMES = ("Quadtree", "Octree", "S2", "QUADTREE", "OCTREE")
@@ -186,15 +214,15 @@ def tileset_fault(doc: str) -> Column:
 
 def tile_fault(name: str) -> Column:
     """Of columns named as a tile's members, and odd, what is wrong with the tile as a whole."""
-    return F.expr(within(name, f"coalesce(odd, {faults(TILE, lambda k: f'`{k}`')})"))
+    return F.expr(within(name, f"coalesce(odd, {faults(TILE, lambda k, _='variant': f'`{k}`')})"))
 
 
-def root_fault(root: str) -> str:
-    """What is wrong with a root tile itself, as of its document: SQL of a VARIANT."""
-    one = lambda m: faults(m, lambda name: member(root, name))
-    return within("'root'", f"IF(NOT {is_object(root)}, '', coalesce({one({'children': CHILDREN})}, {one(TILE)}))")
+def root_fault(doc: str) -> str:
+    """What is wrong with a document's root tile itself, by paths from the document, so that the tree isn't copied."""
+    one = lambda m: faults(m, lambda name, ddl="variant": member(doc, f"root.{name}", ddl))
+    return within("'root'", f"IF({member(doc, 'root', 'struct<>')} IS NULL, '', coalesce({one({'children': CHILDREN})}, {one(TILE)}))")
 
 
 def odd_fault(tile: str) -> Column:
     """What is wrong with a tile as a whole, or with its list of children."""
-    return F.expr(f"IF(NOT {is_object(tile)}, '', {faults({'children': CHILDREN}, lambda name: member(tile, name))})")
+    return F.expr(f"IF(NOT {is_object(tile)}, '', {faults({'children': CHILDREN}, lambda name, ddl='variant': member(tile, name, ddl))})")

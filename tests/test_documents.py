@@ -246,3 +246,12 @@ def test_schema_write_reads_back_the_same(spark):
     assert p["extras"] == {"k": None} and written["classes"]["B"]["properties"]["t"] == {"type": None, "array": False, "normalized": False, "required": False}
     assert written["classes"]["B"]["extensions"] == {"X": {"a": 1}} and written["extras"] == [1] and written["id"] == "s"
     assert written["enums"] == {"E": {"description": "d", "valueType": "UINT16", "values": [{"name": "n", "value": -3, "description": "minus three", "extras": 5}]}, "F": {"valueType": "UINT16", "values": [], "extensions": {"Y": 2}}}
+
+
+def test_verdicts_carry_no_document(spark):
+    given = spark.createDataFrame([(1, '{"asset":{"version":"1"},"geometricError":1,"root":{"boundingVolume":{},"geometricError":1,"children":[{"boundingVolume":{"sphere":[0,0,0,"1"]},"geometricError":1}]}}')], "tileset_id long, json string")
+    for parsed in (tilesets.parse(given), tilesets.load(given)[0]):
+        verdict = parsed.select("error_detail")
+        passed = [line.replace("no_doc#", "") for line in verdict._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project [" in line]
+        assert passed and not any("doc#" in line for line in passed)
+        assert verdict.first()[0] == "failed to parse 1: missing or of a wrong type: root.children.0.boundingVolume.sphere"
