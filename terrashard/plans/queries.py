@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bits, classify, extensions, tileid
 from ..operators import availability, build, errors, registry, tracker, validate
 from ..sources import metadata, subtrees, tilesets
-from ..storage import settle
+from ..storage import settle, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -737,7 +737,7 @@ MISTYPED = tuple((f'{{"tileAvailability":{t},"childSubtreeAvailability":{{"const
 
 def line_payloads(spark, sf_dir, damage: bool):
     """Envelopes of three-level subtrees whose tile bits are bytes of a digest; some are damaged."""
-    c, h = read(spark, sf_dir, "customer"), F.md5(F.col("c_custkey").cast("string"))
+    c, h = spread(read(spark, sf_dir, "customer").select("c_custkey")), F.md5(F.col("c_custkey").cast("string"))
     tile = F.when(F.col("c_custkey") % 6 == 0, bits.constant(True)).otherwise(bits.bitstream(F.unhex(F.substr(h, F.lit(1), F.lit(6)))))
     layers = F.when(F.col("c_custkey") % 4 == 0, F.array().cast(f"array<{bits.VIEW}>")).otherwise(F.array(bits.bitstream(F.unhex(F.substr(h, F.lit(7), F.lit(6)))), bits.constant(True)))
     text, blob = subtrees.json(F.col("tile"), bits.constant(False), F.col("layers"))
@@ -878,10 +878,10 @@ def free_members(spark, sf_dir):
 SELECT c_custkey AS id, sum({sql_hex_bit("h", "8 + k")})::BIGINT AS tiles FROM (SELECT c_custkey, md5((c_custkey % 50)::VARCHAR) AS h FROM customer), unnest(range(21)) AS u(k) GROUP BY c_custkey""")
 def external_buffers(spark, sf_dir):
     """Subtrees whose bits lie in buffers of their own, given as a table by address; fifty of them are shared by all."""
-    c, name = read(spark, sf_dir, "customer"), F.concat(F.lit("buffers/"), (F.col("c_custkey") % 50).cast("string"), F.lit(".bin"))
+    c, name = read(spark, sf_dir, "customer").select("c_custkey"), F.concat(F.lit("buffers/"), (F.col("c_custkey") % 50).cast("string"), F.lit(".bin"))
     text = F.concat(F.lit('{"bufferViews":[{"buffer":0,"byteOffset":1,"byteLength":3}],"buffers":[{"byteLength":16,"uri":"'), name, F.lit('"}],"tileAvailability":{"bitstream":0},"childSubtreeAvailability":{"constant":0}}'))
     external = c.select((F.col("c_custkey") % 50).cast("string").alias("k")).distinct().select(F.concat(F.lit("buffers/"), "k", F.lit(".bin")).alias("uri"), F.unhex(F.md5("k")).alias("bytes"))
-    loaded = subtrees.decode(c.select(F.col("c_custkey").alias("id"), F.encode(text, "UTF-8").alias("content")), external)
+    loaded = subtrees.decode(spread(c).select(F.col("c_custkey").alias("id"), F.encode(text, "UTF-8").alias("content")), external)
     return loaded.select("id", bits.rank_before(F.col("tile.bits"), F.lit(21)).cast("bigint").alias("tiles"))
 
 

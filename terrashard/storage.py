@@ -43,6 +43,15 @@ def stored_by(df: DataFrame, column: str, name: str) -> DataFrame:
     return out
 
 
+#: Rows that spread() gives to one task.
+SHARE = 1 << 15
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df's rows over tasks by their number: what a file holds in few bytes may be many rows, and all the work on them would fall to the task that reads it. Counts df, so for tables as they are read."""
+    return df.repartition(max(-(-df.count() // SHARE), df.sparkSession.sparkContext.defaultParallelism))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
