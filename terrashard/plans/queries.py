@@ -445,8 +445,10 @@ def order_documents(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem")
     wrong = F.when((F.col("l_orderkey") % 7 == 3) & (F.col("l_linenumber") == 1), F.lit("NEVER")).otherwise("ADD")
     volume = F.struct(F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))).alias("sphere"))
-    line = F.struct(volume.alias("boundingVolume"), F.struct(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("uri")).alias("content"), F.col("l_quantity").cast("double").alias("geometricError"), wrong.alias("refine"))
-    lines = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]).alias("children"))
+    # Lines of an order are told by number and quantity; what their tiles hold besides needn't be sorted.
+    line = lambda x: F.struct(volume.alias("boundingVolume"), F.struct(F.concat_ws("-", "l_orderkey", x["n"]).alias("uri")).alias("content"), x["q"].alias("geometricError"), x["refine"].alias("refine"))
+    of = F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("double").alias("q"), wrong.alias("refine"))
+    lines = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(of)).alias("lines")).select("l_orderkey", F.transform("lines", line).alias("children"))
     made = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     root = F.struct(volume.alias("boundingVolume"), F.col("children"), F.struct(F.concat("o_orderkey", F.lit("")).alias("uri")).alias("content"), F.lit(9.0).alias("geometricError"))
     doc = F.struct(F.struct(F.col("o_orderkey").cast("string").alias("version")).alias("asset"), F.lit(10.0).alias("geometricError"), root.alias("root"))

@@ -23,10 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
 live: list[str] = []
 
 
+#: Whether Spark looks for members of VARIANT columns that could be columns of their own. Here, writing and reading these cost more than all the rest of a table.
+SHRED = "spark.sql.variant.inferShreddingSchema"
+
+
+def stored(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    conf = df.sparkSession.conf
+    before = conf.get(SHRED, None)
+    conf.set(SHRED, "false")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        conf.unset(SHRED) if before is None else conf.set(SHRED, before)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    stored(df, path)
     live.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.settled_at = path
@@ -36,7 +50,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def stored_by(df: DataFrame, column: str, name: str) -> DataFrame:
     """settle(df), with a folder for each value of a column, so that a filter on it reads no others."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(column).parquet(path)
+    stored(df, path, (column,))
     live.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.settled_at = path
