@@ -133,6 +133,7 @@ def given(of: Type) -> tuple:
 # Unlike list_of(), these are for texts that may be no JSON. Longer numbers, and -0.0, which VARIANT reads as 0.0, don't match; possessive, so that no text is too long for the matcher.
 JSON_NUMBER = r"(?!-0(?:\.0++)?+(?![0-9.]))-?(?:0|[1-9][0-9]{0,17}+)(?:\.[0-9]{1,17}+)?+(?:[eE][-+]?[0-9]{1,2}+)?+"
 JSON_STRING = r'"[^"\\\x00-\x1F]*+"'
+EMPTY = r"\{\}"
 #: Levels below the root that a matching document has at most, and its bytes.
 PLAIN_LEVELS, PLAIN_BYTES = 3, 1 << 20
 PLAIN_TILE = "boundingVolume:struct<box:array<double>,region:array<double>,sphere:array<double>>,content:struct<uri:string>,contents:array<struct<uri:string>>,geometricError:double,refine:string,transform:array<double>"
@@ -173,6 +174,11 @@ def plain_levels(text: Column) -> Column:
     return told
 
 
+def plain_shell(text: Column) -> Column:
+    """Whether a tile's text, in which its children are `{}`, is one of the commonest members."""
+    return F.rlike(text, F.lit(rf"\A{plain_tile(EMPTY)}\z"))
+
+
 def plain_kind(levels: int) -> str:
     """The type of a tile of such a text."""
     return f"struct<{PLAIN_TILE},children:array<{plain_kind(levels - 1)}>>" if levels else f"struct<{PLAIN_TILE}>"

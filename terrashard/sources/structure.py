@@ -8,6 +8,7 @@ open. With it, every chunk is cut by itself: text belongs to the innermost tile
 parent keeps `{}`. The pieces of each tile are joined by one grouping. What comes out is a JSON text for each tile, with its own members
 only, and one for the document with an empty root; these are as small as tiles are, and go on as VARIANT.
 
+Documents of one chunk are cut at once, without index and fold (at_once()).
 A task holds a chunk (CHUNK bytes and up to the next brace) and what it cuts from it; the fold holds an entry for each chunk of a document.
 Braces, brackets and quotes are told by one regular expression; it runs in Python, as what a quote means depends on all that was before it.
 """
@@ -239,6 +240,25 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return batches_of(found(), PIECE_TYPE, "text")
 
 
+WHOLE_TYPE = pa.schema([("of", pa.string()), ("path", pa.list_(pa.int32())), ("text", pa.binary())])
+
+
+def at_once(documents: DataFrame) -> DataFrame:
+    """texts() of documents (of, json) of one chunk each: nothing is open before it, so there is nothing to index or to fold, and its pieces of a tile are all there are."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for of, text in zip(batch.column("of").to_pylist(), batch.column("json").to_pylist(), strict=True):
+                for path, parts in cut(text or b"", False, "", []).items():
+                    yield {"of": of, "path": None if path is None else list(path), "text": b"".join(parts)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_of(found(batches), WHOLE_TYPE, "text")
+
+    pieces_ = documents.select("of", F.col("json").cast("binary").alias("json")).mapInArrow(run, "of string, path array<int>, text binary")
+    return pieces_.select("of", "path", F.try_validate_utf8(F.col("text").cast("string")).alias("text"))
+
+
 def texts(indexed_chunks: DataFrame) -> DataFrame:
     """of, path (of a tile; null for the document), text. indexed_chunks: as read() and chunks() store them."""
     index = indexed_chunks.select("of", "start", "seq", "size", F.octet_length("data").alias("bytes"), "outer", "inner")

@@ -166,6 +166,11 @@ def plain_tiles(first: DataFrame, deepest: int) -> DataFrame:
         self, i = F.col("at") == 0, F.col("at") - 1
         now = [F.when(self, F.col("path")).otherwise(F.array_append("path", i)).alias("path"), F.when(self, F.col("ord")).otherwise(i).alias("ord"), F.when(self, F.col("own")).otherwise(own(F.col("tile"))).alias("own")]
         level = each.select("row", "tileset_id", *now, *([F.col("tile.children").alias("below")] if n < deepest else []))
+    return plain_typed(level)
+
+
+def plain_typed(level: DataFrame) -> DataFrame:
+    """The columns of tiles (row, tileset_id, path, ord, own: members.PLAIN_TILE), as flatten() has them."""
     nothing = F.lit(None).cast("variant")
     variant, empty_ = lambda c: F.to_variant_object(F.struct(c["uri"].alias("uri"))), F.array().cast("array<variant>")
     one = F.when(F.col("own.content").isNotNull(), F.array(variant(F.col("own.content")))).otherwise(empty_)
@@ -248,9 +253,13 @@ def load(documents: DataFrame, label: str | None = None, *, large: int = LARGE)
 
 def cut_up(first: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Headers and tiles of large documents."""
-    large, of = first.where("large"), F.col("row").cast("string")
-    cut = settle(structure.texts(structure.chunks(large.select(of.alias("of"), "json"))), "cut").join(large.select("row", "tileset_id", of.alias("of")), "of")
-    return typed_cut(cut)
+    of = F.col("row").cast("string").alias("of")
+    large = first.where("large").select(of, "json", (F.octet_length("json") <= structure.CHUNK).alias("one"))
+    cut = settle(structure.at_once(large.where("one")), "cut")
+    longer = large.where("not one")
+    if not longer.isEmpty():
+        cut = cut.unionByName(settle(structure.texts(structure.chunks(longer.select("of", "json"))), "cut"))
+    return typed_cut(cut.join(first.where("large").select("row", "tileset_id", of), "of"))
 
 
 def typed_cut(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -258,13 +267,17 @@ def typed_cut(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = F.lit(None).cast("int")
     read_ = cut.where("path is null").select("row", "tileset_id", members.read_json(F.col("text")).alias("doc"), none.alias("line"), none.alias("column"))
     headers = settle(header(read_).withColumn("fault", F.when(F.col("doc").isNull(), F.lit("")).otherwise(members.tileset_fault("doc"))).withColumn("no_doc", F.col("doc").isNull()), "documents")
-    own = cut.where("path is not null").select("row", "tileset_id", "path", F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(0)).alias("ord"), members.read_json(F.col("text")).alias("tile"))
+    ord_ = F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(0)).alias("ord")
+    plain = F.coalesce((F.size("path") <= MOST_LEVELS) & members.plain_shell(F.col("text")), F.lit(False))
+    cut = cut.where("path is not null").select("row", "tileset_id", "path", ord_, "text", plain.alias("plain"))
+    own = cut.where("not plain").select("row", "tileset_id", "path", "ord", members.read_json(F.col("text")).alias("tile"))
     own = own.select("*", F.col("tile").isNull().alias("unread"))
     # Members of `children` that are no objects weren't cut out, and are tiles by their place.
     odd = own.select("row", "tileset_id", "path", F.posexplode(field(F.col("tile"), "children", "array<variant>")).alias("ord", "tile")).where(~F.startswith(F.schema_of_variant("tile"), F.lit("OBJECT")))
     odd = odd.select("row", "tileset_id", F.array_append("path", F.col("ord")).alias("path"), "ord", "tile", F.lit(False).alias("unread"))
     tiles = settle(own_members(own.union(odd).select("row", "tileset_id", "path", "ord", "tile", "unread")).drop("tile").withColumn("fault", tile_verdict()), "tiles")
-    return headers, typed(tiles)
+    shells = plain_typed(cut.where("plain").select("row", "tileset_id", "path", "ord", F.from_json("text", members.plain_kind(0)).alias("own")))
+    return headers, typed(tiles).unionByName(shells.withColumns({"unread": F.lit(False), "fault": F.lit(None).cast("string")}))
 
 
 def finish(headers: DataFrame, tiles: DataFrame, label: str | None) -> tuple[DataFrame, DataFrame]:
