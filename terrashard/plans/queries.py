@@ -485,10 +485,10 @@ def order_documents_again(spark, sf_dir):
     """Every tile's error is raised by one, the documents are written, and read back: a row for each, with its own lines."""
     parsed, tiles = tilesets.load(order_documents(spark, sf_dir))
     again = tilesets.write(parsed, tiles.withColumn("geometric_error", F.col("geometric_error") + 1)).select("tileset_id", F.parse_json("json").alias("doc"))
-    lines = tilesets.field(F.col("doc"), "root.children", "array<variant>")
-    total = F.aggregate(lines, F.lit(0.0), lambda a, x: a + tilesets.field(x, "geometricError", "double"))
-    last = F.array_max(F.transform(lines, lambda x: tilesets.field(x, "content.uri", "string")))
-    return again.select("tileset_id", tilesets.field(F.col("doc"), "asset.version", "string").alias("version"), F.size(lines).cast("bigint").alias("lines"), total.alias("errors"), last.alias("last_uri"))
+    lines = tilesets.field(F.col("doc"), "root.children", "array<struct<geometricError:double,content:struct<uri:string>>>")
+    again = again.select("tileset_id", tilesets.field(F.col("doc"), "asset.version", "string").alias("version"), lines.alias("lines"))
+    total = F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["geometricError"])
+    return again.select("tileset_id", "version", F.size("lines").cast("bigint").alias("lines"), total.alias("errors"), F.array_max(F.col("lines.content.uri")).alias("last_uri"))
 
 
 @query(f"""

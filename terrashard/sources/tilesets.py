@@ -374,47 +374,47 @@ def contents(tiles: DataFrame) -> DataFrame:
     return each.select("row", "tileset_id", "path", "content_ord", field(F.col("c"), "uri", "string").alias("uri"), field(F.col("c"), "group", "bigint").alias("group"))
 
 
-def tile_json(children: Column) -> Column:
-    """A tile's JSON text from its columns and its children's texts, in the order of the format; what is empty is left out."""
+def tile_texts() -> tuple[Column, Column]:
+    """The JSON texts of a tile's members before and behind its children, from its columns, in the order of the format; null if there are none. What is empty is left out."""
     volume = F.struct(*(F.col(f"bounding_volume.{k}").alias(k) for k in ("box", "region", "sphere")), *(F.col(f"rest.boundingVolume.{k}").alias(k) for k in ("extensions", "extras")))
     given = lambda path: [F.col(f"rest.implicitTiling.{path}{k}").alias(k) for k in ("extensions", "extras")]
     # A struct without fields that aren't null is written as {}.
     subtrees = F.struct(F.col("implicit_tiling.subtrees.uri").alias("uri"), *given("subtrees."))
     implicit = F.struct(*(F.col(f"implicit_tiling.{k}").alias(k) for k in ("availableLevels", "subdivisionScheme", "subtreeLevels")), subtrees.alias("subtrees"), *given(""))
     member = lambda name, text: F.when(text.isNotNull(), F.concat(F.lit(f'"{name}":'), text))
-    listed = lambda texts: F.when(F.size(texts) > 0, F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
-    texts = F.transform("contents", lambda c: F.to_json(c))
-    single = F.coalesce(F.col("rest.single"), F.size(texts) == 1) & (F.size(texts) > 0)
-    more = F.when(single, F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0)))).otherwise(texts)
-    return F.concat(
-        F.lit("{"),
-        F.array_join(F.array_compact(F.array(
-            member("boundingVolume", F.to_json(volume)), member("children", listed(children)), member("content", F.when(single, F.get(texts, F.lit(0)))), member("contents", listed(more)),
-            member("geometricError", F.col("geometric_error").cast("string")),
-            member("implicitTiling", F.when(F.col("implicit_tiling").isNotNull(), F.to_json(implicit))), member("metadata", F.to_json("rest.metadata")),
-            member("refine", F.when(F.col("refine").isNotNull(), F.concat(F.lit('"'), "refine", F.lit('"')))),
-            member("transform", F.to_json("transform")), member("viewerRequestVolume", F.to_json("rest.viewerRequestVolume")),
-            member("extensions", F.when(F.size("extensions") > 0, F.to_json("extensions"))), member("extras", F.to_json("rest.extras")),
-        )), ","),
-        F.lit("}"),
+    single = F.coalesce(F.col("rest.single"), F.size("contents") == 1) & (F.size("contents") > 0)
+    more = F.when(single, F.slice("contents", F.lit(2), F.greatest(F.size("contents") - 1, F.lit(0)))).otherwise(F.col("contents"))
+    identity = F.col("transform") == F.array(*map(F.lit, IDENTITY))
+    behind = F.concat_ws(
+        ",",
+        member("content", F.when(single, F.to_json(F.get("contents", F.lit(0))))), member("contents", F.when(F.size(more) > 0, F.to_json(F.filter(more, lambda c: c.isNotNull())))),
+        member("geometricError", F.col("geometric_error").cast("string")),
+        member("implicitTiling", F.when(F.col("implicit_tiling").isNotNull(), F.to_json(implicit))), member("metadata", F.to_json("rest.metadata")),
+        member("refine", F.when(F.col("refine").isNotNull(), F.concat(F.lit('"'), "refine", F.lit('"')))),
+        member("transform", F.when(identity, F.lit(f"[{','.join(map(str, IDENTITY))}]")).otherwise(F.to_json("transform"))), member("viewerRequestVolume", F.to_json("rest.viewerRequestVolume")),
+        member("extensions", F.when(F.size("extensions") > 0, F.to_json("extensions"))), member("extras", F.to_json("rest.extras")),
     )
+    return member("boundingVolume", F.to_json(volume)), F.nullif(behind, F.lit(""))
 
 
 def nest(tiles: DataFrame) -> DataFrame:
-    """row, root: the JSON text of each tree, built from the deepest level up. Children keep their order. Tiles are stored by depth, so each level reads its own."""
+    """row, root: the JSON text of each tree, built from the deepest level up. Children keep their order. Tiles are stored by depth, so each level reads its own, and as the texts of their own members."""
     tiles = tiles if "rest" in tiles.columns else tiles.withColumn("rest", F.lit(None).cast(REST))
-    path = stored_by(tiles.withColumn("level", F.col("depth")), "level", "tiles")
-    deepest = path.agg(F.max("depth")).first()[0]
+    before, behind = tile_texts()
+    path = stored_by(tiles.select("row", "path", "ord", before.alias("before"), behind.alias("behind"), F.col("depth").alias("level")), "level", "tiles")
+    deepest = path.agg(F.max("level")).first()[0]
     empty_ = F.array().cast("array<string>")
+    listed = F.when(F.size("children") > 0, F.concat(F.lit('"children":['), F.array_join("children", ","), F.lit("]")))
+    json = F.concat(F.lit("{"), F.concat_ws(",", "before", listed, "behind"), F.lit("}"))
     below = None
     for depth in range(deepest or 0, -1, -1):
         level = path.where(F.col("level") == depth)
         if below is None:
             level = level.withColumn("children", empty_)
         else:
-            group = below.groupBy(F.col("row").alias("of"), "up").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "json"))), lambda c: c["json"]).alias("children"))
+            group = below.groupBy(F.col("row").alias("of"), "up").agg(F.sort_array(F.collect_list(F.struct("ord", "json")))["json"].alias("children"))
             level = level.join(group, (F.col("row") == F.col("of")) & (F.col("path") == F.col("up")), "left").drop("of", "up").withColumn("children", F.coalesce("children", empty_))
-        old, below = below, settle(level.select("row", F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).alias("up"), "ord", tile_json(F.col("children")).alias("json")), "nested")
+        old, below = below, settle(level.select("row", F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))).alias("up"), "ord", json.alias("json")), "nested")
         if old is not None:
             discard(old)
     return below.select("row", F.col("json").alias("root"))
@@ -431,14 +431,14 @@ def write(parsed: DataFrame, tiles: DataFrame) -> DataFrame:
         return [blank(F.when(~t.isin("[]", "{}") | F.lit(k == "extras"), F.concat(F.lit(f',"{k}":'), t))) for k, t in texts]
 
     asset = F.to_json(field(F.col("doc"), "asset", "variant"))
-    return parsed.where("error_code is null").join(nest(tiles), "row").select(
-        "row", "tileset_id",
-        F.concat(
-            F.lit('{"asset":'), asset, F.lit(","), blank(names("extensionsRequired", "extensions_required")), blank(names("extensionsUsed", "extensions_used")),
-            F.lit('"geometricError":'), F.col("geometric_error").cast("string"), *others("groups", "metadata", "properties"), F.lit(',"root":'), "root",
-            *others("schema", "schemaUri", "statistics", "extensions", "extras"), F.lit("}"),
-        ).alias("json"),
+    # What stands before and behind the root is written before documents meet their trees, so that they needn't travel.
+    before = F.concat(
+        F.lit('{"asset":'), asset, F.lit(","), blank(names("extensionsRequired", "extensions_required")), blank(names("extensionsUsed", "extensions_used")),
+        F.lit('"geometricError":'), F.col("geometric_error").cast("string"), *others("groups", "metadata", "properties"), F.lit(',"root":'),
     )
+    behind = F.concat(*others("schema", "schemaUri", "statistics", "extensions", "extras"), F.lit("}"))
+    written = parsed.where("error_code is null").select("row", "tileset_id", bits.held(before).alias("before"), bits.held(behind).alias("behind"))
+    return written.join(nest(tiles), "row").select("row", "tileset_id", F.concat("before", "root", "behind").alias("json"))
 
 
 def pretty(documents: DataFrame, column: str) -> DataFrame:

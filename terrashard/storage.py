@@ -27,14 +27,21 @@ live: list[str] = []
 SHRED = "spark.sql.variant.inferShreddingSchema"
 
 
+#: How many folders a task writes to at a time; where there are more, it sorts its rows by them first.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 def stored(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     conf = df.sparkSession.conf
-    before = conf.get(SHRED, None)
-    conf.set(SHRED, "false")
+    meant = {SHRED: "false", WRITERS: "4"}
+    before = {k: conf.get(k, None) for k in meant}
+    for k, v in meant.items():
+        conf.set(k, v)
     try:
         df.write.partitionBy(*by).parquet(path)
     finally:
-        conf.unset(SHRED) if before is None else conf.set(SHRED, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
