@@ -442,7 +442,8 @@ def repeated_keys(spark, sf_dir):
 
 def order_documents(spark, sf_dir):
     """A document for each order, its lines being tiles below the root. Ids are repeated or null, and every seventh document has a wrong line."""
-    li = read(spark, sf_dir, "lineitem")
+    # A line of few bytes becomes a tile of many, so tasks follow the number of lines.
+    li = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", share=1 << 18)
     wrong = F.when((F.col("l_orderkey") % 7 == 3) & (F.col("l_linenumber") == 1), F.lit("NEVER")).otherwise("ADD")
     volume = F.struct(F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))).alias("sphere"))
     # Lines of an order are told by number and quantity; what their tiles hold besides needn't be sorted.

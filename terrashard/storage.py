@@ -68,9 +68,9 @@ def stored_by(df: DataFrame, column: str, name: str) -> DataFrame:
 SHARE = 1 << 15
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df's rows over tasks by their number: what a file holds in few bytes may be many rows, and all the work on them would fall to the task that reads it. Counts df, so for tables as they are read."""
-    return df.repartition(max(-(-df.count() // SHARE), df.sparkSession.sparkContext.defaultParallelism))
+def spread(df: DataFrame, *by: str, share: int | None = None) -> DataFrame:
+    """df's rows over tasks by their number (share of them to one; by: columns of which equal values meet): what a file holds in few bytes may be many rows, and all the work on them would fall to the task that reads it. Counts df, so for tables as they are read."""
+    return df.repartition(max(-(-df.count() // (share or SHARE)), df.sparkSession.sparkContext.defaultParallelism), *by)
 
 
 def remove(spark: SparkSession, path: str) -> None:
